@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .decontamination import ORACLE_OP4, op4_decontamination
 from .packing import op7_best_fit_packing
+from .quality import op9_quality
 from .secret_scan import op6_secret_scan
+from .toxicity import op10_toxicity
 from .warc import ORACLE_OP5, op5_warc
 
 QUERIES = {
@@ -12,6 +14,8 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op9_quality": op9_quality,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {"op4_decontamination": ORACLE_OP4, "op5_warc": ORACLE_OP5}
