@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op2_additive_quantisation
 from .decontamination import ORACLE_OP4, op4_decontamination
 from .packing import op7_best_fit_packing
 from .quality import op9_quality
@@ -10,6 +11,7 @@ from .toxicity import op10_toxicity
 from .warc import ORACLE_OP5, op5_warc
 
 QUERIES = {
+    "op2_additive_quantisation": op2_additive_quantisation,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_secret_scan": op6_secret_scan,
