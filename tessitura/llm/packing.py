@@ -18,6 +18,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,47 +31,111 @@ from .common import materialise, text_slices
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers; beyond it the memory is emptied, which only costs time.
-REMEMBERED = 400_000
-_memory: dict[str, dict[str, np.ndarray]] = {}
+REMEMBERED = 500_000
+#: Punctuation that is parted from an ASCII letter before it: a token ends there in any case.
+PARTED = np.isin(np.arange(256), [ord(c) for c in ".,;:!?*#$%&|"])
+LETTER = np.isin(np.arange(256), [ord(c) for c in "abcdefghijklmnopqrstuvwxyz"])
+#: A-Z to a-z and newline to blank, which this vocabulary's normal form does too.
+FOLD = np.array([c + 32 if 65 <= c <= 90 else 32 if c == 10 else c for c in range(256)], dtype=np.uint8)
 
 
-def encode_slice(texts: pa.Array, tokenizer, remembered: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts on end, each ended by 0, and where each ends.
+BAR = "|"
+#: The vocabulary's special tokens, in any case.
+SPECIAL = r"(?i)<\|(start|end)oftext\|>"
 
-    White space separates tokens in this vocabulary's normal form, so a text's ids are those of its words (here: runs
-    between blanks or newlines) on end, and each distinct word is encoded once.
+
+class WordCoder:
+    """The ids of texts, each distinct word being encoded once while it is remembered.
+
+    White space separates tokens in the vocabulary's normal form, and so does the step from a letter to punctuation;
+    a text's ids are therefore those of its words on end. A text that may hold a special token's string is cut at
+    blanks alone, like the others, since such strings hold no blank.
     """
-    lists = pc.split_pattern(pc.replace_substring(pc.fill_null(texts, ""), "\n", " "), " ")
-    encoded = lists.values.dictionary_encode() if not isinstance(lists, pa.ChunkedArray) else lists.combine_chunks().values.dictionary_encode()
-    words, index = encoded.dictionary.to_pylist(), encoded.indices.to_numpy(zero_copy_only=False)
-    if len(remembered) + len(words) > REMEMBERED:
-        remembered.clear()
-    new = [w for w in words if w not in remembered]
-    for k in range(0, len(new), 20_000):
-        for word, made in zip(new[k : k + 20_000], tokenizer.encode_batch_fast(new[k : k + 20_000], add_special_tokens=False), strict=True):
-            remembered[word] = np.array(made.ids, dtype=np.uint32)
-    own = [remembered[w] for w in words]
-    size = np.array([len(x) for x in own], dtype=np.int64)
-    begin = np.concatenate(([0], np.cumsum(size)))
-    flat = np.concatenate([*own, np.zeros(0, np.uint32)])
-    count = size[index]
-    total = np.concatenate(([0], np.cumsum(count)))
-    ids = flat[np.repeat(begin[index] - total[:-1], count) + np.arange(total[-1])]
-    bounds = total[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
-    return np.insert(ids, bounds[1:], np.uint32(0)), bounds[1:] + np.arange(1, len(bounds))
+
+    def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        (self.bar,) = self._ids(BAR)
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.flat, self.begin = [np.zeros(0, np.uint32)], [0]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _keep(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.begin) - 1, len(self.begin) - 1 + len(words)), strict=True))
+        self.begin.extend((ends + self.begin[-1]).tolist())
+        self.flat.append(ids)
+
+    def _index(self, words: list[str]) -> np.ndarray:
+        """Numbers of the words in the memory; new ones are encoded."""
+        if len(self.known) + len(words) > REMEMBERED:
+            self.forget()
+        new = [w for w in words if w not in self.known]
+        # many at once, between bars; words that hold a bar themselves go alone
+        plain = [w for w in new if BAR not in w]
+        for k in range(0, len(plain), 2_000):
+            some = plain[k : k + 2_000]
+            ids = np.array(self._ids(f" {BAR} ".join(some)), dtype=np.uint32)
+            bars = np.flatnonzero(ids == self.bar)
+            self._keep(some, np.delete(ids, bars), np.concatenate((bars - np.arange(len(bars)), [len(ids) - len(bars)])))
+        for word in new if len(plain) < len(new) else ():
+            if BAR in word:
+                ids = np.array(self._ids(word), dtype=np.uint32)
+                self._keep([word], ids, np.array([len(ids)]))
+        if len(self.flat) > 1:
+            self.flat = [np.concatenate(self.flat)]
+        return np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts on end, each ended by 0, and where each ends."""
+        if pc.any(pc.match_substring_regex(pc.fill_null(texts, ""), SPECIAL)).as_py():
+            made = [np.array([*x.ids, 0], dtype=np.uint32) for x in self.tokenizer.encode_batch_fast(pc.fill_null(texts, "").to_pylist(), add_special_tokens=False)]
+            return np.concatenate(made), np.cumsum([len(x) for x in made])
+        lists = pc.split_pattern(parted(texts), " ")
+        coded = lists.values.dictionary_encode()
+        own = self._index(coded.dictionary.to_pylist())
+        begin = np.array(self.begin, dtype=np.int64)
+        word = own[coded.indices.to_numpy(zero_copy_only=False)]
+        count = (begin[1:] - begin[:-1])[word]
+        total = np.concatenate(([0], np.cumsum(count)))
+        ids = self.flat[0][np.repeat(begin[word] - total[:-1], count) + np.arange(total[-1])]
+        bounds = total[lists.offsets.to_numpy()]
+        return np.insert(ids, bounds[1:], np.uint32(0)), bounds[1:] + np.arange(1, len(bounds))
+
+
+def parted(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z folded, newlines as blanks, and a blank before punctuation that follows a letter."""
+    whole = pa.concat_arrays([pc.fill_null(texts, "")]).cast(pa.large_string())
+    if not len(whole):
+        return whole
+    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64, count=len(whole) + 1)
+    data = FOLD[np.frombuffer(whole.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]]
+    offsets = offsets - offsets[0]
+    at = np.flatnonzero(PARTED[data[1:]] & LETTER[data[:-1]]) + 1
+    at = at[~np.isin(at, offsets)]
+    data = np.insert(data, at, 32)
+    return pa.LargeStringArray.from_buffers(len(whole), pa.py_buffer((offsets + np.searchsorted(at, offsets, side="left")).tobytes()), pa.py_buffer(data))
+
+
+@lru_cache(1)
+def word_coder(vocabulary: str) -> WordCoder:
+    """A Python worker's own coder, kept between its tasks."""
+    return WordCoder(vocabulary)
 
 
 def pieces(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Tokenise and cut: a row per piece with its document's ids before it, its length and the crc32 of its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        remembered = _memory.setdefault(vocabulary, {})
+        coder = word_coder(vocabulary)
         for part in text_slices(batches, "text", 4 << 20):
-            ids, ends = encode_slice(part.column("text"), tokenizer, remembered)
+            ids, ends = coder.encode(part.column("text"))
             sizes = np.diff(ends, prepend=0)
             many = -(-sizes // capacity)
             row = np.repeat(np.arange(len(sizes)), many)
