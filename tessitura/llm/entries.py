@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op2_additive_quantisation
 from .decontamination import ORACLE_OP4, op4_decontamination
+from .jaccard_join import ORACLE_OP1, op1_ngram_jaccard
 from .packing import op7_best_fit_packing
 from .quality import op9_quality
 from .secret_scan import op6_secret_scan
@@ -11,6 +12,7 @@ from .toxicity import op10_toxicity
 from .warc import ORACLE_OP5, op5_warc
 
 QUERIES = {
+    "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_additive_quantisation": op2_additive_quantisation,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
@@ -20,4 +22,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL = {"op4_decontamination": ORACLE_OP4, "op5_warc": ORACLE_OP5}
+ORACLE_SQL = {"op1_ngram_jaccard": ORACLE_OP1, "op4_decontamination": ORACLE_OP4, "op5_warc": ORACLE_OP5}
