@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .ann import op2_additive_quantisation
+from .chat_formatting import op8_chat_formatting
 from .decontamination import ORACLE_OP4, op4_decontamination
 from .jaccard_join import ORACLE_OP1, op1_ngram_jaccard
 from .packing import op7_best_fit_packing
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_secret_scan": op6_secret_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_chat_formatting": op8_chat_formatting,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
 }
