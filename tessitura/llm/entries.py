@@ -5,6 +5,7 @@ from __future__ import annotations
 from .ann import op2_additive_quantisation
 from .chat_formatting import op8_chat_formatting
 from .decontamination import ORACLE_OP4, op4_decontamination
+from .html_extraction import op3_html_extraction
 from .jaccard_join import ORACLE_OP1, op1_ngram_jaccard
 from .packing import op7_best_fit_packing
 from .quality import op9_quality
@@ -15,6 +16,7 @@ from .warc import ORACLE_OP5, op5_warc
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_additive_quantisation": op2_additive_quantisation,
+    "op3_html_extraction": op3_html_extraction,
     "op4_decontamination": op4_decontamination,
     "op5_warc": op5_warc,
     "op6_secret_scan": op6_secret_scan,
