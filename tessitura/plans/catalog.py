@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import sequence_queries, stream_queries, text_queries
+
+QUERIES: dict = text_queries.QUERIES | sequence_queries.QUERIES | stream_queries.QUERIES
+ORACLE_SQL: dict = text_queries.ORACLE_SQL | sequence_queries.ORACLE_SQL | stream_queries.ORACLE_SQL
