@@ -62,8 +62,8 @@ def read_feature_files(spark: SparkSession, path: str) -> DataFrame:
     def run(parts):
         for part in parts:
             for name, raw in zip(part["path"], part["content"], strict=True):
-                sizes = np.frombuffer(raw[:8], "<i4")
-                if len(sizes) == 2 and len(raw) == 8 + 4 * int(sizes[0]) * int(sizes[1]):
+                sizes = np.frombuffer(raw[:8], "<i4") if len(raw) >= 8 else (-1, -1)
+                if min(sizes) >= 0 and len(raw) == 8 + 4 * int(sizes[0]) * int(sizes[1]):
                     x = np.frombuffer(raw, "<f4", offset=8).reshape(sizes)
                     yield pd.DataFrame({"key": name.rsplit("/", 1)[-1].rsplit(".", 1)[0], "frame_idx": range(len(x)), "vec": list(x)})
 

@@ -76,6 +76,8 @@ def stack_online(carried: list, rows: list, m: int, n: int, first: bool, final:
 
     The first call repeats the first frame in front; the last one repeats the last frame where neighbours are missing.
     """
+    if n > m:
+        raise ValueError("frames between stacks would be lost")
     held = ([rows[0]] * ((m - 1) // 2) if first and rows else []) + carried + rows
     out, at, centre = [], 0, (m - 1) // 2
     while at + (centre if final else m - 1) < len(held):
