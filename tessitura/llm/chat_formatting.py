@@ -139,10 +139,12 @@ def reply_order(rows: DataFrame) -> DataFrame:
     now = materialise(enter.unionByName(leave), "tour")
     while not now.where("next is not null").isEmpty():
         ahead = now.select("conv_id", F.col("turn").alias("next"), F.col("entering").alias("next_entering"), F.col("next").alias("then"), F.col("next_entering").alias("then_entering"), F.col("messages").alias("more"), F.col("level").alias("levels"))
-        later = now.join(ahead, ["conv_id", "next", "next_entering"], "left").select(
+        # steps that have reached the end only answer; the others move on
+        moving = now.where("next is not null").join(ahead, ["conv_id", "next", "next_entering"], "left").select(
             "conv_id", "turn", "entering", F.col("then").alias("next"), F.coalesce("then_entering", F.lit(False)).alias("next_entering"),
             (F.col("messages") + F.coalesce("more", F.lit(0))).alias("messages"), (F.col("level") + F.coalesce("levels", F.lit(0))).alias("level"),
         )
+        later = now.where("next is null").unionByName(moving)
         former, now = now, materialise(later, "tour")
         discard(former)
     total = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("total"))
