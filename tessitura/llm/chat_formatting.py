@@ -127,28 +127,26 @@ def format_chats(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tur
 def reply_order(rows: DataFrame) -> DataFrame:
     """conv_id, turn, depth, reply_order from parent_turn.
 
-    The tree's tour enters and leaves each message once; each step's distance to the tour's end is found by pointer
-    doubling, a join per round, with constant memory a message.
+    The tree's tour enters and leaves each message once. A step leans on the step before it: an entry on the leaving of
+    the sibling before, or else on the parent's entry; a leaving on the last reply's, or else on its own entry. How many
+    messages a step has behind it is found by pointer doubling, a join per round, with constant memory a message.
     """
-    tree = rows.select("conv_id", "turn", "parent_turn", (-F.col("turn")).alias("back"))
-    first = tree.where("parent_turn is not null").groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.min("turn").alias("child"))
-    tree = latest_before(tree, ["conv_id", "parent_turn"], "back", "back", "later").join(first, ["conv_id", "turn"], "left")
-    sibling = F.when(F.col("parent_turn").isNotNull(), -F.col("later"))
-    enter = tree.select("conv_id", "turn", F.lit(True).alias("entering"), F.coalesce("child", "turn").alias("next"), F.col("child").isNotNull().alias("next_entering"), F.lit(1).cast("long").alias("messages"), F.lit(1).cast("long").alias("level"))
-    leave = tree.select("conv_id", "turn", F.lit(False).alias("entering"), F.coalesce(sibling, "parent_turn").alias("next"), sibling.isNotNull().alias("next_entering"), F.lit(0).cast("long").alias("messages"), F.lit(-1).cast("long").alias("level"))
+    tree = rows.select("conv_id", "turn", "parent_turn", F.col("turn").alias("same"))
+    last = tree.where("parent_turn is not null").groupBy("conv_id", F.col("parent_turn").alias("turn")).agg(F.max("turn").alias("reply"))
+    tree = latest_before(tree, ["conv_id", "parent_turn"], "turn", "same", "former").join(last, ["conv_id", "turn"], "left")
+    sibling = F.when(F.col("parent_turn").isNotNull(), F.col("former"))
+    enter = tree.select("conv_id", "turn", F.lit(True).alias("entering"), F.coalesce(sibling, "parent_turn").alias("back"), sibling.isNull().alias("back_entering"), F.lit(1).cast("long").alias("messages"), F.lit(1).cast("long").alias("level"))
+    leave = tree.select("conv_id", "turn", F.lit(False).alias("entering"), F.coalesce("reply", "turn").alias("back"), F.col("reply").isNull().alias("back_entering"), F.lit(0).cast("long").alias("messages"), F.lit(-1).cast("long").alias("level"))
     now = materialise(enter.unionByName(leave), "tour")
-    while not now.where("next is not null").isEmpty():
-        ahead = now.select("conv_id", F.col("turn").alias("next"), F.col("entering").alias("next_entering"), F.col("next").alias("then"), F.col("next_entering").alias("then_entering"), F.col("messages").alias("more"), F.col("level").alias("levels"))
-        # steps that have reached the end only answer; the others move on
-        moving = now.where("next is not null").join(ahead, ["conv_id", "next", "next_entering"], "left").select(
-            "conv_id", "turn", "entering", F.col("then").alias("next"), F.coalesce("then_entering", F.lit(False)).alias("next_entering"),
-            (F.col("messages") + F.coalesce("more", F.lit(0))).alias("messages"), (F.col("level") + F.coalesce("levels", F.lit(0))).alias("level"),
-        )
-        later = now.where("next is null").unionByName(moving)
-        former, now = now, materialise(later, "tour")
+    while not now.where("back is not null").isEmpty():
+        behind = now.select("conv_id", F.col("turn").alias("back"), F.col("entering").alias("back_entering"), F.col("back").alias("then"), F.col("back_entering").alias("then_entering"), F.col("messages").alias("more"), F.col("level").alias("levels"))
+        # steps that have reached the beginning only answer; the others move on
+        moving = now.where("back is not null").join(behind, ["conv_id", "back", "back_entering"]).select(
+            "conv_id", "turn", "entering", F.col("then").alias("back"), F.col("then_entering").alias("back_entering"), (F.col("messages") + F.col("more")).alias("messages"), (F.col("level") + F.col("levels")).alias("level")
+        )
+        former, now = now, materialise(now.where("back is null").unionByName(moving), "tour")
         discard(former)
-    total = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("total"))
-    return now.where("entering").join(total, "conv_id").select("conv_id", "turn", (-F.col("level")).alias("depth"), (F.col("total") - F.col("messages") + 1).alias("reply_order"))
+    return now.where("entering").select("conv_id", "turn", (F.col("level") - 1).alias("depth"), F.col("messages").alias("reply_order"))
 
 
 def conversations(formatted: DataFrame) -> DataFrame:
