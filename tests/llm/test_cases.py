@@ -1,0 +1,456 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing extra columns, and small traces."""
+
+import io
+import itertools
+import random
+import zipfile
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from tessitura.llm import ann, chat_formatting, decontamination, html_extraction, jaccard_join, packing, quality, secret_scan, toxicity, warc
+from tessitura.llm.common import shared_path, text_slices
+from tessitura.llm.components import connected_components
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i % 977}x{i}" for i in range(60_000))
+
+
+def docs_of(spark, rows, extra=True):
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    return df.withColumn("k", F.lit(1)).withColumn("label", F.lit("x")).withColumn("score", F.lit(2.0)).withColumn("rank", F.lit(0)) if extra else df
+
+
+def vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, LONG), (5, "one two"), (5, "one two"), (None, "null id text"), (6, "Ünïcode ééé words. here; now!")]
+
+
+# --- n-gram Jaccard join
+
+
+def brute_components(rows, percent=80):
+    def shingles(text):
+        words = [w for w in "".join(c.lower() if c.isascii() else c for c in text or "").replace("\n", " ").replace("\t", " ").split(" ") if w]
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} or ({tuple(words)} if words else set())
+
+    sets = [(i, shingles(t)) for i, t in rows]
+    part = {i: i for i, _ in rows}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for (a, s), (b, t) in itertools.combinations(sets, 2):
+        if s and t and 100 * len(s & t) >= percent * len(s | t):
+            x, y = find(a), find(b)
+            part[max(x, y)] = min(x, y)
+    return sorted((i, len(s), find(i)) for i, s in sets)
+
+
+def variants(seed, groups=6, size=9):
+    rng = random.Random(seed)
+    out, n = [], 0
+    for _ in range(groups):
+        base = [f"a{rng.randrange(400)}" for _ in range(rng.choice([3, 6, 30, 80, 200]))]
+        for _ in range(size):
+            words = list(base)
+            for _ in range(rng.choice([0, 0, 1, 1, 2, 4, 9])):
+                words[rng.randrange(len(words))] = f"b{rng.randrange(9999)}"
+            out.append((n, rng.choice([" ", "  ", "\n"]).join(words).upper() if rng.random() < 0.3 else " ".join(words)))
+            n += rng.randrange(1, 3)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_jaccard_against_all_pairs(spark, seed):
+    rows = variants(seed)
+    got = sorted(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows)).collect()))
+    assert got == brute_components(rows)
+
+
+def test_jaccard_dense_group_with_outsiders(spark):
+    rng = random.Random(9)
+    base = [f"c{i}" for i in range(60)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            words[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows)).collect())) == brute_components(rows)
+
+
+def test_jaccard_odd_rows(spark):
+    got = jaccard_join.jaccard_components(docs_of(spark, ODD)).collect()
+    assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 1, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 59_996, 4), (5, 1, 5), (5, 1, 5), (6, 1, 6)]
+    assert jaccard_join.jaccard_components(docs_of(spark, [])).count() == 0
+
+
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), min_size=1, max_size=30))
+@settings(max_examples=5, deadline=None)
+def test_components(spark, pairs):
+    got = dict(map(tuple, connected_components(spark.createDataFrame(pairs, "a long, b long")).collect()))
+    want = {x: x for p in pairs for x in p if p[0] != p[1]}
+    for _ in range(30):
+        for a, b in pairs:
+            if a != b:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want
+
+
+# --- nearest neighbours
+
+
+def test_ann_ties_copies_and_unusable(spark):
+    rng = np.random.default_rng(0)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    rows += [(1000 + i, [1.0] * 8) for i in range(40)] + [(2000, None), (2001, [0.0] * 8), (2002, [float("nan")] * 8), (2003, [1.0, None] * 4), (2004, [1.0] * 3), (None, [1.0] * 8), (2006, [float("inf")] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit(1)).withColumn("entry", F.lit("x"))
+    got = [tuple(r) for r in ann.search(df, lambda v: v % 100 == 0).collect()]
+    good = {i: np.array(v) for i, v in rows if i is not None and v and len(v) == 8 and None not in v and np.isfinite(v).all() and any(v)}
+    want = ann.brute_force(good, [i for i in good if i % 100 == 0])
+    assert len({(q, v) for q, _, v, _ in want} & {(q, v) for q, _, v, _ in got}) >= 0.9 * len(want)
+    assert [v for q, _, v, _ in sorted(got) if q == 1000] == list(range(1001, 1011))
+
+
+def test_ann_few_and_none(spark):
+    few = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
+    assert [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.search(few, lambda v: v % 100 == 0).collect()] == [(0, 1, 7, 1.414214)]
+    assert ann.search(few.limit(0), lambda v: v % 100 == 0).count() == 0
+
+
+def test_beam_search_beats_greedy():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 16))
+    q = ann.fit(x, books=4, words=16)
+    error = [((x - q.codebooks[np.arange(4), q.encode(x, beam)[0]].sum(1)) ** 2).sum() for beam in (1, 8)]
+    codes, norms = q.encode(x, 8)
+    assert error[1] < error[0] < (x**2).sum()
+    assert np.allclose(norms, (q.codebooks[np.arange(4), codes].sum(1) ** 2).sum(1), rtol=1e-3)
+
+
+# --- HTML
+
+
+@pytest.mark.parametrize("page", [None, "", "   ", "<", "<div", "<p>", "</p></p>", "<script>var x='<p>a</p>'", "<!-- never ends", "<style>p{}</style>"])
+def test_html_without_text(page):
+    assert html_extraction.main_text(page, html_extraction.trained_field()) == ""
+
+
+def test_html_blocks():
+    page = "<body><script>t='</p>x'</script><article><h1>A &amp; B</h1><p>one  <b>two</b>three<br>four<p>five &lt;six&gt;<ul><li>x<li>y</ul></article>tail"
+    blocks = html_extraction.blocks_of(page)
+    assert [b.text for b in blocks] == ["A & B", "one twothree four", "five <six>", "x", "y", "tail"]
+    assert "<article>" in blocks[2].cues and "<article>" not in blocks[-1].cues
+    deep = "<div>" * 50_000 + "text" + "</div>" * 50_000
+    assert [b.text for b in html_extraction.blocks_of(deep)] == ["text"]
+
+
+def test_html_furniture_goes():
+    page = (
+        "<html><head><title>T</title></head><body><header><p>Site name</p></header><nav><ul><li><a href=/>Home</a></ul></nav><div class='cookie-notice'><p>We use cookies, as all do.</p></div>"
+        "<main><h1>Title of it</h1><p>First paragraph of the article, with words.</p><div class='ad'>Buy this now!</div><p>Second paragraph, also with words.</p></main>"
+        "<div id=comments><div class=comment><p>I liked this article very much.</p></div></div><aside class=sidebar><h3>Popular</h3><a href=/1>One</a></aside><footer>&copy; us</footer>"
+    )
+    assert html_extraction.main_text(page, html_extraction.trained_field()).split("\n") == ["Title of it", "First paragraph of the article, with words.", "Second paragraph, also with words."]
+
+
+def test_html_viterbi_is_the_best_labelling():
+    rng = np.random.default_rng(4)
+    field = html_extraction.Field({f"f{i}": float(rng.normal()) for i in range(6)}, rng.normal(size=(2, 2)))
+    for n in range(1, 8):
+        rows = [[f"f{int(rng.integers(6))}", f"f{int(rng.integers(6))}"] for _ in range(n)]
+        value = lambda y: sum(sum(field.weights[x] for x in rows[t]) * y[t] for t in range(n)) + sum(field.steps[a, b] for a, b in zip(y, y[1:], strict=False))  # noqa: B023, E731
+        assert tuple(field.decode(rows)) == max(itertools.product((0, 1), repeat=n), key=value)
+
+
+def test_html_rows(spark):
+    df = spark.createDataFrame([(1, None, None), (1, "u", "<article><p>x y z.</p></article>"), (None, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit(3))
+    assert {tuple(r) for r in html_extraction.extract(df).collect()} == {(1, None, "", 0), (1, "u", "x y z.", 6), (None, "v", "", 0)}
+
+
+# --- decontamination
+
+
+WORDS = st.lists(st.sampled_from(["a", "b", "Ab", "é", "7", "x-y"]), max_size=30).map(" ".join)
+
+
+@given(st.lists(WORDS, max_size=4), st.lists(WORDS, max_size=3), st.integers(1, 4))
+@settings(max_examples=60, deadline=None)
+def test_automaton_against_every_place(docs, items, width):
+    automaton = decontamination.build_automaton([(str(i), t) for i, t in enumerate(items)], width)
+    want = decontamination.brute_force(list(enumerate(docs)), list(enumerate(items)), width)
+    for (_, n_words, n_hit, n_items, _, _), text in zip(want, docs, strict=True):
+        n, hit, spans, ids = decontamination.scan_text(automaton, text)
+        assert (n, len(hit), len(ids)) == (n_words, n_hit, n_items)
+        assert sum(len(decontamination.WORD.findall(text.lower()[a:b])) for a, b in spans) == n_hit
+
+
+def test_decontamination_rows(spark):
+    bench = spark.createDataFrame([(1, "one two three"), (1, "one two three"), (2, None), (3, ""), (None, "null id text")], "item_id long, text string").withColumn("words", F.lit(1))
+    df = docs_of(spark, [*ODD, (7, "say ONE, two three!")])
+    got = {(r.doc_id, r.n_hit, r.n_items) for r in decontamination.contamination(df, bench).collect()}
+    assert got == {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 0, 0), (5, 0, 0), (6, 0, 0), (7, 3, 1), (None, 3, 0)}
+    parts = decontamination.contamination(df, bench, automaton_bytes=8)
+    assert {(r.doc_id, r.n_hit, r.n_items) for r in parts.collect()} == got and parts.count() == len(ODD) + 1
+    assert sorted(r.doc_id for r in decontamination.decontaminate(df, bench).collect()) == [1, 2, 3, 4, 5, 5, 6]
+    assert decontamination.contamination(docs_of(spark, []), bench).count() == 0
+    assert decontamination.contamination(df, bench.limit(0)).where("contaminated").count() == 0
+
+
+# --- WARC in ZIP
+
+
+class File(io.BytesIO):
+    def size(self):
+        return len(self.getvalue())
+
+
+def test_zip_directory_with_zip64():
+    raw = File()
+    with zipfile.ZipFile(raw, "w") as z:
+        z.writestr("skipped.txt", b"deflated", zipfile.ZIP_DEFLATED)
+        with z.open(zipfile.ZipInfo("archive/data.warc.gz"), "w", force_zip64=True) as f:
+            f.write(b"x" * 1000)
+        z.writestr("indexes/index.cdxj", b"index")
+        z.comment = b"a comment"
+    members = warc.zip_members(raw)
+    assert set(members) == {"archive/data.warc.gz", "indexes/index.cdxj"}
+    at, n = members["archive/data.warc.gz"]
+    assert raw.getvalue()[at : at + n] == b"x" * 1000
+    # the same archive behind ZIP64 end records, as for over 65535 members or 4 GB
+    data = raw.getvalue()
+    k = data.rfind(warc.END)
+    import struct
+
+    many, length, start = struct.unpack_from("<HII", data, k + 10)
+    end64 = warc.END64 + struct.pack("<QHHIIQQQQ", 44, 45, 45, 0, 0, many, many, length, start)
+    locator = warc.LOCATOR64 + struct.pack("<IQI", 0, k, 1)
+    big = File(data[:k] + end64 + locator + data[k : k + 8] + struct.pack("<HHII", 0xFFFF, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFF) + data[k + 20 :])
+    assert warc.zip_members(big) == members
+    with pytest.raises(ValueError):
+        warc.zip_members(File(b"no zip"))
+
+
+def test_warc_round_trip(spark):
+    long, text = "é" * 700, "<p>short</p>"
+    rows = [(1, "http://a/b c", long), (5, None, long), (5, None, long), (3, "http://x/\n", long), (7, "u", text), (8, "u", text), (9, "u", None), (None, "u", long), (11, "u", "y" * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("digest", F.lit(0)).withColumn("payload", F.lit("z"))
+    got = warc.read_packages(warc.write_packages(warc.decide(df), shared_path(spark, "t"))).collect()
+    assert len(got) == len(rows)
+    by = {r.page_id: r for r in got}
+    assert by[1].record_type == by[3].record_type == by[None].record_type == "revisit" and by[1].refers_to == 5 and by[1].payload is None
+    assert by[5].record_type == by[7].record_type == by[8].record_type == "response" and by[5].payload.decode() == long
+    assert by[1].payload_bytes == 1400 and by[9].payload_bytes == 0 and by[11].payload == b"y" * 300_000
+    assert warc.read_packages(warc.write_packages(warc.decide(df.limit(0)), shared_path(spark, "t"))).count() == 0
+
+
+# --- secrets
+
+
+def test_base_patterns():
+    text = "Password: 'abcdefghijkl' secret: token: abcdefghijklmnop AKIAABCDEFGHIJKLMN 0123456789abcdef API-KEY=x apikey==abcdefghijkl ſecret=abcdefghijklmnop"
+    base, _ = secret_scan.find_spans(text)
+    assert [(secret_scan.KINDS[k], text[a:b]) for a, k, b in base] == [("assign", "Password: 'abcdefghijkl"), ("access", "AKIAABCDEFGHIJKLMN"), ("hex", "0123456789abcdef"), ("assign", "apikey==abcdefghijkl")]
+
+
+def test_markov_models_on_unseen_samples():
+    random_ones, ordinary = secret_scan.labelled_samples(seed=999, each=700)
+    assert np.mean([secret_scan.ratio(x) > secret_scan.THRESHOLD for x in random_ones]) > 0.95
+    assert np.mean([secret_scan.ratio(x) > secret_scan.THRESHOLD for x in ordinary if len(x) >= secret_scan.MIN_TOKEN]) < 0.01
+    assert secret_scan.find_spans("key x7Kd9Qp2LmZ4vB8nR1tYw3 and getUserNameFromDatabaseConnection")[1] == [(4, 3, 26)]
+
+
+def test_secret_rows(spark):
+    rows = [*ODD, (8, "é AKIAABCDEFGHIJKLMN é")]
+    got = {r.doc_id: r.span_text for r in secret_scan.scan(docs_of(spark, rows)).collect()}
+    assert got[8] == "access:2:20" and got[1] == got[2] == ""
+    clean = secret_scan.redact(docs_of(spark, rows))
+    by = {r.doc_id: r for r in clean.collect()}
+    assert by[8].text == "é [SECRET] é" and by[8].n_chars == 12 and by[1].text is None and by[4].text == LONG and clean.count() == len(rows)
+    assert secret_scan.scan(docs_of(spark, [])).count() == 0
+
+
+# --- packing
+
+
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 40), min_size=1, max_size=12))
+@settings(max_examples=200, deadline=None)
+def test_plan_places_everything_once(histogram):
+    places, sizes = {}, {}
+    for n, lo, hi, sequence, each, offset in packing.plan(histogram, 30):
+        for rank in range(lo, hi):
+            assert (n, rank) not in places
+            places[n, rank] = sequence + (rank - lo) // each, offset + (rank - lo) % each * n
+            sizes.setdefault(places[n, rank][0], []).append((places[n, rank][1], n))
+    assert len(places) == sum(histogram.values()) and set(places) == {(n, r) for n, c in histogram.items() for r in range(c)}
+    for own in sizes.values():
+        at = 0
+        for offset, n in sorted(own):
+            assert offset == at
+            at += n
+        assert at <= 30 and sum(3 * n > 30 for _, n in own) <= 2
+
+
+def test_plan_is_tight():
+    rng = np.random.default_rng(5)
+    sizes, counts = np.unique(np.minimum(2048, rng.lognormal(6.5, 1.0, 20_000).astype(int) + 1), return_counts=True)
+    rows = packing.plan(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), 2048)
+    used = max(s + -(-(hi - lo) // each) for _, lo, hi, s, each, _ in rows)
+    assert used <= 1.01 * (sizes * counts).sum() / 2048 + 1 and len(rows) < 40_000
+
+
+def test_packing_rows(spark):
+    got = packing.pack(docs_of(spark, ODD), vocabulary(), capacity=64, keep_ids=True).collect()
+    by: dict = {}
+    for r in got:
+        by.setdefault(r.doc_id, []).append(r)
+    assert [r.ids for r in by[1]] == [[0]] and [r.ids for r in by[2]] == [[0]] and len(by[5]) == 2
+    assert all(len(r.ids) == r.length <= 64 for r in got)
+    assert sum(r.length for r in by[4]) == 1 + sum(len(x) for x in [sum((r.ids for r in sorted(by[4], key=lambda r: r.piece)), [])[:-1]])
+    assert packing.pack(docs_of(spark, []), vocabulary()).count() == 0
+
+
+SNIPPETS = st.text(alphabet="aB. ,\n'|<>é́Σσ!?1\x1c 日", max_size=60)
+
+
+@given(st.lists(SNIPPETS, min_size=1, max_size=6))
+@settings(max_examples=80, deadline=None)
+def test_word_coder_is_the_tokenizer(texts):
+    import pyarrow as pa
+
+    coder = packing.word_coder(vocabulary())
+    ids, ends = coder.encode(pa.array([*texts, None, "<|endoftext|> x <|ENDOFTEXT|>"[: len(texts) * 5]]))
+    start = 0
+    for text, end in zip([*texts, "", "<|endoftext|> x <|ENDOFTEXT|>"[: len(texts) * 5]], ends, strict=True):
+        assert ids[start:end].tolist() == [*coder.tokenizer.encode(text, add_special_tokens=False).ids, 0]
+        start = end
+
+
+# --- chat
+
+
+def plain_order(rows):
+    """Reply order by walking the tree."""
+    out, stack = [], [(t, 0) for t, p in sorted(rows.items(), reverse=True) if p is None]
+    while stack:
+        t, depth = stack.pop()
+        out.append((t, depth))
+        stack += [(c, depth + 1) for c, p in sorted(rows.items(), reverse=True) if p == t]
+    return out
+
+
+def test_chat_links_and_order(spark):
+    rows = [
+        (1, 0, "user", "Hello there\nhow are you?"), (1, 1, "assistant", "> Hello there\n> how are you?\nFine.\nSecond line"), (1, 2, "user", ">> how are you?\n> Fine.\nGood to hear"),
+        (1, 3, "user", "> hello THERE!\nI also greet"), (1, 4, "assistant", None), (1, 5, "user", "> unknown stuff\nnothing"), (2, 0, "user", "a"), (2, 7, "x", "> a\nb"), (2, 3, "x", "c"),
+        (None, 1, "x", "y"), (3, 0, "u", ">"), (1, 0, "user", "Hello there\nhow are you?"), (4, None, "u", "z"), (5, 2, "u", "> later\nx"), (5, 3, "u", "later"),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("depth", F.lit("x")).withColumn("source", F.lit(1))
+    got = {(r.conv_id, r.turn): r for r in chat_formatting.format_chats(df).collect()}
+    assert len(got) == 12
+    assert [(t, got[1, t].parent_turn, got[1, t].text) for t in range(6)] == [(0, None, "Hello there\nhow are you?"), (1, 0, "Fine.\nSecond line"), (2, 1, "Good to hear"), (3, 0, "I also greet"), (4, 3, ""), (5, 4, "nothing")]
+    assert (got[1, 2].n_quotes, got[1, 2].n_linked, got[1, 5].n_quotes, got[1, 5].n_linked, got[3, 0].n_quotes, got[5, 2].linked) == (2, 2, 1, 0, 1, False)
+    for conv in (1, 2, 3, 5):
+        tree = {t: r.parent_turn for (c, t), r in got.items() if c == conv}
+        walked = plain_order(tree)
+        assert [(t, got[conv, t].depth) for t in sorted(tree, key=lambda t: got[conv, t].reply_order)] == walked
+    assert chat_formatting.format_chats(df.limit(0)).count() == 0
+    assert chat_formatting.conversations(chat_formatting.format_chats(df)).where("conv_id = 2").first().messages[1].text == "c"
+
+
+@given(st.lists(st.integers(0, 10**6), min_size=1, max_size=40))
+@settings(max_examples=4, deadline=None)
+def test_reply_order_of_any_tree(spark, parents):
+    tree = {0: None} | {i + 1: p % (i + 1) for i, p in enumerate(parents)}
+    df = spark.createDataFrame([(1, t, p) for t, p in tree.items()], "conv_id long, turn long, parent_turn long")
+    got = chat_formatting.reply_order(df).orderBy("reply_order").collect()
+    assert [(r.turn, r.depth) for r in got] == plain_order(tree) and [r.reply_order for r in got] == list(range(1, len(tree) + 1))
+
+
+def test_latest_before_over_ranges(spark):
+    rng = random.Random(3)
+    rows = [(rng.randrange(3), rng.randrange(20_000), i) for i in range(300)]
+    df = spark.createDataFrame([(k, t, t if i % 3 else None) for k, t, i in rows], "k int, t long, v long")
+    for r in chat_formatting.latest_before(df, ["k"], "t", "v", "found").collect():
+        assert r.found == max((t for k, t, i in rows if k == r.k and t < r.t and i % 3), default=None)
+
+
+# --- classifiers
+
+
+LABELS = "doc_id long, quality int, toxic int"
+
+
+def test_classifiers_without_labels(spark):
+    df, none = docs_of(spark, ODD), spark.createDataFrame([], LABELS)
+    got = quality.score(df, quality.fit(df, none)).collect()
+    assert len(got) == len(ODD) and all(r.score == 0.5 and r.predicted == 1 for r in got)
+    model = toxicity.fit(df, none)
+    got = toxicity.score(docs_of(spark, [*ODD, (9, "You idiot, you pathetic moron."), (10, "A kind word for all.")]), model).collect()
+    by = {r.doc_id: r for r in got}
+    assert by[9].predicted == 1 and by[10].predicted == 0 and by[1].predicted == 0 and all(0 <= r.score <= 1 for r in got)
+    assert quality.score(docs_of(spark, []), quality.fit(df, none)).count() == 0
+
+
+def test_repeated_and_null_labels(spark):
+    df = docs_of(spark, [(i, "good words of a text. " * (1 + i % 5) if i % 2 else "### !! ### %%% " * (1 + i % 7)) for i in range(120)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)] * 2 + [(None, 1, 1), (3, None, None)], LABELS)
+    model = quality.fit(df, labels)
+    assert all(r.predicted == r.doc_id % 2 for r in quality.score(df, model).collect())
+    assert {r.doc_id % 2 for r in quality.keep_good(df, model).collect()} == {1}
+
+
+def test_statistics_rows_are_independent():
+    import pyarrow as pa
+
+    texts = ["Some words, some WORDS!", None, "", "a\na\nb", LONG, "é ö ü 123 | x"]
+    whole = quality.statistics(pa.array(texts, pa.string()))
+    for i, t in enumerate(texts):
+        assert np.allclose(whole[i], quality.statistics(pa.array([t], pa.string()))[0])
+    assert np.allclose(quality.statistics(pa.array(texts, pa.string()).slice(2, 3)), whole[2:5])
+
+
+def test_label_model_weighs_repeated_voters_once():
+    rng = np.random.default_rng(1)
+    y = rng.random(3000) < 0.3
+    vote = lambda p, q: np.where(rng.random(3000) < np.where(y, p, q), 1, 0)
+    one, two = vote(0.6, 0.02), vote(0.5, 0.05)
+    votes = np.stack([one, one, one, two], axis=1).astype(np.int8)
+    model = toxicity.LabelModel(votes, np.where(np.arange(3000) < 600, y, np.nan))
+    assert model.share[:3] == pytest.approx(1 / 3, abs=0.02) and model.share[3] > 0.9
+    assert ((model.posterior(votes) > 0.5) == y)[600:].mean() > 0.8
+
+
+# --- pipeline and slices
+
+
+def test_pipeline_stages_with_odd_rows(spark, tmp_path):
+    sf = str(tmp_path)
+    spark.createDataFrame([], LABELS).write.parquet(f"{sf}/labels.parquet")
+    spark.createDataFrame([(1, "one two")], "item_id long, text string").write.parquet(f"{sf}/benchmark.parquet")
+    for rows in (ODD, []):
+        docs = docs_of(spark, rows)
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            docs = stage(spark, docs, sf)
+            assert k == 4 or docs.columns == docs_of(spark, []).columns
+        left = sorted({r.doc_id or 0 for r in docs.collect()})
+        assert left == ([0, 1, 2, 3, 4, 6] if rows else [])
+
+
+def test_slices_cover_every_row_once():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (0, 5, 50, 0, 3, 3, 100)] + [None]})
+    parts = list(text_slices([batch], "text", 10))
+    assert [t for p in parts for t in p.column("text").to_pylist()] == batch.column("text").to_pylist() and len(parts) >= 4
