@@ -111,17 +111,17 @@ def format_chats(messages: DataFrame, conv_id: str = "conv_id", turn: str = "tur
     base = base.groupBy("conv_id", "turn").agg(F.min(F.struct("text", "role")).alias("m")).select("conv_id", "turn", "m.role", "m.text")
     parsed = materialise(parse_quotes(base), "parsed")
     links = link_quotes(parsed)
-    rows = parsed.select("conv_id", "turn", "role", F.col("own").alias("text"), F.col("turn").alias("same")).join(links, ["conv_id", "turn"], "left")
-    rows = latest_before(rows, ["conv_id"], "turn", "same", "before")
-    rows = materialise(
-        rows.select(
-            "conv_id", "turn", "role", "text", F.coalesce("quoted", "before").alias("parent_turn"), F.col("quoted").isNotNull().alias("linked"),
-            F.coalesce("n_quotes", F.lit(0).cast("long")).alias("n_quotes"), F.coalesce("n_linked", F.lit(0).cast("long")).alias("n_linked"),
-        ),
+    # the tree is made of ids alone; texts are joined to it once
+    ids = parsed.select("conv_id", "turn", F.col("turn").alias("same")).join(links, ["conv_id", "turn"], "left")
+    ids = latest_before(ids, ["conv_id"], "turn", "same", "before")
+    zero = F.lit(0).cast("long")
+    tree = materialise(
+        ids.select("conv_id", "turn", F.coalesce("quoted", "before").alias("parent_turn"), F.col("quoted").isNotNull().alias("linked"), F.coalesce("n_quotes", zero).alias("n_quotes"), F.coalesce("n_linked", zero).alias("n_linked")),
         "replies",
-    )
-    placed = reply_order(rows)
-    return rows.join(placed, ["conv_id", "turn"])
+    )
+    placed = tree.join(reply_order(tree), ["conv_id", "turn"])
+    texts = parsed.select("conv_id", "turn", "role", F.col("own").alias("text"))
+    return texts.join(placed, ["conv_id", "turn"]).select("conv_id", "turn", "role", "text", "parent_turn", "linked", "n_quotes", "n_linked", "depth", "reply_order")
 
 
 def reply_order(rows: DataFrame) -> DataFrame:
