@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions.arrays import frame_end_s, frame_start_s
+from tessitura.functions.text import is_english
 
 
 def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -64,3 +65,13 @@ def pieces_to_text(rows: DataFrame, vocabulary: DataFrame, key: str, order: str,
     """Ids by their pieces, in order; ids outside the vocabulary are left out."""
     found = rows.join(vocabulary, rows[token] == vocabulary["id"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "piece"))).alias("own"))
     return found.select(key, F.transform("own", lambda x: x["piece"]).alias("pieces"))
+
+
+def language_runs(rows: DataFrame, key: str, order: str, token: str) -> DataFrame:
+    """Runs of English and of other tokens, as arrays: what a segmenter of either language gets at once."""
+    own = Window.partitionBy(key).orderBy(order)
+    marked = rows.withColumn("english", is_english(F.col(token)))
+    turned = marked.withColumn("_new", F.coalesce((F.col("english") != F.lag("english").over(own)).cast("long"), F.lit(1).cast("long")))
+    numbered_rows = turned.withColumn("run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    gathered = numbered_rows.groupBy(key, "run", "english").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(token).alias("t")))).alias("own"))
+    return gathered.select(key, "run", "english", F.transform("own", lambda x: x["t"]).alias("tokens"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import arrays as A
+from tessitura.functions import lookups
 from tessitura.operators import alignment, sequences
 
 from .text_queries import table
@@ -212,3 +213,36 @@ def forced_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _frames(spark, sf_dir)
     targets = f.select("key").distinct().withColumn("tokens", F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: ((F.col("key") + i * 7) % 63 + 1).cast("int")))
     return alignment.forced_align(f.withColumn("logp", A.log_softmax(F.col("vec"))), targets, "key", "frame", "logp")
+
+
+_VOCABULARY = ["the", "and", "of", "to", "in", "<unk>"]
+
+
+@query(f"select doc_id, array_to_string(list_transform(string_split(lower(text), ' '), lambda w: coalesce(list_position({_VOCABULARY!r}, w) - 1, {len(_VOCABULARY) - 1})), ',') as ids from documents")
+def token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = lookups.token_ids(F.split(F.lower("text"), " "), _VOCABULARY)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(ids.cast("array<string>"), ",").alias("ids"))
+
+
+@query("select lang, round(avg(case when y <> -1 then case when p = y then 1.0 else 0.0 end end), 6) as accuracy, round(sum(n) * 10.0 * 6 / 1000.0, 4) as audio_s from (select lang, doc_id % 3 as p, case when doc_id % 5 = 0 then -1 else length(text) % 3 end as y, length(text) as n from documents) group by lang")
+def token_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("lang", (F.col("doc_id") % 3).alias("p"), F.expr("case when doc_id % 5 = 0 then -1 else length(text) % 3 end").alias("y"), F.length("text").alias("n"))
+    return d.groupBy("lang").agg(F.round(lookups.token_accuracy(F.col("p"), F.col("y")), 6).alias("accuracy"), F.round(lookups.audio_seconds(F.col("n")), 4).alias("audio_s"))
+
+
+@query("with v as (select label, vec_id, embedding from embeddings), f as (select label, min(vec_id) as m from v group by label) select d.doc_id, round(list_sum(cast(v.embedding as double[])), 6) as total from documents d left join f on d.doc_id % 13 = f.label left join v on v.vec_id = f.m")
+def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector by id: each label's first; documents whose id has none have null."""
+    e = table(spark, sf_dir, "embeddings").groupBy(F.col("label").cast("long").alias("id")).agg(F.min_by("embedding", "vec_id").alias("vector"))
+    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 13).alias("id"))
+    return lookups.embed(d, e, "id").select("doc_id", F.round(A.total(F.col("vector").cast("array<double>")), 6).alias("total"))
+
+
+@query(
+    """with t as (select doc_id, unnest(string_split(text, ' ')) as w, generate_subscripts(string_split(text, ' '), 1) as i from documents), e as (select *, regexp_matches(w, '^[a-zA-Z'']+$') as english from t),
+n as (select *, case when english is distinct from lag(english) over (partition by doc_id order by i) then 1 else 0 end as turned from e), r as (select *, sum(turned) over (partition by doc_id order by i) as run from n)
+select doc_id, cast(run as bigint) as run, english, string_agg(w, ' ' order by i) as words from r group by doc_id, run, english"""
+)
+def language_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
+    return sequences.language_runs(words, "doc_id", "i", "w").select("doc_id", "run", "english", F.array_join("tokens", " ").alias("words"))

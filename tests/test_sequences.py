@@ -147,3 +147,37 @@ def test_endpoints_are_apart_and_inside(silence):
 def test_endpoints_of_one_utterance():
     silence = np.array([1.0] * 100 + [0.0] * 200 + [1.0] * 400, np.float32)
     assert endpoints.segments(silence) == [(740, 3150)]  # 40 frames before the 15th loud one; 11 after speech has faded
+
+
+def test_online_features_are_the_whole_ones(spark):
+    from tessitura.streaming.frontend import OnlineFeatures, stream_features
+
+    x = (np.random.default_rng(0).normal(size=9000) * 0.1).astype(np.float32)
+    frames = audio.log_mel(x)
+    padded = [frames[0]] * 3 + list(frames)
+    want = np.array([np.concatenate([padded[min(i * 6 + j, len(padded) - 1)] for j in range(7)]) for i in range(-(-len(frames) // 6))])
+    for cuts in ([], [100], [399, 400, 401, 5000], list(range(500, 9000, 500))):
+        online, got = OnlineFeatures(), []
+        parts = np.split(x, cuts)
+        for k, part in enumerate(parts):
+            got += online.push(part, k == len(parts) - 1)
+        assert np.allclose(got, want, atol=1e-4)
+    assert OnlineFeatures().push(x[:100], True) == []
+    df = spark.createDataFrame([("a", 1, x[4000:].tolist()), ("a", 0, x[:4000].tolist()), ("b", 0, [0.0] * 10), ("b", 1, None)], "k string, o int, s array<float>")
+    rows = stream_features(df, "k", "o", "s").orderBy("frame_idx").collect()
+    assert {r.k for r in rows} == {"a"} and np.allclose([r.vec for r in rows], want, atol=1e-3)
+
+
+def test_lookups(spark):
+    from tessitura.functions import lookups
+
+    v = ["a", "b", "<unk>"]
+    assert one(spark, lookups.token_ids(F.col("x"), v), ["b", "z", "a"], "array<string>") == [1, 2, 0]
+    assert one(spark, lookups.tokens_of(F.col("x"), v), [1, 7, -1, 0], "array<int>") == ["b", "a"]
+    ids = {"withitn": 14, "woitn": 15}
+    df = spark.createDataFrame([("woitn", True), (None, True), (None, False)], "e string, u boolean")
+    assert [r[0] for r in df.select(lookups.choose_text_norm(F.col("e"), F.col("u"), ids)).collect()] == [15, 14, 15]
+    with pytest.raises(Exception, match="unknown text norm"):
+        df.select(lookups.choose_text_norm(F.lit("x"), F.col("u"), ids)).collect()
+    lookups.register(spark)
+    assert spark.sql("select json_command('{\"type\": \"EOF\"}')").first()[0] == "eof"
