@@ -18,12 +18,12 @@ def let(value: Column, body) -> Column:
 
 def collapse_repeats(a: Column) -> Column:
     """Without consecutive duplicates."""
-    return F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1)))
+    return let(a, lambda a: F.filter(a, lambda x, i: (i == 0) | (x != F.get(a, i - 1))))
 
 
 def ctc_greedy(ids: Column, blank: int = 0) -> Column:
     """Best-path decoding of frame ids: repeats collapse, then blanks go, so a blank parts equal tokens."""
-    return F.filter(ids, lambda x, i: ((i == 0) | (x != F.get(ids, i - 1))) & (x != blank))
+    return let(ids, lambda a: F.filter(a, lambda x, i: ((i == 0) | (x != F.get(a, i - 1))) & (x != blank)))
 
 
 def argmax(a: Column) -> Column:
@@ -92,19 +92,27 @@ def frame_count(samples: Column, window: int = 400, shift: int = 160) -> Column:
 
 def framing(a: Column, window: int = 400, shift: int = 160) -> Column:
     """Overlapping windows of a waveform."""
-    many = frame_count(F.size(a), window, shift)
-    starts = F.filter(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda i: i < many)
-    return F.transform(starts, lambda i: F.slice(a, i * shift + 1, window))
+
+    def cut(a: Column) -> Column:
+        many = frame_count(F.size(a), window, shift)
+        starts = F.filter(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda i: i < many)
+        return F.transform(starts, lambda i: F.slice(a, i * shift + 1, window))
+
+    return let(a, cut)
 
 
 def stack_frames(frames: Column, m: int = 7, n: int = 6) -> Column:
     """Low frame rate: every ``n``-th frame with its ``m`` neighbours on end, the ends repeated."""
-    size = F.size(frames)
-    many = F.ceil(size / n).cast("int")
-    rows = F.filter(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda i: i < many)
-    near = F.sequence(F.lit(0), F.lit(m - 1))
-    at = lambda i, j: F.greatest(F.lit(0), F.least(i * n + j - (m - 1) // 2, size - 1))
-    return F.transform(rows, lambda i: F.flatten(F.transform(near, lambda j: F.get(frames, at(i, j)))))
+
+    def stack(frames: Column) -> Column:
+        size = F.size(frames)
+        many = F.ceil(size / n).cast("int")
+        rows = F.filter(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda i: i < many)
+        near = F.sequence(F.lit(0), F.lit(m - 1))
+        at = lambda i, j: F.greatest(F.lit(0), F.least(i * n + j - (m - 1) // 2, size - 1))
+        return F.transform(rows, lambda i: F.flatten(F.transform(near, lambda j: F.get(frames, at(i, j)))))
+
+    return let(frames, stack)
 
 
 def position_encoding(position: Column, depth: int) -> Column:
@@ -116,8 +124,8 @@ def position_encoding(position: Column, depth: int) -> Column:
 
 def chunks(a: Column, limit: int) -> Column:
     """Parts of ``limit`` items; an empty array is one empty part."""
-    many = F.greatest(F.ceil(F.size(a) / limit).cast("int"), F.lit(1))
-    return F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.slice(a, i * limit + 1, limit))
+    last = lambda a: F.greatest(F.ceil(F.size(a) / limit).cast("int"), F.lit(1)) - 1
+    return let(a, lambda a: F.transform(F.sequence(F.lit(0), last(a)), lambda i: F.slice(a, i * limit + 1, limit)))
 
 
 def newest(a: Column, n: int) -> Column:

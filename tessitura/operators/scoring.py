@@ -13,9 +13,18 @@ def reference_key(numeric_id: Column, key: Column) -> Column:
     return F.when(numeric_id.isNotNull(), F.format_string("%03d", numeric_id)).otherwise(key)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over at least as many partitions as there are cores."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def score_pairs(refs: DataFrame, hyps: DataFrame, keys: list[str], letters: str = r"\p{L}\p{N}_") -> DataFrame:
-    """Inner join on the keys; edits and reference length of each pair. Unmatched rows of either side are left out."""
-    joined = hyps.select(*keys, F.col("hyp")).join(refs, keys)
+    """Inner join on the keys; edits and reference length of each pair. Unmatched rows of either side are left out.
+
+    The edit distance costs far more than moving its row, so few input partitions are spread over all cores first.
+    """
+    joined = spread(hyps.select(*keys, F.col("hyp"))).join(refs, keys)
     ref, hyp = normalize(F.col("ref"), letters), normalize(F.col("hyp"), letters)
     return joined.withColumn("edits", F.levenshtein(ref, hyp).cast("long")).withColumn("ref_chars", F.length(ref).cast("long"))
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,12 +34,14 @@ class OnlineFeatures:
 def stream_features(pushes: DataFrame, key: str, order: str, samples: str) -> DataFrame:
     """key, frame_idx, vec of each stream's pushes, in order; a stream is one group."""
 
-    def run(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
+    key_type = pa.int64() if dict(pushes.dtypes)[key] in ("int", "bigint") else pa.string()
+
+    def run(k: tuple, part: pa.Table) -> pa.Table:
         online, rows = OnlineFeatures(), []
-        part = part.sort_values("o", kind="stable")
-        for i, x in enumerate(part["s"]):
+        part = part.sort_by("o")
+        for i, x in enumerate(part.column("s").to_pylist()):
             rows += online.push(np.array([] if x is None else x, np.float32), i == len(part) - 1)
-        return pd.DataFrame({key: [k[0]] * len(rows), "frame_idx": range(len(rows)), "vec": pd.Series(rows, dtype=object)})
+        return pa.table({key: pa.array([k[0].as_py()] * len(rows), key_type), "frame_idx": pa.array(range(len(rows)), pa.int32()), "vec": pa.array(rows, pa.list_(pa.float32()))})
 
-    some = pushes.select(key, F.col(order).alias("o"), F.col(samples).alias("s"))
-    return some.groupBy(key).applyInPandas(run, f"`{key}` {dict(pushes.dtypes)[key]}, frame_idx int, vec array<float>")
+    some = pushes.select(F.col(key).cast("bigint" if key_type == pa.int64() else "string").alias(key), F.col(order).alias("o"), F.col(samples).alias("s"))
+    return some.groupBy(key).applyInArrow(run, f"`{key}` {'bigint' if key_type == pa.int64() else 'string'}, frame_idx int, vec array<float>")
