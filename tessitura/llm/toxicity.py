@@ -1,7 +1,7 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
 Voters: a fixed lexicon of insults, word stems mined from the learnable labelled rows, and pattern voters (several
-insults, insults dense in the text, shouting, no insult at all). Each votes toxic, clean or abstains. The label model
+insults, insults dense in the text, shouting, a single insult, none). Each votes toxic, clean or abstains. The label model
 has for each voter its chances of voting given either class (its accuracy), and for each pair of voters their
 correlation within the classes; expectation-maximisation over a sample's votes estimates all of them, a voter's
 evidence being divided by how much of it other voters repeat. A logistic regression on the votes and the insults'
@@ -15,6 +15,7 @@ with the larger label; repeated rows are scored each; extra columns are ignored;
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from functools import cached_property
@@ -41,7 +42,9 @@ MOST_STEMS = 300
 SPARSE = 0.5
 WORD = regex.compile(r"\p{L}+")
 #: Pattern voters follow the lexicon's in a vote vector.
-PATTERNS = ("several", "dense", "shouted", "none")
+PATTERNS = ("several", "dense", "shouted", "single", "none")
+#: A mined stem is in this share of the toxic documents at least, and this many times as frequent there as in clean ones.
+SUPPORT, RATIO = 0.01, 52
 
 
 def stems_of(text: str | None) -> set[str]:
@@ -53,8 +56,25 @@ def stems_of(text: str | None) -> set[str]:
     return found
 
 
+def copy_key(text: str | None) -> int:
+    """The least hash of the text's word 5-shingles: near copies mostly share it."""
+    words = (text or "").split()
+    return min((zlib.crc32(" ".join(words[i : i + 5]).encode()) for i in range(max(1, len(words) - 4))), default=0)
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """Labelled rows without most copies, which would lend their rare words the weight of many documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            yield part.append_column("key", pa.array([copy_key(t) for t in part.column("text").to_pylist()], pa.int64()))
+
+    keyed = rows.select("label", "text").mapInArrow(run, "label int, text string, key long")
+    return keyed.groupBy("label", "key").agg(F.min("text").alias("text")).select("label", "text")
+
+
 def mine(rows: DataFrame, most: int = MOST_STEMS) -> list[str]:
-    """Stems and words that labelled toxic rows hold far more often than clean ones (a ratio of 20, by whole documents)."""
+    """Stems and words that labelled toxic rows hold far more often than clean ones (``SUPPORT`` and ``RATIO``, by whole documents)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
@@ -66,13 +86,14 @@ def mine(rows: DataFrame, most: int = MOST_STEMS) -> list[str]:
             own = names[k : k + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.string()), pa.array([toxic[x] for x in own], pa.int64()), pa.array([clean[x] for x in own], pa.int64())], names=["stem", "toxic", "clean"])
 
+    rows = one_of_each(rows)
     total = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_toxic, n_clean = total.get(1, 0), total.get(0, 0)
     if not n_toxic or not n_clean:
         return []
     counts = rows.select("label", "text").mapInArrow(run, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    least = max(4, 0.008 * n_toxic)
-    strong = counts.where((F.col("toxic") >= least) & ((F.col("clean") + 0.5) * n_toxic * 20 <= F.col("toxic") * n_clean))
+    least = max(4, SUPPORT * n_toxic)
+    strong = counts.where((F.col("toxic") >= least) & ((F.col("clean") + 0.5) * n_toxic * RATIO <= F.col("toxic") * n_clean))
     found = [(r["stem"], r["toxic"]) for r in strong.orderBy(F.desc("toxic"), F.length("stem"), "stem").limit(10 * most).collect()]
     times, chosen = dict(found), []
     for stem, n in found:
@@ -83,10 +104,15 @@ def mine(rows: DataFrame, most: int = MOST_STEMS) -> list[str]:
 
 
 class Voters:
-    """The vote and feature vectors of texts, for a given list of stems."""
+    """The vote and feature vectors of texts, for a given list of stems.
+
+    A mined stem may be an ordinary word that few documents hold; it votes where another insult stands beside it. The
+    fixed lexicon always votes.
+    """
 
     def __init__(self, stems: list[str]):
         self.names = sorted(set(stems) | set(LEXICON.split()))
+        self.fixed = [name in LEXICON.split() for name in self.names]
 
     @cached_property
     def automaton(self):
@@ -98,7 +124,7 @@ class Voters:
         return made
 
     def __getstate__(self) -> dict:
-        return {"names": self.names}
+        return {"names": self.names, "fixed": self.fixed}
 
     def counts(self, text: str | None) -> tuple[Counter, int, float]:
         """Occurrences by voter, distinct places hit, share of upper-case letters."""
@@ -121,9 +147,13 @@ class Voters:
         more = np.zeros((len(texts), 3))
         for i, text in enumerate(texts):
             found, places, shouting = self.counts(text)
+            alone = places == 1 and not any(self.fixed[k] for k in found)
+            if alone:  # not enough to go by: only the voter of single insults speaks
+                votes[i, m:] = (0, 0, 0, -1, 0)
+                continue
             votes[i, list(found)] = 1
             dense = places / (1 + len(text or "") / 1000)
-            votes[i, m:] = (places >= 2, dense >= 0.5, places > 0 and shouting > 0.3, -(places == 0))
+            votes[i, m:] = (places >= 2, dense >= 0.5, places > 0 and shouting > 0.3, -(places == 1), -(places == 0))
             more[i] = np.log1p(places), np.log1p(dense), places > 0
         return votes, np.concatenate([votes.astype(float), more], axis=1)
 
@@ -141,7 +171,7 @@ class LabelModel:
         for _ in range(rounds):
             weights = [post, 1 - post]
             # chances[class][vote][voter], smoothed
-            self.chances = [np.stack([(w @ k + 0.2 * s) / (w.sum() + 0.4) for k, s in zip(kinds, (0.2, 0.2, 1.6), strict=True)]) for w in weights]
+            self.chances = [np.stack([(w @ k + s) / (w.sum() + 2) for k, s in zip(kinds, (0.5, 0.5, 1.0), strict=True)]) for w in weights]
             self.correlations = self._correlations(votes.astype(float), weights)
             self.share = 1 / (1 + np.abs(self.correlations).sum(axis=1) - 1)
             new = self.posterior(votes)
@@ -166,7 +196,7 @@ class LabelModel:
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         ratio = np.log(self.chances[0]) - np.log(self.chances[1])
-        each = np.where(votes == 1, ratio[0], np.where(votes == -1, ratio[1], np.minimum(ratio[2], 0)))
+        each = np.where(votes == 1, ratio[0], np.where(votes == -1, ratio[1], 0))  # who abstains says nothing
         return 1 / (1 + np.exp(-np.clip(each @ self.share + np.log(self.balance / (1 - self.balance)), -30, 30)))
 
 
