@@ -181,9 +181,22 @@ def rich_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rich(spark, sf_dir).select("conv_id", "turn", T.render_rich(F.col("rich")).alias("rendered"))
 
 
-@query()
+def _sql_merged() -> str:
+    """Parts between language tags as rows, rendered, then folded in order."""
+    split = _sql_replaced("replace(x, '<|nospeech|><|Event_UNK|>', '❓')", [(t, "<|lang|>") for t in T.LANGUAGES])
+    parts = f"select conv_id, turn, unnest(p) as x, generate_subscripts(p, 1) as i from (select conv_id, turn, string_split({split}, '<|lang|>') as p from (select conv_id, turn, {_RICH} as x from conversations where text is not null))"
+    event = lambda s: f"case when length({s}) > 0 and contains('{T.EVENT_SIGNS}', left({s}, 1)) then left({s}, 1) end"
+    emotion = lambda s: f"case when length({s}) > 0 and contains('{T.EMOTION_SIGNS}', right({s}, 1)) then right({s}, 1) end"
+    cut = f"case when ({event('b.t')}) = a.e then substr(b.t, 2) else b.t end"
+    kept = f"case when ({emotion(f'({cut})')}) = ({emotion('a.t')}) then substr(a.t, 1, length(a.t) - 1) else a.t end"
+    fold = f"list_reduce(l, lambda a, b: case when b.t = '' then a else struct_pack(t := ({kept}) || trim({cut}, ' '), e := {event(f'({cut})')}) end)"
+    listed = f"select conv_id, turn, list(struct_pack(t := case when i = 1 then ' ' || rendered else rendered end, e := cast(null as varchar)) order by i) as l from ({_sql_rich(parts)}) group by conv_id, turn"
+    return f"select conv_id, turn, trim(replace(({fold}).t, 'The.', ' '), ' ') as rendered from ({listed})"
+
+
+@query(_sql_merged())
 def rich_text_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts between language tags, each rendered, emoji merged at the seams. Its fold is tested against a plain version."""
+    """Parts between language tags, each rendered, emoji merged at the seams."""
     return _rich(spark, sf_dir).select("conv_id", "turn", T.merge_rendered(F.transform(T.split_languages(F.col("rich")), T.render_rich)).alias("rendered"))
 
 
