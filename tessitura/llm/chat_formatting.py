@@ -154,5 +154,34 @@ def conversations(formatted: DataFrame) -> DataFrame:
     return formatted.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("reply_order", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("text"))).alias("messages"))
 
 
+_NORM = r"trim(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' ')"
+ORACLE_OP8 = rf"""
+with recursive m as (select conv_id, turn, role, text from conversations where conv_id is not null and turn is not null
+  qualify row_number() over (partition by conv_id, turn order by text nulls first, role nulls first) = 1),
+l as (select conv_id, turn, unnest(s) as line, generate_subscripts(s, 1) as i
+  from (select conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), chr(10)) as s from m)),
+k as (select conv_id, turn, i, length(regexp_replace(regexp_extract(line, '^(?:[ \t]*>)*'), '[^>]', '', 'g')) as level,
+  regexp_replace(line, '^(?:[ \t]*>)+[ \t]?', '') as t from l),
+n as (select *, case when level is distinct from lag(level) over (partition by conv_id, turn order by i) then 1 else 0 end as turned from k),
+r as (select *, sum(turned) over (partition by conv_id, turn order by i) as run from n),
+p as (select conv_id, turn, run, min(level) as level, string_agg(t, chr(10) order by i) as t from r group by conv_id, turn, run),
+own as (select conv_id, turn, trim(regexp_replace(coalesce(string_agg(t, chr(10) order by run) filter (where level = 0), ''), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9)) as text
+  from p group by conv_id, turn),
+said as (select distinct conv_id, turn, h from (select conv_id, turn, {_NORM.format("text")} as h from own union all select conv_id, turn, {_NORM.format("t")} from p where level = 0
+  union all select conv_id, turn, {_NORM.format("t")} from k where level = 0) where h <> ''),
+q as (select conv_id, turn, level, run, {_NORM.format("t")} as h from p where level > 0),
+s as (select q.conv_id, q.turn, q.level, q.run, max(said.turn) as source
+  from q left join said on said.conv_id = q.conv_id and said.h = q.h and said.turn < q.turn group by q.conv_id, q.turn, q.level, q.run),
+g as (select conv_id, turn, arg_min(source, level * 1000000 + run) filter (where source is not null) as quoted, count(*) as n_quotes, count(source) as n_linked from s group by conv_id, turn),
+t as (select m.conv_id, m.turn, m.role, coalesce(quoted, lag(m.turn) over (partition by m.conv_id order by m.turn)) as parent_turn, quoted is not null as linked,
+  coalesce(n_quotes, 0) as n_quotes, coalesce(n_linked, 0) as n_linked from m left join g on g.conv_id = m.conv_id and g.turn = m.turn),
+w(conv_id, turn, depth, path) as (select conv_id, turn, cast(0 as bigint), [turn] from t where parent_turn is null
+  union all select t.conv_id, t.turn, w.depth + 1, list_append(w.path, t.turn) from t join w on w.conv_id = t.conv_id and w.turn = t.parent_turn)
+select t.conv_id, t.turn, t.role, own.text, t.parent_turn, t.linked, t.n_quotes, t.n_linked, w.depth,
+  row_number() over (partition by t.conv_id order by w.path) as reply_order
+from t join own on own.conv_id = t.conv_id and own.turn = t.turn join w on w.conv_id = t.conv_id and w.turn = t.turn
+"""
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .ann import op2_additive_quantisation
-from .chat_formatting import op8_chat_formatting
+from .chat_formatting import ORACLE_OP8, op8_chat_formatting
 from .decontamination import ORACLE_OP4, op4_decontamination
 from .html_extraction import op3_html_extraction
 from .jaccard_join import ORACLE_OP1, op1_ngram_jaccard
@@ -26,4 +26,4 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL = {"op1_ngram_jaccard": ORACLE_OP1, "op4_decontamination": ORACLE_OP4, "op5_warc": ORACLE_OP5}
+ORACLE_SQL = {"op1_ngram_jaccard": ORACLE_OP1, "op4_decontamination": ORACLE_OP4, "op5_warc": ORACLE_OP5, "op8_chat_formatting": ORACLE_OP8}

@@ -365,6 +365,13 @@ def test_chat_links_and_order(spark):
         tree = {t: r.parent_turn for (c, t), r in got.items() if c == conv}
         walked = plain_order(tree)
         assert [(t, got[conv, t].depth) for t in sorted(tree, key=lambda t: got[conv, t].reply_order)] == walked
+    import duckdb
+
+    c = duckdb.connect()
+    c.register("given", df.toPandas())
+    c.execute("create table conversations as select cast(conv_id as bigint) as conv_id, cast(turn as bigint) as turn, role, text from given")
+    want = c.execute(chat_formatting.ORACLE_OP8).fetchall()
+    assert {tuple(map(str, w)) for w in want} == {tuple(map(str, g)) for g in got.values()}
     assert chat_formatting.format_chats(df.limit(0)).count() == 0
     assert chat_formatting.conversations(chat_formatting.format_chats(df)).where("conv_id = 2").first().messages[1].text == "c"
 
