@@ -5,9 +5,11 @@ Intervals are (start_ms, end_ms) with -1 for an edge that isn't known; times are
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import ordered
+
 OPEN = -1.0
 
 
@@ -22,33 +24,31 @@ def interval_events(intervals: Column) -> Column:
     return F.filter(F.flatten(F.transform(well_formed(intervals), pair)), lambda e: e["time_ms"] != OPEN)
 
 
-def alternate(events: DataFrame, key: str, order: list[str], kind: str = "kind") -> DataFrame:
+def alternate(events: DataFrame, key: str, order: str, kind: str = "kind") -> DataFrame:
     """Starts while open and ends while closed are dropped: of each run of a kind its first event stays, no leading end."""
-    own = Window.partitionBy(key).orderBy(*order)
-    before = F.lag(kind).over(own)
-    return events.withColumn("_before", before).where((F.col(kind) != F.col("_before")) | (F.col("_before").isNull() & (F.col(kind) == "start"))).drop("_before")
+    found = ordered.previous(events, key, order, kind, "_before")
+    return found.where((F.col(kind) != F.col("_before.value")) | (F.col("_before").isNull() & (F.col(kind) == "start"))).drop("_before")
 
 
-def pair_segments(events: DataFrame, key: str, order: list[str], time: str, end_of: DataFrame | None = None) -> DataFrame:
+def pair_segments(events: DataFrame, key: str, order: str, time: str, end_of: DataFrame | None = None) -> DataFrame:
     """Alternating events as segments; one that is still open ends at ``end_of``'s stream_ms, if that is given."""
-    own = Window.partitionBy(key).orderBy(*order)
-    paired = events.withColumn("end_ms", F.lead(time).over(own)).where(F.col("kind") == "start").withColumnRenamed(time, "start_ms")
+    back = ordered.previous(events.withColumn("_back", -F.col(order)), key, "_back", time, "_after")
+    paired = back.where(F.col("kind") == "start").withColumn("end_ms", F.col("_after.value")).withColumnRenamed(time, "start_ms")
     if end_of is not None:
         paired = paired.join(end_of, key, "left").withColumn("end_ms", F.coalesce("end_ms", "stream_ms")).drop("stream_ms")
     return paired.select(key, "start_ms", "end_ms")
 
 
-def keep_apart(segments: DataFrame, key: str, total: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Starts moved past all earlier ends, ends cut to the stream, empty segments dropped."""
-    before = F.max(end).over(Window.partitionBy(key).orderBy(start, end).rowsBetween(Window.unboundedPreceding, -1))
-    moved = segments.withColumn(start, F.greatest(F.lit(0), F.coalesce(F.greatest(F.col(start), before), F.col(start)))).withColumn(end, F.least(F.col(end), F.col(total)))
+def keep_apart(segments: DataFrame, key: str, order: str, total: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Starts moved past all earlier ends, ends cut to the stream, empty segments dropped. ``order`` follows the starts."""
+    found = ordered.running_max(segments, key, order, end, "_before")
+    moved = found.withColumn(start, F.greatest(F.lit(0), F.col(start), F.col("_before"))).withColumn(end, F.least(F.col(end), F.col(total))).drop("_before")
     return moved.where(F.col(end) > F.col(start))
 
 
-def carry_forward(frames: DataFrame, key: str, order: str, setting: str, default: str) -> Column:
+def carry_forward(frames: DataFrame, key: str, order: str, setting: str, default: str, name: str) -> DataFrame:
     """The last setting given before or at a frame."""
-    own = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.last(setting, ignorenulls=True).over(own), F.lit(default))
+    return ordered.latest(frames, key, order, setting, "_given").withColumn(name, F.coalesce("_given", F.lit(default))).drop("_given")
 
 
 def rebase(ms: Column, segment_start: Column, rate: int = 16_000) -> Column:

@@ -8,19 +8,26 @@ from pyspark.sql import functions as F
 from tessitura.functions.arrays import frame_end_s, frame_start_s
 from tessitura.functions.text import is_english
 
+from . import ordered
+
+
+def _with_runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
+    """``rows`` with the number of the run of equal values that each is in, from 1."""
+    before = ordered.previous(rows, key, order, value, "_before")
+    turned = before.withColumn("_new", (F.col("_before").isNull() | ~F.col(value).eqNullSafe(F.col("_before.value"))).cast("long"))
+    return ordered.running_sum(turned, key, order, "_new", "run").drop("_before", "_new")
+
 
 def runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Gaps and islands: a row per run of equal values, with its first and last order."""
-    own = Window.partitionBy(key).orderBy(order)
-    turned = rows.withColumn("_new", (~F.col(value).eqNullSafe(F.lag(value).over(own)) | (F.row_number().over(own) == 1)).cast("long"))
-    numbered = turned.withColumn("run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(key, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min(value).alias("value"), F.count(F.lit(1)).alias("length"))
+    found = _with_runs(rows, key, order, value)
+    return found.groupBy(key, "run").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.min(value).alias("value"), F.count(F.lit(1)).alias("length"))
 
 
 def run_timestamps(rows: DataFrame, key: str, order: str, value: str, blank: int = 0) -> DataFrame:
     """Seconds of every run that isn't blank; each key's frames are counted for itself. ``order`` counts from 0."""
     found = runs(rows, key, order, value)
-    sized = found.withColumn("frames", F.sum("length").over(Window.partitionBy(key)))
+    sized = found.join(found.groupBy(key).agg(F.sum("length").alias("frames")), key)
     return sized.where(F.col("value") != blank).select(
         key, "run", "value", F.round(frame_start_s(F.col("first")), 3).alias("start_s"), F.round(frame_end_s(F.col("last") + 1, F.col("frames")), 3).alias("end_s")
     )
@@ -43,7 +50,7 @@ def sliding_sum(key: str, order: str, value: Column, rows: int) -> Column:
 
 def numbered(rows: DataFrame, key: str, order: str, name: str = "frame") -> DataFrame:
     """Number each key's rows from 0."""
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(key).orderBy(order)) - 1)
+    return ordered.number(rows, key, order, name)
 
 
 def batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:
@@ -69,9 +76,6 @@ def pieces_to_text(rows: DataFrame, vocabulary: DataFrame, key: str, order: str,
 
 def language_runs(rows: DataFrame, key: str, order: str, token: str) -> DataFrame:
     """Runs of English and of other tokens, as arrays: what a segmenter of either language gets at once."""
-    own = Window.partitionBy(key).orderBy(order)
-    marked = rows.withColumn("english", is_english(F.col(token)))
-    turned = marked.withColumn("_new", F.coalesce((F.col("english") != F.lag("english").over(own)).cast("long"), F.lit(1).cast("long")))
-    numbered_rows = turned.withColumn("run", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered_rows = _with_runs(rows.withColumn("english", is_english(F.col(token))), key, order, "english")
     gathered = numbered_rows.groupBy(key, "run", "english").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(token).alias("t")))).alias("own"))
     return gathered.select(key, "run", "english", F.transform("own", lambda x: x["t"]).alias("tokens"))

@@ -144,7 +144,7 @@ TAPS, BEFORE = [0.1, 0.2, -0.3, 0.25, 0.05], 2
 
 @query(
     f"""with f as (select key, frame, vec[1] as x from ({_FRAMES})) select key, frame, round(x + {' + '.join(f'coalesce(lag(x, {BEFORE - k}) over w, 0) * {t}' if BEFORE >= k else f'coalesce(lead(x, {k - BEFORE}) over w, 0) * {t}' for k, t in enumerate(TAPS))}, 6) as y,
-round(sum(case when x > 0 then 1 else 0 end) over (partition by key order by frame rows between 19 preceding and current row), 0) as speech from f window w as (partition by key order by frame)"""
+cast(sum(case when x > 0 then 1 else 0 end) over (partition by key order by frame rows between 19 preceding and current row) as double) as speech from f window w as (partition by key order by frame)"""
 )
 def memory_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _frames(spark, sf_dir).withColumn("x", F.get("vec", F.lit(0)))

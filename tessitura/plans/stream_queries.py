@@ -39,14 +39,14 @@ _GATED = f"with e as (select * from ({_EVENTS}) where kind is not null), g as (s
 @query(_GATED + " select key, event_id, seq, kind, time_ms from a")
 def gate_alternation(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).where("kind is not null")
-    return S.alternate(e, "key", ["seq"]).select("key", "event_id", F.col("seq").cast("long").alias("seq"), "kind", "time_ms")
+    return S.alternate(e, "key", "seq").select("key", "event_id", F.col("seq").cast("long").alias("seq"), "kind", "time_ms")
 
 
 @query(_GATED + f", t as (select key, max(time_ms) as m from ({_EVENTS}) group by key), s as (select key, kind, time_ms, lead(time_ms) over (partition by key order by seq) as n from a) select s.key, time_ms as start_ms, coalesce(n, m) as end_ms from s join t on s.key = t.key where kind = 'start'")
 def gate_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     ends = e.groupBy("key").agg(F.max("time_ms").alias("stream_ms"))
-    return S.pair_segments(S.alternate(e.where("kind is not null"), "key", ["seq"]), "key", ["seq"], "time_ms", ends)
+    return S.pair_segments(S.alternate(e.where("kind is not null"), "key", "seq"), "key", "seq", "time_ms", ends)
 
 
 _PAIRS = "case event_id % 5 when 0 then array({a}, -1.0D) when 1 then array(-1.0D, {b}) when 2 then array({a}, {b}) when 3 then array(-1.0D, -1.0D) else array({a}) end"
@@ -62,7 +62,7 @@ def interval_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("with e as (select user_id as key, event_id, ts, case when event_type = 'signup' then 'fmt' || (event_id % 3) end as setting from events) select key, event_id, coalesce(last_value(setting ignore nulls) over (partition by key order by ts, event_id rows between unbounded preceding and current row), 'float32') as format from e")
 def format_carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir).withColumn("setting", F.when(F.col("event_type") == "signup", F.concat(F.lit("fmt"), (F.col("event_id") % 3).cast("string"))))
-    return e.select("key", "event_id", S.carry_forward(e, "key", "seq", "setting", "float32").alias("format"))
+    return S.carry_forward(e, "key", "seq", "setting", "float32", "format").select("key", "event_id", "format")
 
 
 @query("select event_id, cast(greatest(0, least(round_even(value * 16000 / 1000.0, 0), 100000)) as bigint) as rounded, cast(floor(value * 16000 / 1000) as bigint) as cut, round((event_id % 1000) * 1000.0 / 16000 + value, 6) as stream_ms from events where value is not null")
@@ -82,7 +82,9 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with s as ({_SEGMENTS}), m as (select key, event_id, greatest(0, start, coalesce(max(\"end\") over (partition by key order by start, \"end\", event_id rows between unbounded preceding and 1 preceding), 0)) as start, least(\"end\", 9100) as \"end\" from s) select key, event_id, start as start_at, \"end\" as end_at from m where \"end\" - start >= 4")
 def segments_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _segments(spark, sf_dir).withColumn("total", F.lit(9100).cast("long"))
-    kept = S.at_least(S.keep_apart(s, "key", "total"), 4)
+    # starts, then ends, then ids: one order
+    s = s.withColumn("at", F.col("start") * 10**10 + F.col("end") * 10**6 + F.col("event_id") % 10**6)
+    kept = S.at_least(S.keep_apart(s, "key", "at", "total"), 4)
     return kept.select("key", "event_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 

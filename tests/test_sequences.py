@@ -181,3 +181,22 @@ def test_lookups(spark):
         df.select(lookups.choose_text_norm(F.lit("x"), F.col("u"), ids)).collect()
     lookups.register(spark)
     assert spark.sql("select json_command('{\"type\": \"EOF\"}')").first()[0] == "eof"
+
+
+@pytest.mark.parametrize("width", [3, 50, 65_536])
+def test_ranges_give_what_whole_windows_give(spark, monkeypatch, width):
+    from pyspark.sql import Window
+
+    from tessitura.operators import ordered
+
+    monkeypatch.setattr(ordered, "RANGE", width)
+    rng = np.random.default_rng(width)
+    rows = [(int(k), int(o), None if rng.random() < 0.3 else int(rng.integers(5))) for k, o in {(int(a), int(b)) for a, b in zip(rng.integers(0, 3, 200), rng.integers(-100, 200, 200), strict=True)}]
+    df = spark.createDataFrame(rows, "k int, o int, v int")
+    w = Window.partitionBy("k").orderBy("o")
+    up, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    want = df.select("k", "o", F.row_number().over(w) - 1, F.coalesce(F.sum("v").over(up), F.lit(0)), F.max("v").over(before), F.lag(F.struct("v")).over(w)["v"], F.last("v", True).over(up))
+    got = ordered.number(df, "k", "o", "n")
+    for f, name in ((ordered.running_sum, "s"), (ordered.running_max, "m"), (ordered.previous, "p"), (ordered.latest, "l")):
+        got = f(got, "k", "o", "v", name)
+    assert sorted(map(tuple, got.select("k", "o", "n", "s", "m", "p.value", "l").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
