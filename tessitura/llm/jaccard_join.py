@@ -41,8 +41,8 @@ SHINGLE = 5
 #: J >= 80/100, as 9 * intersection >= 4 * (size + size).
 PERCENT = 80
 #: N-grams of one fragment: in the first step (4 bytes each), and later (8 bytes each).
-FRAGMENT, LATER_FRAGMENT = 6_000_000, 3_000_000
-LEAST_FRAGMENTS = 12
+FRAGMENT, LATER_FRAGMENT = 4_000_000, 2_000_000
+LEAST_FRAGMENTS = 24
 #: Members of equal segments on which the others are hung; only the order of work depends on it.
 HUBS = 4
 #: Finer fragments of the overlap bound.
@@ -290,17 +290,22 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
             row, fragment, ends = _segments(flat, sizes, fragments)
             many = len(sizes)
             ids = part.column("doc_id")
-            grams = pa.concat_arrays([_binary(flat.astype(np.uint32), ends), pa.array([b""] * many, pa.binary())])
-            linked = np.concatenate((np.ones(len(row), bool), np.ones(many, bool)))
-            everyone = np.concatenate((row, np.arange(many)))
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate((fragment, keys % fragments)).astype(np.int32)), ids.take(pa.array(everyone)), pa.array(keys[everyone]), pa.array(sizes[everyone]), grams, pa.array(np.arange(len(everyone)) >= len(row))],
+            # segments of every row with an id; then a row per document, in the fragment that its set's hash names
+            named = ids.is_valid().to_numpy(zero_copy_only=False)[row]
+            grams = pa.concat_arrays([_binary(flat.astype(np.uint32), ends).filter(pa.array(named)), pa.array([b""] * many, pa.binary())])
+            own = np.concatenate((row[named], np.arange(many)))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate((fragment[named], keys % fragments)).astype(np.int32)),
+                    pa.concat_arrays([pa.nulls(int(named.sum()), pa.int64()), ids]),
+                    pa.array(keys[own]),
+                    pa.array(sizes[own]),
+                    grams,
+                    pa.array(np.arange(len(own)) >= named.sum()),
+                ],
                 names=["fragment", "doc_id", "k", "n", "grams", "home"],
             )
-            # rows without an id are reported, and in no class
-            yield out.filter(pa.array(linked & (out.column("home").to_numpy(zero_copy_only=False) | ids.take(pa.array(everyone)).is_valid().to_numpy(zero_copy_only=False))))
 
-    # equal segments of copies are dealt with their document's home fragment only where they differ by class
     first = materialise(base.mapInArrow(cut, "fragment int, doc_id long, k long, n long, grams binary, home boolean").groupBy("fragment").applyInArrow(_count_shared, FIRST), "shared")
     meta = first.where(F.col("kind") == META).select("doc_id", "k", "n")
     classes = meta.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
