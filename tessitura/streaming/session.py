@@ -57,6 +57,18 @@ def frames_text(first: int, end: int) -> str:
     return f"[{first},{end})"
 
 
+def with_fallback(decode: Callable[[int, int], str], other: Callable[[int, int], str]) -> Callable[[int, int], str]:
+    """A decoder that answers with ``other`` where ``decode`` fails, so that a segment still gets its result."""
+
+    def run(first: int, end: int) -> str:
+        try:
+            return decode(first, end)
+        except (RuntimeError, ValueError, ArithmeticError):
+            return other(first, end)
+
+    return run
+
+
 def _feed(s: State, upto: int, last: bool, limits: Limits, decode: Callable[[int, int], str], seq: int, out: list) -> None:
     upto = max(upto, s.fed)
     first, s.fed = s.fed, upto

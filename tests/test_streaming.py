@@ -7,7 +7,7 @@ import pytest
 
 from tessitura.sources import manifests
 from tessitura.streaming import jobs
-from tessitura.streaming.session import Limits, State, step
+from tessitura.streaming.session import Limits, State, frames_text, step, with_fallback
 
 SHORT = Limits(segment_ms=1000.0)
 
@@ -105,6 +105,14 @@ def test_reset_and_eof():
     assert events([(480, [[100, -1]]), (0, [], False, "eof"), (480, [[900, -1]])]) == [["start@100"], ["end@480"], ["start@900"]]
 
 
+def test_a_failing_decoder_falls_back():
+    def broken(first, end):
+        raise RuntimeError("too long")
+
+    _, rows = step(State(), 0, 1920, [[0, 100]], False, None, WINDOWS, with_fallback(broken, frames_text))
+    assert [r[7] for r in rows if r[1] == "final"] == ["[0,1)"]
+
+
 def test_limits_are_checked():
     with pytest.raises(ValueError):
         Limits(chunk_size=0)
