@@ -5,14 +5,15 @@ range by rising frequency) is cut into fragments; a fragment's task sees each se
 partial overlaps there, and the partial counts are summed per pair. Fragments are hash ranges, so none grows with one
 frequent n-gram, and their number grows with the input, so each holds a bounded number of n-grams.
 
-1. Documents with equal sets are one class. All segments (32 bits an n-gram) meet in their fragments, which count for
-   each class how many of its n-grams another class has too. A link needs 4/5 of a set to be shared, so classes below
-   that are settled. Classes with equal segments are also hung on the least few of their kind (star pairs).
+1. Documents with equal sets are one class. The segments (32 bits an n-gram) of the order's first part, ``PART`` of it,
+   meet in their fragments, which count for each class how many of its n-grams there another class has too. A link
+   needs 4/5 of a set to be shared, so a class that shares too few of the first part alone is settled, and its other
+   n-grams are never sent. Classes with equal segments are also hung on the least few of their kind (star pairs).
 2. The remaining classes' segments (64 bits) give the star pairs' exact partial overlaps; sums over fragments decide
    the links, and their components are found.
 3. Fragments then look for every other pair that could link two components: a pair with J >= t has a fragment where
    its segments' own J is >= t, so both share an n-gram among their segments' rarest (prefix filter by local
-   frequency). A pair is passed on if its sizes agree and the bound from 128 finer fragments (in each, the overlap is
+   frequency). A pair is passed on if its sizes agree and the bound from 256 finer fragments (in each, the overlap is
    at most the smaller count) reaches the threshold. Copies that already hang together are never paired again.
 4. Those pairs' partial overlaps are counted and summed as in step 2; all links together give the components.
 
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, text_slices
@@ -42,11 +43,16 @@ SHINGLE = 5
 PERCENT = 80
 #: N-grams of one fragment: in the first step (4 bytes each), and later (8 bytes each).
 FRAGMENT, LATER_FRAGMENT = 4_000_000, 2_000_000
-LEAST_FRAGMENTS = 24
+LEAST_FRAGMENTS, LEAST_LATER = 24, 12
+#: Of the n-gram order, what step 1 looks at. A text without near copies has this share of its n-grams for itself, and is
+#: settled by it as long as it is well over a fifth.
+PART = 3 / 8
 #: Members of equal segments on which the others are hung; only the order of work depends on it.
 HUBS = 4
+#: Partners of a class that are tried before all others in step 3; only the order of work depends on it.
+LIKELIEST = 2
 #: Finer fragments of the overlap bound.
-BOUND = 128
+BOUND = 256
 #: Class ids (8 bytes) that are broadcast at most; beyond that the join is left to Spark.
 BROADCAST_IDS = 2_000_000
 
@@ -121,6 +127,7 @@ def _first_of_each(keys: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(keys, return_index=True)[1])
 
 
+#: ``other``: of META rows the n-grams that the first part has, of SHARED rows the shared ones, of STAR rows a class.
 FIRST = "kind int, doc_id long, k long, n long, other long"
 META, SHARED, STAR = 0, 1, 2
 
@@ -166,7 +173,7 @@ def _count_shared(table: pa.Table) -> pa.Table:
             "doc_id": pa.chunked_array([*meta.column("doc_id").chunks, none(s + p)], pa.int64()),
             "k": pa.chunked_array([*meta.column("k").chunks, pa.array(k[some]), pa.array(a)], pa.int64()),
             "n": pa.chunked_array([*meta.column("n").chunks, pa.array(n[some]), none(p)], pa.int64()),
-            "other": pa.chunked_array([none(m), pa.array(count[some].astype(np.int64)), pa.array(b)], pa.int64()),
+            "other": pa.chunked_array([*meta.column("part").chunks, pa.array(count[some].astype(np.int64)), pa.array(b)], pa.int64()),
         }
     )
 
@@ -211,8 +218,11 @@ def _positions(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == wanted, at, -1) if len(keys) else np.full(len(wanted), -1)
 
 
-def _candidates(table: pa.Table) -> pa.Table:
-    """A fragment of step 3: pairs of different components that this fragment's segments allow."""
+def _find_pairs(table: pa.Table, likeliest: int | None) -> pa.Table:
+    """A fragment of step 3: pairs of different components that this fragment's segments allow.
+
+    With ``likeliest``, of each class outside its places' main component only so many, by the bound.
+    """
     k = table.column("k").to_numpy()
     keep = _first_of_each(k)
     table, k = table.take(keep), k[keep]
@@ -259,13 +269,24 @@ def _candidates(table: pa.Table) -> pa.Table:
             least = np.minimum(bound[some], bound[x])
             most = least.sum(axis=1, dtype=np.int64)
             full = (least == 255).any(axis=1)  # a count that didn't fit its byte bounds nothing
-            some = some[full | (9 * most >= 4 * (n[some] + n[x]))]
+            fits = full | (9 * most >= 4 * (n[some] + n[x]))
+            some = some[fits]
+            if likeliest is not None and len(some) > likeliest:
+                some = some[np.argsort(-most[fits] / (n[some] + n[x]), kind="stable")[:likeliest]]
             out_a.append(np.maximum(k[some], k[x]))
             out_b.append(np.minimum(k[some], k[x]))
     pairs = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], axis=1), axis=0)
     return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _likeliest(table: pa.Table) -> pa.Table:
+    return _find_pairs(table, LIKELIEST)
+
+
+def _all_left(table: pa.Table) -> pa.Table:
+    return _find_pairs(table, None)
+
+
 def _links(segments: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs (a > b) whose summed partial overlaps reach the threshold; materialised."""
     asked = pairs.groupBy(F.col("a").alias("k")).agg(F.collect_list("b").alias("partners"))
@@ -282,16 +303,19 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     """A row per document row: doc_id, n_shingles, component_id (least doc_id that links reach)."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     words = base.agg(F.coalesce(F.sum(F.length(F.col("text"))), F.lit(0))).first()[0] // 6
-    fragments = int(max(LEAST_FRAGMENTS, -(-words // FRAGMENT)))
+    fragments = int(max(LEAST_FRAGMENTS, -(-words * PART // FRAGMENT)))
+    whole = round(fragments / PART)  # fragments of the whole order, of which the first are looked at
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", 4 << 20):
             flat, sizes, keys = shingle_sets(part.column("text"), width)
-            row, fragment, ends = _segments(flat, sizes, fragments)
+            row, fragment, ends = _segments(flat, sizes, whole)
             many = len(sizes)
             ids = part.column("doc_id")
             # segments of every row with an id; then a row per document, in the fragment that its set's hash names
-            named = ids.is_valid().to_numpy(zero_copy_only=False)[row]
+            named = ids.is_valid().to_numpy(zero_copy_only=False)[row] & (fragment < fragments)
+            early = fragment < fragments
+            part_sizes = np.bincount(row[early], weights=np.diff(ends, prepend=0)[early], minlength=many).astype(np.int64)
             grams = pa.concat_arrays([_binary(flat.astype(np.uint32), ends).filter(pa.array(named)), pa.array([b""] * many, pa.binary())])
             own = np.concatenate((row[named], np.arange(many)))
             yield pa.RecordBatch.from_arrays(
@@ -302,22 +326,24 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
                     pa.array(sizes[own]),
                     grams,
                     pa.array(np.arange(len(own)) >= named.sum()),
+                    pa.array(part_sizes[own]),
                 ],
-                names=["fragment", "doc_id", "k", "n", "grams", "home"],
+                names=["fragment", "doc_id", "k", "n", "grams", "home", "part"],
             )
 
-    first = materialise(base.mapInArrow(cut, "fragment int, doc_id long, k long, n long, grams binary, home boolean").groupBy("fragment").applyInArrow(_count_shared, FIRST), "shared")
-    meta = first.where(F.col("kind") == META).select("doc_id", "k", "n")
-    classes = meta.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    shared = first.where(F.col("kind") == SHARED).groupBy("k").agg(F.sum("other").alias("shared"), F.max("n").alias("n")).where("100 * shared >= 80 * n".replace("80", str(PERCENT)))
-    alive = materialise(classes.join(shared.select("k"), "k", "left_semi"), "alive")
+    first = materialise(base.mapInArrow(cut, "fragment int, doc_id long, k long, n long, grams binary, home boolean, part long").groupBy("fragment").applyInArrow(_count_shared, FIRST), "shared")
+    meta = first.where(F.col("kind") == META).select("doc_id", "k", "n", F.col("other").alias("part"))
+    classes = meta.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("part").alias("part"), F.count(F.lit(1)).alias("copies"))
+    shared = first.where(F.col("kind") == SHARED).groupBy("k").agg(F.sum("other").alias("shared"))
+    alone = F.col("part") - F.coalesce(F.col("shared"), F.lit(0))
+    alive = materialise(classes.join(shared, "k", "left").where(100 * alone <= (100 - PERCENT) * F.col("n")).select("k", "rep", "n"), "alive")
     n_alive, grams = alive.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    later = int(max(LEAST_FRAGMENTS, -(-grams // LATER_FRAGMENT)))
+    later = int(max(LEAST_LATER, -(-grams // LATER_FRAGMENT)))
 
     wanted = alive.select(F.col("rep").alias("doc_id"), "k")
 
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, "text"):
+        for part in text_slices(batches, "text", 4 << 20):
             flat, sizes, keys = shingle_sets(part.column("text"), width)
             fine = keys == part.column("k").to_numpy()  # else another text of this doc_id
             flat, sizes, keys = flat[np.repeat(fine, sizes)], sizes[fine], keys[fine]
@@ -331,15 +357,18 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     segments = materialise(chosen.mapInArrow(recut, "fragment int, k long, n long, grams binary, bound binary"), "segments")
     sizes = alive.select("k", "n")
 
-    star = first.where(F.col("kind") == STAR).select(F.col("k").alias("a"), F.col("other").alias("b")).distinct()
+    # the hubs that most of its segments name are a class's likeliest links; whatever else links it is found in step 3
+    named = first.where(F.col("kind") == STAR).groupBy(F.col("k").alias("a"), F.col("other").alias("b")).agg(F.count(F.lit(1)).alias("times"))
+    star = named.withColumn("place", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("times"), "b"))).where(F.col("place") <= HUBS).select("a", "b")
     star = star.join(sizes.select(F.col("k").alias("a")), "a", "left_semi").join(sizes.select(F.col("k").alias("b")), "b", "left_semi")
-    hung = _links(segments, star.select("a", "b"), sizes)
-    early = materialise(connected_components(hung), "early")
-
-    placed = segments.join(early.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
-    pairs = materialise(placed.groupBy("fragment").applyInArrow(_candidates, "a long, b long").distinct(), "pairs")
-    found = _links(segments, pairs, sizes)
-    final = connected_components(hung.unionByName(found))
+    links = _links(segments, star.select("a", "b"), sizes)
+    for ask in (_likeliest, _all_left):  # the likeliest pairs first, which spare most of the others; then all that are left
+        known = materialise(connected_components(links), "known")
+        placed = segments.join(known.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+        pairs = materialise(placed.groupBy("fragment").applyInArrow(ask, "a long, b long").distinct(), "pairs")
+        links = links.unionByName(_links(segments, pairs, sizes))
+        discard(known, pairs)
+    final = connected_components(links)
     named = classes.select("k", "rep").join(final.withColumnRenamed("node", "k"), "k")
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     placed_classes = named.join(least, "component").select("k", "component_id")
@@ -347,7 +376,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     copies = classes.where("copies > 1").select("k", "rep")
     table = materialise(copies.join(placed_classes, "k", "full").select("k", F.coalesce("component_id", "rep").alias("component_id")), "classes")
     out = meta.join(table, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    discard(segments, pairs, early, alive)
+    discard(segments, alive)
     return out
 
 
