@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, text_slices
+from .common import arrow_batches, discard, materialise, text_slices
 from .components import connected_components
 
 SHINGLE = 5
@@ -51,6 +51,8 @@ PART = 3 / 8
 HUBS = 4
 #: Partners of a class that are tried before all others in step 3; only the order of work depends on it.
 LIKELIEST = 2
+#: Rows of an Arrow batch.
+BATCH = 1000
 #: Finer fragments of the overlap bound.
 BOUND = 256
 #: Class ids (8 bytes) that are broadcast at most; beyond that the join is left to Spark.
@@ -301,6 +303,11 @@ def _links(segments: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """A row per document row: doc_id, n_shingles, component_id (least doc_id that links reach)."""
+    with arrow_batches(docs.sparkSession, BATCH):
+        return _components(docs, doc_id, text, width)
+
+
+def _components(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     words = base.agg(F.coalesce(F.sum(F.length(F.col("text"))), F.lit(0))).first()[0] // 6
     fragments = int(max(LEAST_FRAGMENTS, -(-words * PART // FRAGMENT)))
