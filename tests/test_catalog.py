@@ -32,3 +32,10 @@ def test_against_sql(spark, duck, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
 def test_without_sql_gives_rows(spark, name):
     assert catalog.QUERIES[name](spark, SF).count() > 0
+
+
+def test_driver_contract(spark):
+    import __spark_entry__ as e
+
+    assert set(e.oracle_sql()) <= set(e.queries()) and set(catalog.QUERIES) <= set(e.queries())
+    assert {"role", "micro_cer"} <= set(e.entry(spark).columns) and e.entry(spark).count() > 0
