@@ -31,7 +31,7 @@ from .common import materialise, text_slices
 
 CAPACITY = 2048
 #: Words whose ids a Python worker remembers; beyond it the memory is emptied, which only costs time.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 #: Punctuation that is parted from an ASCII letter before it: a token ends there in any case.
 PARTED = np.isin(np.arange(256), [ord(c) for c in ".,;:!?*#$%&|"])
 LETTER = np.isin(np.arange(256), [ord(c) for c in "abcdefghijklmnopqrstuvwxyz"])
