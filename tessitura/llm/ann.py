@@ -9,11 +9,13 @@ reranked by exact Euclidean distance in double precision on the original vectors
 
 Equal vectors are coded once: a distinct vector keeps its ``k`` + 1 smallest ids, which is all that a result of ``k``
 can hold of it, so a vector that a third of all rows share is one entry. Queries are met with rows in blocks; a query
-block has ``QUERY_BLOCK`` vectors at most.
+block has ``QUERY_BLOCK`` vectors at most. Where a shortlist holds too few different ids (an id may have many vectors),
+its queries are asked again with a longer one.
 
 Cases: vectors that are null, all zero, of another length than the most common one, or hold null or non-finite
-components take no part, neither do null ids; a repeated id counts as often as it comes with different vectors, and a
-query never meets its own id; ties go to the smaller id; with fewer than ``k`` candidates all are returned; an empty
+components take no part, neither do null ids; a repeated row counts once; an id with different vectors asks with each and
+is met by each, and the least distance counts, so the ranks of a query name different ids; a query never meets its own
+id; ties go to the smaller id; with fewer than ``k`` candidates all are returned; an empty
 table gives no rows; extra columns are ignored.
 """
 
@@ -129,7 +131,7 @@ def search(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embed
     """The ``k`` nearest rows of each query row: query_id, rank, vec_id, score. ``is_query`` takes the vec_id column."""
     spark = rows.sparkSession
     # -0.0 + 0.0 is 0.0: equal vectors have equal bytes
-    good = usable(rows, vec_id, embedding).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    good = usable(rows, vec_id, embedding).withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0))).dropDuplicates(["vec_id", "vec"])
     # a vector's ids are dealt to salted groups, each of which keeps what a result can need
     distinct = materialise(
         good.withColumn("n", F.row_number().over(Window.partitionBy("vec", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).orderBy("vec_id")))
@@ -145,10 +147,29 @@ def search(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embed
     quantiser = fit(np.array(sample["vec"].tolist(), dtype=float))
     shared = spark.sparkContext.broadcast(quantiser)
 
+    # each vector of a query id asks for itself
     queries = good.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vec")
-    many = queries.count()
-    blocks = max(1, -(-many // QUERY_BLOCK))
-    asked = materialise(queries.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))), "queries")
+    asked = materialise(queries.withColumn("ask", F.monotonically_increasing_id()), "queries")
+    entries = distinct.count()
+    wanted = good.select("vec_id").distinct().limit(k + 1).count() - 1
+    ranked = None
+    while True:
+        done = materialise(_ask(distinct, asked, entries, shared, k, shortlist), "ranked")
+        if shortlist >= entries:
+            return done if ranked is None else ranked.unionByName(done)
+        full = done.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= wanted).select("query_id")
+        lacking = asked.join(full, "query_id", "left_anti")
+        if lacking.isEmpty():
+            return done if ranked is None else ranked.unionByName(done)
+        some = done.join(full, "query_id", "left_semi")
+        ranked = some if ranked is None else ranked.unionByName(some)
+        asked, shortlist = materialise(lacking, "queries"), 8 * shortlist
+
+
+def _ask(distinct: DataFrame, asked: DataFrame, entries: int, shared, k: int, shortlist: int) -> DataFrame:
+    """Ranks of the queries ``asked`` (query_id, vec, ask) by a shortlist of so many entries."""
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("ask"), F.lit(blocks)))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,16 +177,16 @@ def search(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embed
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(norms)], names=["entry", "code", "norm"])
 
     # each chunk of codes meets each block of queries
-    chunks = max(4, -(-distinct.count() // ROW_CHUNK))
+    chunks = max(4, -(-entries // ROW_CHUNK))
     coded = distinct.select("entry", "vec").mapInArrow(encode, "entry long, code binary, norm double")
     dealt = coded.withColumn("chunk", F.pmod(F.xxhash64("entry"), F.lit(chunks))).withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
     asking = asked.withColumn("chunk", F.explode(F.expr(f"sequence(0L, {chunks - 1}L)")))
 
     def shortlists(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
-            return pa.table({"query_id": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "approx": pa.array([], pa.float64())})
-        q_ids, q = right.column("query_id").to_numpy(), _matrix(right.column("vec").combine_chunks())
-        entries, norms = left.column("entry").to_numpy(), left.column("norm").to_numpy()
+            return pa.table({"ask": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "approx": pa.array([], pa.float64())})
+        asks, q = right.column("ask").to_numpy(), _matrix(right.column("vec").combine_chunks())
+        own_entries, norms = left.column("entry").to_numpy(), left.column("norm").to_numpy()
         m, words, _ = shared.value.codebooks.shape
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), dtype=np.uint8).reshape(-1, m)
         look = (q.astype(np.float32) @ shared.value.flat.T).reshape(len(q), m, words)
@@ -177,19 +198,20 @@ def search(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embed
             for book in range(m):
                 approx -= 2 * look[:, book, codes[some, book]]
             approx = np.concatenate([best_score, approx], axis=1)
-            entry = np.concatenate([best_entry, np.tile(entries[some], (len(q), 1))], axis=1)
+            entry = np.concatenate([best_entry, np.tile(own_entries[some], (len(q), 1))], axis=1)
             if approx.shape[1] > shortlist:
                 keep = np.argpartition(approx, shortlist - 1, axis=1)[:, :shortlist]
                 approx, entry = np.take_along_axis(approx, keep, axis=1), np.take_along_axis(entry, keep, axis=1)
             best_score, best_entry = approx, entry
-        return pa.table({"query_id": np.repeat(q_ids, best_score.shape[1]), "entry": best_entry.ravel(), "approx": best_score.ravel()})
+        return pa.table({"ask": np.repeat(asks, best_score.shape[1]), "entry": best_entry.ravel(), "approx": best_score.ravel()})
 
-    near = dealt.groupBy("block", "chunk").cogroup(asking.groupBy("block", "chunk")).applyInArrow(shortlists, "query_id long, entry long, approx double")
-    cut = near.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy("approx", "entry"))).where(F.col("n") <= shortlist)
-    pairs = cut.select("query_id", "entry").join(asked.select("query_id", F.col("vec").alias("q")), "query_id").join(distinct.select("entry", "vec", "ids"), "entry")
+    near = dealt.groupBy("block", "chunk").cogroup(asking.groupBy("block", "chunk")).applyInArrow(shortlists, "ask long, entry long, approx double")
+    cut = near.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy("approx", "entry"))).where(F.col("n") <= shortlist)
+    pairs = cut.select("ask", "entry").join(asked.select("ask", "query_id", F.col("vec").alias("q")), "ask").join(distinct.select("entry", "vec", "ids"), "entry")
     exact = F.sqrt(F.aggregate(F.zip_with("q", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     scored = pairs.select("query_id", "ids", exact.alias("score")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
+    least = scored.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
+    ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -129,6 +129,33 @@ def test_ann_few_and_none(spark):
     assert ann.search(few.limit(0), lambda v: v % 100 == 0).count() == 0
 
 
+def test_ann_repeated_query_and_candidate_rows(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    same = [2.0] * 8
+    rows += [rows[0], rows[0], rows[100]] + [(1000, same)] * 2 + [(1001, same)] * 30 + [(1001 + i, same) for i in range(1, 40)]
+    rows += [(200, [5.0] * 8), (900, [5.5] * 8)]  # an id with two vectors asks with both
+    got = sorted(tuple(r) for r in ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda v: v % 100 == 0).collect())
+    for q in {r[0] for r in got}:
+        x = [np.array(v) for i, v in rows if i == q]
+        best = {}
+        for i, v in rows:
+            if i != q:
+                best[i] = min([best.get(i, np.inf)] + [float(np.linalg.norm(np.array(v) - y)) for y in x])
+        want = sorted((d, i) for i, d in best.items())[:10]
+        own = [r for r in got if r[0] == q]
+        assert [(r[1], r[2]) for r in own] == [(k + 1, i) for k, (_, i) in enumerate(want)] and np.allclose([r[3] for r in own], [d for d, _ in want])
+    assert {r[0] for r in got} == {0, 100, 200, 900, 1000}
+
+
+def test_ann_id_with_many_vectors(spark):
+    rng = np.random.default_rng(3)
+    rows = [(0, [1.0] * 4)] + [(1, (1 + 0.01 * rng.normal(size=4)).tolist()) for _ in range(60)] + [(10 + i, (3 + rng.normal(size=4)).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.search(df, lambda v: v == 0, shortlist=8).collect()
+    assert sorted(r.rank for r in got) == list(range(1, 11)) and len({r.vec_id for r in got}) == 10
+
+
 def test_beam_search_beats_greedy():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 16))
