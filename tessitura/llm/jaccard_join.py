@@ -2,8 +2,10 @@
 
 A document's set is its distinct word shingles, as 64-bit hashes. The global n-gram order (hash ranges, and inside a
 range by rising frequency) is cut into fragments; a fragment's task sees each set's segment of that range and counts
-partial overlaps there, and the partial counts are summed per pair. Fragments are hash ranges, so none grows with one
-frequent n-gram, and their number grows with the input, so each holds a bounded number of n-grams.
+partial overlaps there, and the partial counts are summed per pair. Fragments are hash ranges, and their number grows with
+the input, so each holds a bounded number of n-grams on average; a class sends a fragment one row a task, however many
+copies it has, and documents' own rows are never grouped. An n-gram that many different documents share still gives its
+fragment a row for each of them.
 
 1. Documents with equal sets are one class. The segments (32 bits an n-gram) of the order's first part, ``PART`` of it,
    meet in their fragments, which count for each class how many of its n-grams there another class has too. A link
@@ -53,6 +55,8 @@ HUBS = 4
 LIKELIEST = 2
 #: Rows of an Arrow batch.
 BATCH = 1000
+#: Set keys that a task remembers at most, to send each set's segments once.
+SEEN = 1_000_000
 #: Finer fragments of the overlap bound.
 BOUND = 256
 #: Class ids (8 bytes) that are broadcast at most; beyond that the join is left to Spark.
@@ -120,24 +124,41 @@ def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
 
 def _joined(column: pa.ChunkedArray, dtype) -> tuple[np.ndarray, np.ndarray]:
     """All values of a binary column on end, and how many each row has."""
-    rows = column.to_pylist()
-    values = np.frombuffer(b"".join(rows), dtype=dtype)
-    return values, np.array([len(r) for r in rows], dtype=np.int64) // np.dtype(dtype).itemsize
+    parts, sizes = [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for chunk in column.chunks:
+        _, offsets, data = chunk.cast(pa.large_binary()).buffers() if not chunk.offset else pa.concat_arrays([chunk]).cast(pa.large_binary()).buffers()
+        ends = np.frombuffer(offsets, dtype=np.int64)[: len(chunk) + 1] if len(chunk) else np.zeros(1, np.int64)
+        sizes.append(np.diff(ends))
+        if ends[-1] > ends[0]:
+            parts.append(np.frombuffer(data, dtype=np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(parts).view(dtype), np.concatenate(sizes) // np.dtype(dtype).itemsize
+
+
+def _unseen(keys: np.ndarray, may: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Of the rows that ``may``, whether a row is the first of its key in this task. Later copies' segments are never sent,
+    so a class sends a fragment at most a row a task, however many copies it has."""
+    out = np.zeros(len(keys), dtype=bool)
+    for i in np.flatnonzero(may).tolist():
+        key = int(keys[i])
+        if key not in seen:
+            out[i] = True
+            if len(seen) >= SEEN:
+                seen.clear()  # only sends some segments again
+            seen.add(key)
+    return out
 
 
 def _first_of_each(keys: np.ndarray) -> np.ndarray:
     return np.sort(np.unique(keys, return_index=True)[1])
 
 
-#: ``other``: of META rows the n-grams that the first part has, of SHARED rows the shared ones, of STAR rows a class.
-FIRST = "kind int, doc_id long, k long, n long, other long"
-META, SHARED, STAR = 0, 1, 2
+#: ``other``: of SHARED rows the number of shared n-grams, of STAR rows a class.
+FIRST = "kind int, k long, other long"
+SHARED, STAR = 1, 2
 
 
-def _count_shared(table: pa.Table) -> pa.Table:
-    """A fragment of step 1: documents' rows, classes' shared n-grams, star pairs."""
-    meta = table.filter(pc.equal(table.column("home"), True))
-    rest = table.filter(pc.equal(table.column("home"), False))
+def _count_shared(rest: pa.Table) -> pa.Table:
+    """A fragment of step 1: classes' shared n-grams, star pairs."""
     k, n = rest.column("k").to_numpy(), rest.column("n").to_numpy()
     keep = _first_of_each(k)
     rest, k, n = rest.take(keep), k[keep], n[keep]
@@ -167,15 +188,11 @@ def _count_shared(table: pa.Table) -> pa.Table:
             pairs_a.append(k[other])
             pairs_b.append(np.full(len(other), k[h]))
     a, b = np.concatenate(pairs_a), np.concatenate(pairs_b)
-    m, s, p = len(meta), len(some), len(a)
-    none = lambda size: pa.nulls(size, pa.int64())
     return pa.table(
         {
-            "kind": np.repeat(np.array([META, SHARED, STAR], dtype=np.int32), [m, s, p]),
-            "doc_id": pa.chunked_array([*meta.column("doc_id").chunks, none(s + p)], pa.int64()),
-            "k": pa.chunked_array([*meta.column("k").chunks, pa.array(k[some]), pa.array(a)], pa.int64()),
-            "n": pa.chunked_array([*meta.column("n").chunks, pa.array(n[some]), none(p)], pa.int64()),
-            "other": pa.chunked_array([*meta.column("part").chunks, pa.array(count[some].astype(np.int64)), pa.array(b)], pa.int64()),
+            "kind": np.repeat(np.array([SHARED, STAR], dtype=np.int32), [len(some), len(a)]),
+            "k": np.concatenate((k[some], a)),
+            "other": np.concatenate((count[some].astype(np.int64), b)),
         }
     )
 
@@ -314,32 +331,33 @@ def _components(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFram
     whole = round(fragments / PART)  # fragments of the whole order, of which the first are looked at
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in text_slices(batches, "text", 4 << 20):
             flat, sizes, keys = shingle_sets(part.column("text"), width)
             row, fragment, ends = _segments(flat, sizes, whole)
             many = len(sizes)
             ids = part.column("doc_id")
-            # segments of every row with an id; then a row per document, in the fragment that its set's hash names
-            named = ids.is_valid().to_numpy(zero_copy_only=False)[row] & (fragment < fragments)
+            # a row per document, in no fragment; and the segments of each set that an id has, once a task
             early = fragment < fragments
+            named = early & _unseen(keys, ids.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0), seen)[row]
             part_sizes = np.bincount(row[early], weights=np.diff(ends, prepend=0)[early], minlength=many).astype(np.int64)
             grams = pa.concat_arrays([_binary(flat.astype(np.uint32), ends).filter(pa.array(named)), pa.array([b""] * many, pa.binary())])
             own = np.concatenate((row[named], np.arange(many)))
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.concatenate((fragment[named], keys % fragments)).astype(np.int32)),
+                    pa.concat_arrays([pa.array(fragment[named].astype(np.int32)), pa.nulls(many, pa.int32())]),
                     pa.concat_arrays([pa.nulls(int(named.sum()), pa.int64()), ids]),
                     pa.array(keys[own]),
                     pa.array(sizes[own]),
                     grams,
-                    pa.array(np.arange(len(own)) >= named.sum()),
                     pa.array(part_sizes[own]),
                 ],
-                names=["fragment", "doc_id", "k", "n", "grams", "home", "part"],
+                names=["fragment", "doc_id", "k", "n", "grams", "part"],
             )
 
-    first = materialise(base.mapInArrow(cut, "fragment int, doc_id long, k long, n long, grams binary, home boolean, part long").groupBy("fragment").applyInArrow(_count_shared, FIRST), "shared")
-    meta = first.where(F.col("kind") == META).select("doc_id", "k", "n", F.col("other").alias("part"))
+    scanned = materialise(base.mapInArrow(cut, "fragment int, doc_id long, k long, n long, grams binary, part long"), "scanned")
+    first = materialise(scanned.where("fragment is not null").select("fragment", "k", "n", "grams").groupBy("fragment").applyInArrow(_count_shared, FIRST), "shared")
+    meta = scanned.where("fragment is null").select("doc_id", "k", "n", "part")
     classes = meta.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("part").alias("part"), F.count(F.lit(1)).alias("copies"))
     shared = first.where(F.col("kind") == SHARED).groupBy("k").agg(F.sum("other").alias("shared"))
     alone = F.col("part") - F.coalesce(F.col("shared"), F.lit(0))
@@ -350,9 +368,11 @@ def _components(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFram
     wanted = alive.select(F.col("rep").alias("doc_id"), "k")
 
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for part in text_slices(batches, "text", 4 << 20):
             flat, sizes, keys = shingle_sets(part.column("text"), width)
             fine = keys == part.column("k").to_numpy()  # else another text of this doc_id
+            fine = _unseen(keys, fine, seen)
             flat, sizes, keys = flat[np.repeat(fine, sizes)], sizes[fine], keys[fine]
             row, fragment, ends = _segments(flat, sizes, later)
             own = np.repeat(np.arange(len(sizes)), sizes)

@@ -90,6 +90,18 @@ def test_jaccard_dense_group_with_outsiders(spark):
     assert sorted(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows)).collect())) == brute_components(rows)
 
 
+def test_jaccard_copies_meet_once_a_task(spark, monkeypatch):
+    made = {}
+    keep = jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, what: made.update({what: keep(df, what)}) or made[what])
+    rows = [(i, "one short text") for i in range(600)] + [(600 + i, "") for i in range(600)] + [(5000 + i, f"own text {i} of its own") for i in range(40)]
+    got = jaccard_join.jaccard_components(docs_of(spark, rows).repartition(3)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, 0 if i < 600 else i) for i, _ in rows]
+    segments = made["scanned"].where("fragment is not null")
+    assert segments.groupBy("fragment", "k").count().agg(F.max("count")).first()[0] <= 3
+    assert made["scanned"].where("fragment is null").count() == len(rows) and made["shared"].count() < 100
+
+
 def test_jaccard_odd_rows(spark):
     got = jaccard_join.jaccard_components(docs_of(spark, ODD)).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 1, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 59_996, 4), (5, 1, 5), (5, 1, 5), (6, 1, 6)]
