@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, text_slices, total_bytes
+from .common import discard, materialise, text_slices, total_bytes
 
 WIDTH = 10
 #: Benchmark bytes that one automaton, and so one broadcast, may hold. Larger benchmarks are split by item.
@@ -152,14 +152,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark window occurs."""
-    items = benchmark.select(F.col("item_id").cast("string"), F.col("text"))
-    n, size = total_bytes(items, "text")
-    if size > AUTOMATON_BYTES:
-        hit = benchmark_hits(docs, benchmark, text=text, width=width).where(F.size("words") > 0).select("doc_id").distinct()
-        return docs.join(hit, "doc_id", "left_anti")
-    shared = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in items.collect()])
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark window occurs.
+
+    Each row is judged by its own text. A benchmark of more than ``automaton_bytes`` is dealt by item into parts of that
+    size, and the rows go through one part's automaton after another.
+    """
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
+    n, size = total_bytes(items, "t")
+    parts = max(1, -(-size * 2 // automaton_bytes)) if size > automaton_bytes else 1
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)))
+    left, before = docs, None
+    for k in range(parts):
+        left = _without(left, [tuple(r) for r in dealt.where(F.col("part") == k).select("i", "t").collect()], text, width)
+        if k < parts - 1:  # one automaton at a time in a worker
+            left = materialise(left, "clean")
+            if before is not None:
+                discard(before)
+            before = left
+    return left
+
+
+def _without(docs: DataFrame, items: list[tuple[str | None, str | None]], text: str, width: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = build_automaton(shared.value, width)

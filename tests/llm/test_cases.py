@@ -247,6 +247,14 @@ def test_decontamination_rows(spark):
     assert decontamination.contamination(df, bench.limit(0)).where("contaminated").count() == 0
 
 
+def test_decontamination_judges_rows_alike_for_any_benchmark_size(spark):
+    bench = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "seven eight")], "item_id long, text string")
+    df = docs_of(spark, [(1, "clean"), (1, "say one two three"), (None, "four five six"), (None, "clean too"), (2, "seven eight"), (3, None), (3, None)])
+    for size in (decontamination.AUTOMATON_BYTES, 8):
+        got = decontamination.decontaminate(df, bench, automaton_bytes=size)
+        assert got.columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, "clean too"), (1, "clean"), (3, ""), (3, "")]
+
+
 # --- WARC in ZIP
 
 
