@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
@@ -19,9 +20,15 @@ SLICE_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The folder that all executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset and everything runs in one local process, a temporary folder is made and set; on a cluster that is
+    an error, since executors would write to disks that the others don't see.
+    """
     given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         given = f"file://{tempfile.mkdtemp(prefix='tessitura-')}"
         spark.sparkContext.setCheckpointDir(given)
     return given.rstrip("/")
@@ -49,6 +56,12 @@ def discard(*tables: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all tables and packages that this subpackage has left in the shared folder; nothing may read them any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessitura")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 @contextmanager
 def arrow_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """For the actions inside: at most so many rows in an Arrow batch, which bounds the buffers of long texts."""

@@ -1,9 +1,15 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark, one pass over each text.
 
 Normal form: A-Z lower-cased; words are runs of digits, a-z and non-ASCII characters. A window is ``width``
-consecutive words of an item, or the whole item where it has fewer. The automaton holds each distinct window as
-`` w1 w2 ... wn `` (with outer spaces, so that a match covers whole words); it walks each document's normal form
-once, and a match is carried back to word numbers and to code-point offsets of the original text.
+consecutive words of an item, or the whole item where it has fewer. Words are numbered by the benchmark's vocabulary, and
+the automaton walks each text's word numbers once. It holds each item's aligned blocks of ``(width + 1) // 2`` words (every
+window of an item contains one of them whole) and the short items; a node per benchmark word, not one per character of
+each window. Where a block occurs, the windows around it are looked up by their hashes and compared word by word with the
+item, so that a hit is an occurrence of a whole window. Hit words are carried back to code-point offsets of the original.
+
+A benchmark of more words than ``AUTOMATON_WORDS`` is dealt into parts, each with its own automaton; a task keeps a run of
+texts' word numbers and passes them through one part after another, so the text is read and split once. All parts give
+the same kind of hits, united per row: a row's result doesn't depend on the parts.
 
 Cases: null or wordless texts have no words and are never hit; null, empty or wordless items have no window; an
 item given twice counts once by id; null item ids are left out of the id list but their windows still hit; a
@@ -14,129 +20,256 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_right
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, text_slices, total_bytes
 
 WIDTH = 10
-#: Benchmark bytes that one automaton, and so one broadcast, may hold. Larger benchmarks are split by item.
-AUTOMATON_BYTES = 16 << 20
+#: Words of one automaton (about 150 bytes each in a Python worker).
+AUTOMATON_WORDS = 1_000_000
+#: Benchmark text that is held by the driver and broadcast as word numbers at once. A larger benchmark takes several passes.
+PASS_BYTES = 256 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: The normal form, byte by byte: what parts words becomes a blank; all bytes of a non-ASCII character stay.
+FOLD = np.array([c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256)], dtype=np.uint8)
 
 HITS = "doc_id long, n_words long, words array<int>, spans array<struct<start:int,end:int>>, item_ids array<string>"
 
 
-def windows_of(text: str | None, width: int = WIDTH) -> list[str]:
-    words = WORD.findall((text or "").translate(LOWER))
-    if not words:
-        return []
-    return [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))]
-
-
-def build_automaton(items: Iterable[tuple[str | None, str | None]], width: int = WIDTH):
-    """The automaton of all windows; a window's value is (its number of words, its length, the items that have it)."""
-    owners: dict[str, set[str]] = {}
-    for item_id, text in items:
-        for window in windows_of(text, width):
-            own = owners.setdefault(window, set())
-            if item_id is not None:
-                own.add(item_id)
-    automaton = ahocorasick.Automaton()
-    for window, ids in owners.items():
-        automaton.add_word(f" {window} ", (window.count(" ") + 1, len(window), tuple(sorted(ids))))
-    if owners:
-        automaton.make_automaton()
-    return automaton if owners else None
-
-
-def scan_text(automaton, text: str | None) -> tuple[int, list[int], list[tuple[int, int]], list[str]]:
-    """Number of words, numbers of the hit words, their merged code-point spans in the text, ids of the items."""
-    text = text or ""
-    lowered = text.translate(LOWER)
-    words = WORD.findall(lowered)
-    if automaton is None or not words:
-        return len(words), [], [], []
-    runs: list[tuple[int, int]] = []
-    items: set[str] = set()
-    starts: list[int] | None = None
-    for end, (n, length, ids) in automaton.iter(f" {' '.join(words)} "):
-        if starts is None:  # of each word in the padded normal form
-            starts, at = [], 1
-            for word in words:
-                starts.append(at)
-                at += len(word) + 1
-        first = bisect_right(starts, end - length) - 1
-        items.update(ids)
-        if runs and first <= runs[-1][1] and first >= runs[-1][0]:
-            runs[-1] = (runs[-1][0], max(runs[-1][1], first + n))
-        else:
-            runs.append((first, first + n))
-    if not runs:
-        return len(words), [], [], []
-    hit = sorted({w for a, b in runs for w in range(a, b)})
-    places = [m.span() for m in WORD.finditer(lowered)]
-    spans: list[tuple[int, int]] = []
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and all words on end in normal form."""
+    whole = pa.concat_arrays([pc.fill_null(texts, "")]).cast(pa.large_string())
+    if not len(whole):
+        return np.zeros(0, np.int64), pa.array([], pa.large_string())
+    offsets = np.frombuffer(whole.buffers()[1], dtype=np.int64, count=len(whole) + 1)
+    data = FOLD[np.frombuffer(whole.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]]
+    folded = pa.LargeStringArray.from_buffers(len(whole), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data))
+    lists = pc.ascii_split_whitespace(folded)
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.values.slice(ends[0], ends[-1] - ends[0])
+    kept = pc.not_equal(flat, "")
+    count = np.concatenate(([0], np.cumsum(kept.to_numpy(zero_copy_only=False), dtype=np.int64)))
+    return np.diff(count[ends - ends[0]]), flat.filter(kept)
+
+
+def _hashes(windows: np.ndarray) -> np.ndarray:
+    """A hash of each row of word numbers."""
+    out = np.zeros(len(windows), np.uint64)
+    for k in range(windows.shape[1]):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + windows[:, k].astype(np.uint64)
+        out ^= out >> np.uint64(29)
+    return out
+
+
+class Part:
+    """Some items' words as numbers (from 1) on end: the automaton of their blocks and short items, the table of their windows."""
+
+    def __init__(self, ids: np.ndarray, sizes: np.ndarray, owner: np.ndarray, width: int):
+        self.ids, self.width, self.block = ids, width, (width + 1) // 2
+        entries: dict[tuple[int, ...], int] = {}
+        self.is_block: list[bool] = []
+        self.owners: list[set[int]] = []  # of a short item: the items that are these words
+        starts, items = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+        def entry(a: int, b: int) -> int:
+            key = tuple(ids[a:b].tolist())
+            if key not in entries:
+                entries[key] = len(entries)
+                self.is_block.append(False)
+                self.owners.append(set())
+            return entries[key]
+
+        begin = 0
+        for size, own in zip(sizes.tolist(), owner.tolist(), strict=True):
+            if size >= width:
+                starts.append(np.arange(begin, begin + size - width + 1))
+                items.append(np.full(size - width + 1, own))
+                for b in range(begin, begin + size - self.block + 1, self.block):
+                    self.is_block[entry(b, b + self.block)] = True
+            elif size:
+                self.owners[entry(begin, begin + size)].add(own)
+            begin += size
+        start, item = np.concatenate(starts), np.concatenate(items)
+        hashes = np.concatenate([np.zeros(0, np.uint64), *(_hashes(self._windows(ids, start[i : i + 100_000])) for i in range(0, len(start), 100_000))])
+        order = np.lexsort((item, hashes))
+        self.hashes, self.starts, self.items = hashes[order], start[order], item[order]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.lengths = [len(key) for key in entries]
+        for key, k in entries.items():
+            self.automaton.add_word(key, k)
+        if entries:
+            self.automaton.make_automaton()
+
+    def _windows(self, numbers: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return numbers[at[:, None] + np.arange(self.width)]
+
+    def find(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Occurrences in word numbers on end, 0 being a word that the benchmark lacks or a text's end: first word, words, item."""
+        none = np.zeros(0, np.int64)
+        if not self.lengths:
+            return none, none, none
+        block_ends, short = [], []
+        for end, k in self.automaton.iter(tuple(flat.tolist())):
+            if self.is_block[k]:
+                block_ends.append(end)
+            if self.owners[k]:
+                short += [(end - self.lengths[k] + 1, self.lengths[k], own) for own in self.owners[k]]
+        first, many, item = (np.array(x, dtype=np.int64) for x in zip(*short, strict=True)) if short else (none, none, none)
+        if block_ends:
+            # all windows around a block that lie inside the words
+            at = np.unique((np.array(block_ends) - self.block + 1)[:, None] - np.arange(self.width - self.block + 1))
+            at = at[(at >= 0) & (at + self.width <= len(flat))]
+            at = at[self._windows(flat, at).all(axis=1)]
+            hashes = _hashes(self._windows(flat, at))
+            lo, hi = np.searchsorted(self.hashes, hashes, side="left"), np.searchsorted(self.hashes, hashes, side="right")
+            size = hi - lo
+            place = np.repeat(lo - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            at = np.repeat(at, size)
+            same = np.zeros(len(at), bool)
+            for i in range(0, len(at), 50_000):  # word by word, a run of windows at a time
+                same[i : i + 50_000] = (self._windows(flat, at[i : i + 50_000]) == self._windows(self.ids, self.starts[place[i : i + 50_000]])).all(axis=1)
+            first = np.concatenate((first, at[same]))
+            many = np.concatenate((many, np.full(int(same.sum()), self.width)))
+            item = np.concatenate((item, self.items[place[same]]))
+        return first, many, item
+
+
+KEPT: dict[tuple[str, int], Part] = {}
+
+
+class Benchmark:
+    """The broadcast benchmark: its vocabulary, its item ids, and its parts as word numbers."""
+
+    def __init__(self, vocabulary: pa.Array, names: list[str], parts: list, width: int, token: str):
+        self.vocabulary, self.names, self.parts, self.width, self.token = vocabulary, names, parts, width, token
+
+    def part(self, k: int) -> Part:
+        """A Python worker's automaton, kept between its tasks as long as no other part is asked for."""
+        if (self.token, k) not in KEPT:
+            KEPT.clear()
+            KEPT[self.token, k] = Part(*self.parts[k], self.width)
+        return KEPT[self.token, k]
+
+    def scan(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text; (text, word) of the distinct hit words; (text, item) of the distinct items, -1 being one without id."""
+        sizes, words = split_words(texts)
+        coded = words.dictionary_encode()
+        number = pc.fill_null(pc.add(pc.index_in(coded.dictionary, self.vocabulary), 1), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        begin = np.cumsum(sizes + 1) - sizes - 1
+        flat = np.zeros(int(sizes.sum()) + len(sizes), np.int64)  # a 0 behind each text
+        flat[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = number[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else 0
+        found = [self.part(k).find(flat) for k in range(len(self.parts))]
+        first, many, item = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(3))
+        row = np.searchsorted(begin, first, side="right") - 1
+        spread = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        hit = np.unique(spread)
+        hit_row = np.searchsorted(begin, hit, side="right") - 1
+        owned = np.unique(np.stack([row, item], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+        return sizes, hit_row, hit - begin[hit_row] if len(hit) else hit, owned[:, 0], owned[:, 1]
+
+
+def prepare(items: list[tuple[str | None, str | None]], width: int = WIDTH, automaton_words: int = AUTOMATON_WORDS) -> Benchmark:
+    """The benchmark of (item id, text) rows. An item longer than a part is cut into pieces that share ``width`` - 1 words."""
+    names = sorted({i for i, _ in items if i is not None})
+    number = {name: k for k, name in enumerate(names)}
+    sizes, words = split_words(pa.array([t for _, t in items], pa.string()))
+    coded = words.dictionary_encode()
+    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    step = max(1, automaton_words - width + 1)
+    pieces: list[tuple[int, int, int]] = []  # first word, words, owner
+    begin = 0
+    for size, (item, _) in zip(sizes.tolist(), items, strict=True):
+        own = -1 if item is None else number[item]
+        pieces += [(begin + a, min(automaton_words, size - a), own) for a in (range(0, size - width + 1, step) if size > automaton_words else (0,)) if size]
+        begin += size
+    parts, held, total = [], [], 0
+    for k, piece in enumerate(pieces):
+        if held and total + piece[1] > automaton_words:
+            parts.append(held)
+            held, total = [], 0
+        held.append(piece)
+        total += piece[1]
+    parts += [held] if held else []
+    made = [(np.concatenate([ids[a : a + n] for a, n, _ in own]), np.array([n for _, n, _ in own]), np.array([o for _, _, o in own])) for own in parts]
+    return Benchmark(coded.dictionary, names, made, width, uuid.uuid4().hex)
+
+
+def spans_of(text: str, hit: list[int]) -> list[dict[str, int]]:
+    """Merged code-point spans of the hit words (rising numbers) in the original text."""
+    places = [m.span() for m in WORD.finditer(text.translate(LOWER))]
+    spans: list[dict[str, int]] = []
     for k, w in enumerate(hit):
         if k and hit[k - 1] == w - 1:
-            spans[-1] = (spans[-1][0], places[w][1])
+            spans[-1]["end"] = places[w][1]
         else:
-            spans.append(places[w])
-    return len(words), hit, spans, sorted(items)
+            spans.append({"start": places[w][0], "end": places[w][1]})
+    return spans
+
+
+def _lists(row: np.ndarray, values: pa.Array, many: int) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(many + 1)).astype(np.int32)), values)
 
 
-def _scan(docs: DataFrame, items: list[tuple[str | None, str | None]], doc_id: str, text: str, width: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _scan(docs: DataFrame, items: list[tuple[str | None, str | None]], doc_id: str, text: str, width: int, automaton_words: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(prepare(items, width, automaton_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(shared.value, width)
-        for part in text_slices(batches, "text"):
-            found = [scan_text(automaton, t) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array([f[0] for f in found], pa.int64()),
-                    pa.array([f[1] for f in found], pa.list_(pa.int32())),
-                    pa.array([[{"start": a, "end": b} for a, b in f[2]] for f in found], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                    pa.array([f[3] for f in found], pa.list_(pa.string())),
-                ],
-                names=["doc_id", "n_words", "words", "spans", "item_ids"],
-            )
+        names = shared.value.names
+        for part in text_slices(batches, "text", 4 << 20):
+            sizes, row, word, item_row, item = shared.value.scan(part.column("text"))
+            words = _lists(row, pa.array(word, pa.int32()), len(part))
+            hit = {i: words[i].as_py() for i in np.unique(row).tolist()}
+            spans = [spans_of(part.column("text")[i].as_py(), hit[i]) if i in hit else [] for i in range(len(part))]
+            named = item >= 0
+            own = _lists(item_row[named], pa.array([names[k] for k in item[named].tolist()], pa.string()), len(part))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), words, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), own], names=["doc_id", "n_words", "words", "spans", "item_ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, HITS)
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """One row per document row: n_words, the hit words' numbers, their spans in the original text, the items' ids.
+def _passes(benchmark: DataFrame, item_id: str, item_text: str, pass_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark's rows, in shares of about ``pass_bytes`` at most; its size is looked at first."""
+    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
+    _, size = total_bytes(items, "t")
+    many = max(1, -(-size * 2 // pass_bytes)) if size > pass_bytes else 1
+    dealt = items.withColumn("share", F.pmod(F.xxhash64("i", "t"), F.lit(many)))
+    for k in range(many):
+        yield [tuple(r) for r in dealt.where(F.col("share") == k).select("i", "t").collect()]
+
+
+def benchmark_hits(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", width: int = WIDTH, automaton_words: int = AUTOMATON_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """One row per document row: n_words, the hit words' numbers, their merged spans in the original text, the items' ids.
 
-    The benchmark's size is checked first. Up to ``automaton_bytes`` it is one broadcast and one automaton, which is
-    the rule for benchmarks; a larger one is dealt by item into parts of that size, each scanned likewise, and the
-    parts' hits of a document row are united, so no size is refused and none is held whole by a task.
+    A benchmark of over ``pass_bytes`` of text is scanned for in several passes, whose hits are united by row.
     """
-    items = benchmark.select(F.col(item_id).cast("string").alias("i"), F.col(item_text).alias("t"))
-    n, size = total_bytes(items, "t")
-    parts = max(1, -(-size * 2 // automaton_bytes)) if size > automaton_bytes else 1
-    if parts == 1:
-        return _scan(docs, [tuple(r) for r in items.collect()], doc_id, text, width)
+    passes = _passes(benchmark, item_id, item_text, pass_bytes)
+    first, second = next(passes), next(passes, None)
+    if second is None:
+        return _scan(docs, first, doc_id, text, width, automaton_words)
     rows = materialise(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).cast("long").alias("own_id"), F.col(text).alias("own_text")), "decontaminate")
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)))
     found = None
-    for k in range(parts):
-        one = _scan(rows, [tuple(r) for r in dealt.where(F.col("part") == k).select("i", "t").collect()], "row", "own_text", width)
+    for items in (first, second, *passes):
+        one = _scan(rows, items, "row", "own_text", width, automaton_words).drop("spans")
         found = one if found is None else found.unionByName(one)
-    merged = found.groupBy(F.col("doc_id").alias("row")).agg(
-        F.max("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("words")))).alias("words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"),
-    )
-    return merged.join(rows.select("row", "own_id"), "row").select(F.col("own_id").alias("doc_id"), "n_words", "words", "spans", "item_ids")
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    merged = found.groupBy(F.col("doc_id").alias("row")).agg(F.max("n_words").alias("n_words"), united("words").alias("words"), united("item_ids").alias("item_ids"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "own_text"):
+            hit = part.column("words").to_pylist()
+            spans = [spans_of(t, w) if w else [] for t, w in zip(part.column("own_text").to_pylist(), hit, strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("own_id"), part.column("n_words"), part.column("words"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), part.column("item_ids")], names=["doc_id", "n_words", "words", "spans", "item_ids"])
+
+    return rows.join(merged, "row").select("own_id", "own_text", "n_words", "words", "item_ids").mapInArrow(place, HITS)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -152,20 +285,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, automaton_bytes: int = AUTOMATON_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark window occurs.
-
-    Each row is judged by its own text. A benchmark of more than ``automaton_bytes`` is dealt by item into parts of that
-    size, and the rows go through one part's automaton after another.
-    """
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
-    n, size = total_bytes(items, "t")
-    parts = max(1, -(-size * 2 // automaton_bytes)) if size > automaton_bytes else 1
-    dealt = items.withColumn("part", F.pmod(F.xxhash64("i", "t"), F.lit(parts)))
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", width: int = WIDTH, automaton_words: int = AUTOMATON_WORDS, pass_bytes: int = PASS_BYTES) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark window occurs. Each row is judged by its own text."""
     left, before = docs, None
-    for k in range(parts):
-        left = _without(left, [tuple(r) for r in dealt.where(F.col("part") == k).select("i", "t").collect()], text, width)
-        if k < parts - 1:  # one automaton at a time in a worker
+    passes = _passes(benchmark, "item_id", "text", pass_bytes)
+    items = next(passes)
+    while items is not None:
+        left, items = _without(left, items, text, width, automaton_words), next(passes, None)
+        if items is not None:
             left = materialise(left, "clean")
             if before is not None:
                 discard(before)
@@ -173,17 +300,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", wid
     return left
 
 
-def _without(docs: DataFrame, items: list[tuple[str | None, str | None]], text: str, width: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+def _without(docs: DataFrame, items: list[tuple[str | None, str | None]], text: str, width: int, automaton_words: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(prepare(items, width, automaton_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = build_automaton(shared.value, width)
-        for part in text_slices(batches, text):
-            yield part.filter(pa.array([not scan_text(automaton, t)[1] for t in part.column(text).to_pylist()], pa.bool_()))
+        for part in text_slices(batches, text, 4 << 20):
+            _, row, *_ = shared.value.scan(part.column(text))
+            kept = np.ones(len(part), bool)
+            kept[row] = False
+            yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
 
 
+def windows_of(text: str | None, width: int = WIDTH) -> list[str]:
+    words = WORD.findall((text or "").translate(LOWER))
+    return [" ".join(words[i : i + width]) for i in range(max(1, len(words) - width + 1))] if words else []
+
+
 def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], width: int = WIDTH) -> list[tuple]:
     """The contract word for word, for tests: every window is tried at every word."""
     out = []

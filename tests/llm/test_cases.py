@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing extra columns, and small traces."""
 
+import hashlib
 import io
 import itertools
 import random
@@ -224,15 +225,37 @@ def test_html_rows(spark):
 WORDS = st.lists(st.sampled_from(["a", "b", "Ab", "é", "7", "x-y"]), max_size=30).map(" ".join)
 
 
-@given(st.lists(WORDS, max_size=4), st.lists(WORDS, max_size=3), st.integers(1, 4))
-@settings(max_examples=60, deadline=None)
-def test_automaton_against_every_place(docs, items, width):
-    automaton = decontamination.build_automaton([(str(i), t) for i, t in enumerate(items)], width)
+@given(st.lists(WORDS, max_size=4), st.lists(WORDS, max_size=3), st.integers(1, 5), st.sampled_from([3, 7, 1000]))
+@settings(max_examples=150, deadline=None)
+def test_automaton_against_every_place(docs, items, width, automaton_words):
+    import pyarrow as pa
+
+    rows = [(str(i), t) for i, t in enumerate(items)]
+    made = decontamination.prepare(rows, width, max(width, automaton_words))
+    sizes, row, word, item_row, item = made.scan(pa.array([*docs, None], pa.string()))
     want = decontamination.brute_force(list(enumerate(docs)), list(enumerate(items)), width)
-    for (_, n_words, n_hit, n_items, _, _), text in zip(want, docs, strict=True):
-        n, hit, spans, ids = decontamination.scan_text(automaton, text)
-        assert (n, len(hit), len(ids)) == (n_words, n_hit, n_items)
-        assert sum(len(decontamination.WORD.findall(text.lower()[a:b])) for a, b in spans) == n_hit
+    for i, ((_, n_words, n_hit, n_items, digest, _), text) in enumerate(zip(want, docs, strict=True)):
+        hit = word[row == i].tolist()
+        ids = sorted(made.names[k] for k in item[item_row == i])
+        assert (sizes[i], len(hit), len(ids)) == (n_words, n_hit, n_items)
+        assert hashlib.sha256(",".join(ids).encode()).hexdigest() == digest
+        assert sum(len(decontamination.WORD.findall(text.lower()[s["start"] : s["end"]])) for s in decontamination.spans_of(text, hit)) == n_hit
+    assert sizes[-1] == 0
+
+
+def test_long_items_in_parts_give_equal_rows(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(60)}" for _ in range(900)]
+    items = [(str(k), " ".join(words[k * 7 : k * 7 + rng.choice([3, 9, 10, 40, 300])])) for k in range(60)]
+    part = lambda: words[rng.randrange(400) :][: rng.randrange(60)]
+    docs = [(k, " ".join(part() + [f"w{rng.randrange(60)}" for _ in range(20)] + part())) for k in range(80)]
+    bench, df = spark.createDataFrame(items, "item_id string, text string"), docs_of(spark, docs)
+    want = sorted(decontamination.brute_force(docs, items))
+    for options in ({}, {"automaton_words": 25}, {"automaton_words": 25, "pass_bytes": 9000}):
+        assert sorted(map(tuple, decontamination.contamination(df, bench, **options).collect())) == want
+    hits = [decontamination.benchmark_hits(df, bench, **o).orderBy("doc_id").collect() for o in ({}, {"pass_bytes": 9000})]
+    assert hits[0] == hits[1] and any(len(r.spans) > 1 for r in hits[0])
+    assert all(a["end"] < b["start"] for r in hits[0] for a, b in itertools.pairwise(r.spans))
 
 
 def test_decontamination_rows(spark):
@@ -240,7 +263,7 @@ def test_decontamination_rows(spark):
     df = docs_of(spark, [*ODD, (7, "say ONE, two three!")])
     got = {(r.doc_id, r.n_hit, r.n_items) for r in decontamination.contamination(df, bench).collect()}
     assert got == {(1, 0, 0), (2, 0, 0), (3, 0, 0), (4, 0, 0), (5, 0, 0), (6, 0, 0), (7, 3, 1), (None, 3, 0)}
-    parts = decontamination.contamination(df, bench, automaton_bytes=8)
+    parts = decontamination.contamination(df, bench, automaton_words=10, pass_bytes=8)
     assert {(r.doc_id, r.n_hit, r.n_items) for r in parts.collect()} == got and parts.count() == len(ODD) + 1
     assert sorted(r.doc_id for r in decontamination.decontaminate(df, bench).collect()) == [1, 2, 3, 4, 5, 5, 6]
     assert decontamination.contamination(docs_of(spark, []), bench).count() == 0
@@ -250,8 +273,8 @@ def test_decontamination_rows(spark):
 def test_decontamination_judges_rows_alike_for_any_benchmark_size(spark):
     bench = spark.createDataFrame([(1, "one two three"), (2, "four five six"), (3, "seven eight")], "item_id long, text string")
     df = docs_of(spark, [(1, "clean"), (1, "say one two three"), (None, "four five six"), (None, "clean too"), (2, "seven eight"), (3, None), (3, None)])
-    for size in (decontamination.AUTOMATON_BYTES, 8):
-        got = decontamination.decontaminate(df, bench, automaton_bytes=size)
+    for size in (decontamination.PASS_BYTES, 8):
+        got = decontamination.decontaminate(df, bench, pass_bytes=size)
         assert got.columns == df.columns and sorted((r.doc_id or 0, r.text or "") for r in got.collect()) == [(0, "clean too"), (1, "clean"), (3, ""), (3, "")]
 
 
