@@ -4,12 +4,14 @@ A page is walked once, tag by tag, with a stack of open elements. Text between b
 features are its ancestors' tags and the words of their class, id and role attributes, its own element, length, link
 density, punctuation and neighbourhood on the page. The field has the two labels article and furniture, is trained
 on labelled pages (``labelled_pages``: layouts drawn from a seed, whose labels are known as they are made) by gradient
-ascent on the conditional likelihood, and is decoded by Viterbi. Blocks labelled article are joined in page order.
+ascent on the conditional likelihood, and is decoded by Viterbi. Blocks labelled article are joined in page order. A
+page in which no element has a telling name is judged by features of its own kind: what its blocks say, their elements
+and their neighbours. A quarter of the training pages is made so.
 
 Text: scripts, styles, markup and what only holds controls are never blocks; character references are decoded, white
 space (line breaks included) becomes one space, ends are trimmed. Cases: null, empty and blank html give an empty text;
-unclosed and stray tags are met as browsers do roughly (a stray end tag is ignored, an element ends with its parent);
-a cut tag at the end is dropped; repeated rows give their row again; very long pages are walked whole, in linear time;
+unclosed and stray tags are met as browsers do roughly (a stray end tag is ignored, an element ends with its parent, an
+open head ends at text or at the first tag that can't be in it; quotes open a string only behind ``=``); a cut tag at the end is dropped; repeated rows give their row again; very long pages are walked whole, in linear time;
 null urls stay null; extra columns are ignored.
 """
 
@@ -43,9 +45,29 @@ CLOSED_BY = {
 }
 CONTAINERS = frozenset("ul ol menu dl table tbody thead tfoot body html div section article main".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
+#: Start tags that may stand in an open head; any other one, or text, ends it.
+HEAD_TAGS = frozenset("html head title meta link script style base basefont bgsound noscript template noframes".split())
+#: Elements that an implied end looks for; containers stop that search.
+IMPLIED = frozenset(CLOSED_BY) | {"p"}
+
+#: Comments, declarations and tags; quotes open a string only behind ``=``. Every part is possessive and ends with the page at
+#: the latest, so that the whole page is read once, whatever is left open in it.
+TOKEN = re.compile(r"""<!--(?:.*?-->|.*+)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[^>=]|=\s*+"[^"]*+"|=\s*+'[^']*+'|=)*+)(?:>|\Z)""", re.S)
+NAMED = re.compile(r"""(?<![\w-])(class|id|role|hidden|style|aria-hidden)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?""", re.I)
 PARTS = re.compile(r"[a-z]+|[0-9]+")
+#: Words that furniture's own texts hold, in blocks of ``SHORT`` characters at most.
+SHORT = 240
+SAYS = frozenset(
+    "cookie cookies consent privacy terms subscribe newsletter copyright reserved rights login sign register menu home contact about "
+    "share tweet comment comments reply replies responses advertisement sponsored promoted related popular trending search navigation "
+    "skip follow imprint impressum datenschutz anmelden suche kommentare mentions accueil commentaires recherche inicio buscar comentarios "
+    "aviso accept agree close read more".split()
+)
+SPOKEN_WORD = re.compile(r"[^\W\d_]+")
+
+
+#: Cues that say nothing about a page's layout.
+PLAIN_CUES = frozenset(f"<{t}>" for t in "h1 h2 h3 h4 h5 h6 ul ol li table tbody tr td th pre blockquote figure figcaption hr dl dt dd label center".split())
 
 
 class Block:
@@ -65,7 +87,7 @@ def _cues(tag: str, attributes: str) -> tuple[str, ...]:
             if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value)):
                 found.add("hidden")
             elif name in ("class", "id", "role"):
-                found.update(PARTS.findall(value[:400]))
+                found.update(PARTS.findall(value))
     return tuple(found)
 
 
@@ -76,6 +98,8 @@ def blocks_of(page: str | None) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     active: dict[str, int] = {}  # cues of the open elements, counted
     opened: dict[str, int] = {}  # open elements by tag, counted
+    inside: list[str] = []  # open block elements
+    marks: list[tuple[int, str]] = []  # places in the stack of containers and of what can end by implication
     parts: list[str] = []
     linked = silent = 0
     cached: tuple[str, ...] | None = ()
@@ -83,6 +107,10 @@ def blocks_of(page: str | None) -> list[Block]:
     def push(tag: str, attributes: str) -> None:
         nonlocal silent, cached
         cues = _cues(tag, attributes)
+        if tag in CONTAINERS or tag in IMPLIED:
+            marks.append((len(stack), tag))
+        if tag in BLOCK_TAGS:
+            inside.append(tag)
         stack.append((tag, cues))
         opened[tag] = opened.get(tag, 0) + 1
         silent += tag in SILENT_TAGS
@@ -93,6 +121,10 @@ def blocks_of(page: str | None) -> list[Block]:
     def pop() -> None:
         nonlocal silent, cached
         tag, cues = stack.pop()
+        if marks and marks[-1][0] == len(stack):
+            marks.pop()
+        if tag in BLOCK_TAGS:
+            inside.pop()
         opened[tag] -= 1
         silent -= tag in SILENT_TAGS
         for cue in cues:
@@ -108,17 +140,32 @@ def blocks_of(page: str | None) -> list[Block]:
             if text:
                 if cached is None:
                     cached = tuple(active)
-                tag = next((t for t, _ in stack[:-9:-1] if t in BLOCK_TAGS), "body")
-                out.append(Block(text, linked, tag, cached))
+                out.append(Block(text, linked, inside[-1] if inside else "body", cached))
             parts, linked = [], 0
 
+    def end(names: set[str]) -> None:
+        """End the innermost open element of these names, unless a container is open inside it."""
+        for place, tag in reversed(marks):
+            if tag in names:
+                while len(stack) > place:
+                    pop()
+                return
+            if tag in CONTAINERS:
+                return
+
+    def end_head() -> None:
+        while opened.get("head"):
+            pop()
+
     at, size = 0, len(page)
     while at < size:
         m = TOKEN.search(page, at)
         stop = m.start() if m else size
-        if stop > at and not silent:
-            text = page[at:stop] if m or page.rfind("<", at) < 0 else re.sub(r"<[a-zA-Z/!][^>]*\Z", "", page[at:stop])
-            if text:
+        if stop > at:
+            text = page[at:stop] if m else page[at:].removesuffix("/").removesuffix("<") if page.endswith(("<", "</")) else page[at:]
+            if silent and stack[-1][0] == "head" and not text.isspace():
+                end_head()
+            if not silent:
                 parts.append(text)
                 if opened.get("a"):
                     linked += len(text.strip())
@@ -141,33 +188,19 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         if tag in VOID_TAGS:
             continue
+        if opened.get("head") and tag not in HEAD_TAGS and stack[-1][0] == "head":
+            end_head()
         if tag in BLOCK_TAGS and opened.get("p") and tag != "body":
-            # a block ends an open paragraph of its own container
-            for depth in range(1, min(len(stack), 30) + 1):
-                if stack[-depth][0] == "p":
-                    for _ in range(depth):
-                        pop()
-                    break
-                if stack[-depth][0] in CONTAINERS:
-                    break
+            end({"p"})  # a block ends an open paragraph of its own container
         for name, enders in CLOSED_BY.items():
             if tag in enders and opened.get(name):
-                for depth in range(1, min(len(stack), 30) + 1):
-                    if stack[-depth][0] == name:
-                        for _ in range(depth):
-                            pop()
-                        break
-                    if stack[-depth][0] in CONTAINERS:
-                        break
+                end({name})
         if m[3].endswith("/") and tag in ("svg", "math", "path"):
             continue
-        if tag == "body" and opened.get("head"):
-            while opened.get("head"):
-                pop()
         push(tag, m[3])
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
-            at = end.end() if end else size
+            ending = re.compile(rf"</{tag}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
+            at = ending.end() if ending else size
             pop()
     flush()
     return out
@@ -176,6 +209,9 @@ def blocks_of(page: str | None) -> list[Block]:
 def features(blocks: list[Block]) -> list[list[str]]:
     """Names of the features that hold for each block."""
     out, n, shared = [], len(blocks), {}
+    # a page without a telling name or element has features of its own, since nothing there speaks for a block but itself
+    bare = all(c in PLAIN_CUES for b in blocks for c in b.cues)
+    headed = False
     longest = max((len(b.text) for b in blocks), default=1)
     for i, b in enumerate(blocks):
         size = len(b.text)
@@ -192,11 +228,16 @@ def features(blocks: list[Block]) -> list[list[str]]:
             "long:page" if 2 * size >= longest else "short:page",
             "place:first" if i < 2 else "place:last" if i >= n - 2 else "place:inside",
         ]
+        if size <= SHORT:
+            own += {f"says:{w}" for w in SPOKEN_WORD.findall(b.text.lower()) if w in SAYS}
+        if bare:
+            own += ["follows:" + (blocks[i - 1].tag if i else "nothing"), "behind:title" if headed else "before:title"]
+            headed = headed or b.tag == "h1"
         if b.text[0] in "©®" or "©" in b.text:
             own.append("sign:copyright")
         if "|" in b.text or "·" in b.text or "»" in b.text:
-            own.append("sign:bar")
-        out.append(own + above)
+            own.append("sign:bar between links" if b.linked else "sign:bar")
+        out.append([f"bare {name}" for name in own] if bare else own + above)
     return out
 
 
@@ -234,8 +275,8 @@ class Field:
         return labels[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 300, rate: float = 0.3, penalty: float = 1e-4) -> Field:
-    """Gradient ascent (Adagrad) on the mean conditional log-likelihood, all pages at once by forward and backward sums."""
+def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 150, rate: float = 0.1, penalty: float = 1e-4) -> Field:
+    """Gradient ascent (Adam) on the mean conditional log-likelihood, all pages at once by forward and backward sums."""
     names = {name: k for k, name in enumerate(sorted({x for rows, _ in pages for names in rows for x in names}))}
     most, many = max(len(rows) for rows, _ in pages), len(pages)
     where, what = [], []
@@ -248,30 +289,37 @@ def train(pages: list[tuple[list[list[str]], list[int]]], rounds: int = 300, rat
             what += [names[x] for x in own]
     where, what = np.array(where), np.array(what)
     w, steps = np.zeros(len(names)), np.zeros((2, 2))
-    gw, gs = np.full(len(names), 1e-6), np.full((2, 2), 1e-6)
+    moments = [(np.zeros_like(w), np.zeros_like(w)), (np.zeros_like(steps), np.zeros_like(steps))]
     pairs = real[:, 1:]
     seen = np.array([[(pairs & (gold[:, :-1] == i) & (gold[:, 1:] == j)).sum() for j in (0, 1)] for i in (0, 1)], dtype=float)
     total = real.sum()
-    for _ in range(rounds):
-        score = np.zeros((many, most, 2))
-        score[:, :, 1] = np.bincount(where, weights=w[what], minlength=many * most).reshape(many, most)
-        forward, backward = np.zeros_like(score), np.zeros_like(score)
-        forward[:, 0] = score[:, 0]
-        for t in range(1, most):
-            new = np.logaddexp.reduce(forward[:, t - 1, :, None] + steps[None], axis=1) + score[:, t]
-            forward[:, t] = np.where(real[:, t, None], new, forward[:, t - 1])
-        z = np.logaddexp.reduce(forward[:, -1], axis=1)
+    flat, weight = gold - 0.0, real / total
+    for turn in range(1, rounds + 1):
+        # forward and backward sums as probabilities, scaled at each block
+        lift = np.exp(np.clip(np.bincount(where, weights=w[what], minlength=many * most).reshape(many, most), -60, 60)) * real
+        base = real.astype(float)
+        move = np.exp(steps - steps.max())
+        forward, backward = np.zeros((most, many, 2)), np.ones((most, many, 2))
+        for t in range(most):
+            own = forward[t - 1] @ move if t else np.ones((many, 2))
+            own = own * np.stack([base[:, t], lift[:, t]], axis=1)
+            forward[t] = own / np.maximum(own.sum(1, keepdims=True), 1e-300)
         for t in range(most - 2, -1, -1):
-            new = np.logaddexp.reduce(steps[None] + (score[:, t + 1] + backward[:, t + 1])[:, None, :], axis=2)
-            backward[:, t] = np.where(real[:, t + 1, None], new, 0)
-        own = np.exp(forward + backward - z[:, None, None])[:, :, 1] * real
-        both = np.exp(forward[:, :-1, :, None] + steps[None, None] + (score + backward)[:, 1:, None, :] - z[:, None, None, None]) * pairs[:, :, None, None]
-        dw = np.bincount(what, weights=((gold - own) * real).ravel()[where], minlength=len(names)) / total - penalty * w
-        ds = (seen - both.sum((0, 1))) / total - penalty * steps
-        gw += dw**2
-        gs += ds**2
-        w += rate * dw / np.sqrt(gw)
-        steps += rate * ds / np.sqrt(gs)
+            own = (backward[t + 1] * np.stack([base[:, t + 1], lift[:, t + 1]], axis=1)) @ move.T
+            own = np.where(real[:, t + 1, None], own, 1.0)
+            backward[t] = own / np.maximum(own.sum(1, keepdims=True), 1e-300)
+        both = forward * backward
+        own = (both[:, :, 1] / np.maximum(both.sum(2), 1e-300)).T * real
+        ahead = backward[1:] * np.stack([base[:, 1:].T, lift[:, 1:].T], axis=2)
+        pair = forward[:-1, :, :, None] * move[None, None] * ahead[:, :, None, :]
+        pair = pair / np.maximum(pair.sum((2, 3), keepdims=True), 1e-300) * pairs.T[:, :, None, None]
+        dw = np.bincount(what, weights=((flat - own) * weight).ravel()[where], minlength=len(names)) - penalty * w
+        ds = (seen - pair.sum((0, 1))) / total - penalty * steps
+        # Adam: means of the gradient and of its square, both freed of their start
+        for value, slope, (mean, square) in ((w, dw, moments[0]), (steps, ds, moments[1])):
+            mean += 0.1 * (slope - mean)
+            square += 0.01 * (slope**2 - square)
+            value += rate * (mean / (1 - 0.9**turn)) / (np.sqrt(square / (1 - 0.99**turn)) + 1e-8)
     return Field({name: float(w[k]) for name, k in names.items()}, steps)
 
 
@@ -288,6 +336,19 @@ FURNITURE = {
 }
 ARTICLE = ["content", "article", "article-body", "post", "post-content", "entry", "entry-content", "story", "story-body", "main", "main-content", "text", "body", "page-content"]
 SPOKEN = "the of and to in is was that for with on as it by from une des les que dans pour sur der die und das ist mit von los las por con para como also many old new first water house stone river light table music paper morning people city story world"
+#: What furniture says about itself.
+PHRASES = {
+    "nav": ["Home", "Contact", "About us", "Menu", "Skip to content", "Login", "Search", "Accueil", "Inicio", "Impressum"],
+    "head": ["Sign up", "Menu", "Search", "Subscribe"],
+    "foot": ["All rights reserved.", "Privacy and terms", "Contact and imprint", "Terms of use | Privacy policy", "Datenschutz"],
+    "side": ["Related stories", "Most read", "Popular", "Trending now", "Follow us"],
+    "notice": ["We use cookies to improve this site.", "By using this site you agree to our privacy terms.", "Subscribe to our newsletter.", "Accept all cookies", "Close"],
+    "ad": ["Advertisement", "Sponsored", "Promoted content"],
+    "form": ["Sign in", "Register", "Search this site", "Share", "Tweet this", "Subscribe"],
+    "comment": ["3 comments", "Reply", "Leave a comment", "Comments", "Log in to reply"],
+}
+#: Of the pages, those whose elements have no telling names at all.
+UNNAMED = 0.25
 MARK = "\ue000"
 
 
@@ -304,7 +365,7 @@ def labelled_pages(many: int = 800, seed: int = 5) -> list[str]:
 
     def prose(lo: int = 1, hi: int = 6) -> str:
         if chance(0.25):  # odd paragraphs are text too
-            return pick([pick(words), pick(words).upper() + "!!", pick(words).capitalize(), sentence(1, 3), " | ".join(sentence(1, 2) for _ in range(8)), sentence(8, 20).upper(), "### ".join(sentence(1, 3) for _ in range(6)), f"© {sentence(5, 20)}", "1,000 &amp; 2"])
+            return pick([pick(words), pick(words).upper() + "!!", pick(words).capitalize(), sentence(1, 3), " | ".join(sentence(1, 2) for _ in range(8)), " | ".join(pick(words) for _ in range(int(rng.integers(2, 30)))) + " |", sentence(8, 20).upper(), "### ".join(sentence(1, 3) for _ in range(6)), f"© {sentence(5, 20)}", "1,000 &amp; 2"])
         return " ".join(sentence(4, 22) for _ in range(int(rng.integers(lo, hi))))
 
     def link(text: str) -> str:
@@ -326,6 +387,8 @@ def labelled_pages(many: int = 800, seed: int = 5) -> list[str]:
             "comment": lambda: "".join(f"<div class='{pick(FURNITURE['comment'])}'><b>{sentence(1, 3)}</b><p>{prose(1, 4)}</p></div>" for _ in range(int(rng.integers(1, 5)))),
         }[kind]()
         own = {"nav": ["nav"], "head": ["header"], "foot": ["footer"], "side": ["aside"], "form": ["form"]}.get(kind, ["div", "section"])
+        if chance(0.4):
+            inside = f"<{(t := pick(['p', 'div', 'h3', 'span']))}>{pick(PHRASES[kind])}</{t}>{inside}"
         tag = pick(own) if chance(0.6) else pick(["div", "section", "ul" if kind == "nav" else "div"])
         name = pick(FURNITURE[kind])
         label = "" if tag in ("nav", "header", "footer", "aside", "form") and chance(0.5) else f' {pick(["class", "id", "class", "role"])}="{name}{pick(["", "", "-1", " wide", " box"])}"'
@@ -356,7 +419,7 @@ def labelled_pages(many: int = 800, seed: int = 5) -> list[str]:
         parts = [f"<{pick(['h1', 'h1', 'h2'])}>{MARK}{sentence(2, 12)}</h1>"] if chance(0.9) else []
         for _ in range(int(rng.integers(1, 12))):
             parts.append(f"<{(h := pick(['h2', 'h3', 'h4']))}>{MARK}{sentence(1, 6)}</{h}>" if chance(0.12) else paragraph())
-            if chance(0.06):
+            if chance(0.12):
                 parts.append(furniture(pick(["ad", "notice", "form", "side", "nav"])))
         inside = "".join(parts)
         shape = rng.random()
@@ -373,9 +436,16 @@ def labelled_pages(many: int = 800, seed: int = 5) -> list[str]:
 
     out = []
     for _ in range(many):
-        before = [furniture(k) for k in ("notice", "head", "nav", "ad", "form") if chance(0.45)]
-        after = [furniture(k) for k in ("ad", "side", "comment", "form", "foot", "notice") if chance(0.45)]
-        out.append(f"<!DOCTYPE html><html><head><title>{sentence(2, 8)}</title><style>p{{}}</style></head><body>{''.join(before)}{article()}{''.join(after)}" + pick(["</body></html>", ""]))
+        unnamed = chance(UNNAMED)  # such pages have only furniture that gives itself away
+        before = [furniture(k) for k in (("head", "nav", "form") if unnamed else ("notice", "head", "nav", "ad", "form")) if chance(0.45)]
+        after = [furniture(k) for k in (("nav", "form", "foot") if unnamed else ("ad", "side", "comment", "form", "foot", "notice")) if chance(0.45)]
+        body = "".join(before) + article() + "".join(after)
+        if unnamed:
+            body = re.sub(r"<(/?)(?:article|main|section|nav|header|footer|aside|form)\b", r"<\1div", re.sub(r""" (?:class|id|role)=(?:"[^"]*"|'[^']*'|\w+)""", "", body))
+            if chance(0.4):  # paragraphs are divisions too
+                body = re.sub(r"<(/?)(?:p|h[1-4])\b", r"<\1div", body)
+        head = pick([f"<head><title>{sentence(2, 8)}</title><style>p{{}}</style></head><body>", f"<head><title>{sentence(2, 8)}</title>", f"<title>{sentence(2, 8)}</title><body>"])
+        out.append(f"<!DOCTYPE html><html>{head}{body}" + pick(["</body></html>", ""]))
     return out
 
 

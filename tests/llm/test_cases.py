@@ -4,6 +4,7 @@ import hashlib
 import io
 import itertools
 import random
+import time
 import zipfile
 
 import numpy as np
@@ -205,6 +206,37 @@ def test_html_furniture_goes():
     assert html_extraction.main_text(page, html_extraction.trained_field()).split("\n") == ["Title of it", "First paragraph of the article, with words.", "Second paragraph, also with words."]
 
 
+STORY = ["the house by the river was old, and nobody had lived in it for many years.", "People said that the stone walls were warm even in winter; some came to see it.", "In the morning the light fell on the table where the paper lay."]
+
+
+def test_html_pages_without_telling_names():
+    field = html_extraction.trained_field()
+    page = "<html><head><title>x</title></head><body><div><a href=/>Home</a> | <a href=/n>News</a></div><div><div><h1>An old house</h1><p>" + "</p><p>".join(STORY) + "</p></div></div><div>&copy; 2020 example.com All rights reserved.</div></body></html>"
+    got = html_extraction.main_text(page, field).split("\n")
+    assert got[-3:] == STORY and not any("Home" in t or "2020" in t for t in got)
+    page = "<body><div><div><div>" + "</div><div>".join(STORY) + "</div></div></div>"
+    assert html_extraction.main_text(page, field).split("\n") == STORY
+    # names behind hundreds of others count too
+    page = "<article><h1>A title</h1><p>" + "<p>".join(STORY) + '</article><div class="' + "wrap " * 400 + 'comments"><p>I liked this article a lot.</p></div>'
+    assert html_extraction.main_text(page, field).split("\n") == ["A title", *STORY]
+
+
+def test_html_open_heads_and_quotes():
+    texts = lambda page: [b.text for b in html_extraction.blocks_of(page)]
+    assert texts("<html><head><title>x</title><h1>Title</h1><p>one<p>two") == ["Title", "one", "two"]
+    assert texts("<head><meta a=b><noscript><p>no</p></noscript><script>x</script>text<p>one") == ["text", "one"]
+    assert texts("<p title=it's>Hello, that isn't so.</p><p>More</p>") == ["Hello, that isn't so.", "More"]
+    assert texts("<p title='a > b'>x</p><p alt = \"c > 'd\">y</p>") == ["x", "y"]
+    assert texts("<p>" + "<b>" * 300 + "one<p>two" + "<i>" * 300 + "<td>three") == ["one", "two", "three"]
+
+
+@pytest.mark.parametrize("part", ["<a ", "<!", "<a x='", '<a x="', "<script>", "<script></script ", "<p><b>", "<!--", "<li><p>", "a = '", "<div>", "<a b=c ", "&amp", "< "])
+def test_html_broken_pages_take_linear_time(part):
+    began = time.process_time()
+    html_extraction.blocks_of(part * (1_000_000 // len(part)))
+    assert time.process_time() - began < 30
+
+
 def test_html_viterbi_is_the_best_labelling():
     rng = np.random.default_rng(4)
     field = html_extraction.Field({f"f{i}": float(rng.normal()) for i in range(6)}, rng.normal(size=(2, 2)))
