@@ -3,14 +3,17 @@
 A vector is coded as the sum of one codeword from each of ``books`` full-dimensional codebooks. The codebooks are
 fitted on a bounded sample, each by k-means to the residuals that the former ones leave, then refitted together by
 least squares. Every row is encoded by beam search, and keeps its code and the squared norm of its reconstruction.
-A query's approximate distance to a row is |q|^2 - 2 (sum of looked-up inner products) + stored norm. Each block of
-rows gives every query its ``shortlist`` best rows, the lists are merged to one shortlist per query, and those are
-reranked by exact Euclidean distance in double precision on the original vectors.
+A query's approximate distance to a row is |q|^2 - 2 (sum of looked-up inner products) + stored norm.
+
+Codes are written once, beside their vectors, and never sent to queries: the queries are broadcast, ``QUERY_BYTES`` of them
+at once (more take more rounds over the codes), and each task walks its codes in chunks. A chunk gives every query a
+shortlist by approximate distance, reranks it at once by exact distance in double precision on the original vectors, and
+keeps the ``k`` + 1 best so far; so a task hands on that many rows per query, however many codes and chunks it has. The
+chunks' shortlists together hold ``shortlist`` rows at least, each chunk's being its share with a margin for chance.
 
 Equal vectors are coded once: a distinct vector keeps its ``k`` + 1 smallest ids, which is all that a result of ``k``
-can hold of it, so a vector that a third of all rows share is one entry. Queries are met with rows in blocks; a query
-block has ``QUERY_BLOCK`` vectors at most. Where a shortlist holds too few different ids (an id may have many vectors),
-its queries are asked again with a longer one.
+can hold of it, so a vector that a third of all rows share is one entry. Where what is kept holds too few different ids
+(an id may have many vectors), its queries are asked again with more.
 
 Cases: vectors that are null, all zero, of another length than the most common one, or hold null or non-finite
 components take no part, neither do null ids; a repeated row counts once; an id with different vectors asks with each and
@@ -33,10 +36,12 @@ from .common import materialise
 BOOKS, WORDS, BEAM = 24, 64, 4
 #: Rows that the codebooks are fitted on at most.
 FIT_ROWS = 16_000
+#: Rows that are reranked for a query, at least.
 SHORTLIST = 600
-QUERY_BLOCK = 1024
-#: Codes that one task holds against a query block.
-ROW_CHUNK = 400_000
+#: Query vectors that are broadcast at once, in bytes; and how many of them are scored together.
+QUERY_BYTES, QUERY_BLOCK = 24 << 20, 512
+#: Codes of a chunk.
+ROW_CHUNK = 20_000
 SALTS = 64
 FINAL = "query_id long, rank int, vec_id long, score double"
 
@@ -147,15 +152,21 @@ def search(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embed
     quantiser = fit(np.array(sample["vec"].tolist(), dtype=float))
     shared = spark.sparkContext.broadcast(quantiser)
 
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            codes, norms = shared.value.encode(_matrix(batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(norms)], names=["entry", "vec", "code", "norm"])
+
+    coded = materialise(distinct.select("entry", "vec").mapInArrow(encode, "entry long, vec array<double>, code binary, norm double"), "codes")
     # each vector of a query id asks for itself
     queries = good.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vec")
     asked = materialise(queries.withColumn("ask", F.monotonically_increasing_id()), "queries")
-    entries = distinct.count()
+    entries = coded.count()
     wanted = good.select("vec_id").distinct().limit(k + 1).count() - 1
-    ranked = None
+    ranked, keep = None, k + 1
     while True:
-        done = materialise(_ask(distinct, asked, entries, shared, k, shortlist), "ranked")
-        if shortlist >= entries:
+        done = materialise(_ask(coded, distinct, asked, entries, shared, k, shortlist, keep), "ranked")
+        if keep >= entries:
             return done if ranked is None else ranked.unionByName(done)
         full = done.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= wanted).select("query_id")
         lacking = asked.join(full, "query_id", "left_anti")
@@ -163,50 +174,64 @@ def search(rows: DataFrame, is_query, k: int = 10, vec_id: str = "vec_id", embed
             return done if ranked is None else ranked.unionByName(done)
         some = done.join(full, "query_id", "left_semi")
         ranked = some if ranked is None else ranked.unionByName(some)
-        asked, shortlist = materialise(lacking, "queries"), 8 * shortlist
-
-
-def _ask(distinct: DataFrame, asked: DataFrame, entries: int, shared, k: int, shortlist: int) -> DataFrame:
-    """Ranks of the queries ``asked`` (query_id, vec, ask) by a shortlist of so many entries."""
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("ask"), F.lit(blocks)))
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            codes, norms = shared.value.encode(_matrix(batch.column(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(bytes, codes)), pa.binary()), pa.array(norms)], names=["entry", "code", "norm"])
-
-    # each chunk of codes meets each block of queries
-    chunks = max(4, -(-entries // ROW_CHUNK))
-    coded = distinct.select("entry", "vec").mapInArrow(encode, "entry long, code binary, norm double")
-    dealt = coded.withColumn("chunk", F.pmod(F.xxhash64("entry"), F.lit(chunks))).withColumn("block", F.explode(F.expr(f"sequence(0L, {blocks - 1}L)")))
-    asking = asked.withColumn("chunk", F.explode(F.expr(f"sequence(0L, {chunks - 1}L)")))
-
-    def shortlists(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"ask": pa.array([], pa.int64()), "entry": pa.array([], pa.int64()), "approx": pa.array([], pa.float64())})
-        asks, q = right.column("ask").to_numpy(), _matrix(right.column("vec").combine_chunks())
-        own_entries, norms = left.column("entry").to_numpy(), left.column("norm").to_numpy()
-        m, words, _ = shared.value.codebooks.shape
-        codes = np.frombuffer(b"".join(left.column("code").to_pylist()), dtype=np.uint8).reshape(-1, m)
-        look = (q.astype(np.float32) @ shared.value.flat.T).reshape(len(q), m, words)
-        own = (q**2).sum(1)
-        best_score, best_entry = np.full((len(q), 0), np.inf), np.zeros((len(q), 0), dtype=np.int64)
-        for at in range(0, len(codes), 2000):
-            some = slice(at, at + 2000)
-            approx = own[:, None] + norms[some][None, :]
-            for book in range(m):
-                approx -= 2 * look[:, book, codes[some, book]]
-            approx = np.concatenate([best_score, approx], axis=1)
-            entry = np.concatenate([best_entry, np.tile(own_entries[some], (len(q), 1))], axis=1)
-            if approx.shape[1] > shortlist:
-                keep = np.argpartition(approx, shortlist - 1, axis=1)[:, :shortlist]
-                approx, entry = np.take_along_axis(approx, keep, axis=1), np.take_along_axis(entry, keep, axis=1)
-            best_score, best_entry = approx, entry
-        return pa.table({"ask": np.repeat(asks, best_score.shape[1]), "entry": best_entry.ravel(), "approx": best_score.ravel()})
-
-    near = dealt.groupBy("block", "chunk").cogroup(asking.groupBy("block", "chunk")).applyInArrow(shortlists, "ask long, entry long, approx double")
-    cut = near.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy("approx", "entry"))).where(F.col("n") <= shortlist)
+        asked, shortlist, keep = materialise(lacking, "queries"), 8 * shortlist, 8 * keep
+
+
+def _share(entries: int, rows: int, shortlist: int, keep: int) -> int:
+    """Of a chunk of so many rows, how many are reranked: its part of the shortlist, and thrice its standard deviation."""
+    mean = shortlist * rows / max(1, entries)
+    return min(rows, max(2 * keep, int(mean + 3 * mean**0.5) + keep))
+
+
+def _nearest(q: np.ndarray, codes: np.ndarray, norms: np.ndarray, x: np.ndarray, quantiser: Quantiser, many: int, keep: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a block of queries and a chunk: squared distances and rows of the ``keep`` nearest among the ``many`` approximately nearest."""
+    books, words, _ = quantiser.codebooks.shape
+    look = (q.astype(np.float32) @ quantiser.flat.T).reshape(len(q), books, words)
+    approx = np.broadcast_to(norms.astype(np.float32), (len(q), len(codes))).copy()  # |q|^2 is the same for all rows
+    for book in range(books):
+        approx -= 2 * look[:, book, codes[:, book]]
+    near = np.argpartition(approx, many - 1, axis=1)[:, :many] if many < len(codes) else np.tile(np.arange(len(codes)), (len(q), 1))
+    exact = np.concatenate([((x[near[i : i + 64]] - q[i : i + 64, None, :]) ** 2).sum(2) for i in range(0, len(q), 64)])
+    if keep < near.shape[1]:
+        best = np.argpartition(exact, keep - 1, axis=1)[:, :keep]
+        return np.take_along_axis(exact, best, axis=1), np.take_along_axis(near, best, axis=1)
+    return exact, near
+
+
+def _ask(coded: DataFrame, distinct: DataFrame, asked: DataFrame, entries: int, shared, k: int, shortlist: int, keep: int) -> DataFrame:
+    """Ranks of the queries ``asked`` (query_id, vec, ask), by the ``keep`` nearest entries that shortlists of so many give."""
+    context = coded.sparkSession.sparkContext
+    at_once = max(1, QUERY_BYTES // (8 * shared.value.codebooks.shape[2]))
+    rounds = max(1, -(-asked.count() // at_once))
+    dealt = asked.select("ask", "vec").withColumn("round", F.pmod(F.xxhash64("ask"), F.lit(rounds)))
+    found = None
+    for number in range(rounds):
+        own = dealt.where(F.col("round") == number).select("ask", "vec").toPandas()
+        asking = context.broadcast((own["ask"].to_numpy(np.int64), np.array(own["vec"].tolist(), dtype=float)))
+
+        def scan(batches: Iterator[pa.RecordBatch], asking=asking) -> Iterator[pa.RecordBatch]:
+            asks, q = asking.value
+            score, entry = np.full((len(asks), 0), np.inf), np.zeros((len(asks), 0), np.int64)
+            for chunk in _chunks(batches, ROW_CHUNK):
+                x = _matrix(chunk.column("vec"))
+                codes = np.frombuffer(b"".join(chunk.column("code").to_pylist()), dtype=np.uint8).reshape(len(x), -1)
+                norms, entry_ids = chunk.column("norm").to_numpy(), chunk.column("entry").to_numpy()
+                many = _share(entries, len(x), shortlist, keep)
+                parts = [_nearest(q[i : i + QUERY_BLOCK], codes, norms, x, shared.value, many, keep) for i in range(0, len(q), QUERY_BLOCK)]
+                if parts:
+                    score = np.concatenate([score, np.concatenate([p[0] for p in parts])], axis=1)
+                    entry = np.concatenate([entry, entry_ids[np.concatenate([p[1] for p in parts])]], axis=1)
+                if score.shape[1] > keep:
+                    best = np.argpartition(score, keep - 1, axis=1)[:, :keep]
+                    score, entry = np.take_along_axis(score, best, axis=1), np.take_along_axis(entry, best, axis=1)
+            for i in range(0, len(asks), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(asks[i : i + 10_000], score.shape[1])), pa.array(entry[i : i + 10_000].ravel()), pa.array(score[i : i + 10_000].ravel())], names=["ask", "entry", "near"])
+
+        near = coded.mapInArrow(scan, "ask long, entry long, near double")
+        near = materialise(near, "near") if rounds > 1 else near
+        found = near if found is None else found.unionByName(near)
+    # ties at the end of what is kept: equal distances are kept alike, and vectors at equal distance are different entries
+    cut = found.withColumn("n", F.row_number().over(Window.partitionBy("ask").orderBy("near", "entry"))).where(F.col("n") <= keep)
     pairs = cut.select("ask", "entry").join(asked.select("ask", "query_id", F.col("vec").alias("q")), "ask").join(distinct.select("entry", "vec", "ids"), "entry")
     exact = F.sqrt(F.aggregate(F.zip_with("q", "vec", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x))
     scored = pairs.select("query_id", "ids", exact.alias("score")).select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
@@ -215,6 +240,18 @@ def _ask(distinct: DataFrame, asked: DataFrame, entries: int, shared, k: int, sh
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def _chunks(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about so many rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held and sum(map(len, held)):
+        yield pa.concat_batches(held)
+
+
 def brute_force(vectors: dict[int, np.ndarray], queries: list[int], k: int = 10) -> list[tuple[int, int, int, float]]:
     """Exact neighbours, for tests."""
     ids = np.array(sorted(vectors))
