@@ -137,6 +137,38 @@ def test_ann_ties_copies_and_unusable(spark):
     assert [v for q, _, v, _ in sorted(got) if q == 1000] == list(range(1001, 1011))
 
 
+@pytest.mark.parametrize("many,dims,shortlist", [(2000, 64, 60), (20_000, 32, 600)])
+def test_ann_recall_of_a_short_list(spark, monkeypatch, many, dims, shortlist):
+    rng = np.random.default_rng(many)
+    x = rng.normal(size=(many, dims))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(3)
+    monkeypatch.setattr(ann, "ROW_CHUNK", 5_000)
+    monkeypatch.setattr(ann, "QUERY_BYTES", 8 * dims * 60)  # several rounds
+    assert 3 * ann._share(many, many // 3, shortlist, 11) < 0.1 * many
+    got = {(r.query_id, r.vec_id): r.score for r in ann.search(df, lambda v: v % 100 == 0, shortlist=shortlist).collect()}
+    asked = [i for i in range(many) if i % 100 == 0]
+    want = ann.brute_force(dict(enumerate(x)), asked)
+    hit = [(q, v) in got for q, _, v, _ in want]
+    assert len(got) == len(want) and np.mean(hit) >= 0.9
+    assert all(abs(got[q, v] - s) < 1e-9 for q, _, v, s in want if (q, v) in got)
+
+
+def test_ann_codes_decide_what_is_reranked():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 16))
+    quantiser = ann.fit(x, books=8, words=32)
+    codes, norms = quantiser.encode(x)
+    q = rng.normal(size=(40, 16))
+    score, row = ann._nearest(q, codes, norms, x, quantiser, 60, 10)
+    true = np.argsort(((x[None] - q[:, None]) ** 2).sum(2), axis=1)[:, :10]
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(row, true, strict=True)]) > 0.8
+    assert np.allclose(score, ((x[row] - q[:, None]) ** 2).sum(2))
+    wrong, _ = quantiser.encode(rng.permutation(x))  # codes of other rows find next to nothing
+    _, row = ann._nearest(q, wrong, norms, x, quantiser, 60, 10)
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(row, true, strict=True)]) < 0.3
+
+
 def test_ann_few_and_none(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0]), (7, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert [(r.query_id, r.rank, r.vec_id, round(r.score, 6)) for r in ann.search(few, lambda v: v % 100 == 0).collect()] == [(0, 1, 7, 1.414214)]
@@ -554,9 +586,73 @@ def test_label_model_weighs_repeated_voters_once():
     vote = lambda p, q: np.where(rng.random(3000) < np.where(y, p, q), 1, 0)
     one, two = vote(0.6, 0.02), vote(0.5, 0.05)
     votes = np.stack([one, one, one, two], axis=1).astype(np.int8)
-    model = toxicity.LabelModel(votes, np.where(np.arange(3000) < 600, y, np.nan))
+    model = toxicity.LabelModel(votes)
     assert model.share[:3] == pytest.approx(1 / 3, abs=0.02) and model.share[3] > 0.9
-    assert ((model.posterior(votes) > 0.5) == y)[600:].mean() > 0.8
+
+
+def plain_label_model(votes, balance, rounds):
+    """Expectation-maximisation vote by vote, voters taken as independent."""
+    post = []
+    for row in votes.tolist():
+        tally = sum(row)
+        post.append(0.95 if tally >= 2 else 0.5 if tally == 1 else 0.02)
+    for _ in range(rounds):
+        chance = {}
+        for c in (1, 0):
+            total = sum(p if c else 1 - p for p in post)
+            for j in range(votes.shape[1]):
+                for v, s in ((1, 0.5), (-1, 0.5), (0, 1.0)):
+                    chance[c, j, v] = (sum((p if c else 1 - p) for p, row in zip(post, votes.tolist(), strict=True) if row[j] == v) + s) / (total + 2)
+        post = []
+        for row in votes.tolist():
+            z = np.log(balance / (1 - balance)) + sum(np.log(chance[1, j, v] / chance[0, j, v]) for j, v in enumerate(row) if v)
+            post.append(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    return np.array(post)
+
+
+def test_label_model_is_the_plain_one_for_independent_voters():
+    rng = np.random.default_rng(3)
+    y = rng.random(400) < 0.2
+    fires = lambda p, q, v: np.where(rng.random(400) < np.where(y, p, q), v, 0)
+    votes = np.stack([fires(0.9, 0.03, 1), fires(0.8, 0.05, 1), fires(0.8, 0.02, 1), fires(0.05, 0.9, -1)], axis=1).astype(np.int8)
+    model = toxicity.LabelModel(votes, rounds=6)
+    assert np.allclose(model.share, 1)
+    assert np.allclose(model.posterior(votes), plain_label_model(votes, model.balance, 6), atol=1e-9)
+    assert ((model.posterior(votes) > 0.5) == y).mean() > 0.93
+
+
+def test_mined_words_are_those_of_a_plain_count(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(160):
+        words = [f"{rng.choice('bcdfg')}{rng.choice('aeiou')}lla{rng.choice('xyz')}" for _ in range(30)]
+        if i % 4 == 0:
+            words += [f"zorkel{rng.choice('abc')}{rng.choice('de')}" for _ in range(3)] + ["grimp"]
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame([(int(i % 4 == 0), t) for i, t in rows], "label int, text string")
+    docs = [[w.lower() for w in t.split()] for _, t in rows]
+    found = set(toxicity.mine(df))
+    names = {w for d in docs for w in d} | {w[:n] + "*" for d in docs for w in d for n in toxicity.BEGINNINGS if len(w) > n}
+    surest = {}
+    for name in names:
+        holds = [sum(w.startswith(name[:-1]) and len(w) > len(name) - 1 for w in d) >= 2 if name.endswith("*") else name in d for d in docs]
+        toxic, clean = sum(h and i % 4 == 0 for i, h in enumerate(holds)), sum(h and i % 4 != 0 for i, h in enumerate(holds))
+        if toxic > clean and toxicity.sure_share(float(toxic), float(clean)) >= toxicity.PRECISE:
+            surest[name] = round(toxicity.sure_share(float(toxic), float(clean)), 9)
+    want: list[str] = []
+    for name in sorted(surest, key=lambda x: (-surest[x], len(x), x)):
+        plain = name.rstrip("*")
+        if not any(w.rstrip("*").startswith(plain) or (w.endswith("*") and plain.startswith(w[:-1])) for w in want):
+            want.append(name)
+    assert found == set(want) and {"zork*", "grimp"} <= found
+
+
+def test_toxicity_of_an_empty_table_and_clashing_columns(spark):
+    model = toxicity.fit(docs_of(spark, []), spark.createDataFrame([], LABELS))
+    assert toxicity.score(docs_of(spark, []), model).count() == 0
+    got = {r.doc_id: r for r in toxicity.score(docs_of(spark, [*ODD, (9, "You IDIOT, you pathetic moron.")]), model).collect()}
+    assert got[9].predicted == 1 and got[4].predicted == 0 and got[None].held_out
 
 
 # --- pipeline and slices

@@ -102,6 +102,15 @@ def test_classifiers_on_the_held_out_fold(spark, duck, name, label, least):
     assert np.mean([r.predicted == known[r.doc_id] for r in held]) >= least
 
 
+def test_op10_recall_and_precision_on_held_out_rows(spark):
+    sf = "/root/testdata/sf0.1"
+    known = dict(duckdb.connect().execute(f"select doc_id, toxic from '{sf}/labels.parquet'").fetchall())
+    held = [r for r in entries.QUERIES["op10_toxicity"](spark, sf).collect() if r.held_out and r.doc_id in known]
+    caught = sum(r.predicted and known[r.doc_id] for r in held)
+    assert caught / sum(known[r.doc_id] for r in held) >= 0.9
+    assert caught / sum(r.predicted for r in held) >= 0.95
+
+
 def test_op8_is_native_and_whole(spark, duck):
     df = entries.QUERIES["op8_chat_formatting"](spark, SF)
     plan = df._jdf.queryExecution().toString()
@@ -128,10 +137,10 @@ def test_pipeline_against_stages_one_by_one(spark, tmp_path, duck):
     whole = corpus_pipeline.run(spark, SF)
     assert rows_of(whole.drop("sequence_id", "offset").toPandas()) == rows_of(docs.drop("sequence_id", "offset").toPandas())
     items = duck.execute("select item_id, text from benchmark").fetchall()
-    automaton = decontamination.build_automaton([(str(i), t) for i, t in items])
+    hit = {i for i, _, n, *_ in decontamination.brute_force([(r.doc_id, r.text) for r in spark.read.parquet(str(tmp_path / "secret_scans")).collect()], items) if n}
     last = spark.read.parquet(str(tmp_path / "secret_scans")).collect()
     assert len(last) == kept[2] == kept[3] < kept[0] < 200
-    assert all(not decontamination.scan_text(automaton, r.text)[1] and not sum(map(len, secret_scan.find_spans(r.text))) and r.n_chars == len(r.text) for r in last)
+    assert not hit and all(not sum(map(len, secret_scan.find_spans(r.text))) and r.n_chars == len(r.text) for r in last)
 
 
 def test_html_field_on_unseen_pages():
