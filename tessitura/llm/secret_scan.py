@@ -5,7 +5,10 @@ dropped. The Markov scan looks at every token of ``MIN_SCORED`` or more identifi
 character chains, one trained on labelled random strings (hex, base32, base62, base64), one on labelled ordinary
 identifiers (words in snake, camel and kebab case, paths, version numbers), give its log-likelihood ratio. A token
 whose ratio per character is above the threshold is a span of kind ``markov``. Base spans are cut out of a token first;
-each part that is left, without the joining signs at the cut, is scored for itself from ``MIN_PART`` characters on.
+each part that is left, without the joining signs at the cut, is scored for itself from ``MIN_PART`` characters on. In an
+address's path (``scheme://host/path``) each step is scored for itself, from ``MIN_TOKEN`` characters on: shorter ones are
+mostly names of pages. The threshold is fitted on labelled validation strings that the chains weren't trained on: it is the
+least one that takes at most ``FALSE_SHARE`` of the ordinary ones for secrets.
 
 Cases: null and empty texts give zero counts and empty span lists; a repeated row gives its row again; very long
 tokens are scored whole; extra columns are ignored. Offsets are code points, ends exclusive.
@@ -38,8 +41,12 @@ MIN_TOKEN = 20
 MIN_SCORED, MIN_PART = 16, 6
 TOKEN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_SCORED},}}")
 JOINING = "+/_=-"
-#: Nats a character by which the random model must beat the identifier model.
-THRESHOLD = 0.8
+#: Of labelled ordinary strings, what may pass the threshold at most.
+FALSE_SHARE = 0.0005
+#: The threshold is never below this, however well the validation strings are told apart: texts hold stranger words than they do.
+FLOOR = 0.8
+#: An address up to its query: scheme, host, path.
+ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#\"'<>]*([^\s?#\"'<>]*)")
 
 #: Ordinary words of source code and prose that the labelled identifiers are made of.
 WORDS = """
@@ -68,6 +75,11 @@ def labelled_samples(seed: int = 20, each: int = 6000) -> tuple[list[str], list[
         own = [words[i] for i in rng.integers(0, len(words), size=int(rng.integers(4, 9)))]
         text = ["_".join(own), "".join(w.capitalize() for w in own), "-".join(own), "/".join(own), "".join(own), "_".join(own).upper(), "".join(own).upper(), own[0] + "".join(w.capitalize() for w in own[1:])][k % 8]
         ordinary.append(text + (str(rng.integers(0, 3000)) if rng.random() < 0.3 else ""))
+    # long words that no list has, made of parts of words
+    for _ in range(each // 4):
+        own = [words[i] for i in rng.integers(0, len(words), size=int(rng.integers(4, 9)))]
+        text = "".join(w[(a := int(rng.integers(0, max(1, len(w) - 2)))) : a + int(rng.integers(2, 5))] for w in own)
+        ordinary.append(text.capitalize() if rng.random() < 0.2 else text)
     ordinary += ["=" * n for n in range(MIN_TOKEN, 80)] + ["-" * n for n in range(MIN_TOKEN, 80)] + ["_" * n for n in range(MIN_TOKEN, 80)] + ["ab" * n for n in range(10, 40)]
     return random, ordinary
 
@@ -81,9 +93,33 @@ def train_chain(strings: list[str], smooth: float = 0.5) -> np.ndarray:
     return np.log(counts / counts.sum(axis=1, keepdims=True))
 
 
+def address_steps(rng: np.random.Generator, words: list[str]) -> list[str]:
+    """Ordinary steps of addresses' paths: titles with years and numbers, file names, and short names of pages."""
+    own = [words[i] for i in rng.integers(0, len(words), size=int(rng.integers(2, 8)))]
+    return ["-".join(own), "_".join(own), f"{rng.integers(1990, 2030)}/{rng.integers(1, 13):02d}/{'-'.join(own)}", f"{'-'.join(own)}-{rng.integers(1, 10**6)}", "/".join(w.capitalize() for w in own)]
+
+
+@lru_cache(None)
+def threshold(length: int = MIN_SCORED) -> float:
+    """Nats a character by which the random chain must beat the identifier chain, from validation strings.
+
+    Parts shorter than ``MIN_SCORED`` say less, so their threshold is fitted on ordinary strings cut to their length.
+    """
+    _, ordinary = labelled_samples(seed=21)
+    rng = np.random.default_rng(22)
+    words = [w for w in WORDS.split() if w.isascii()]
+    ordinary += [x for _ in range(1200) for x in address_steps(rng, words)]
+    if length < MIN_SCORED:
+        ordinary = [x[a : a + length] for x in ordinary for a in range(0, len(x) - length + 1, length)]
+    return max(FLOOR, float(np.quantile([ratio(x) for x in ordinary if len(x) >= length], 1 - FALSE_SHARE, method="higher")))
+
+
 @lru_cache(1)
 def ratio_table() -> np.ndarray:
     random, ordinary = labelled_samples()
+    rng = np.random.default_rng(19)
+    words = [w for w in WORDS.split() if w.isascii()]
+    ordinary += [x for _ in range(600) for x in address_steps(rng, words)]
     return train_chain(random) - train_chain(ordinary)
 
 
@@ -93,9 +129,30 @@ def ratio(token: str) -> float:
     return float(ratio_table()[np.concatenate(([0], codes[:-1])), codes].sum() / len(codes))
 
 
-def find_spans(text: str | None, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def tokens(text: str) -> Iterator[tuple[int, int, int]]:
+    """Tokens to score, with the least length of a whole one: runs of identifier characters, cut at the steps of addresses' paths."""
+    paths = [m.span(1) for m in ADDRESS.finditer(text) if m[1]] if "://" in text else []
+    k = 0
+    for m in TOKEN.finditer(text):
+        at, b = m.span()
+        while k < len(paths) and paths[k][1] <= at:
+            k += 1
+        j = k
+        while at < b:
+            inside = j < len(paths) and paths[j][0] <= at
+            stop = min(b, (paths[j][1] if inside else paths[j][0]) if j < len(paths) else b)
+            if inside:
+                for step in re.finditer(r"[^/]+", text[at:stop]):
+                    yield at + step.start(), at + step.end(), MIN_TOKEN
+            else:
+                yield at, stop, MIN_SCORED
+            at, j = stop, j + inside
+
+
+def find_spans(text: str | None, least: float | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, spans that the Markov models add), each as (start, kind's number, end), in order."""
     text = text or ""
+    passes = lambda token: ratio(token) > (threshold(min(len(token), MIN_SCORED)) if least is None else least)
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18] if "AKIA" in text else []
     base += [(m.start(), 2, m.end()) for m in HEX_LONG.finditer(text)]
@@ -107,12 +164,11 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> tuple[list[tup
         else:
             covered.append((a, b))
     added, k = [], 0
-    for m in TOKEN.finditer(text):
-        a, b = m.span()
+    for a, b, long_enough in tokens(text):
         while k < len(covered) and covered[k][1] <= a:
             k += 1
         if k == len(covered) or covered[k][0] >= b:
-            if ratio(m[0]) > threshold:
+            if b - a >= long_enough and passes(text[a:b]):
                 added.append((a, 3, b))
             continue
         at, j = a, k
@@ -121,7 +177,7 @@ def find_spans(text: str | None, threshold: float = THRESHOLD) -> tuple[list[tup
             part = text[at:stop] if at < stop else ""
             lead = len(part) - len(part.lstrip(JOINING)) if at > a or covered[k][0] < a else 0
             end = at + (len(part.rstrip(JOINING)) if stop < b else len(part))
-            if end - at - lead >= MIN_PART and ratio(text[at + lead : end]) > threshold:
+            if end - at - lead >= MIN_PART and passes(text[at + lead : end]):
                 added.append((at + lead, 3, end))
             at, j = max(at, after), j + 1
     return base, added
@@ -134,13 +190,13 @@ def join_spans(spans: list[tuple[int, int, int]]) -> str:
 SCANNED = "doc_id long, spans array<struct<kind:string,start:int,end:int>>, n_assign long, n_access long, n_hex long, base_sha256 string, span_text string"
 
 
-def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: float | None = None) -> DataFrame:
     """One row per document row: its spans with kinds and code-point offsets, counts by base kind, digests. No shuffle."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text"):
-            found = [find_spans(t, threshold) for t in part.column("text").to_pylist()]
+            found = [find_spans(t, least) for t in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
@@ -155,14 +211,14 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold:
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCANNED)
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", threshold: float = THRESHOLD) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", least: float | None = None) -> DataFrame:
     """``docs``, all rows and columns, with every span of its text replaced by ``mark``; ``n_chars`` follows the text."""
 
     def clean(t: str | None) -> str | None:
         if not t:
             return t
         out, at = [], 0
-        for a, _, b in sorted(sum(find_spans(t, threshold), [])):
+        for a, _, b in sorted(sum(find_spans(t, least), [])):
             if a >= at:
                 out += [t[at:a], mark]
             at = max(at, b)

@@ -10,6 +10,8 @@ import pytest
 import corpus_pipeline
 from tessitura.llm import ann, decontamination, entries, html_extraction, packing, secret_scan
 
+from test_cases import plain_base
+
 SF = "/root/testdata/sf0.001"
 SMALL = "/root/testdata/sf0.01"
 
@@ -63,6 +65,7 @@ def test_op6_spans(spark, duck):
     docs = dict(duck.execute("select doc_id, text from documents").fetchall())
     for r in entries.QUERIES["op6_secret_scan"](spark, SF).collect():
         base, added = secret_scan.find_spans(docs[r.doc_id])
+        assert [(secret_scan.KINDS[k], a, b) for a, k, b in base] == plain_base(docs[r.doc_id] or "")
         assert r.base_sha256 == hashlib.sha256(secret_scan.join_spans(base).encode()).hexdigest()
         assert r.spans == secret_scan.join_spans(base + added)
         assert r.n_hex == sum(k == 2 for _, k, _ in base)
