@@ -4,8 +4,9 @@ A document's set is its distinct word shingles, as 64-bit hashes. The global n-g
 range by rising frequency) is cut into fragments; a fragment's task sees each set's segment of that range and counts
 partial overlaps there, and the partial counts are summed per pair. Fragments are hash ranges, and their number grows with
 the input, so each holds a bounded number of n-grams on average; a class sends a fragment one row a task, however many
-copies it has, and documents' own rows are never grouped. An n-gram that many different documents share still gives its
-fragment a row for each of them.
+copies it has, and documents' own rows are never grouped. N-grams that over ``HOT`` different sets hold (found in a sample
+that grows with the input, ``HOT_SAMPLE``; only the way of the work depends on it) are known to be shared, so step 1 counts
+them where they are read and sends them to no fragment; later steps see them for the remaining classes alone.
 
 1. Documents with equal sets are one class. The segments (32 bits an n-gram) of the order's first part, ``PART`` of it,
    meet in their fragments, which count for each class how many of its n-grams there another class has too. A link
@@ -19,7 +20,8 @@ fragment a row for each of them.
    at most the smaller count) reaches the threshold. Copies that already hang together are never paired again.
 4. Those pairs' partial overlaps are counted and summed as in step 2; all links together give the components.
 
-No link between components is lost: steps 1 and 3 only leave out pairs that can't reach the threshold or lie inside
+A class is a 64-bit hash of the set, checked against a second one: if two sets ever met in a class, all is done anew with
+another seed. No link between components is lost: steps 1 and 3 only leave out pairs that can't reach the threshold or lie inside
 one component. Cases: null, empty and wordless texts have an empty set, no link, and themselves as component; fewer
 words than a shingle make one shingle; rows with a null doc_id are in no class (component null); repeated rows are in
 one class; a doc_id with several texts has a row for each, and links of either; an empty table gives no rows; extra
@@ -49,6 +51,8 @@ LEAST_FRAGMENTS, LEAST_LATER = 24, 12
 #: Of the n-gram order, what step 1 looks at. A text without near copies has this share of its n-grams for itself, and is
 #: settled by it as long as it is well over a fifth.
 PART = 3 / 8
+#: Sets that hold an n-gram before it is hot, and of how many documents one is looked at for that.
+HOT, HOT_SAMPLE = 20_000, 64
 #: Members of equal segments on which the others are hung; only the order of work depends on it.
 HUBS = 4
 #: Partners of a class that are tried before all others in step 3; only the order of work depends on it.
@@ -74,8 +78,8 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct shingle hashes of all texts on end, how many each text has, and each set's own hash."""
+def shingle_sets(texts: pa.Array, width: int = SHINGLE, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of all texts on end, how many each text has, each set's own hash, and a second one."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.values.slice(offsets[0], offsets[-1] - offsets[0])
@@ -88,7 +92,7 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.
     for k in range(1, width):
         rolled = rolled * prime + words[k : k + len(rolled)]
     rolled = _mix(rolled)
-    sets, sizes, keys = [], np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    sets, sizes, keys, checks = [], *(np.zeros(len(texts), np.int64) for _ in range(3))
     for i, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
         if b - a >= width:
             own = np.unique(rolled[a : b - width + 1])
@@ -102,8 +106,28 @@ def shingle_sets(texts: pa.Array, width: int = SHINGLE) -> tuple[np.ndarray, np.
             continue
         sets.append(own)
         sizes[i] = len(own)
-        keys[i] = np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64)
-    return np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes, keys
+        whole = np.array(_set_keys(own.tobytes(), seed), dtype=np.uint64).astype(np.int64)
+        keys[i], checks[i] = whole
+    return np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes, keys, checks
+
+
+def _set_keys(raw: bytes, seed: int) -> tuple[int, int]:
+    return xxhash.xxh3_64_intdigest(raw, seed=2 * seed), xxhash.xxh3_64_intdigest(raw, seed=2 * seed + 1)
+
+
+def hot_grams(base: DataFrame, rows: int, width: int, seed: int = 0) -> np.ndarray:
+    """Sorted hashes of the n-grams that, by the sample, over ``HOT`` different sets hold. At most one in ``HOT`` of all n-grams."""
+    if rows < HOT:
+        return np.zeros(0, np.uint64)
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text", 1 << 20):
+            flat, sizes, keys, _ = shingle_sets(part.column("text"), width, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(np.repeat(keys, sizes))], names=["gram", "k"])
+
+    sample = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(grams, "gram long, k long").distinct()
+    often = sample.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, HOT / HOT_SAMPLE))
+    return np.sort(np.array([r["gram"] for r in often.select("gram").collect()], dtype=np.int64).view(np.uint64))
 
 
 def _segments(flat: np.ndarray, sizes: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -321,20 +345,33 @@ def _links(segments: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """A row per document row: doc_id, n_shingles, component_id (least doc_id that links reach)."""
     with arrow_batches(docs.sparkSession, BATCH):
-        return _components(docs, doc_id, text, width)
+        for seed in range(8):
+            found = _components(docs, doc_id, text, width, seed)
+            if found is not None:
+                return found
+        raise RuntimeError("set hashes keep colliding")
 
 
-def _components(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+def _components(docs: DataFrame, doc_id: str, text: str, width: int, seed: int) -> DataFrame | None:
+    """None where different sets have met in a class."""
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    words = base.agg(F.coalesce(F.sum(F.length(F.col("text"))), F.lit(0))).first()[0] // 6
+    letters, rows = base.agg(F.coalesce(F.sum(F.length(F.col("text"))), F.lit(0)), F.count(F.lit(1))).first()
+    words = letters // 6
+    shared_hot = docs.sparkSession.sparkContext.broadcast(hot_grams(base, rows, width, seed))
     fragments = int(max(LEAST_FRAGMENTS, -(-words * PART // FRAGMENT)))
     whole = round(fragments / PART)  # fragments of the whole order, of which the first are looked at
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        hot = shared_hot.value
         for part in text_slices(batches, "text", 4 << 20):
-            flat, sizes, keys = shingle_sets(part.column("text"), width)
-            row, fragment, ends = _segments(flat, sizes, whole)
+            flat, sizes, keys, checks = shingle_sets(part.column("text"), width, seed)
+            own_sizes = sizes
+            if len(hot) and len(flat):
+                cold = hot[np.minimum(np.searchsorted(hot, flat), len(hot) - 1)] != flat
+                own_sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[cold], minlength=len(sizes)).astype(np.int64)
+                flat = flat[cold]
+            row, fragment, ends = _segments(flat, own_sizes, whole)
             many = len(sizes)
             ids = part.column("doc_id")
             # a row per document, in no fragment; and the segments of each set that an id has, once a task
@@ -351,11 +388,16 @@ def _components(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFram
                     pa.array(sizes[own]),
                     grams,
                     pa.array(part_sizes[own]),
+                    pa.array(checks[own]),
                 ],
-                names=["fragment", "doc_id", "k", "n", "grams", "part"],
+                names=["fragment", "doc_id", "k", "n", "grams", "part", "second"],
             )
 
-    scanned = materialise(base.mapInArrow(cut, "fragment int, doc_id long, k long, n long, grams binary, part long"), "scanned")
+    scanned = materialise(base.mapInArrow(cut, "fragment int, doc_id long, k long, n long, grams binary, part long, second long"), "scanned")
+    keyed = scanned.where("fragment is null and n > 0").groupBy("k").agg(F.min("second").alias("a"), F.max("second").alias("b"))
+    if not keyed.where("a <> b").isEmpty():
+        discard(scanned)
+        return None
     first = materialise(scanned.where("fragment is not null").select("fragment", "k", "n", "grams").groupBy("fragment").applyInArrow(_count_shared, FIRST), "shared")
     meta = scanned.where("fragment is null").select("doc_id", "k", "n", "part")
     classes = meta.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("part").alias("part"), F.count(F.lit(1)).alias("copies"))
@@ -370,7 +412,7 @@ def _components(docs: DataFrame, doc_id: str, text: str, width: int) -> DataFram
     def recut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for part in text_slices(batches, "text", 4 << 20):
-            flat, sizes, keys = shingle_sets(part.column("text"), width)
+            flat, sizes, keys, _ = shingle_sets(part.column("text"), width, seed)
             fine = keys == part.column("k").to_numpy()  # else another text of this doc_id
             fine = _unseen(keys, fine, seen)
             flat, sizes, keys = flat[np.repeat(fine, sizes)], sizes[fine], keys[fine]

@@ -105,6 +105,53 @@ def test_jaccard_copies_meet_once_a_task(spark, monkeypatch):
     assert made["scanned"].where("fragment is null").count() == len(rows) and made["shared"].count() < 100
 
 
+def test_jaccard_with_hot_ngrams(spark, monkeypatch):
+    """A line in every document, a third of copies, a third without words; the line's n-grams are in no fragment."""
+    rng = random.Random(12)
+    line = [f"line{i}" for i in range(14)]
+    rows = [(i, "") for i in range(40)] + [(100 + i, " ".join(line + ["same", "copy", "of", "all"])) for i in range(40)]
+    for i in range(60):
+        own = [f"v{rng.randrange(60)}" for _ in range(rng.choice([0, 1, 2, 3, 40]))]
+        rows.append((200 + i, " ".join(line + own)))
+    df = docs_of(spark, rows)
+    want = brute_components(rows)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect())) == want
+    monkeypatch.setattr(jaccard_join, "HOT", 12)
+    monkeypatch.setattr(jaccard_join, "HOT_SAMPLE", 1)
+    made, keep = {}, jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda d, what: made.update({what: keep(d, what)}) or made[what])
+    hot = jaccard_join.hot_grams(df.select("doc_id", "text"), len(rows), 5)
+    assert len(hot) >= 10
+    assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect())) == want
+    sent = {bytes(r.grams)[i : i + 4] for r in made["scanned"].where("fragment is not null").collect() for i in range(0, len(r.grams), 4)}
+    assert not sent & {h.astype("<u4").tobytes() for h in hot.astype("uint64")}
+
+
+def test_jaccard_begins_anew_where_set_hashes_collide(spark, monkeypatch):
+    rows = [(1, "a b c d e f"), (2, "g h i j k l m"), (3, "a b c d e f")]
+    df, keys = docs_of(spark, rows), []
+
+    def collide(raw, seed):
+        import xxhash
+
+        return (7 if seed == 0 else xxhash.xxh3_64_intdigest(raw, seed=seed)), xxhash.xxh3_64_intdigest(raw, seed=1)
+
+    monkeypatch.setattr(jaccard_join, "_set_keys", collide)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect())) == brute_components(rows) and not keys
+
+
+def test_near_duplicate_stage_drops_rows_not_ids(spark, tmp_path):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(12)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (3, c), (3, d), (None, b), (None, "null only text of its own words"), (4, None), (4, None), (5, c + " more"), (0, "zz"), (0, "zz")]
+    want = sorted([(1, a), (2, b), (3, c), (3, d), (-1, "null only text of its own words"), (4, ""), (4, ""), (0, "zz")])
+    for given in (rows, rows[::-1]):
+        df = docs_of(spark, given).repartition(3)
+        got = corpus_pipeline.near_duplicate_stage(spark, df, str(tmp_path))
+        assert got.columns == df.columns
+        assert sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in got.collect()) == want
+    assert corpus_pipeline.near_duplicate_stage(spark, docs_of(spark, []), str(tmp_path)).count() == 0
+
+
 def test_jaccard_odd_rows(spark):
     got = jaccard_join.jaccard_components(docs_of(spark, ODD)).collect()
     assert sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in got) == [(0, 1, 0), (1, 0, 1), (2, 0, 2), (3, 0, 3), (4, 59_996, 4), (5, 1, 5), (5, 1, 5), (6, 1, 6)]
