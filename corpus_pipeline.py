@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last return the columns
 of ``docs``. Null and empty texts, repeated rows, empty tables and extra columns are met as the operators' docstrings
-say; a null doc_id takes no part in near duplicates and is kept.
+say. Near duplicates are found among rows: rows with a null doc_id take part, and of an id with several texts each is
+judged for itself.
 """
 
 from __future__ import annotations
@@ -14,6 +15,10 @@ from tessitura.llm import decontamination, jaccard_join, packing, quality, secre
 from tessitura.llm.common import materialise
 
 
+#: The name of the row numbers inside a stage.
+ROW = "_tessitura_row"
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -21,17 +26,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; of a repeated id, one row."""
-    found = materialise(jaccard_join.jaccard_components(docs), "components")
-    dropped = found.where("component_id <> doc_id").select("doc_id").distinct()
-    repeated = found.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    gone = materialise(dropped.union(repeated).distinct(), "gone")
-    single = docs.join(gone, "doc_id", "left_anti")
-    again = materialise(repeated.join(dropped, "doc_id", "left_anti"), "repeated")
-    if again.isEmpty():
-        return single.select(docs.columns)
-    one = docs.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return single.select(docs.columns).unionByName(one.select(docs.columns))
+    """Of each group of near duplicates one row stays: that with the least doc_id, nulls last. Rows are told apart by a number, not by id."""
+    rows = materialise(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    found = materialise(jaccard_join.jaccard_components(rows.select(ROW, "text"), doc_id=ROW).select(F.col("doc_id").alias(ROW), "component_id"), "components")
+    ids = found.join(rows.select(ROW, "doc_id"), ROW)
+    kept = ids.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", ROW))[ROW].alias(ROW))
+    gone = materialise(found.join(kept, ROW, "left_anti").select(ROW), "gone")
+    return rows.join(gone, ROW, "left_anti").select(docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
