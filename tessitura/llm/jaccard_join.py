@@ -52,7 +52,7 @@ LEAST_FRAGMENTS, LEAST_LATER = 24, 12
 #: settled by it as long as it is well over a fifth.
 PART = 3 / 8
 #: Sets that hold an n-gram before it is hot, and of how many documents one is looked at for that.
-HOT, HOT_SAMPLE = 20_000, 64
+HOT, HOT_SAMPLE = 100_000, 64
 #: Members of equal segments on which the others are hung; only the order of work depends on it.
 HUBS = 4
 #: Partners of a class that are tried before all others in step 3; only the order of work depends on it.
@@ -394,13 +394,9 @@ def _components(docs: DataFrame, doc_id: str, text: str, width: int, seed: int)
             )
 
     scanned = materialise(base.mapInArrow(cut, "fragment int, doc_id long, k long, n long, grams binary, part long, second long"), "scanned")
-    keyed = scanned.where("fragment is null and n > 0").groupBy("k").agg(F.min("second").alias("a"), F.max("second").alias("b"))
-    if not keyed.where("a <> b").isEmpty():
-        discard(scanned)
-        return None
     first = materialise(scanned.where("fragment is not null").select("fragment", "k", "n", "grams").groupBy("fragment").applyInArrow(_count_shared, FIRST), "shared")
-    meta = scanned.where("fragment is null").select("doc_id", "k", "n", "part")
-    classes = meta.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("part").alias("part"), F.count(F.lit(1)).alias("copies"))
+    meta = scanned.where("fragment is null").select("doc_id", "k", "n", "part", "second")
+    classes = meta.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("part").alias("part"), F.count(F.lit(1)).alias("copies"), (F.min("second") != F.max("second")).alias("odd"))
     shared = first.where(F.col("kind") == SHARED).groupBy("k").agg(F.sum("other").alias("shared"))
     alone = F.col("part") - F.coalesce(F.col("shared"), F.lit(0))
     alive = materialise(classes.join(shared, "k", "left").where(100 * alone <= (100 - PERCENT) * F.col("n")).select("k", "rep", "n"), "alive")
@@ -442,9 +438,12 @@ def _components(docs: DataFrame, doc_id: str, text: str, width: int, seed: int)
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     placed_classes = named.join(least, "component").select("k", "component_id")
     # classes of one document without links need no row here: the document is its own component
-    copies = classes.where("copies > 1").select("k", "rep")
-    table = materialise(copies.join(placed_classes, "k", "full").select("k", F.coalesce("component_id", "rep").alias("component_id")), "classes")
-    out = meta.join(table, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    copies = classes.where("copies > 1").select("k", "rep", "odd")
+    table = materialise(copies.join(placed_classes, "k", "full").select("k", F.coalesce("component_id", "rep").alias("component_id"), "odd"), "classes")
+    if not table.where("odd").isEmpty():  # different sets have met in a class
+        discard(scanned, segments, alive, table)
+        return None
+    out = meta.drop("second").join(table.drop("odd"), "k", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     discard(segments, alive)
     return out
 
