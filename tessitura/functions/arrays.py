@@ -143,7 +143,7 @@ def sample_index(ms: Column, total_samples: Column, rate: int = SAMPLE_RATE) ->
 
 def sample_index_truncated(ms: Column, rate: int = SAMPLE_RATE) -> Column:
     """The other rounding: towards zero."""
-    return F.floor(ms * rate / 1000).cast("long")
+    return (ms * rate / 1000).cast("double").cast("long")
 
 
 def frame_start_s(frame: Column) -> Column:

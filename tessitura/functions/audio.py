@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import wave
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,16 +37,37 @@ def decode_pcm(payload: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([one(r, k) for r, k in zip(payload, form, strict=True)])
 
 
+#: Half of the low-pass filter's length, in periods of the lower rate, and the Kaiser window's shape.
+HALF_LENGTH, KAISER = 10, 5.0
+
+
 def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
-    """Band-limited resampling by the spectrum; the length is that of the target rate."""
+    """Polyphase resampling by the reduced ratio of the rates: up, a windowed-sinc low pass of unit gain, down.
+
+    The result has ceil(n * up / down) samples. Only the filter taps that meet a sample are computed: output k sees the
+    inputs around k * down / up through the phase (k * down) mod up of the filter.
+    """
     if source == target or not len(x):
         return x.astype(np.float32)
-    size = max(1, round(len(x) * target / source))
-    spectrum = np.fft.rfft(x)
-    cut = np.zeros(size // 2 + 1, dtype=complex)
-    n = min(len(cut), len(spectrum))
-    cut[:n] = spectrum[:n]
-    return (np.fft.irfft(cut, size) * size / len(x)).astype(np.float32)
+    common = math.gcd(source, target)
+    up, down = target // common, source // common
+    most = max(up, down)
+    half = HALF_LENGTH * most
+    at = np.arange(-half, half + 1)
+    taps = np.sinc(at / most) * np.kaiser(2 * half + 1, KAISER)
+    taps *= up / taps.sum()
+    size = -(-len(x) * up // down)
+    reach = half // up + 1
+    padded = np.concatenate([np.zeros(reach), x.astype(np.float64), np.zeros(reach + 1)])
+    out = np.empty(size)
+    near = np.arange(-reach, reach + 1)
+    for begin in range(0, size, 65_536):
+        place = np.arange(begin, min(size, begin + 65_536)) * down
+        first, phase = place // up, place % up
+        tap = phase[:, None] - near[None, :] * up + half  # of the filter, for input first + near
+        weight = np.where((tap >= 0) & (tap <= 2 * half), taps[np.clip(tap, 0, 2 * half)], 0.0)
+        out[begin : begin + len(place)] = (padded[np.minimum(first[:, None] + near[None, :] + reach, len(padded) - 1)] * weight).sum(axis=1)
+    return out.astype(np.float32)
 
 
 @F.pandas_udf(ArrayType(FloatType()))

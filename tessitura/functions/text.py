@@ -145,7 +145,7 @@ def merge_rendered(parts: Column) -> Column:
         kept = F.when(emotion(cut) == emotion(done["text"]), F.substring(done["text"], F.lit(1), F.length(done["text"]) - 1)).otherwise(done["text"])
         return F.when(part == "", done).otherwise(F.struct(F.concat(kept, F.trim(cut)).alias("text"), event(cut).alias("event")))
 
-    merged = F.aggregate(F.slice(parts, 2, 1_000_000), start, step)["text"]
+    merged = F.aggregate(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), start, step)["text"]
     return F.trim(F.replace(merged, F.lit("The."), F.lit(" ")))
 
 
@@ -154,12 +154,30 @@ def display_width(text: Column) -> Column:
     return F.length(text) + F.regexp_count(text, F.lit(WIDE))
 
 
+def clip_tail(text: Column, cells: int) -> Column:
+    """The end of a text that fits into so many terminal cells; an ellipsis stands for what is cut off in front.
+
+    Whole characters stay, so a clipped text may be a cell narrower than allowed; with one cell or none there is no
+    room for more than the ellipsis.
+    """
+    width = lambda c: F.when(c.rlike(WIDE), F.lit(2)).otherwise(F.lit(1))
+    start = F.struct(F.lit("").alias("kept"), F.lit(max(0, cells - 1)).alias("room"))
+
+    def step(done: Column, c: Column) -> Column:
+        # once a character doesn't fit, nothing before it does
+        fits = width(c) <= done["room"]
+        return F.struct(F.when(fits, F.concat(c, done["kept"])).otherwise(done["kept"]).alias("kept"), F.when(fits, done["room"] - width(c)).otherwise(F.lit(-1)).alias("room"))
+
+    cut = F.aggregate(F.reverse(F.regexp_extract_all(text, F.lit("(?s)."), 0)), start, step, lambda done: F.concat(F.lit("…"), done["kept"]))
+    return F.when(display_width(text) <= cells, text).otherwise(cut if cells > 0 else F.lit(""))
+
+
 def command_of(message: Column) -> Column:
-    """A bare command word, lower-cased; messages that begin with ``{`` are left to ``json_command``."""
-    return F.lower(F.trim(message))
+    """A bare command word, lower-cased; messages that begin with ``{`` are as they came, for ``json_command``."""
+    return F.when(F.trim(message).startswith("{"), message).otherwise(F.lower(F.trim(message)))
 
 
 def format_of(url: Column) -> Column:
-    """The ``format`` parameter of a request's address: float32 or int16, float32 if anything else."""
-    asked = F.lower(F.regexp_extract(url, r"[?&]format=([^&#]+)", 1))
+    """The ``format`` parameter of a request's address, percent-decoded: float32 or int16, float32 if anything else."""
+    asked = F.lower(F.try_url_decode(F.regexp_extract(url, r"[?&]format=([^&#]+)", 1)))
     return F.when(asked.isin("int16", "float32"), asked).otherwise("float32")

@@ -14,9 +14,8 @@ def reference_key(numeric_id: Column, key: Column) -> Column:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """``rows`` over at least as many partitions as there are cores."""
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """``rows`` dealt out evenly, in as many partitions as a shuffle has; adaptive execution may not join them again."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def score_pairs(refs: DataFrame, hyps: DataFrame, keys: list[str], letters: str = r"\p{L}\p{N}_") -> DataFrame:

@@ -207,6 +207,12 @@ def pcm_downmix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).select("vec_id", F.round(A.total(F.transform(A.scale(mono.cast("array<double>"), 32768.0), F.abs)), 3).alias("level"))
 
 
+@query(f"select vec_id, cast(70 as int) as width, round(list_sum(vec), 6) as total, 0.5 as last from ({_FRAMES})")
+def padded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = A.pad(F.col("vec"), F.lit(70), 0.5)
+    return _frames(spark, sf_dir).select("vec_id", F.size(p).alias("width"), F.round(A.total(F.col("vec")), 6).alias("total"), F.element_at(p, -1).alias("last"))
+
+
 @query()
 def forced_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames' scores against ten tokens per recording; tested against all paths on small cases."""

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.functions import lookups
 from tessitura.functions import text as T
+from tessitura.functions.audio import json_command
 from tessitura.operators import scoring
 
 QUERIES: dict = {}
@@ -91,6 +93,12 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tagged(spark, sf_dir).select("doc_id", T.normalize(F.col("tagged"), "A-Za-z0-9_").alias("norm_text"))
 
 
+@query(f"select doc_id, upper(replace(regexp_replace(regexp_replace({_TAGGED}, '<\\|[^|]*\\|>', '', 'g'), '[^\\p{{L}}\\p{{N}}_]', '', 'g'), 'ß', 'SS')) as norm_text from documents")
+def normalize_unicode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The default normal form: letters and digits of all scripts. DuckDB leaves a sharp s as it is, which its SQL spells out."""
+    return _tagged(spark, sf_dir).select("doc_id", T.normalize(F.col("tagged")).alias("norm_text"))
+
+
 @query("select doc_id, array_to_string(regexp_extract_all(text, '([\\x21-\\x7F\\x00-\\x08\\x0E-\\x1F]+|[^\\x00-\\x7F])'), '/') as tokens from documents")
 def split_code_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.split_mixed(F.col("text")), "/").alias("tokens"))
@@ -210,6 +218,22 @@ def bare_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.command_of(F.expr("case when event_id % 2 = 0 then '  ' || upper(event_type) || ' ' else event_type end")).alias("command"))
 
 
+_MESSAGE = "case event_id % 5 when 0 then ' {\"type\": \"' || upper(event_type) || '\", \"n\": 1} ' when 1 then '{\"type\": \"' || event_type || '\"} x' when 2 then '{\"kind\": 3}' when 3 then '[1]' else ' ' || upper(event_type) end"
+
+
+@query("select event_id, case event_id % 5 when 0 then lower(event_type) when 1 then '' when 2 then '' when 3 then '[1]' else lower(event_type) end as command from events")
+def json_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON frames and bare words; what follows an object breaks it."""
+    return table(spark, sf_dir, "events").select("event_id", json_command(F.expr(_MESSAGE)).alias("command"))
+
+
+@query("select doc_id, cast(case doc_id % 3 when 0 then 14 when 1 then 15 else case when doc_id % 2 = 0 then 14 else 15 end end as int) as norm_id from documents")
+def text_norm_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An explicit choice, else the flag's."""
+    explicit = F.when(F.col("doc_id") % 3 == 0, "withitn").when(F.col("doc_id") % 3 == 1, "woitn")
+    return table(spark, sf_dir, "documents").select("doc_id", lookups.choose_text_norm(explicit, F.col("doc_id") % 2 == 0, TEXT_NORMS).alias("norm_id"))
+
+
 @query("select event_id, case event_id % 3 when 1 then 'int16' else 'float32' end as format from events")
 def handshake_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.expr("case event_id % 3 when 0 then 'ws://host/?x=1' when 1 then '/?a=b&format=INT16' else '/?format=float64' end")

@@ -31,11 +31,30 @@ def join_side_files(files: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _last_of_each(rows: DataFrame, order: str) -> DataFrame:
+    """Of rows with equal keys the last one."""
+    others = [c for c in rows.columns if c not in ("key", order)]
+    last = rows.groupBy("key").agg(F.max_by(F.struct(*others), F.col(order)).alias("last"))
+    return last.select("key", *[F.col(f"last.{c}").alias(c) for c in others])
+
+
 def read_references(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of {id or key, ref, duration}: key, ref, duration. Of a repeated key one row stays."""
-    raw = spark.read.schema("id string, key string, ref string, duration double").option("multiLine", True).option("primitivesAsString", True).json(path)
-    numeric = F.expr("try_cast(id as int)")
-    return raw.select(F.when(numeric.isNotNull(), F.format_string("%03d", numeric)).otherwise(F.col("key")).alias("key"), "ref", F.coalesce("duration", F.lit(0.0)).alias("duration")).dropDuplicates(["key"])
+    """A JSON array of {id or key, ref, duration}: key, ref, duration. Of a repeated key the last row stays.
+
+    A whole number as id makes the key; an id of another JSON type is ignored in favour of ``key``. The array is read as
+    text first, since a reader of columns would not tell the number 12 from the text "12".
+    """
+    items = F.from_json("value", "array<string>")
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(items).alias("_place", "item"))
+    whole = F.regexp_extract(F.get_json_object("item", "$.id"), r"^-?[0-9]+$", 0)
+    # the id's own JSON: a text keeps its quotes inside a map of raw values
+    raw = F.element_at(F.from_json("item", "map<string,variant>"), "id")
+    number = F.schema_of_variant(raw).isin("BIGINT") & (whole != "")
+    key = F.when(number, F.format_string("%03d", whole.cast("long"))).otherwise(F.get_json_object("item", "$.key"))
+    made = rows.select(
+        F.struct("_file", "_place").alias("_order"), key.alias("key"), F.get_json_object("item", "$.ref").alias("ref"), F.coalesce(F.get_json_object("item", "$.duration").cast("double"), F.lit(0.0)).alias("duration")
+    )
+    return _last_of_each(made, "_order")
 
 
 def read_hypotheses(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,9 +63,11 @@ def read_hypotheses(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_timings(spark: SparkSession, path: str) -> DataFrame:
-    """``key seconds`` lines; short lines and other values are skipped."""
-    parts = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.size(parts) >= 2).select(F.get(parts, 0).alias("key"), F.expr(r"try_cast(get(split(trim(value), '\\s+'), 1) as double)").alias("seconds")).where("seconds is not null")
+    """``key seconds`` lines; short lines and other values are skipped, of a repeated key the last line stays."""
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("_file"), F.posexplode(F.split("value", "\r?\n")).alias("_place", "line"))
+    parts = lines.select(F.struct("_file", "_place").alias("_order"), F.split(F.trim("line"), r"\s+").alias("p")).where(F.size("p") >= 2)
+    made = parts.select("_order", F.get("p", 0).alias("key"), F.expr("try_cast(get(p, 1) as double)").alias("seconds")).where("seconds is not null")
+    return _last_of_each(made, "_order")
 
 
 def read_frames(spark: SparkSession, path: str) -> DataFrame:

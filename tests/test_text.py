@@ -85,3 +85,17 @@ def test_commands_and_formats(spark):
     x = ['{"type": "eof"}', '  {"type": "EOF"}  ', "  RESET \n", '{"type": "eof"', '{"type": "eof"}}', '"eof"', "[1]"]
     assert one(spark, json_command(F.col("x")), *x) == ["eof", "eof", "reset", "", "", '"eof"', "[1]"]
     assert one(spark, T.format_of(F.col("x")), "/?format=INT16", "/?format=float64", "/", "ws://h/p?a=1&format=float32") == ["int16", "float32", "float32", "float32"]
+
+
+def test_clip_tail(spark):
+    df = spark.createDataFrame([("abc",), ("abcdefgh",), ("你好世界",), ("a你b好c",), ("",), (None,)], "t string")
+    assert [r[0] for r in df.select(T.clip_tail(F.col("t"), 5)).collect()] == ["abc", "…efgh", "…世界", "…b好c", "", None]
+    assert [r[0] for r in df.select(T.clip_tail(F.col("t"), 4)).collect()] == ["abc", "…fgh", "…界", "…好c", "", None]
+    assert df.select(T.clip_tail(F.col("t"), 1)).collect()[1][0] == "…"
+
+
+def test_commands_and_formats(spark):
+    df = spark.createDataFrame([(' {"type": "EOF"} ',), (" Reset ",)], "t string")
+    assert [r[0] for r in df.select(T.command_of(F.col("t"))).collect()] == [' {"type": "EOF"} ', "reset"]
+    urls = spark.createDataFrame([("/?format=INT%31%36",), ("/?format=%zz",), ("/",)], "u string")
+    assert [r[0] for r in urls.select(T.format_of(F.col("u"))).collect()] == ["int16", "float32", "float32"]
