@@ -7,6 +7,8 @@ one row per range and joined to it. A key with a third of all rows is so windowe
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,10 +46,10 @@ def running_sum(rows: DataFrame, key: str, order: str, value: str, name: str) ->
     return handed.withColumn(name, F.coalesce(inside, F.lit(0)) + F.col("_former")).drop("_range", "_former")
 
 
-def running_max(rows: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:
-    """The largest ``value`` before each row; null where there is none. ``order`` tells rows apart."""
+def running_max(rows: DataFrame, key: str, order: str, value: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
+    """The largest ``value`` before each row; null where there is none. ``order``, then ``ties``, tell rows apart."""
     cut = _cut(rows, order)
-    inside = F.max(value).over(Window.partitionBy(key, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    inside = F.max(value).over(Window.partitionBy(key, "_range").orderBy(order, *ties).rowsBetween(Window.unboundedPreceding, -1))
     handed = _hand_over(cut, key, F.max(value), F.max("_own").over(_earlier(key)))
     return handed.withColumn(name, F.greatest(inside, "_former")).drop("_range", "_former")
 
@@ -68,3 +70,15 @@ def latest(rows: DataFrame, key: str, order: str, value: str, name: str) -> Data
     given = F.max_by(F.col(value), F.when(F.col(value).isNotNull(), F.col(order)))
     handed = _hand_over(cut, key, given, F.last("_own", ignorenulls=True).over(_earlier(key)))
     return handed.withColumn(name, F.coalesce(inside, "_former")).drop("_range", "_former")
+
+
+def over_neighbours(rows: DataFrame, key: str, order: str, before: int, after: int, name: str, value: Callable[[Window], Column]) -> DataFrame:
+    """``value`` of a window that sees at most ``before`` earlier and ``after`` later rows.
+
+    ``order`` numbers a key's rows without gaps. A range also gets its neighbours' rows within that margin, and gives
+    results for its own rows only.
+    """
+    first, last = (F.floor((F.col(order) + F.lit(shift)) / F.lit(RANGE)) for shift in (-after, before))
+    spread = rows.withColumn("_range", F.explode(F.sequence(first, last)))
+    found = spread.withColumn(name, value(Window.partitionBy(key, "_range").orderBy(order)))
+    return found.where(F.col("_range") == F.floor(F.col(order) / F.lit(RANGE))).drop("_range")

@@ -5,6 +5,8 @@ Intervals are (start_ms, end_ms) with -1 for an edge that isn't known; times are
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,9 +41,9 @@ def pair_segments(events: DataFrame, key: str, order: str, time: str, end_of: Da
     return paired.select(key, "start_ms", "end_ms")
 
 
-def keep_apart(segments: DataFrame, key: str, order: str, total: str, start: str = "start", end: str = "end") -> DataFrame:
-    """Starts moved past all earlier ends, ends cut to the stream, empty segments dropped. ``order`` follows the starts."""
-    found = ordered.running_max(segments, key, order, end, "_before")
+def keep_apart(segments: DataFrame, key: str, ties: Sequence[str], total: str, start: str = "start", end: str = "end") -> DataFrame:
+    """Starts moved past all earlier ends, ends cut to the stream, empty segments dropped. The order is by start, then ``ties``."""
+    found = ordered.running_max(segments, key, start, end, "_before", ties)
     moved = found.withColumn(start, F.greatest(F.lit(0), F.col(start), F.col("_before"))).withColumn(end, F.least(F.col(end), F.col(total))).drop("_before")
     return moved.where(F.col(end) > F.col(start))
 

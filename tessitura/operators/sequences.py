@@ -33,19 +33,50 @@ def run_timestamps(rows: DataFrame, key: str, order: str, value: str, blank: int
     )
 
 
-def memory_filter(rows: DataFrame, key: str, order: str, value: Column, taps: list[float], before: int) -> Column:
-    """A frame plus the weighted sum of its neighbours: tap k weighs the row ``before - k`` places earlier; 0 outside."""
-    own = Window.partitionBy(key).orderBy(order)
-    out = value
-    for k, weight in enumerate(taps):
-        shift = before - k
-        near = value if not shift else F.coalesce((F.lag(value, shift) if shift > 0 else F.lead(value, -shift)).over(own), F.lit(0.0))
-        out = out + near * weight
-    return out
-
-
-def sliding_sum(key: str, order: str, value: Column, rows: int) -> Column:
-    return F.sum(value).over(Window.partitionBy(key).orderBy(order).rowsBetween(-(rows - 1), 0))
+def memory_filter(rows: DataFrame, key: str, frame: str, value: str, taps: list[float], before: int, name: str) -> DataFrame:
+    """A frame plus the weighted sum of its neighbours: tap k weighs the row ``before - k`` places earlier; 0 outside.
+
+    Frames are numbered without gaps, as by ``numbered``.
+    """
+
+    def weighted(own: Window) -> Column:
+        out = F.col(value)
+        for k, weight in enumerate(taps):
+            shift = before - k
+            near = F.col(value) if not shift else F.coalesce((F.lag(value, shift) if shift > 0 else F.lead(value, -shift)).over(own), F.lit(0.0))
+            out = out + near * weight
+        return out
+
+    return ordered.over_neighbours(rows, key, frame, max(before, 0), max(len(taps) - 1 - before, 0), name, weighted)
+
+
+def sliding_sum(rows: DataFrame, key: str, frame: str, value: str, many: int, name: str) -> DataFrame:
+    """The sum of ``value`` over a frame and the ``many - 1`` before it; frames are numbered without gaps."""
+    return ordered.over_neighbours(rows, key, frame, many - 1, 0, name, lambda own: F.sum(value).over(own.rowsBetween(-(many - 1), 0)))
+
+
+def stack_rows(rows: DataFrame, key: str, frame: str, vec: str, m: int, n: int) -> DataFrame:
+    """Stacks of ``m`` frames, one every ``n``, as rows (key, frame, stacked); frames outside a key are its first or last one.
+
+    The result of ``arrays.stack_frames`` without a key's frames in one row: each frame goes to the few stacks that
+    hold it. Frames are numbered from 0 without gaps.
+    """
+    left = (m - 1) // 2
+    sized = rows.join(rows.groupBy(key).agg((F.max(frame) + 1).alias("_all")), key)
+    at = F.col(frame)
+    lowest = F.greatest(F.lit(0), F.when(at > 0, F.floor((at + left - m + 1) / F.lit(n))).otherwise(0))
+    highest = F.when(at == F.col("_all") - 1, F.ceil(F.col("_all") / F.lit(n)) - 1).otherwise(F.least(F.floor((at + left) / F.lit(n)), F.ceil(F.col("_all") / F.lit(n)) - 1))
+    stacks = sized.where(highest >= lowest).withColumn("_stack", F.explode(F.sequence(lowest, highest)))
+    places = stacks.withColumn("_place", F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+    held = places.where(F.greatest(F.lit(0), F.least(F.col("_stack") * n + F.col("_place") - left, F.col("_all") - 1)) == at)
+    made = held.groupBy(key, F.col("_stack").cast("int").alias("_stack")).agg(F.array_sort(F.collect_list(F.struct(F.col("_place"), F.col(vec).alias("_vec")))).alias("_own"))
+    return made.select(key, F.col("_stack").alias(frame), F.flatten(F.transform("_own", lambda x: x["_vec"])).alias("stacked"))
+
+
+def moments(rows: DataFrame, key: str, vec: str, width: int) -> DataFrame:
+    """Each key's shift (minus the mean) and scale (1 / deviation) by dimension, as arrays: one aggregate, no row per dimension."""
+    each = [F.get(vec, F.lit(d)) for d in range(width)]
+    return rows.groupBy(key).agg(F.array(*[-F.avg(x) for x in each]).alias("shift"), F.array(*[1 / F.stddev_pop(x) for x in each]).alias("scale"))
 
 
 def numbered(rows: DataFrame, key: str, order: str, name: str = "frame") -> DataFrame:

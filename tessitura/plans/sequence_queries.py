@@ -85,6 +85,8 @@ def layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 M, N = 7, 6
+#: Dimensions of a vector of ``embeddings``.
+WIDTH = 64
 
 
 @query(
@@ -94,9 +96,7 @@ s as (select key, i, flatten(list_transform(range(0, {M}), lambda j: v[greatest(
 select key, cast(i as int) as frame, cast(len(s) as int) as width, round(list_sum(s), 6) as total, round(s[1], 6) as first, round(s[-1], 6) as last from s"""
 )
 def lfr_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A recording's frames are gathered in order, stacked, and dealt out as rows again."""
-    whole = _frames(spark, sf_dir).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("frame", "vec"))), lambda x: x["vec"]).alias("v"))
-    s = whole.select("key", F.posexplode(A.stack_frames(F.col("v"), M, N)).alias("frame", "s"))
+    s = sequences.stack_rows(_frames(spark, sf_dir), "key", "frame", "vec", M, N).withColumnRenamed("stacked", "s")
     return s.select("key", "frame", F.size("s").alias("width"), F.round(A.total(F.col("s")), 6).alias("total"), F.round(F.get("s", F.lit(0)), 6).alias("first"), F.round(F.element_at("s", -1), 6).alias("last"))
 
 
@@ -108,9 +108,7 @@ select u.key, u.frame, round(sum((x - mean) / sd), 5) as total, round(max((x - m
 def cmvn_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shift and scale from each recording's own mean and deviation by dimension, as two arrays on each frame."""
     f = _frames(spark, sf_dir)
-    stats = f.select("key", F.posexplode("vec").alias("d", "x")).groupBy("key", "d").agg((-F.avg("x")).alias("shift"), (1 / F.stddev_pop("x")).alias("scale"))
-    arrays = stats.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("d", "shift", "scale"))).alias("s"))
-    made = f.join(arrays, "key").withColumn("v", A.cmvn(F.col("vec"), F.transform("s", lambda x: x["shift"]), F.transform("s", lambda x: x["scale"])))
+    made = f.join(sequences.moments(f, "key", "vec", WIDTH), "key").withColumn("v", A.cmvn(F.col("vec"), F.col("shift"), F.col("scale")))
     return made.select("key", "frame", F.round(A.total(F.col("v")), 5).alias("total"), F.round(F.array_max("v"), 5).alias("most"))
 
 
@@ -147,9 +145,9 @@ TAPS, BEFORE = [0.1, 0.2, -0.3, 0.25, 0.05], 2
 cast(sum(case when x > 0 then 1 else 0 end) over (partition by key order by frame rows between 19 preceding and current row) as double) as speech from f window w as (partition by key order by frame)"""
 )
 def memory_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _frames(spark, sf_dir).withColumn("x", F.get("vec", F.lit(0)))
-    y = sequences.memory_filter(f, "key", "frame", F.col("x"), TAPS, BEFORE)
-    return f.select("key", "frame", F.round(y, 6).alias("y"), F.round(sequences.sliding_sum("key", "frame", F.when(F.col("x") > 0, 1.0).otherwise(0.0), 20), 0).alias("speech"))
+    f = _frames(spark, sf_dir).select("key", "frame", F.get("vec", F.lit(0)).alias("x"), F.when(F.get("vec", F.lit(0)) > 0, 1.0).otherwise(0.0).alias("loud"))
+    y = sequences.memory_filter(f, "key", "frame", "x", TAPS, BEFORE, "y")
+    return sequences.sliding_sum(y, "key", "frame", "loud", 20, "speech").select("key", "frame", F.round("y", 6).alias("y"), F.round("speech", 0).alias("speech"))
 
 
 _D = 8

@@ -82,9 +82,7 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"with s as ({_SEGMENTS}), m as (select key, event_id, greatest(0, start, coalesce(max(\"end\") over (partition by key order by start, \"end\", event_id rows between unbounded preceding and 1 preceding), 0)) as start, least(\"end\", 9100) as \"end\" from s) select key, event_id, start as start_at, \"end\" as end_at from m where \"end\" - start >= 4")
 def segments_apart(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _segments(spark, sf_dir).withColumn("total", F.lit(9100).cast("long"))
-    # starts, then ends, then ids: one order
-    s = s.withColumn("at", F.col("start") * 10**10 + F.col("end") * 10**6 + F.col("event_id") % 10**6)
-    kept = S.at_least(S.keep_apart(s, "key", "at", "total"), 4)
+    kept = S.at_least(S.keep_apart(s, "key", ["end", "event_id"], "total"), 4)
     return kept.select("key", "event_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"))
 
 
@@ -134,6 +132,23 @@ def _pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("key").alias("stream_id"), F.col("seq").cast("long").alias("seq"), F.lit(7680).cast("long").alias("samples"), pairs.alias("intervals"), last.alias("is_final"), F.lit(None).cast("string").alias("control"))
 
 
+_GATE = f"""with recursive e as (select key, seq, kind, time_ms, max(seq) over (partition by key) as n from ({_EVENTS})),
+s as (select key, cast(0 as bigint) as seq, false as speaking, cast(0 as double) as opened, cast(null as varchar) as said, cast(null as double) as said_ms, cast(null as varchar) as closed, cast(null as double) as closed_ms from e group by key
+union all select key, seq, turned and not capped and not last, opened, said, said_ms, case when turned and capped then 'forced_end' when turned and last then 'end' end, case when turned and (capped or last) then time_ms end
+from (select *, time_ms - opened >= 30000 as capped from (select e.key, e.seq, e.time_ms, e.seq = e.n as last,
+case when kind = 'start' then true when kind = 'end' then false else speaking end as turned,
+case when kind = 'start' and not speaking then time_ms - 200 else opened end as opened,
+case when (kind = 'start' and not speaking) or (kind = 'end' and speaking) then kind end as said,
+case when kind = 'start' and not speaking then time_ms - 200 when kind = 'end' and speaking then time_ms + 150 end as said_ms
+from s join e on e.key = s.key and e.seq = s.seq + 1)))"""
+
+
+@query(_GATE + " select key as stream_id, seq, said as kind, said_ms as time_ms from s where said is not null union all select key, seq, closed, closed_ms from s where closed is not null")
+def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts, ends and forced ends of the session fold, against a recursive query."""
+    return jobs.fold_sessions(_pushes(spark, sf_dir)).where("kind in ('start', 'end', 'forced_end')").select("stream_id", "seq", "kind", "time_ms")
+
+
 @query()
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, cap, look-back, partial and final results of every stream; tested by scripted traces and in streaming."""

@@ -4,17 +4,27 @@ A push is a row (seq, samples, intervals, is_final, control): how many samples c
 ((start_ms, end_ms) pairs, -1 for an unknown edge), and the stream's controls (``eof`` flushes, ``reset`` drops all
 state without output). The fold gives events and results as rows; audio appears as sample ranges, and a decoder is a
 function of a range of frames, so no model is needed. The state is one small record per stream, whatever its length.
+
+A detector isn't asked about a push without samples, but for a flush while it holds audio; that flush is one silent
+sample for the detector alone (``detector_samples``). What such a push says otherwise is left out. A detector's clock
+begins anew after each flush; ``Limits.detector_clock`` says that the pushes' times are on it, and they are then moved to
+the stream's clock. Results have their text without tags, and as it was decoded.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
+from tessitura.functions.text import TAG
+
 OPEN = -1.0
-OUTPUT = "seq long, kind string, time_ms double, from_sample long, to_sample long, window_from long, window_to long, text string, start_ms double, end_ms double"
-COLUMNS = ["seq", "kind", "time_ms", "from_sample", "to_sample", "window_from", "window_to", "text", "start_ms", "end_ms"]
+#: Samples that a detector gets for a flush without audio.
+FLUSH_PAD = 1
+OUTPUT = "seq long, kind string, time_ms double, from_sample long, to_sample long, window_from long, window_to long, text string, start_ms double, end_ms double, raw_text string"
+COLUMNS = ["seq", "kind", "time_ms", "from_sample", "to_sample", "window_from", "window_to", "text", "start_ms", "end_ms", "raw_text"]
 
 
 @dataclass(frozen=True)
@@ -27,6 +37,7 @@ class Limits:
     max_history: int = 167
     segment_ms: float = 30_000.0
     look_back_ms: float = 1_000.0
+    detector_clock: bool = False  # intervals count from the detector's last flush, not from the stream's start
 
     def __post_init__(self):
         if min(self.rate, self.frame, self.chunk_size, self.max_history) <= 0 or self.segment_ms <= 0 or self.look_back_ms < 0:
@@ -48,8 +59,20 @@ class State:
     pending: int = 0  # frames since the last partial
     window: int = 0  # first frame of the window
     decoded: int = 0  # frames of the window that the last partial covered
-    confirmed: str = ""
-    last: str = ""
+    confirmed: str = ""  # settled text without its tags
+    confirmed_raw: str = ""
+    last: str = ""  # of the window, as decoded
+    held: int = 0  # samples that the detector has had since its last flush
+    clock_ms: float = 0.0  # the stream's time at that flush
+
+
+def without_tags(text: str) -> str:
+    return re.sub(TAG, "", text)
+
+
+def detector_samples(s: State, samples: int, is_final: bool) -> int:
+    """How many samples a detector gets for a push; 0: it isn't asked. A second flush in a row isn't passed on."""
+    return samples or (FLUSH_PAD if is_final and s.held else 0)
 
 
 def frames_text(first: int, end: int) -> str:
@@ -80,21 +103,23 @@ def _feed(s: State, upto: int, last: bool, limits: Limits, decode: Callable[[int
     s.pending += new
     offset = s.segment * 1000.0 / limits.rate
     end_ms = offset + s.heard * 1000.0 / limits.rate
-    out.append((seq, "fed", None, first, upto, None, None, None, None, None))
+    out.append((seq, "fed", None, first, upto, None, None, None, None, None, None))
     if last:
         if s.frames:
-            out.append((seq, "final", None, None, None, 0, s.frames, decode(0, s.frames), offset, end_ms))
+            raw = decode(0, s.frames)
+            out.append((seq, "final", None, None, None, 0, s.frames, without_tags(raw), offset, end_ms, raw))
     elif s.pending >= limits.chunk_size:
         s.pending = 0
         if s.frames - s.window > limits.max_history:
             if s.decoded:  # what was decoded is settled; the next window begins behind it
-                s.confirmed += s.last
+                s.confirmed += without_tags(s.last)
+                s.confirmed_raw += s.last
                 s.window += s.decoded
             s.last = ""
             s.window = max(s.window, s.frames - limits.max_history)
         s.last = decode(s.window, s.frames)
         s.decoded = s.frames - s.window
-        out.append((seq, "partial", None, None, None, s.window, s.frames, s.confirmed + s.last, offset, end_ms))
+        out.append((seq, "partial", None, None, None, s.window, s.frames, s.confirmed + without_tags(s.last), offset, end_ms, s.confirmed_raw + s.last))
 
 
 def step(s: State, seq: int, samples: int, intervals, is_final: bool, control: str | None, limits: Limits, decode: Callable[[int, int], str] = frames_text) -> tuple[State, list[tuple]]:
@@ -115,22 +140,27 @@ def step(s: State, seq: int, samples: int, intervals, is_final: bool, control: s
             opened = at if speaking else opened
             events.append((kind, at))
 
-    for pair in intervals if intervals is not None else ():
+    asked = detector_samples(s, int(samples or 0), is_final)
+    began = s.clock_ms if limits.detector_clock else 0.0
+    for pair in intervals if asked and intervals is not None else ():
         if len(pair) != 2 or (pair[0] == OPEN and pair[1] == OPEN):
             continue
         for kind, at in zip(("start", "end"), pair, strict=True):
             if at != OPEN:
-                take(kind, float(at))
+                take(kind, began + float(at))
+    s.held = 0 if is_final else s.held + asked
+    if is_final:
+        s.clock_ms = now_ms
     if speaking and now_ms - opened >= limits.segment_ms:
         take("forced_end", now_ms)
     if is_final and speaking:
         take("end", now_ms)
     for kind, at in events:
-        out.append((seq, kind, at, None, None, None, None, None, None, None))
+        out.append((seq, kind, at, None, None, None, None, None, None, None, None))
         index = max(0, min(round(at * limits.rate / 1000.0), s.samples))
         if kind == "start":
             begin = max(index, s.kept_from)
-            s = State(samples=s.samples, speaking=True, opened_ms=at, kept_from=s.kept_from, fed=begin, segment=begin)
+            s = State(samples=s.samples, speaking=True, opened_ms=at, kept_from=s.kept_from, fed=begin, segment=begin, held=s.held, clock_ms=s.clock_ms)
         else:
             _feed(s, index, True, limits, decode, seq, out)
             s.speaking = False

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import arrays as A
 from tessitura.functions import audio
-from tessitura.operators import alignment, latency, scoring, segmentation
+from tessitura.operators import alignment, latency, scoring, segmentation, sequences
 from tessitura.streaming import endpoints
 
 
@@ -200,3 +200,35 @@ def test_ranges_give_what_whole_windows_give(spark, monkeypatch, width):
     for f, name in ((ordered.running_sum, "s"), (ordered.running_max, "m"), (ordered.previous, "p"), (ordered.latest, "l")):
         got = f(got, "k", "o", "v", name)
     assert sorted(map(tuple, got.select("k", "o", "n", "s", "m", "p.value", "l").collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+@pytest.mark.parametrize("width", [3, 50, 65_536])
+def test_neighbours_in_ranges_are_those_of_whole_windows(spark, monkeypatch, width):
+    from tessitura.operators import ordered
+
+    monkeypatch.setattr(ordered, "RANGE", width)
+    values = {k: np.random.default_rng(k).normal(size=n) for k, n in ((1, 1), (2, 40), (3, 7))}
+    df = spark.createDataFrame([(k, f, float(x)) for k, v in values.items() for f, x in enumerate(v)], "k int, f long, x double")
+    taps = [0.1, 0.2, -0.3, 0.25, 0.05]
+    got = sequences.sliding_sum(sequences.memory_filter(df, "k", "f", "x", taps, 1, "y"), "k", "f", "x", 6, "s").collect()
+    assert len(got) == 48
+    for r in got:
+        v = values[r.k]
+        near = [v[r.f - 1 + i] if 0 <= r.f - 1 + i < len(v) else 0.0 for i in range(5)]
+        assert r.y == pytest.approx(v[r.f] + np.dot(taps, near)) and r.s == pytest.approx(v[max(0, r.f - 5) : r.f + 1].sum())
+
+
+@pytest.mark.parametrize("m,n", [(7, 6), (5, 1), (3, 4), (9, 2), (1, 1)])
+def test_stacked_rows_are_the_stacked_array(spark, m, n):
+    rows = [(k, f, [float(f), -float(f)]) for k, t in ((1, 1), (2, 5), (3, 13), (4, 20)) for f in range(t)]
+    df = spark.createDataFrame(rows, "k int, f long, v array<double>")
+    got = {(r.k, r.f): r.stacked for r in sequences.stack_rows(df, "k", "f", "v", m, n).collect()}
+    whole = df.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda x: x["v"]).alias("v"))
+    want = {(r.k, i): x for r in whole.select("k", A.stack_frames(F.col("v"), m, n).alias("s")).collect() for i, x in enumerate(r.s)}
+    assert got == want
+
+
+def test_segments_with_equal_starts_are_ordered_by_ties(spark):
+    df = spark.createDataFrame([(1, 5, 9, 2), (1, 5, 9, 1), (1, 5, 7, 3), (1, 0, 6, 4), (1, 8, 50_000_000, 5), (1, 9, 12, 2_000_000)], "k int, start long, end long, id long")
+    kept = segmentation.keep_apart(df.withColumn("total", F.lit(60_000_000)), "k", ["end", "id"], "total").select("id", "start", "end").collect()
+    assert sorted(map(tuple, kept)) == [(1, 7, 9), (3, 6, 7), (4, 0, 6), (5, 9, 50_000_000)]

@@ -7,7 +7,7 @@ import pytest
 
 from tessitura.sources import manifests
 from tessitura.streaming import jobs
-from tessitura.streaming.session import Limits, State, frames_text, step, with_fallback
+from tessitura.streaming.session import Limits, State, detector_samples, frames_text, step, with_fallback
 
 SHORT = Limits(segment_ms=1000.0)
 
@@ -105,6 +105,45 @@ def test_reset_and_eof():
     assert events([(480, [[100, -1]]), (0, [], False, "eof"), (480, [[900, -1]])]) == [["start@100"], ["end@480"], ["start@900"]]
 
 
+def test_a_detectors_clock_restarts_after_a_flush():
+    own = Limits(detector_clock=True)
+    pushes = [(480, [[100, -1]]), (0, [[-1, 300]], False, "eof"), (480, [[200, -1]]), (480, [[-1, 700]], True), (480, [[50, 90]])]
+    assert events(pushes, own) == [["start@100"], ["end@300"], ["start@680"], ["end@1180"], ["start@1490", "end@1530"]]
+    assert [(r[3], r[4]) for r in trace(pushes, own)[4] if r[1] == "fed"] == [(1490 * 16, 1530 * 16)]
+    # open edges stay open, and a reset starts the clock again
+    assert events([(480, [], True), (480, [[-1, 20]]), (0, [], False, "reset"), (480, [[30, -1]])], own) == [[], [], [], ["start@30"]]
+    assert events(pushes[:3]) == [["start@100"], ["end@300"], ["start@200"]]
+
+
+def test_flushes_without_audio():
+    fresh, holding = State(), State(held=16)
+    assert [detector_samples(fresh, 0, f) for f in (False, True)] == [0, 0]
+    assert [detector_samples(holding, 0, f) for f in (False, True)] == [0, 1] and detector_samples(holding, 480, True) == 480
+    # nothing to ask about: no audio yet, no audio in the push, and a flush right after a flush
+    assert events([(0, [[10, -1]], True)]) == [[]]
+    assert events([(480, []), (0, [[10, -1]])]) == [[], []]
+    assert events([(480, [[10, -1]]), (0, [[-1, 400]], True), (0, [[410, -1]], True), (480, [[500, -1]])]) == [["start@10"], ["end@400"], [], ["start@500"]]
+    # the silent sample isn't the stream's
+    state = State()
+    for p in ((0, 7680, False), (1, 0, True)):
+        state, _ = step(state, p[0], p[1], [], p[2], None, Limits())
+    assert (state.samples, state.held, state.clock_ms) == (7680, 0, 480.0)
+
+
+def test_text_with_and_without_tags():
+    names = iter(["<|en|>one ", "<|en|><|HAPPY|>two ", "<|zh|>three", "<|en|>all"])
+    state, got = State(), []
+    for seq in range(4):
+        state, rows = step(state, seq, 1920, [[0, -1]] if not seq else [], seq == 3, None, WINDOWS, lambda a, b: next(names))
+        got += [(r[7], r[10]) for r in rows if r[1] in ("partial", "final")]
+    assert got == [
+        ("one ", "<|en|>one "),
+        ("two ", "<|en|><|HAPPY|>two "),
+        ("two three", "<|en|><|HAPPY|>two <|zh|>three"),
+        ("all", "<|en|>all"),
+    ]
+
+
 def test_a_failing_decoder_falls_back():
     def broken(first, end):
         raise RuntimeError("too long")
