@@ -805,3 +805,22 @@ def test_slices_cover_every_row_once():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (0, 5, 50, 0, 3, 3, 100)] + [None]})
     parts = list(text_slices([batch], "text", 10))
     assert [t for p in parts for t in p.column("text").to_pylist()] == batch.column("text").to_pylist() and len(parts) >= 4
+
+
+def test_pages_of_an_empty_table_and_clashing_columns(spark):
+    field = html_extraction.train(html_extraction.learn(html_extraction.labelled_pages(20)), rounds=5)
+    schema = "page_id int, url string, html string, text string, n_chars string"
+    got = html_extraction.extract(spark.createDataFrame([], schema), field)
+    assert got.columns == ["page_id", "url", "text", "n_chars"] and got.collect() == []
+    rows = [(1, None, None, "x", "y"), (1, None, None, "x", "y"), (None, "u", "", "x", "y")]
+    got = html_extraction.extract(spark.createDataFrame(rows, schema), field).collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(1, None, "", 0), (1, None, "", 0), (None, "u", "", 0)], key=str)
+
+
+def test_chat_with_very_long_messages(spark):
+    lines = [f"line {k} of a long message" for k in range(4000)]
+    whole = "\n".join(lines)
+    word = "w" * 500_000
+    rows = [(1, 0, "a", whole), (1, 1, "b", "\n".join(f"> {x}" for x in lines) + "\nAll of it"), (1, 2, "c", f"> {lines[3999]}\nThe last"), (1, 3, "a", word), (1, 4, "b", f"> {word}\nOne word")]
+    got = {r.turn: r for r in chat_formatting.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert [(got[t].parent_turn, got[t].text) for t in range(5)] == [(None, whole), (0, "All of it"), (0, "The last"), (2, word), (3, "One word")]
