@@ -6,6 +6,7 @@ from .ann import op2_additive_quantisation
 from .chat_formatting import ORACLE_OP8, op8_chat_formatting
 from .decontamination import ORACLE_OP4, op4_decontamination
 from .html_extraction import op3_html_extraction
+from .importance import ORACLE_OP13, op13_importance_resampling
 from .jaccard_join import ORACLE_OP1, op1_ngram_jaccard
 from .packing import op7_best_fit_packing
 from .quality import op9_quality
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL = {"op1_ngram_jaccard": ORACLE_OP1, "op4_decontamination": ORACLE_OP4, "op5_warc": ORACLE_OP5, "op8_chat_formatting": ORACLE_OP8}
+ORACLE_SQL = {"op1_ngram_jaccard": ORACLE_OP1, "op4_decontamination": ORACLE_OP4, "op5_warc": ORACLE_OP5, "op8_chat_formatting": ORACLE_OP8, "op13_importance_resampling": ORACLE_OP13}
