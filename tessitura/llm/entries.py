@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op11_cross_tokenizer_alignment
 from .ann import op2_additive_quantisation
 from .chat_formatting import ORACLE_OP8, op8_chat_formatting
 from .decontamination import ORACLE_OP4, op4_decontamination
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
