@@ -37,8 +37,6 @@ from .common import arrow_batches, discard, materialise, text_slices
 BROADCAST_GROUPS = 2_000_000
 #: Cuts and groups that a worker remembers; beyond either its counts are handed on and the memory is emptied.
 REMEMBERED = 300_000
-#: Longer cuts are encoded each time.
-LONG_CUT = 200
 CUT = re.compile(r"(?<=[^\s▁]) (?=\S)")
 
 
@@ -58,6 +56,7 @@ class Vocabularies:
         shown = {chr(b if k < len(plain) else 256 + k - len(plain)): b for k, b in enumerate(spelled)}
         self.a_bytes = [bytes(shown[c] for c in self.a.id_to_token(i)) if i != self.a.token_to_id("<|endoftext|>") else b"<|endoftext|>" for i in range(self.a.get_vocab_size())]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
         self.cuts_are_safe = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
 
     def _piece(self, i: int) -> bytes:
@@ -77,10 +76,17 @@ class Vocabularies:
         whole = b" " + text.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        ends_a, ends_b = (np.cumsum([len(by[i]) for i in ids]) for by, ids in ((self.a_bytes, a), (self.b_bytes, b)))
-        at = np.intersect1d(ends_a, ends_b)
-        stop_a, stop_b = np.searchsorted(ends_a, at, "right").tolist(), np.searchsorted(ends_b, at, "right").tolist()
-        return [f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b, strict=False)]
+        out, sizes_a, sizes_b = [], self.a_sizes, self.b_sizes
+        j = from_a = from_b = end_a = end_b = 0
+        for i, token in enumerate(a, 1):
+            end_a += sizes_a[token]
+            while end_b < end_a:
+                end_b += sizes_b[b[j]]
+                j += 1
+            if end_b == end_a:
+                out.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}" if i - from_a > 1 or j - from_b > 1 else f"{token}|{b[from_b]}")
+                from_a, from_b = i, j
+        return out
 
     def links(self, group: str) -> list[tuple[int, int]]:
         """The overlapping pairs of a group, an entry for each occurrence."""
