@@ -12,6 +12,7 @@ from .jaccard_join import ORACLE_OP1, op1_ngram_jaccard
 from .packing import op7_best_fit_packing
 from .quality import op9_quality
 from .secret_scan import op6_secret_scan
+from .suffix_dedup import ORACLE_OP12, op12_suffix_dedup
 from .toxicity import op10_toxicity
 from .warc import ORACLE_OP5, op5_warc
 
@@ -27,7 +28,8 @@ QUERIES = {
     "op9_quality": op9_quality,
     "op10_toxicity": op10_toxicity,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_suffix_dedup": op12_suffix_dedup,
     "op13_importance_resampling": op13_importance_resampling,
 }
 
-ORACLE_SQL = {"op1_ngram_jaccard": ORACLE_OP1, "op4_decontamination": ORACLE_OP4, "op5_warc": ORACLE_OP5, "op8_chat_formatting": ORACLE_OP8, "op13_importance_resampling": ORACLE_OP13}
+ORACLE_SQL = {"op1_ngram_jaccard": ORACLE_OP1, "op4_decontamination": ORACLE_OP4, "op5_warc": ORACLE_OP5, "op8_chat_formatting": ORACLE_OP8, "op12_suffix_dedup": ORACLE_OP12, "op13_importance_resampling": ORACLE_OP13}
