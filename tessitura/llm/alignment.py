@@ -56,7 +56,7 @@ class Vocabularies:
         shown = {chr(b if k < len(plain) else 256 + k - len(plain)): b for k, b in enumerate(spelled)}
         self.a_bytes = [bytes(shown[c] for c in self.a.id_to_token(i)) if i != self.a.token_to_id("<|endoftext|>") else b"<|endoftext|>" for i in range(self.a.get_vocab_size())]
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        self.a_sizes, self.b_sizes = list(map(len, self.a_bytes)), list(map(len, self.b_bytes))
+        self.a_sizes, self.b_sizes = np.array(list(map(len, self.a_bytes))), np.array(list(map(len, self.b_bytes)))
         self.cuts_are_safe = not any(re.search("[^▁]▁", self.b.id_to_piece(i)) for i in range(self.b.get_piece_size()))
 
     def _piece(self, i: int) -> bytes:
@@ -71,22 +71,24 @@ class Vocabularies:
     def cut(self, text: str) -> list[str]:
         return CUT.split(text) if self.cuts_are_safe else [text]
 
-    def groups(self, text: str, a: list[int], b: list[int]) -> list[str] | None:
-        """The groups of a cut as ``a1,a2|b1``; None if the bytes aren't those of a blank and the text."""
+    def bounds(self, text: str, a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """Where tokens of both end, and how many tokens of each end by then; None if the bytes aren't those of a blank and the text."""
         whole = b" " + text.encode()
         if b"".join(map(self.a_bytes.__getitem__, a)) != whole or b"".join(map(self.b_bytes.__getitem__, b)) != whole:
             return None
-        out, sizes_a, sizes_b = [], self.a_sizes, self.b_sizes
-        j = from_a = from_b = end_a = end_b = 0
-        for i, token in enumerate(a, 1):
-            end_a += sizes_a[token]
-            while end_b < end_a:
-                end_b += sizes_b[b[j]]
-                j += 1
-            if end_b == end_a:
-                out.append(f"{','.join(map(str, a[from_a:i]))}|{','.join(map(str, b[from_b:j]))}" if i - from_a > 1 or j - from_b > 1 else f"{token}|{b[from_b]}")
-                from_a, from_b = i, j
-        return out
+        ends_a, ends_b = np.cumsum(self.a_sizes[a]), np.cumsum(self.b_sizes[b])
+        ended = np.zeros(len(whole) + 1, bool)
+        ended[ends_a] = True
+        at = ends_b[ended[ends_b]]
+        return at, np.searchsorted(ends_a, at) + 1, np.searchsorted(ends_b, at) + 1
+
+    def groups(self, text: str, a: list[int], b: list[int]) -> list[str] | None:
+        """The groups of a text as ``a1,a2|b1``."""
+        found = self.bounds(text, a, b)
+        if found is None:
+            return None
+        stop_a, stop_b = (x.tolist() for x in found[1:])
+        return [f"{','.join(map(str, a[i:j]))}|{','.join(map(str, b[k:m]))}" for i, j, k, m in zip([0, *stop_a], stop_a, [0, *stop_b], stop_b, strict=False)]
 
     def links(self, group: str) -> list[tuple[int, int]]:
         """The overlapping pairs of a group, an entry for each occurrence."""
@@ -122,9 +124,10 @@ class GroupCoder:
     def forget(self) -> None:
         self.cuts: dict[str, int] = {}  # the number of a cut; -1 for one that isn't given back
         self.said: list[str] = []  # by cut: its groups on end
-        self.sizes: list[tuple[int, int, int]] = []  # by cut: A tokens, B tokens, groups
-        self.parts: list[list[int]] = []  # by cut: its groups' numbers
+        self.sizes = np.zeros((0, 3), np.int64)  # by cut: A tokens, B tokens, groups
+        self.parts = np.zeros(0, np.int64)  # the cuts' groups' numbers on end
         self.known: dict[str, int] = {}
+        self.names: list[str] = []
         self.keys: list[int] = []
         self.count = np.zeros(0, np.int64)
 
@@ -132,39 +135,79 @@ class GroupCoder:
         n = self.known.get(group)
         if n is None:
             n = self.known[group] = len(self.keys)
+            self.names.append(group)
             self.keys.append(xxhash.xxh3_64_intdigest(group, self.seed) >> 1)
         return n
 
     def learn(self, cuts: list[str]) -> None:
-        """Encode cuts that aren't known yet."""
-        new = list(dict.fromkeys(c for c in cuts if c not in self.cuts))
-        for cut, (a, b) in zip(new, self.own.encode(new), strict=True) if new else ():
-            groups = self.own.groups(cut, a, b)
-            if groups is None:
-                self.cuts[cut] = -1
-                continue
-            self.cuts[cut] = len(self.said)
-            self.said.append(";".join(groups))
-            self.sizes.append((len(a), len(b), len(groups)))
-            self.parts.append([self._number(g) for g in groups])
+        """Encode cuts that aren't known yet: many on end, those with white space at an edge one by one."""
+        new = [c for c in dict.fromkeys(cuts) if c not in self.cuts]
+        plain = [c for c in new if self.own.cuts_are_safe and c == c.strip() and "▁" not in c and c]
+        made = [self._learn_many(plain[k : k + 2_000]) for k in range(0, len(plain), 2_000)]
+        made += [self._learn_one(c) for c in new if c not in self.cuts]
+        self.sizes = np.concatenate([self.sizes, *(sizes for sizes, _ in made)])
+        self.parts = np.concatenate([self.parts, *(parts for _, parts in made)])
+
+    def _learn_one(self, cut: str) -> tuple[np.ndarray, np.ndarray]:
+        ((a, b),) = self.own.encode([cut])
+        groups = self.own.groups(cut, a, b)
+        if groups is None:
+            self.cuts[cut] = -1
+            return np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        self.cuts[cut] = len(self.said)
+        self.said.append(";".join(groups))
+        return np.array([[len(a), len(b), len(groups)]]), np.array([self._number(g) for g in groups])
+
+    def _learn_many(self, cuts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Cuts between blanks are the cuts of the text that they make together."""
+        text = " ".join(cuts)
+        ((a, b),) = self.own.encode([text])
+        bounds = self.own.bounds(text, a, b)
+        if bounds is None:
+            return np.zeros((0, 3), np.int64), np.zeros(0, np.int64)
+        at, stop_a, stop_b = bounds
+        ids_a, ids_b = np.array(a), np.array(b)
+        from_a, from_b = np.concatenate(([0], stop_a[:-1])), np.concatenate(([0], stop_b[:-1]))
+        single = (stop_a - from_a == 1) & (stop_b - from_b == 1)
+        numbers = np.empty(len(at), np.int64)
+        pairs, which = np.unique(ids_a[from_a[single]] << 32 | ids_b[from_b[single]], return_inverse=True)
+        numbers[single] = np.array([self._number(f"{p >> 32}|{p & 0xFFFFFFFF}") for p in pairs.tolist()], dtype=np.int64)[which]
+        for g in np.flatnonzero(~single).tolist():
+            numbers[g] = self._number(f"{','.join(map(str, a[from_a[g] : stop_a[g]]))}|{','.join(map(str, b[from_b[g] : stop_b[g]]))}")
+        last = np.searchsorted(at, np.cumsum([len(c.encode()) + 1 for c in cuts])) + 1
+        first = np.concatenate(([0], last[:-1]))
+        self.cuts.update(zip(cuts, range(len(self.said), len(self.said) + len(cuts)), strict=True))
+        names = list(map(self.names.__getitem__, numbers.tolist()))
+        self.said += [";".join(names[i:j]) for i, j in zip(first.tolist(), last.tolist(), strict=True)]
+        sizes = np.stack([stop[last - 1] - begin[first] for stop, begin in ((stop_a, from_a), (stop_b, from_b))] + [last - first], 1)
+        return sizes, numbers
 
     @property
     def full(self) -> bool:
         return len(self.cuts) > REMEMBERED or len(self.keys) > REMEMBERED
 
-    def document(self, cuts: list[str]) -> tuple[list[int], str, np.ndarray, np.ndarray] | None:
-        """Sizes, digest, and the numbers and counts of the groups of a text whose cuts are known."""
-        at = list(map(self.cuts.__getitem__, cuts))
-        if min(at) < 0:
-            return None
-        digest = hashlib.sha256(";".join(map(self.said.__getitem__, at)).encode()).hexdigest()
-        sizes = np.array(list(map(self.sizes.__getitem__, at))).sum(0).tolist()
-        found = np.bincount([n for part in map(self.parts.__getitem__, at) for n in part])
-        if len(self.count) < len(found):
-            self.count = np.concatenate((self.count, np.zeros(2 * len(found), np.int64)))
-        self.count[: len(found)] += found
-        numbers = np.flatnonzero(found)
-        return sizes, digest, numbers, found[numbers]
+    def documents(self, texts: list[list[str]]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of texts as cuts: sizes, digests, how many distinct groups, and these groups' numbers and counts on end."""
+        self.learn([c for own in texts for c in own])
+        at = np.array([n for own in texts for n in map(self.cuts.__getitem__, own)], dtype=np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(own) for own in texts])
+        lost = np.zeros(len(texts), bool)
+        lost[row[at < 0]] = True
+        kept = ~lost[row]
+        at, row = at[kept], row[kept]
+        sizes = np.zeros((len(texts), 3), np.int64)
+        np.add.at(sizes, row, self.sizes[at])
+        ends = np.searchsorted(row, np.arange(len(texts)), "right").tolist()
+        said = list(map(self.said.__getitem__, at.tolist()))
+        digests = [hashlib.sha256(";".join(said[i:j]).encode()).hexdigest() if i < j else "" for i, j in zip([0, *ends], ends, strict=False)]
+        begin = np.concatenate(([0], np.cumsum(self.sizes[:, 2])))[at]
+        many = self.sizes[at, 2]
+        spread = np.repeat(begin - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum()) if len(at) else np.zeros(0, np.int64)
+        pairs, counts = np.unique(np.repeat(row, many) << 32 | self.parts[spread], return_counts=True)
+        numbers = pairs & 0xFFFFFFFF
+        self.count = np.concatenate((self.count, np.zeros(len(self.keys) - len(self.count), np.int64)))
+        np.add.at(self.count, numbers, counts)
+        return sizes, digests, np.bincount(pairs >> 32, minlength=len(texts)), numbers, counts
 
 
 _CODED = "n_a long, n_b long, n_groups long, groups_sha256 string, keys array<long>, counts array<long>, group string, frequency long"
@@ -184,20 +227,14 @@ def _coded(docs: DataFrame, byte_level: str, pieces: str, doc_id: str, text: str
             count[: len(coder.count)] = coder.count[:n]
             nothing = [pa.nulls(n, t) for t in (id_kind, pa.int64(), pa.int64(), pa.int64(), pa.string())]
             lists = pa.ListArray.from_arrays(np.arange(n + 1, dtype=np.int32), pa.array(coder.keys, pa.int64()))
-            return pa.RecordBatch.from_arrays([*nothing, lists, pa.nulls(n, pa.list_(pa.int64())), pa.array(list(coder.known), pa.string()), pa.array(count)], names=names)
+            return pa.RecordBatch.from_arrays([*nothing, lists, pa.nulls(n, pa.list_(pa.int64())), pa.array(coder.names, pa.string()), pa.array(count)], names=names)
 
         for part in text_slices(batches, "own_text", 2 << 20):
             id_kind = part.column("own_id").type
-            cuts = [coder.own.cut(t) if t else None for t in part.column("own_text").to_pylist()]
-            coder.learn([c for own in cuts if own for c in own])
-            keys = np.array(coder.keys, dtype=np.int64)
-            rows = []
-            for own in cuts:
-                found = coder.document(own) if own else None
-                rows.append((*found[0], found[1], keys[found[2]], found[3]) if found else (0, 0, 0, "", [], []))
-            *sizes, digests, own_keys, counts = zip(*rows, strict=True)
-            columns = [pa.array(s, pa.int64()) for s in sizes] + [pa.array(digests, pa.string()), pa.array(own_keys, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([part.column("own_id"), *columns, pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.int64())], names=names)
+            sizes, digests, many, numbers, counts = coder.documents([coder.own.cut(t) if t else [] for t in part.column("own_text").to_pylist()])
+            offsets = np.concatenate(([0], np.cumsum(many))).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int64())) for x in (np.array(coder.keys, dtype=np.int64)[numbers], counts)]
+            yield pa.RecordBatch.from_arrays([part.column("own_id"), *map(pa.array, sizes.T), pa.array(digests, pa.string()), *lists, pa.nulls(len(part), pa.string()), pa.nulls(len(part), pa.int64())], names=names)
             if coder.full:
                 yield dictionary()
                 coder.forget()
