@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import math
 import wave
 from collections.abc import Iterator
@@ -25,16 +26,17 @@ def whole_samples(payload: Column, form: Column) -> Column:
     return (form == "float32") & (F.octet_length(payload) % 4 == 0) | (form == "int16") & (F.octet_length(payload) % 2 == 0)
 
 
-@F.pandas_udf(ArrayType(FloatType()))
-def decode_pcm(payload: pd.Series, form: pd.Series) -> pd.Series:
-    """Little-endian PCM as floats in [-1, 1); null where ``whole_samples`` is false."""
+def pcm_samples(payload: bytes | None, form: str | None) -> np.ndarray | None:
+    """Little-endian PCM as floats in [-1, 1); null for unknown formats and parts of samples."""
+    if payload is None or form not in WIDTHS or len(payload) % WIDTHS[form]:
+        return None
+    return np.frombuffer(payload, "<f4") if form == "float32" else np.frombuffer(payload, "<i2").astype(np.float32) / 32768
 
-    def one(raw, kind):
-        if raw is None or kind not in WIDTHS or len(raw) % WIDTHS[kind]:
-            return None
-        return np.frombuffer(raw, "<f4") if kind == "float32" else np.frombuffer(raw, "<i2").astype(np.float32) / 32768
 
-    return pd.Series([one(r, k) for r, k in zip(payload, form, strict=True)])
+@F.pandas_udf(ArrayType(FloatType()))
+def decode_pcm(payload: pd.Series, form: pd.Series) -> pd.Series:
+    """``pcm_samples`` of a column of payloads and one of formats."""
+    return pd.Series([pcm_samples(r, k) for r, k in zip(payload, form, strict=True)])
 
 
 #: Half of the low-pass filter's length, in periods of the lower rate, and the Kaiser window's shape.
@@ -119,24 +121,23 @@ def fbank(samples: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if x is None else [r.astype(np.float32) for r in log_mel(x)] for x in part])
 
 
-@F.pandas_udf(StringType())
-def json_command(message: pd.Series) -> pd.Series:
-    """The command of a text frame: a JSON object's lower-cased ``type``, a bare word, or empty for broken JSON.
+def command_and_fields(message: str) -> tuple[str, dict]:
+    """The command of a text frame and the JSON object that it came in.
 
-    Spark's own JSON parsers take trailing garbage as part of a document, so the strict one is used.
+    A JSON object's lower-cased ``type``, a bare word, or empty for broken JSON. Spark's own JSON parsers take trailing
+    garbage as part of a document, so the strict one is used.
     """
-    import json
+    text = message.strip()
+    if not text.startswith("{"):
+        return text.lower(), {}
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return "", {}
+    return (str(found.get("type", "")).lower(), found) if isinstance(found, dict) else ("", {})
 
-    def one(text):
-        if text is None:
-            return None
-        text = text.strip()
-        if not text.startswith("{"):
-            return text.lower()
-        try:
-            found = json.loads(text)
-        except ValueError:
-            return ""
-        return str(found.get("type", "")).lower() if isinstance(found, dict) else ""
 
-    return pd.Series([one(m) for m in message], dtype=object)
+@F.pandas_udf(StringType())
+def json_command(message: pd.Series) -> pd.Series:
+    """The command of each text frame."""
+    return pd.Series([None if m is None else command_and_fields(m)[0] for m in message], dtype=object)

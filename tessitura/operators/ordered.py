@@ -7,8 +7,9 @@ one row per range and joined to it. A key with a third of all rows is so windowe
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,3 +83,16 @@ def over_neighbours(rows: DataFrame, key: str, order: str, before: int, after: i
     spread = rows.withColumn("_range", F.explode(F.sequence(first, last)))
     found = spread.withColumn(name, value(Window.partitionBy(key, "_range").orderBy(order)))
     return found.where(F.col("_range") == F.floor(F.col(order) / F.lit(RANGE))).drop("_range")
+
+
+def fold_groups(rows: DataFrame, key: str, order: Sequence[str], fold: Callable[[object, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``fold(key, batches)`` over each key's rows in ``order``, for results that depend on all former rows.
+
+    The sort is Spark's, and spills; Python gets a key's rows batch by batch and gives batches back, so neither holds a
+    key whole. Keys run side by side; one key's rows are worked on in one task, since each waits for the one before.
+    """
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fold(key[0].as_py(), batches)
+
+    return rows.repartition(key).sortWithinPartitions(key, *order).groupBy(key).applyInArrow(run, schema)

@@ -123,7 +123,11 @@ def _feed(s: State, upto: int, last: bool, limits: Limits, decode: Callable[[int
 
 
 def step(s: State, seq: int, samples: int, intervals, is_final: bool, control: str | None, limits: Limits, decode: Callable[[int, int], str] = frames_text) -> tuple[State, list[tuple]]:
-    """One push: the new state and the rows that it gives, in order."""
+    """One push: the new state and the rows that it gives, in order.
+
+    ``decode(first, end)`` says the text of a segment's frames; one with ``open_segment`` is told the first sample of each
+    segment that opens.
+    """
     if control == "reset":
         return State(), []
     is_final = bool(is_final) or control == "eof"
@@ -160,6 +164,8 @@ def step(s: State, seq: int, samples: int, intervals, is_final: bool, control: s
         index = max(0, min(round(at * limits.rate / 1000.0), s.samples))
         if kind == "start":
             begin = max(index, s.kept_from)
+            if hasattr(decode, "open_segment"):
+                decode.open_segment(begin)
             s = State(samples=s.samples, speaking=True, opened_ms=at, kept_from=s.kept_from, fed=begin, segment=begin, held=s.held, clock_ms=s.clock_ms)
         else:
             _feed(s, index, True, limits, decode, seq, out)
