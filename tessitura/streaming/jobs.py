@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+from tessitura.operators.ordered import fold_groups
 
 from .session import COLUMNS, OUTPUT, Limits, State, frames_text, from_json, step, to_json
 
@@ -22,16 +27,22 @@ def _rows(state: State, pushes: pd.DataFrame, limits: Limits, decode: Callable)
 
 
 def fold_sessions(pushes: DataFrame, key: str = "stream_id", limits: Limits | None = None, decode: Callable = frames_text) -> DataFrame:
-    """Rows of every stream's events and results. A stream's pushes are one group: state runs from push to push."""
+    """Rows of every stream's events and results; its pushes are read in order, batch by batch, with the state in hand."""
     limits = limits or Limits()
-
-    def run(k: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        _, out = _rows(State(), part, limits, decode)
-        made = pd.DataFrame(out, columns=COLUMNS)
-        made.insert(0, key, k[0])
-        return made
-
-    return pushes.groupBy(key).applyInPandas(run, f"`{key}` {dict(pushes.dtypes)[key]}, {OUTPUT}")
+    schema = f"`{key}` {dict(pushes.dtypes)[key]}, {OUTPUT}"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def fold(value: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = State()
+        for batch in batches:
+            out = []
+            for p in batch.to_pylist():
+                state, rows = step(state, p["seq"], p["samples"], p["intervals"], p["is_final"], p["control"], limits, decode)
+                out += [(value, *r) for r in rows]
+            columns = zip(*out, strict=True) if out else [()] * len(arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, arrow.types, strict=True)], schema=arrow)
+
+    return fold_groups(pushes.select(key, "seq", "samples", "intervals", "is_final", "control"), key, ["seq"], fold, schema)
 
 
 class SessionProcessor(StatefulProcessor):
