@@ -59,8 +59,9 @@ def relu(a: Column) -> Column:
 
 
 def layer_norm(a: Column, eps: float = 1e-5) -> Column:
-    centred = let(total(a) / F.size(a), lambda mean: F.transform(a, lambda x: x - mean))
-    return let(centred, lambda c: let(F.sqrt(dot(c, c) / F.size(c) + eps), lambda sd: F.transform(c, lambda x: x / sd)))
+    """Zero mean, unit deviation; an empty array stays empty."""
+    centred = let(total(a) / F.greatest(F.size(a), F.lit(1)), lambda mean: F.transform(a, lambda x: x - mean))
+    return let(centred, lambda c: let(F.sqrt(dot(c, c) / F.greatest(F.size(c), F.lit(1)) + eps), lambda sd: F.transform(c, lambda x: x / sd)))
 
 
 def cmvn(a: Column, shift: Column, scale: Column) -> Column:
@@ -81,8 +82,8 @@ def downmix(left: Column, right: Column) -> Column:
 
 
 def preemphasis(a: Column, factor: float = 0.97) -> Column:
-    """x[i] - factor * x[i-1] after the mean is taken off; the first sample leans on itself."""
-    centred = let(total(F.transform(a, lambda x: x.cast("double"))) / F.size(a), lambda mean: F.transform(a, lambda x: x - mean))
+    """x[i] - factor * x[i-1] after the mean is taken off; the first sample leans on itself. An empty array stays empty."""
+    centred = let(total(F.transform(a, lambda x: x.cast("double"))) / F.greatest(F.size(a), F.lit(1)), lambda mean: F.transform(a, lambda x: x - mean))
     return let(centred, lambda c: F.transform(c, lambda x, i: x - factor * F.get(c, F.greatest(i - 1, F.lit(0)))))
 
 
@@ -116,8 +117,8 @@ def stack_frames(frames: Column, m: int = 7, n: int = 6) -> Column:
 
 
 def position_encoding(position: Column, depth: int) -> Column:
-    """Sines, then cosines, of a position counted from 1."""
-    step = math.log(10_000) / (depth / 2 - 1)
+    """Sines, then cosines, of a position counted from 1. With a depth of 2 there is one rate, 1."""
+    step = math.log(10_000) / max(depth / 2 - 1, 1)
     rates = F.array(*[F.lit(math.exp(-i * step)) for i in range(depth // 2)])
     return F.concat(F.transform(rates, lambda r: F.sin(position * r)), F.transform(rates, lambda r: F.cos(position * r)))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +27,19 @@ EVENTS = (("<|BGM|>", "🎼"), ("<|Speech|>", ""), ("<|Applause|>", "👏"), ("<
 LANGUAGES = ("<|zh|>", "<|en|>", "<|yue|>", "<|ja|>", "<|ko|>", "<|nospeech|>")
 EMOTION_SIGNS = "😊😔😡😰🤢😮"
 EVENT_SIGNS = "🎼👏😀😭🤧😷"
-#: Ranges of characters that take two terminal cells (East Asian wide and fullwidth).
-WIDE = r"[\x{1100}-\x{115F}\x{2E80}-\x{303E}\x{3041}-\x{33FF}\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{A000}-\x{A4CF}\x{A960}-\x{A97F}\x{AC00}-\x{D7A3}\x{F900}-\x{FAFF}\x{FE30}-\x{FE6F}\x{FF01}-\x{FF60}\x{FFE0}-\x{FFE6}\x{1F300}-\x{1F64F}\x{1F900}-\x{1F9FF}\x{20000}-\x{3FFFD}]"
+@lru_cache(1)
+def wide_ranges() -> tuple[tuple[int, int], ...]:
+    """First and last code points of the runs that Unicode calls wide or fullwidth (East Asian width W, F)."""
+    wide = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and unicodedata.east_asian_width(chr(c)) in "WF"]
+    starts = [c for k, c in enumerate(wide) if not k or wide[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(wide) if k == len(wide) - 1 or wide[k + 1] != c + 1]
+    return tuple(zip(starts, ends, strict=True))
+
+
+@lru_cache(1)
+def wide() -> str:
+    """A character class of those that take two terminal cells."""
+    return "[" + "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in wide_ranges()) + "]"
 
 
 def strip_tags(text: Column) -> Column:
@@ -42,6 +56,19 @@ def normalize(text: Column, letters: str = r"\p{L}\p{N}_") -> Column:
     return F.upper(F.regexp_replace(strip_tags(text), f"[^{letters}]", ""))
 
 
+#: Bands of the edit distance, in edits, that are tried before the whole table.
+BANDS = (8, 64, 512)
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Levenshtein distance by characters. Bands around the diagonal are tried from narrow to wide, so texts with d edits in n
+    characters cost about n * d steps, not n * n."""
+    found = F.levenshtein(a, b)
+    for band in reversed(BANDS):
+        found = F.coalesce(F.nullif(F.levenshtein(a, b, band), F.lit(-1)), found)
+    return found
+
+
 def split_mixed(text: Column) -> Column:
     """Tokens of mixed text: runs of ASCII, and each other character by itself; white space separates."""
     return F.regexp_extract_all(F.regexp_replace(text, r"(?U)\s+", " "), F.lit(r"([\x21-\x7F\x00-\x1F]+|[^\x00-\x7F])"), 1)
@@ -151,7 +178,7 @@ def merge_rendered(parts: Column) -> Column:
 
 def display_width(text: Column) -> Column:
     """Terminal cells: two for wide characters."""
-    return F.length(text) + F.regexp_count(text, F.lit(WIDE))
+    return F.length(text) + F.regexp_count(text, F.lit(wide()))
 
 
 def clip_tail(text: Column, cells: int) -> Column:
@@ -160,7 +187,7 @@ def clip_tail(text: Column, cells: int) -> Column:
     Whole characters stay, so a clipped text may be a cell narrower than allowed; with one cell or none there is no
     room for more than the ellipsis.
     """
-    width = lambda c: F.when(c.rlike(WIDE), F.lit(2)).otherwise(F.lit(1))
+    width = lambda c: F.when(c.rlike(wide()), F.lit(2)).otherwise(F.lit(1))
     start = F.struct(F.lit("").alias("kept"), F.lit(max(0, cells - 1)).alias("room"))
 
     def step(done: Column, c: Column) -> Column:

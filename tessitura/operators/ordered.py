@@ -3,6 +3,9 @@
 A window by key alone puts all rows of a key into one task. Here a key's rows are cut into ranges of a numeric order
 column; windows run inside a range, and what the former ranges hand over (a count, a sum, a last value) is found over
 one row per range and joined to it. A key with a third of all rows is so windowed in parts.
+
+A null key is a key like others. Rows whose order is null come first, in any order among themselves. ``ties`` name columns
+that order rows of equal ``order``. ``over_neighbours`` wants gapless numbers and leaves out rows without one.
 """
 
 from __future__ import annotations
@@ -24,17 +27,18 @@ def _cut(rows: DataFrame, order: str) -> DataFrame:
 def _hand_over(cut: DataFrame, key: str, own: Column, former: Column) -> DataFrame:
     """``cut`` with ``_former``: ``former`` over the ``_own`` values of the key's earlier ranges, in order."""
     ranges = cut.groupBy(key, "_range").agg(own.alias("_own")).withColumn("_former", former).drop("_own")
-    return cut.join(ranges, [key, "_range"], "left")
+    own = ranges.select(F.col(key).alias("_key"), F.col("_range").alias("_at"), "_former")
+    return cut.join(own, cut[key].eqNullSafe(own["_key"]) & cut["_range"].eqNullSafe(own["_at"]), "left").drop("_key", "_at")
 
 
 def _earlier(key: str) -> Window:
     return Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def number(rows: DataFrame, key: str, order: str, name: str) -> DataFrame:
+def number(rows: DataFrame, key: str, order: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
     """Number each key's rows from 0."""
     cut = _cut(rows, order)
-    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order)) - 1
+    inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order, *ties)) - 1
     handed = _hand_over(cut, key, F.count(F.lit(1)), F.coalesce(F.sum("_own").over(_earlier(key)), F.lit(0)))
     return handed.withColumn(name, (inside + F.col("_former")).cast("long")).drop("_range", "_former")
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.functions.text import normalize
+from tessitura.functions.arrays import let
+from tessitura.functions.text import edit_distance, normalize
 
 
 def reference_key(numeric_id: Column, key: Column) -> Column:
@@ -24,8 +25,9 @@ def score_pairs(refs: DataFrame, hyps: DataFrame, keys: list[str], letters: str
     The edit distance costs far more than moving its row, so few input partitions are spread over all cores first.
     """
     joined = spread(hyps.select(*keys, F.col("hyp"))).join(refs, keys)
-    ref, hyp = normalize(F.col("ref"), letters), normalize(F.col("hyp"), letters)
-    return joined.withColumn("edits", F.levenshtein(ref, hyp).cast("long")).withColumn("ref_chars", F.length(ref).cast("long"))
+    normal = joined.withColumn("_pair", F.struct(normalize(F.col("ref"), letters).alias("r"), normalize(F.col("hyp"), letters).alias("h")))
+    found = normal.withColumn("edits", let(F.col("_pair"), lambda p: edit_distance(p["r"], p["h"])).cast("long"))
+    return found.withColumn("ref_chars", F.length("_pair.r").cast("long")).drop("_pair")
 
 
 def micro_rate(scored: DataFrame, *by: str) -> DataFrame:

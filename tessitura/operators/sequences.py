@@ -10,6 +10,8 @@ from tessitura.functions.text import is_english
 
 from . import ordered
 
+LEAST_DEVIATION = 1e-8
+
 
 def _with_runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """``rows`` with the number of the run of equal values that each is in, from 1."""
@@ -74,9 +76,12 @@ def stack_rows(rows: DataFrame, key: str, frame: str, vec: str, m: int, n: int)
 
 
 def moments(rows: DataFrame, key: str, vec: str, width: int) -> DataFrame:
-    """Each key's shift (minus the mean) and scale (1 / deviation) by dimension, as arrays: one aggregate, no row per dimension."""
+    """Each key's shift (minus the mean) and scale (1 / deviation) by dimension, as arrays: one aggregate, no row per dimension.
+
+    A deviation below ``LEAST_DEVIATION`` counts as that, so a constant dimension and a single frame become zeros.
+    """
     each = [F.get(vec, F.lit(d)) for d in range(width)]
-    return rows.groupBy(key).agg(F.array(*[-F.avg(x) for x in each]).alias("shift"), F.array(*[1 / F.stddev_pop(x) for x in each]).alias("scale"))
+    return rows.groupBy(key).agg(F.array(*[-F.avg(x) for x in each]).alias("shift"), F.array(*[1 / F.greatest(F.stddev_pop(x), F.lit(LEAST_DEVIATION)) for x in each]).alias("scale"))
 
 
 def numbered(rows: DataFrame, key: str, order: str, name: str = "frame") -> DataFrame:

@@ -78,10 +78,11 @@ def frame_dots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.join(after, ["key", "frame"]).select("key", "frame", F.round(A.dot(F.col("vec"), F.col("next")), 6).alias("dot"), F.round(A.total(A.relu(F.col("vec"))), 6).alias("positive"))
 
 
-@query(f"select vec_id, round(n[1], 5) as first, round(n[-1], 5) as last from (select vec_id, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)) / len(c) + 1e-5)) as n from (select vec_id, list_transform(vec, lambda x: x - list_sum(vec) / len(vec)) as c from ({_FRAMES})))")
+@query(f"select vec_id, round(list_sum(list_transform(n, lambda x, i: x * i)), 4) as weighted, round(n[1], 5) as first, round(n[-1], 5) as last from (select vec_id, list_transform(c, lambda x: x / sqrt(list_sum(list_transform(c, lambda y: y * y)) / len(c) + 1e-5)) as n from (select vec_id, list_transform(vec, lambda x: x - list_sum(vec) / len(vec)) as c from ({_FRAMES})))")
 def layer_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = A.layer_norm(F.col("vec"))
-    return _frames(spark, sf_dir).select("vec_id", F.round(F.get(n, 0), 5).alias("first"), F.round(F.element_at(n, -1), 5).alias("last"))
+    weighted = A.total(F.transform(n, lambda x, i: x * (i + 1)))
+    return _frames(spark, sf_dir).select("vec_id", F.round(weighted, 4).alias("weighted"), F.round(F.get(n, 0), 5).alias("first"), F.round(F.element_at(n, -1), 5).alias("last"))
 
 
 M, N = 7, 6
@@ -108,7 +109,8 @@ select u.key, u.frame, round(sum((x - mean) / sd), 5) as total, round(max((x - m
 def cmvn_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shift and scale from each recording's own mean and deviation by dimension, as two arrays on each frame."""
     f = _frames(spark, sf_dir)
-    made = f.join(sequences.moments(f, "key", "vec", WIDTH), "key").withColumn("v", A.cmvn(F.col("vec"), F.col("shift"), F.col("scale")))
+    own = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null").select(F.col("label").alias("key"), F.col("embedding").cast("array<double>").alias("vec"))
+    made = f.join(sequences.moments(own, "key", "vec", WIDTH), "key").withColumn("v", A.cmvn(F.col("vec"), F.col("shift"), F.col("scale")))
     return made.select("key", "frame", F.round(A.total(F.col("v")), 5).alias("total"), F.round(F.array_max("v"), 5).alias("most"))
 
 

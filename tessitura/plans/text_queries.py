@@ -32,7 +32,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 #: A stand-in hypothesis: every third text as it is, one with e for a, one without its first two characters.
 _HYP = "case {k} % 3 when 0 then replace(text, 'e', 'a') when 1 then substr(text, 3) else text end"
-_SQL_NORM = "upper(regexp_replace({x}, '[^A-Za-z0-9_]', '', 'g'))"
+#: DuckDB measures bytes, so each capital letter beyond ASCII becomes one small letter, which upper case has none of.
+_SQL_NORM = "translate(replace(upper(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}_]', '', 'g')), 'ẞ', 'SS'), 'ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜŒ', 'abcdefghijklmnopqrstu')"
 _PAIRS = f"""select conv_id, turn, role, {_SQL_NORM.format(x="coalesce(text, '')")} as r, {_SQL_NORM.format(x=_HYP.format(k="(conv_id + turn)"))} as h from conversations where text is not null"""
 
 
@@ -40,7 +41,7 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").where("text is not null")
     refs = c.select("conv_id", "turn", "role", F.col("text").alias("ref"))
     hyps = c.select("conv_id", "turn", F.expr(_HYP.format(k="(conv_id + turn)")).alias("hyp"))
-    return scoring.score_pairs(refs, hyps, ["conv_id", "turn"], "A-Za-z0-9_")
+    return scoring.score_pairs(refs, hyps, ["conv_id", "turn"])
 
 
 @query(
@@ -208,9 +209,20 @@ def rich_text_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rich(spark, sf_dir).select("conv_id", "turn", T.merge_rendered(F.transform(T.split_languages(F.col("rich")), T.render_rich)).alias("rendered"))
 
 
-@query(f"select conv_id, turn, cast(length(x) + len(regexp_extract_all(x, '{T.WIDE}')) as int) as cells from (select conv_id, turn, {_RICH} as x from conversations where text is not null)")
+#: Signs put behind the rendered texts. As facts: the first eight take two cells each, the other five one.
+_WIDE_SIGNS, _NARROW_SIGNS = "⌚⏩☔⚡✅🚀語Ａ", "☂✓™ｱ→"
+#: As a fact: each of these, which rendering and the query put in, takes two cells; the texts' own letters take one.
+_WIDE_RENDERED = "❓😊😔😡🎼👏😀😰🤢😮😭🤧😷你好，世界"
+
+
+@query(
+    f"""select conv_id, turn, cast(length(x) + len(list_filter(string_split(x, ''), lambda c: contains('{_WIDE_RENDERED}{_WIDE_SIGNS}', c))) as int) as cells
+from (select conv_id, turn, rendered || substr('{_WIDE_SIGNS}{_NARROW_SIGNS}', 1 + cast((conv_id + turn) % 13 as int), 4) as x from ({_sql_rich(f'select conv_id, turn, {_RICH} as x from conversations where text is not null')}))"""
+)
 def cell_width(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rich(spark, sf_dir).select("conv_id", "turn", T.display_width(F.col("rich")).alias("cells"))
+    """Cells of rendered texts with some wide and narrow signs behind them; the SQL has the signs' widths as plain facts."""
+    signs = F.substr(F.lit(_WIDE_SIGNS + _NARROW_SIGNS), 1 + ((F.col("conv_id") + F.col("turn")) % 13).cast("int"), F.lit(4))
+    return _rich(spark, sf_dir).select("conv_id", "turn", T.display_width(F.concat(T.render_rich(F.col("rich")), signs)).alias("cells"))
 
 
 @query("select event_id, lower(trim(case when event_id % 2 = 0 then '  ' || upper(event_type) || ' ' else event_type end, ' ')) as command from events")

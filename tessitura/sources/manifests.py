@@ -41,7 +41,7 @@ def _last_of_each(rows: DataFrame, order: str) -> DataFrame:
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """A JSON array of {id or key, ref, duration}: key, ref, duration. Of a repeated key the last row stays.
 
-    A whole number as id makes the key; an id of another JSON type is ignored in favour of ``key``. The array is read as
+    A whole number as id makes the key, of three digits (with its sign) at least; a duration that is no number is 0. An id of another JSON type is ignored in favour of ``key``. The array is read as
     text first, since a reader of columns would not tell the number 12 from the text "12".
     """
     items = F.from_json("value", "array<string>")
@@ -49,10 +49,13 @@ def read_references(spark: SparkSession, path: str) -> DataFrame:
     whole = F.regexp_extract(F.get_json_object("item", "$.id"), r"^-?[0-9]+$", 0)
     # the id's own JSON: a text keeps its quotes inside a map of raw values
     raw = F.element_at(F.from_json("item", "map<string,variant>"), "id")
-    number = F.schema_of_variant(raw).isin("BIGINT") & (whole != "")
-    key = F.when(number, F.format_string("%03d", whole.cast("long"))).otherwise(F.get_json_object("item", "$.key"))
+    # numbers of more digits than a long has are decimals or doubles to the parser, and whole numbers by their spelling
+    number = F.schema_of_variant(raw).rlike("^(BIGINT|DECIMAL|DOUBLE)") & (whole != "")
+    digits = F.regexp_extract(whole, "^-?0*([0-9]+)$", 1)
+    padded = F.lpad(digits, F.greatest(F.length(digits), F.when(whole.startswith("-"), 2).otherwise(3)), "0")
+    key = F.when(number, F.concat(F.when(whole.startswith("-"), "-").otherwise(""), padded)).otherwise(F.get_json_object("item", "$.key"))
     made = rows.select(
-        F.struct("_file", "_place").alias("_order"), key.alias("key"), F.get_json_object("item", "$.ref").alias("ref"), F.coalesce(F.get_json_object("item", "$.duration").cast("double"), F.lit(0.0)).alias("duration")
+        F.struct("_file", "_place").alias("_order"), key.alias("key"), F.get_json_object("item", "$.ref").alias("ref"), F.coalesce(F.get_json_object("item", "$.duration").try_cast("double"), F.lit(0.0)).alias("duration")
     )
     return _last_of_each(made, "_order")
 
