@@ -6,7 +6,9 @@ density, punctuation and neighbourhood on the page. The field has the two labels
 on labelled pages (``labelled_pages``: layouts drawn from a seed, whose labels are known as they are made) by gradient
 ascent on the conditional likelihood, and is decoded by Viterbi. Blocks labelled article are joined in page order. A
 page in which no element has a telling name is judged by features of its own kind: what its blocks say, their elements
-and their neighbours. A quarter of the training pages is made so.
+and their neighbours. A quarter of the training pages is made so. Names that no training page had say nothing, and neither do
+furniture's names around a page's whole body (a form around everything). Where the likeliest labels leave a page empty that
+has an article element or long prose outside of furniture, the likeliest labels with such a block in the article hold.
 
 Text: scripts, styles, markup and what only holds controls are never blocks; character references are decoded, white
 space (line breaks included) becomes one space, ends are trimmed. Cases: null, empty and blank html give an empty text;
@@ -70,6 +72,15 @@ SPOKEN_WORD = re.compile(r"[^\W\d_]+")
 PLAIN_CUES = frozenset(f"<{t}>" for t in "h1 h2 h3 h4 h5 h6 ul ol li table tbody tr td th pre blockquote figure figcaption hr dl dt dd label center".split())
 
 
+#: Parts of names, and elements, that stand for furniture.
+FURNITURE_CUES = frozenset(
+    "<nav> <header> <footer> <aside> <form> nav navbar menu breadcrumb breadcrumbs footer sidebar widget cookie consent modal popup newsletter "
+    "ad ads advert advertisement sponsored promo form search login signup comment comments reply replies responses hidden".split()
+)
+#: Characters from which a sentence outside of furniture can be a page's whole article.
+PROSE = 100
+
+
 class Block:
     """A leaf block: its text, the share of it inside links, its element and the cues of its ancestors."""
 
@@ -206,9 +217,26 @@ def blocks_of(page: str | None) -> list[Block]:
     return out
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
-    """Names of the features that hold for each block."""
+def _silent_cues(blocks: list[Block], known: frozenset[str] | None) -> set[str]:
+    """Cues that say nothing on this page: those that no training page had, and furniture's names around the page's own body.
+
+    A form, say, around most of the text and around the first heading is how the page is built, not a form in it.
+    """
+    covered: dict[str, int] = {}
+    for b in blocks:
+        for c in b.cues:
+            covered[c] = covered.get(c, 0) + len(b.text)
+    total = sum(len(b.text) for b in blocks)
+    first = next((b for b in blocks if b.tag == "h1"), None)
+    around = {c for c, n in covered.items() if c in FURNITURE_CUES and n >= (0.6 if first else 0.9) * total and (first is None or c in first.cues)}
+    return around | ({c for c in covered if c not in known} if known is not None else set())
+
+
+def features(blocks: list[Block], known: frozenset[str] | None = None) -> list[list[str]]:
+    """Names of the features that hold for each block; ``known`` are the cues that a trained field has seen (None: all)."""
     out, n, shared = [], len(blocks), {}
+    if silent := _silent_cues(blocks, known):
+        blocks = [Block(b.text, b.linked, b.tag, tuple(c for c in b.cues if c not in silent)) for b in blocks]
     # a page without a telling name or element has features of its own, since nothing there speaks for a block but itself
     bare = all(c in PLAIN_CUES for b in blocks for c in b.cues)
     headed = False
@@ -245,18 +273,31 @@ class Field:
     """Weights by feature and label, label transitions; label 1 is article."""
 
     def __init__(self, weights: dict[str, float], steps: np.ndarray):
-        self.weights, self.steps = weights, steps
-
-    def decode(self, rows: list[list[str]]) -> list[int]:
-        """Viterbi: the likeliest labels."""
+        self.weights, self.steps, self._cues = weights, steps, None
+
+    def cues(self) -> frozenset[str]:
+        """Names and elements that the training pages had."""
+        if self._cues is None:
+            self._cues = frozenset(name[3:] for name in self.weights if name.startswith("in:")) | PLAIN_CUES
+        return self._cues
+
+    def decode(self, rows: list[list[str]], candidates: list[int] = ()) -> list[int]:
+        """Viterbi: the likeliest labels. If they have no article block, the likeliest of those with the best candidate in it."""
+        labels = self._decode(rows)
+        if not any(labels) and candidates:
+            best = max(candidates, key=lambda i: sum(self.weights.get(name, 0.0) for name in rows[i]))
+            labels = self._decode(rows, best)
+        return labels
+
+    def _decode(self, rows: list[list[str]], must: int = -1) -> list[int]:
         if not rows:
             return []
         get = self.weights.get
         (s00, s01), (s10, s11) = self.steps.tolist()
         a = b = None
         came: list[tuple[int, int]] = []
-        for names in rows:
-            w = 0.0
+        for i, names in enumerate(rows):
+            w = 1e6 if i == must else 0.0
             for name in names:
                 w += get(name, 0.0)
             if a is None:
@@ -417,7 +458,10 @@ def labelled_pages(many: int = 800, seed: int = 5) -> list[str]:
 
     def article() -> str:
         parts = [f"<{pick(['h1', 'h1', 'h2'])}>{MARK}{sentence(2, 12)}</h1>"] if chance(0.9) else []
-        for _ in range(int(rng.integers(1, 12))):
+        brief = chance(0.12)  # a note of one short block
+        if brief:
+            parts.append(f"<p>{MARK}{sentence(2, 9)}</p>")
+        for _ in range(0 if brief else int(rng.integers(1, 12))):
             parts.append(f"<{(h := pick(['h2', 'h3', 'h4']))}>{MARK}{sentence(1, 6)}</{h}>" if chance(0.12) else paragraph())
             if chance(0.12):
                 parts.append(furniture(pick(["ad", "notice", "form", "side", "nav"])))
@@ -467,9 +511,16 @@ def trained_field() -> Field:
     return train(learn(labelled_pages()))
 
 
+def candidates_of(blocks: list[Block]) -> list[int]:
+    """Blocks that can be a page's whole article: those of an article element, and long prose outside of furniture."""
+    free = [i for i, b in enumerate(blocks) if not FURNITURE_CUES & set(b.cues) - _silent_cues(blocks, None) and 2 * b.linked < len(b.text)]
+    return [i for i in free if "<article>" in blocks[i].cues or (len(blocks[i].text) >= PROSE and blocks[i].text[-1] in ".!?…»”\"")]
+
+
 def main_text(page: str | None, field: Field) -> str:
     blocks = blocks_of(page)
-    return "\n".join(b.text for b, label in zip(blocks, field.decode(features(blocks)), strict=True) if label)
+    labels = field.decode(features(blocks, field.cues()), candidates_of(blocks))
+    return "\n".join(b.text for b, label in zip(blocks, labels, strict=True) if label)
 
 
 def extract(pages: DataFrame, field: Field | None = None, page_id: str = "page_id", url: str = "url", html_column: str = "html") -> DataFrame:
