@@ -150,20 +150,28 @@ class Model:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """doc_id, text, label of at most ``fit_rows`` documents outside the held-out fold. The ids are broadcast: that bound is their size."""
+    """doc_id, text, label of the rows of at most ``fit_rows`` ids outside the held-out fold. The ids are broadcast: that bound is their size."""
     taught = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label")).where(~held_out(F.col("doc_id")) & F.col("label").isNotNull())
     taught = taught.groupBy("doc_id").agg(F.max("label").alias("label"))
     some = taught.orderBy(F.xxhash64("doc_id"), "doc_id").limit(fit_rows)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(F.broadcast(some), "doc_id")
 
 
-def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+def fit_statistics(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """label, x of at most ``fit_rows`` different labelled texts: an id may have any number of rows, and of equal rows one teaches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "text", 4 << 20):
             x = statistics(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["label", "x"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("same"), part.column("label"), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "same", "label", "x"])
+
+    rows = labelled(docs, labels, "quality", fit_rows).select("doc_id", F.xxhash64("text").alias("same"), "label", "text")
+    each = rows.mapInArrow(run, "doc_id long, same long, label int, x array<double>").groupBy("doc_id", "same").agg(F.max("label").alias("label"), F.max("x").alias("x"))
+    return each.orderBy(F.xxhash64("doc_id"), "doc_id", "same").limit(fit_rows).select("label", "x")
 
-    rows = labelled(docs, labels, "quality", fit_rows).select("label", "text").mapInArrow(run, "label int, x array<double>").toPandas()
+
+def fit(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
+    rows = fit_statistics(docs, labels, fit_rows).toPandas()
     x = np.array(rows["x"].tolist(), dtype=float).reshape(len(rows), len(STATISTICS))
     order = np.lexsort((*x.T, rows["label"]))  # the sums don't depend on the order of tasks
     return Model(x[order], rows["label"].to_numpy()[order])
