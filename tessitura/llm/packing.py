@@ -5,8 +5,8 @@ The plan is made from the histogram of piece lengths, which has ``capacity`` row
 lengths above a third of the capacity are matched greedily, longest first with the longest partner that fits, two to
 a sequence at most; then the smaller ones, longest first, go where the least room is left (best fit), and into new
 sequences where none fits. Identical sequences are planned once with a multiplicity. Each piece then gets a rank
-among the pieces of its length (counted by salted groups, so that a length held by a third of all rows is shared
-out) and reads its place from the plan.
+among the pieces of its length (counted by groups salted by row number, so that a length held by a third of all rows is
+shared out, equal rows too) and reads its place from the plan.
 
 Cases: null and empty texts are the single id 0; repeated rows are packed each; null doc_ids are kept; an empty table
 gives no rows; extra columns are ignored.
@@ -236,11 +236,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Add sequence_id and offset to materialised pieces."""
+    """Add sequence_id and offset to materialised pieces, whose ``row`` numbers tell equal pieces apart; ``row`` goes."""
     spark = cut.sparkSession
     total = cut.count()
     salts = int(min(1024, max(16, total // 2_000_000)))
-    salted = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(salts)).cast("int"))
+    salted = cut.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
     # capacity x salts rows at most, whatever the input
     groups = salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "salt"]).astype("int64")
     groups["before"] = groups.groupby("length")["n"].cumsum() - groups["n"]
@@ -248,7 +248,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     before[groups["length"], groups["salt"]] = groups["before"]
     table = pd.DataFrame(plan({int(k): int(v) for k, v in groups.groupby("length")["n"].sum().items()}, capacity), columns=["length", "lo", "hi", "sequence", "each", "offset"]).astype("int64").sort_values(["length", "lo"])
     shared = spark.sparkContext.broadcast((before, *(table[c].to_numpy() for c in table.columns)))
-    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")) - 1)
+    ranked = salted.withColumn("rank", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "row")) - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before, lengths, lo, _, sequence, each, offset = shared.value
@@ -260,15 +260,16 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             step = np.int64(1) << 44
             at = np.searchsorted(lengths * step + lo, n * step + rank, side="right") - 1
             inside = rank - lo[at]
-            kept = [c for c in part.schema.names if c not in ("salt", "rank")]
+            kept = [c for c in part.schema.names if c not in ("salt", "rank", "row")]
             yield pa.RecordBatch.from_arrays([*(part.column(part.schema.get_field_index(c)) for c in kept), pa.array(sequence[at] + inside // each[at]), pa.array(offset[at] + inside % each[at] * n)], names=[*kept, "sequence_id", "offset"])
 
-    return ranked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id long, offset long")
+    return ranked.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema if f.name != "row") + ", sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """Tokenise ``docs`` and pack them: a row per piece with its sequence and its place there."""
-    return place(materialise(pieces(docs, vocabulary, doc_id, text, capacity, keep_ids), "pieces"), capacity)
+    cut = pieces(docs, vocabulary, doc_id, text, capacity, keep_ids).withColumn("row", F.monotonically_increasing_id())
+    return place(materialise(cut, "pieces"), capacity)
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
