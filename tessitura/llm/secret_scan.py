@@ -45,6 +45,8 @@ JOINING = "+/_=-"
 FALSE_SHARE = 0.0005
 #: The threshold is never below this, however well the validation strings are told apart: texts hold stranger words than they do.
 FLOOR = 0.8
+#: Tokens of a fixed shape that are no secrets: UUIDs, and dates with times and counters.
+SHAPED = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|[12][0-9]{3}[-_/]?[01][0-9][-_/]?[0-3][0-9](?:[-_/T]?[0-9]{2,6}){0,6}Z?")
 #: An address up to its query: scheme, host, path.
 ADDRESS = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/?#\"'<>]*([^\s?#\"'<>]*)")
 
@@ -60,6 +62,8 @@ image video audio document section chapter paragraph sentence character letter d
 der die das und ist mit ein nicht von auf werden haben kann durch über nach bei aus wenn noch wie einen zwischen
 que los las una por con para como más pero sus este entre cuando muy sin sobre también hasta hay donde quien desde
 les des une est dans pour qui sur pas plus par avec tout faire son mais nous comme être leur sans deux même aussi
+llan fair pwll gwyn gyll goger wyrn drobwll tysilio gogo goch aber ystwyth caer narfon machyn lleth bryn coed mawr
+krung thep maha nakhon taumata whaka tangi hanga koauau reykjavik hafnar fjordur szeged lodz wroclaw przemysl
 """
 
 
@@ -129,6 +133,20 @@ def ratio(token: str) -> float:
     return float(ratio_table()[np.concatenate(([0], codes[:-1])), codes].sum() / len(codes))
 
 
+def ordered_or_repeated(token: str) -> bool:
+    """Whether a token is made by a rule that a chain can't see: characters that repeat or count up, UUIDs, times.
+
+    Few distinct characters for the length, or steps of -1, 0 and 1 from character to character in more than half of the
+    places; of random strings of 20 characters from 32 signs or more fewer than 1 in 10,000 is like that.
+    """
+    if SHAPED.fullmatch(token):
+        return True
+    codes = np.frombuffer(token.encode("ascii"), dtype=np.uint8).astype(np.int16)
+    if len(np.unique(codes)) < min(6, len(codes) // 2):
+        return True
+    return len(codes) >= MIN_SCORED and bool((np.abs(np.diff(codes)) <= 1).mean() > 0.5)
+
+
 def tokens(text: str) -> Iterator[tuple[int, int, int]]:
     """Tokens to score, with the least length of a whole one: runs of identifier characters, cut at the steps of addresses' paths."""
     paths = [m.span(1) for m in ADDRESS.finditer(text) if m[1]] if "://" in text else []
@@ -152,7 +170,7 @@ def tokens(text: str) -> Iterator[tuple[int, int, int]]:
 def find_spans(text: str | None, least: float | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, spans that the Markov models add), each as (start, kind's number, end), in order."""
     text = text or ""
-    passes = lambda token: ratio(token) > (threshold(min(len(token), MIN_SCORED)) if least is None else least)
+    passes = lambda token: ratio(token) > (threshold(min(len(token), MIN_SCORED)) if least is None else least) and not ordered_or_repeated(token)
     base = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
     base += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18] if "AKIA" in text else []
     base += [(m.start(), 2, m.end()) for m in HEX_LONG.finditer(text)]
