@@ -7,8 +7,9 @@ window of an item contains one of them whole) and the short items; a node per be
 each window. Where a block occurs, the windows around it are looked up by their hashes and compared word by word with the
 item, so that a hit is an occurrence of a whole window. Hit words are carried back to code-point offsets of the original.
 
-A benchmark of more words than ``AUTOMATON_WORDS`` is dealt into parts, each with its own automaton; a task keeps a run of
-texts' word numbers and passes them through one part after another, so the text is read and split once. All parts give
+A benchmark of more words than ``AUTOMATON_WORDS`` is dealt into parts, each with its own automaton; a task keeps the
+word numbers of ``RUN_BYTES`` of text and passes them through one part after another, so the text is read and split once, and
+an automaton is built once for so much text. All parts give
 the same kind of hits, united per row: a row's result doesn't depend on the parts.
 
 Cases: null or wordless texts have no words and are never hit; null, empty or wordless items have no window; an
@@ -33,10 +34,12 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, text_slices, total_bytes
 
 WIDTH = 10
-#: Words of one automaton (about 150 bytes each in a Python worker).
+#: Words of one automaton (about 400 bytes each in a Python worker, and 17 seconds to build a full one).
 AUTOMATON_WORDS = 1_000_000
+#: Text that a task scans with one part before it builds the next, where there are several: its word numbers are held.
+RUN_BYTES = 48 << 20
 #: Benchmark text that is held by the driver and broadcast as word numbers at once. A larger benchmark takes several passes.
-PASS_BYTES = 256 << 20
+PASS_BYTES = 64 << 20
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 #: The normal form, byte by byte: what parts words becomes a blank; all bytes of a non-ASCII character stay.
@@ -161,20 +164,48 @@ class Benchmark:
 
     def scan(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Words of each text; (text, word) of the distinct hit words; (text, item) of the distinct items, -1 being one without id."""
+        return next(self.scan_run([texts]))
+
+    def scan_run(self, run: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """``scan`` of several arrays of texts: each part's automaton goes over all of them before the next one is built."""
+        coded = [self._coded(texts) for texts in run]
+        found: list[list] = [[] for _ in run]
+        order = range(len(self.parts))
+        if len(order) > 1 and (self.token, len(order) - 1) in KEPT:  # the part in hand comes first
+            order = reversed(order)
+        for k in order:
+            part = self.part(k)
+            for own, (_, _, flat) in zip(found, coded, strict=True):
+                own.append(part.find(flat))
+        for own, (sizes, begin, _) in zip(found, coded, strict=True):
+            first, many, item = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in own)]) for i in range(3))
+            row = np.searchsorted(begin, first, side="right") - 1
+            spread = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            hit = np.unique(spread)
+            hit_row = np.searchsorted(begin, hit, side="right") - 1
+            owned = np.unique(np.stack([row, item], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
+            yield sizes, hit_row, hit - begin[hit_row] if len(hit) else hit, owned[:, 0], owned[:, 1]
+
+    def runs(self, slices: Iterator[pa.RecordBatch]) -> Iterator[list[pa.RecordBatch]]:
+        """Slices to scan together: one by one where one automaton holds the benchmark, else about ``RUN_BYTES`` of them."""
+        own, size = [], 0
+        for part in slices:
+            own.append(part)
+            size += part.nbytes
+            if len(self.parts) < 2 or size >= RUN_BYTES:
+                yield own
+                own, size = [], 0
+        if own:
+            yield own
+
+    def _coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Words of each text, where each begins, and all word numbers on end, with a 0 behind each text."""
         sizes, words = split_words(texts)
         coded = words.dictionary_encode()
         number = pc.fill_null(pc.add(pc.index_in(coded.dictionary, self.vocabulary), 1), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        begin = np.cumsum(sizes + 1) - sizes - 1
-        flat = np.zeros(int(sizes.sum()) + len(sizes), np.int64)  # a 0 behind each text
+        flat = np.zeros(int(sizes.sum()) + len(sizes), np.int64)
         flat[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = number[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else 0
-        found = [self.part(k).find(flat) for k in range(len(self.parts))]
-        first, many, item = (np.concatenate([np.zeros(0, np.int64), *(f[i] for f in found)]) for i in range(3))
-        row = np.searchsorted(begin, first, side="right") - 1
-        spread = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-        hit = np.unique(spread)
-        hit_row = np.searchsorted(begin, hit, side="right") - 1
-        owned = np.unique(np.stack([row, item], axis=1), axis=0) if len(row) else np.zeros((0, 2), np.int64)
-        return sizes, hit_row, hit - begin[hit_row] if len(hit) else hit, owned[:, 0], owned[:, 1]
+        return sizes, np.cumsum(sizes + 1) - sizes - 1, flat
 
 
 def prepare(items: list[tuple[str | None, str | None]], width: int = WIDTH, automaton_words: int = AUTOMATON_WORDS) -> Benchmark:
@@ -224,14 +255,17 @@ def _scan(docs: DataFrame, items: list[tuple[str | None, str | None]], doc_id: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = shared.value.names
-        for part in text_slices(batches, "text", 4 << 20):
-            sizes, row, word, item_row, item = shared.value.scan(part.column("text"))
-            words = _lists(row, pa.array(word, pa.int32()), len(part))
-            hit = {i: words[i].as_py() for i in np.unique(row).tolist()}
-            spans = [spans_of(part.column("text")[i].as_py(), hit[i]) if i in hit else [] for i in range(len(part))]
-            named = item >= 0
-            own = _lists(item_row[named], pa.array([names[k] for k in item[named].tolist()], pa.string()), len(part))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), words, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), own], names=["doc_id", "n_words", "words", "spans", "item_ids"])
+        for own_run in shared.value.runs(text_slices(batches, "text", 4 << 20)):
+            for part, (sizes, row, word, item_row, item) in zip(own_run, shared.value.scan_run([x.column("text") for x in own_run]), strict=True):
+                yield told(part, names, sizes, row, word, item_row, item)
+
+    def told(part: pa.RecordBatch, names: list[str], sizes: np.ndarray, row: np.ndarray, word: np.ndarray, item_row: np.ndarray, item: np.ndarray) -> pa.RecordBatch:
+        words = _lists(row, pa.array(word, pa.int32()), len(part))
+        hit = {i: words[i].as_py() for i in np.unique(row).tolist()}
+        spans = [spans_of(part.column("text")[i].as_py(), hit[i]) if i in hit else [] for i in range(len(part))]
+        named = item >= 0
+        own = _lists(item_row[named], pa.array([names[k] for k in item[named].tolist()], pa.string()), len(part))
+        return pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes, pa.int64()), words, pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), own], names=["doc_id", "n_words", "words", "spans", "item_ids"])
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, HITS)
 
@@ -304,11 +338,11 @@ def _without(docs: DataFrame, items: list[tuple[str | None, str | None]], text:
     shared = docs.sparkSession.sparkContext.broadcast(prepare(items, width, automaton_words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_slices(batches, text, 4 << 20):
-            _, row, *_ = shared.value.scan(part.column(text))
-            kept = np.ones(len(part), bool)
-            kept[row] = False
-            yield part.filter(pa.array(kept))
+        for own_run in shared.value.runs(text_slices(batches, text, 4 << 20)):
+            for part, (_, row, *_) in zip(own_run, shared.value.scan_run([x.column(text) for x in own_run]), strict=True):
+                kept = np.ones(len(part), bool)
+                kept[row] = False
+                yield part.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)
 
