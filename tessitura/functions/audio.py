@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import json
 import math
-import wave
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -72,25 +70,125 @@ def resample(x: np.ndarray, source: int, target: int) -> np.ndarray:
     return out.astype(np.float32)
 
 
+# WAVE format tags.
+PCM, FLOAT, A_LAW, MU_LAW, EXTENSIBLE = 1, 3, 6, 7, 0xFFFE
+
+
+def mu_law(codes: np.ndarray) -> np.ndarray:
+    """G.711 mu-law bytes as samples in (-1, 1): inverted sign, 3 bits of exponent, 4 of mantissa, a bias of 33 steps."""
+    u = ~codes.astype(np.uint8)
+    size = (((u & 0x0F).astype(np.int32) << 3) + 0x84 << ((u >> 4) & 7)) - 0x84
+    return np.where(u & 0x80, -size, size) / 32768.0
+
+
+def a_law(codes: np.ndarray) -> np.ndarray:
+    """G.711 A-law bytes as samples in (-1, 1): every second bit inverted, sign, 3 bits of exponent, 4 of mantissa."""
+    a = codes.astype(np.uint8) ^ 0x55
+    power = ((a >> 4) & 7).astype(np.int32)
+    size = ((a & 0x0F).astype(np.int32) << 4) + np.where(power, 0x108, 8)
+    size = np.where(power > 1, size << np.maximum(power - 1, 0), size)
+    return np.where(a & 0x80, size, -size) / 32768.0
+
+
+def _plain(kind: int, bits: int, data: bytes) -> np.ndarray | None:
+    """The samples of a format, channels mixed in order; null for formats that aren't known."""
+    if kind == PCM and bits == 8:
+        return (np.frombuffer(data, "u1").astype(np.float64) - 128) / 128
+    if kind == PCM and bits in (16, 32):
+        return np.frombuffer(data, f"<i{bits // 8}") / 2.0 ** (bits - 1)
+    if kind == PCM and bits == 24:
+        low, middle, high = np.frombuffer(data, "u1").reshape(-1, 3).astype(np.int32).T
+        return ((high << 24 | middle << 16 | low << 8) >> 8) / 2.0**23
+    if kind == FLOAT and bits in (32, 64):
+        return np.frombuffer(data, f"<f{bits // 8}").astype(np.float64)
+    if kind in (A_LAW, MU_LAW) and bits == 8:
+        return (a_law if kind == A_LAW else mu_law)(np.frombuffer(data, "u1"))
+    return None
+
+
+def riff_chunks(raw: bytes) -> dict[bytes, bytes] | None:
+    """The first chunk of each name of a RIFF/WAVE file, in whatever order they come.
+
+    A data chunk of unknown length (0 or 0xFFFFFFFF, as a writer to a pipe leaves it) and one that is cut off go to
+    the file's end; other chunks that are cut off are left out.
+    """
+    if len(raw) < 12 or raw[:4] not in (b"RIFF", b"RF64") or raw[8:12] != b"WAVE":
+        return None
+    found: dict[bytes, bytes] = {}
+    at = 12
+    while at + 8 <= len(raw):
+        name, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
+        body = at + 8
+        if name == b"data" and (size == 0xFFFFFFFF or body + size > len(raw) or (size == 0 and b"data" not in found and body < len(raw) and not _chunk_follows(raw, body))):
+            size = len(raw) - body
+        if body + size <= len(raw):
+            found.setdefault(name, raw[body : body + size])
+        at = body + size + size % 2  # chunks begin at even places
+    return found
+
+
+def _chunk_follows(raw: bytes, at: int) -> bool:
+    """Whether a chunk with a printable name and a size that fits begins there."""
+    name, size = raw[at : at + 4], int.from_bytes(raw[at + 4 : at + 8], "little")
+    return len(raw) >= at + 8 and all(32 <= c < 127 for c in name) and at + 8 + size <= len(raw)
+
+
+def wave_samples(raw: bytes | None) -> tuple[np.ndarray, int] | None:
+    """Samples (a row per frame, a column per channel) and rate of a RIFF/WAVE file; null for anything else.
+
+    Integer PCM of 8, 16, 24 and 32 bits, floats of 32 and 64 bits, A-law and mu-law, also behind an extensible header. A
+    part of a frame at the end is left out.
+    """
+    chunks = riff_chunks(raw) if raw is not None else None
+    if not chunks or len(chunks.get(b"fmt ", b"")) < 16 or b"data" not in chunks:
+        return None
+    form = chunks[b"fmt "]
+    kind, channels = (int.from_bytes(form[k : k + 2], "little") for k in (0, 2))
+    rate, bits = int.from_bytes(form[4:8], "little"), int.from_bytes(form[14:16], "little")
+    if kind == EXTENSIBLE:
+        if len(form) < 26:
+            return None
+        kind = int.from_bytes(form[24:26], "little")
+    width = channels * bits // 8
+    if not channels or not rate or not width or bits % 8:
+        return None
+    data = chunks[b"data"]
+    samples = _plain(kind, bits, data[: len(data) // width * width])
+    return None if samples is None else (samples.reshape(-1, channels), rate)
+
+
 @F.pandas_udf(ArrayType(FloatType()))
 def load_wav(content: pd.Series) -> pd.Series:
-    """RIFF/WAVE files (8, 16, 32-bit PCM, any channels and rate) as mono floats at 16 kHz; null for anything else."""
+    """RIFF/WAVE files of any form that ``wave_samples`` reads as mono floats at 16 kHz; null for anything else."""
 
     def one(raw):
-        try:
-            with wave.open(io.BytesIO(raw)) as f:
-                width, data = f.getsampwidth(), f.readframes(f.getnframes())
-                if width not in (1, 2, 4):
-                    return None
-                x = np.frombuffer(data, {1: "u1", 2: "<i2", 4: "<i4"}[width]).astype(np.float64)
-                x = (x - 128) / 128 if width == 1 else x / 2.0 ** (8 * width - 1)
-                return resample(x.reshape(-1, f.getnchannels()).mean(axis=1), f.getframerate(), RATE)
-        except (wave.Error, EOFError, TypeError):
-            return None
+        found = wave_samples(raw)
+        return None if found is None else resample(found[0].mean(axis=1), found[1], RATE)
 
     return pd.Series([one(raw) for raw in content])
 
 
+@F.pandas_udf(ArrayType(FloatType()))
+def to_rate(samples: pd.Series, rate: pd.Series) -> pd.Series:
+    """Arrays of samples at their own rates as mono floats at 16 kHz; null samples and rates below 1 give null."""
+    return pd.Series([None if x is None or pd.isna(r) or r < 1 else resample(np.asarray(x, np.float64), int(r), RATE) for x, r in zip(samples, rate, strict=True)])
+
+
+def encode_wave(samples: np.ndarray, rate: int = RATE, kind: int = PCM, bits: int = 16) -> bytes:
+    """A WAVE file of integer PCM (16, 24, 32 bits) or floats; samples beyond [-1, 1) are clipped for PCM."""
+    x = np.asarray(samples, np.float64)
+    x = x.reshape(len(x), -1)
+    if kind == FLOAT:
+        data = x.astype(f"<f{bits // 8}").tobytes()
+    else:
+        whole = np.clip(np.round(x * 2.0 ** (bits - 1)), -(2 ** (bits - 1)), 2 ** (bits - 1) - 1).astype("<i4")
+        data = whole.reshape(-1, 1).view("u1")[:, : bits // 8].tobytes()
+    width = x.shape[1] * bits // 8
+    form = kind.to_bytes(2, "little") + x.shape[1].to_bytes(2, "little") + rate.to_bytes(4, "little") + (rate * width).to_bytes(4, "little") + width.to_bytes(2, "little") + bits.to_bytes(2, "little")
+    body = b"WAVEfmt " + len(form).to_bytes(4, "little") + form + b"data" + len(data).to_bytes(4, "little") + data + b"\0" * (len(data) % 2)
+    return b"RIFF" + len(body).to_bytes(4, "little") + body
+
+
 @lru_cache(1)
 def mel_filters() -> np.ndarray:
     to_mel = lambda hz: 1127.0 * np.log(1 + np.asarray(hz) / 700.0)

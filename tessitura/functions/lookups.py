@@ -30,6 +30,27 @@ def choose_text_norm(explicit: Column, use_itn: Column, ids: dict[str, int]) ->
     return F.when(explicit.isNotNull(), F.coalesce(known, F.raise_error(F.concat(F.lit("unknown text norm "), explicit)).cast("int"))).when(use_itn, F.lit(ids["withitn"])).otherwise(F.lit(ids["woitn"]))
 
 
+# Ids of the query tokens that a recogniser is asked with.
+LANGUAGE_IDS = {"auto": 0, "zh": 3, "en": 4, "yue": 7, "ja": 11, "ko": 12, "nospeech": 13}
+TEXT_NORM_IDS = {"withitn": 14, "woitn": 15}
+
+
+def language_id(language: Column, ids: dict[str, int] | None = None) -> Column:
+    """The query token of a language; unknown and null ones get that of ``auto``."""
+    known = LANGUAGE_IDS if ids is None else ids
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), language), F.lit(known.get("auto", 0)))
+
+
+def default_key(given: Column, source: Column) -> Column:
+    """A row's key: the one that was given, else its source."""
+    return F.coalesce(given, source)
+
+
+def tiled_key(index: Column, keys: list[str]) -> Column:
+    """The key of the ``index``-th row (from 0): a list that is shorter than the rows is repeated. Null for an empty list."""
+    return F.get(F.array(*map(F.lit, keys)), F.pmod(index, F.lit(len(keys))).cast("int")) if keys else F.lit(None).cast("string")
+
+
 def token_accuracy(predicted: Column, target: Column, ignored: int = -1) -> Column:
     """Aggregate: the share of equal tokens, ignored targets left out; null where there is none."""
     return F.avg(F.when(target != ignored, (predicted == target).cast("double")))

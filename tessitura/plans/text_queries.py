@@ -243,7 +243,7 @@ def json_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_norm_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An explicit choice, else the flag's."""
     explicit = F.when(F.col("doc_id") % 3 == 0, "withitn").when(F.col("doc_id") % 3 == 1, "woitn")
-    return table(spark, sf_dir, "documents").select("doc_id", lookups.choose_text_norm(explicit, F.col("doc_id") % 2 == 0, TEXT_NORMS).alias("norm_id"))
+    return table(spark, sf_dir, "documents").select("doc_id", lookups.choose_text_norm(explicit, F.col("doc_id") % 2 == 0, lookups.TEXT_NORM_IDS).alias("norm_id"))
 
 
 @query("select event_id, case event_id % 3 when 1 then 'int16' else 'float32' end as format from events")
@@ -252,19 +252,10 @@ def handshake_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", T.format_of(url).alias("format"))
 
 
-def _lang_id(lang: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in LANGUAGE_IDS.items() for x in kv]), lang), F.lit(0))
-
-
-# Ids of the query tokens.
-LANGUAGE_IDS = {"auto": 0, "zh": 3, "en": 4, "yue": 7, "ja": 11, "ko": 12, "nospeech": 13}
-TEXT_NORMS = {"withitn": 14, "woitn": 15}
-
-
 @query("select doc_id, cast(case lang when 'zh' then 3 when 'en' then 4 when 'yue' then 7 when 'ja' then 11 when 'ko' then 12 when 'nospeech' then 13 else 0 end as int) as lang_id, cast(case when doc_id % 2 = 0 then 14 else 15 end as int) as norm_id from documents")
 def query_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    norm = F.when(F.col("doc_id") % 2 == 0, F.lit(TEXT_NORMS["withitn"])).otherwise(F.lit(TEXT_NORMS["woitn"]))
-    return table(spark, sf_dir, "documents").select("doc_id", _lang_id(F.col("lang")).alias("lang_id"), norm.alias("norm_id"))
+    norm = lookups.choose_text_norm(F.lit(None).cast("string"), F.col("doc_id") % 2 == 0, lookups.TEXT_NORM_IDS)
+    return table(spark, sf_dir, "documents").select("doc_id", lookups.language_id(F.col("lang")).alias("lang_id"), norm.alias("norm_id"))
 
 
 @query("select d.doc_id, d.lang, d.source, length(d.text) as target_len, l.quality, l.toxic from documents d left join labels l on d.doc_id = l.doc_id")
@@ -276,4 +267,4 @@ def manifest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("select page_id, coalesce(case when page_id % 2 = 0 then string_split('a,b,c', ',')[cast(page_id % 4 + 1 as int)] end, url) as key from pages")
 def default_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = F.when(F.col("page_id") % 2 == 0, F.get(F.split(F.lit("a,b,c"), ","), (F.col("page_id") % 4).cast("int")))
-    return table(spark, sf_dir, "pages").select("page_id", F.coalesce(given, F.col("url")).alias("key"))
+    return table(spark, sf_dir, "pages").select("page_id", lookups.default_key(given, F.col("url")).alias("key"))

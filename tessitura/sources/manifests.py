@@ -5,7 +5,7 @@ All schemas are given: inference would take -1 sentinels for data and widen coun
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "key string, text_language string, emo_target string, event_target string, with_or_wo_itn string, target string, source string, target_len int, source_len int"
@@ -78,29 +78,31 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("key string, frame_idx int, vec array<float>").parquet(path)
 
 
-def read_feature_files(spark: SparkSession, path: str) -> DataFrame:
-    """Raw feature files (two int32 sizes, then float32 rows): key, frame_idx, vec. Broken files give no rows."""
-    import numpy as np
-    import pandas as pd
+def read_feature_files(spark: SparkSession, path: str, range_bytes: int = 64 << 20) -> DataFrame:
+    """Raw feature files (two int32 sizes, then float32 rows): key, frame_idx, vec, error.
 
-    def run(parts):
-        for part in parts:
-            for name, raw in zip(part["path"], part["content"], strict=True):
-                sizes = np.frombuffer(raw[:8], "<i4") if len(raw) >= 8 else (-1, -1)
-                if min(sizes) >= 0 and len(raw) == 8 + 4 * int(sizes[0]) * int(sizes[1]):
-                    x = np.frombuffer(raw, "<f4", offset=8).reshape(sizes)
-                    yield pd.DataFrame({"key": name.rsplit("/", 1)[-1].rsplit(".", 1)[0], "frame_idx": range(len(x)), "vec": list(x)})
+    Files are read in ranges by many tasks (``sources.features``); a broken file is one row with its ``error``.
+    """
+    from .features import FeatureSource
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "key string, frame_idx int, vec array<float>")
+    spark.dataSource.register(FeatureSource)
+    return spark.read.format("tessitura_features").option("rangeBytes", range_bytes).load(path)
 
 
 def read_wavs(spark: SparkSession, path: str) -> DataFrame:
-    """Audio files as mono 16 kHz samples: key, samples (null for files that aren't PCM WAVE)."""
+    """Audio files as mono 16 kHz samples: key, samples (null for files that aren't WAVE)."""
     from tessitura.functions.audio import load_wav
 
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+?)(\.[^./]*)?$", 1).alias("key"), load_wav("content").alias("samples"))
 
 
+def audio_of_arrays(rows: DataFrame, samples: str, rate: str, name: str = "samples") -> DataFrame:
+    """``rows`` with ``name``: arrays of samples at their rows' own rates, as mono 16 kHz samples like those of files."""
+    from tessitura.functions.audio import to_rate
+
+    return rows.withColumn(name, to_rate(F.col(samples), F.col(rate)))
+
+
 def bracket_blocks(text: DataFrame, longer_than: int = 0) -> DataFrame:
     """Number lists in brackets of a statistics file's whole text, the first two longer than ``longer_than``: shift, scale."""
     lists = F.transform(F.regexp_extract_all("value", F.lit(r"\[([^\]]*)\]"), 1), lambda s: F.transform(F.filter(F.split(F.trim(s), r"\s+"), lambda x: x != ""), lambda x: x.cast("double")))
@@ -130,7 +132,12 @@ def write_texts(rows: DataFrame, path: str) -> None:
 
 def result_json(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Results as JSON frames, non-ASCII characters kept."""
-    return rows.select(F.to_json(F.struct(*columns)).alias("value"))
+    return rows.select(result_frame(*columns).alias("value"))
+
+
+def result_frame(*columns: str) -> Column:
+    """One result as a JSON frame."""
+    return F.to_json(F.struct(*columns))
 
 
 def write_report(rows: DataFrame, path: str) -> None:
