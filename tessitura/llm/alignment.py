@@ -329,13 +329,14 @@ def brute_force(docs: list[tuple[int | None, str | None]], byte_level: str, piec
         if not text or b"".join(own.a_bytes[i] for i in a) != whole or b"".join(own.b_bytes[i] for i in b) != whole:
             made.append((doc_id, [], [], [], []))
             continue
-        ends_a, ends_b = np.cumsum([len(own.a_bytes[i]) for i in a]).tolist(), np.cumsum([len(own.b_bytes[i]) for i in b]).tolist()
-        links = [(x, y) for x, e, n in zip(a, ends_a, map(lambda i: len(own.a_bytes[i]), a), strict=True) for y, f, m in zip(b, ends_b, map(lambda i: len(own.b_bytes[i]), b), strict=True) if e - n < f and f - m < e]
+        # which token of either each byte belongs to: tokens that share a byte are linked
+        of_a, of_b = (np.repeat(np.arange(len(ids)), [len(by[i]) for i in ids]) for ids, by in ((a, own.a_bytes), (b, own.b_bytes)))
+        links = [(a[i], b[j]) for i, j in np.unique(np.stack([of_a, of_b], 1), axis=0).tolist()]
         groups, i, j = [], 0, 0
-        for end in sorted(set(ends_a) & set(ends_b)):
-            k, m = ends_a.index(end) + 1, ends_b.index(end) + 1
-            groups.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
-            i, j = k, m
+        for k in range(1, len(whole) + 1):
+            if k == len(whole) or (of_a[k] != of_a[k - 1] and of_b[k] != of_b[k - 1]):
+                groups.append(",".join(map(str, a[i : of_a[k - 1] + 1])) + "|" + ",".join(map(str, b[j : of_b[k - 1] + 1])))
+                i, j = of_a[k - 1] + 1, of_b[k - 1] + 1
         for pair in links:
             counts[pair] = counts.get(pair, 0) + 1
         made.append((doc_id, a, b, groups, links))

@@ -1,4 +1,4 @@
-"""The ten queries over whole tables of the smallest scale, against SQL or a brute-force version."""
+"""The queries over whole tables of the smallest scale, against SQL or a brute-force version."""
 
 import hashlib
 import zlib
@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from tessitura.llm import ann, decontamination, entries, html_extraction, packing, secret_scan
+from tessitura.llm import alignment, ann, decontamination, entries, html_extraction, packing, secret_scan
 
 from test_cases import plain_base
 
@@ -95,6 +95,14 @@ def test_op7_round_trip(spark, duck):
     assert max(filled.values()) <= 2048 and len(filled) <= -(-total // 2048) + 1
 
 
+def test_op11_against_brute_force(spark, duck):
+    import public_tokenizers
+
+    docs = duck.execute("select doc_id, text from documents").fetchall()
+    got = sorted(tuple(r) for r in entries.QUERIES["op11_cross_tokenizer_alignment"](spark, SF).collect())
+    assert got == sorted(alignment.brute_force(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")))
+
+
 @pytest.mark.parametrize("name,label,least", [("op9_quality", "quality", 0.95), ("op10_toxicity", "toxic", 0.95)])
 def test_classifiers_on_the_held_out_fold(spark, duck, name, label, least):
     sf = "/root/testdata/sf0.1"
