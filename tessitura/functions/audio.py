@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, FloatType, StringType
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
 
 # The feature front end.
 RATE, WINDOW, SHIFT, FFT, MELS = 16_000, 400, 160, 512, 80
@@ -213,6 +213,12 @@ def log_mel(x: np.ndarray) -> np.ndarray:
     return np.log(np.maximum(power @ mel_filters().T, FLOOR))
 
 
+@F.pandas_udf(ArrayType(ArrayType(DoubleType())))
+def log_mel_frames(samples: pd.Series) -> pd.Series:
+    """``log_mel`` of arrays of samples, in double precision."""
+    return pd.Series([None if x is None else list(log_mel(x)) for x in samples])
+
+
 @F.pandas_udf(ArrayType(ArrayType(FloatType())))
 def fbank(samples: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for part in samples:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import arrays as A
-from tessitura.functions import lookups
+from tessitura.functions import audio, lookups
 from tessitura.operators import alignment, sequences
 
 from .text_queries import table
@@ -162,6 +162,36 @@ def position_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).withColumn("p", p).select("key", "frame", *[F.round(F.get("p", F.lit(i)), 6).alias(f"s{i}") for i in range(_D // 2)], *[F.round(F.get("p", F.lit(_D // 2 + i)), 6).alias(f"c{i}") for i in range(_D // 2)])
 
 
+@query(f"with f as ({_FRAMES}) select key, frame, " + ", ".join([f"round(sin((frame + 1 + vec_id % 1000) * {r!r}), 6) as s{i}" for i, r in enumerate(_RATES)] + [f"round(cos((frame + 1 + vec_id % 1000) * {r!r}), 6) as c{i}" for i, r in enumerate(_RATES)]) + " from f")
+def position_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions of frames behind those that former pushes had."""
+    p = A.position_encoding((F.col("frame") + 1 + F.col("vec_id") % 1000).cast("double"), _D)
+    return _frames(spark, sf_dir).withColumn("p", p).select("key", "frame", *[F.round(F.get("p", F.lit(i)), 6).alias(f"s{i}") for i in range(_D // 2)], *[F.round(F.get("p", F.lit(_D // 2 + i)), 6).alias(f"c{i}") for i in range(_D // 2)])
+
+
+#: Vectors that make a waveform of one frame and some samples.
+_IN_WAVE = 7
+
+
+@query(
+    f"""with u as (select key, frame // {_IN_WAVE} as wave, frame % {_IN_WAVE} * {WIDTH} + d as t, x * 32768 as x from (select key, frame, unnest(vec) as x, unnest(range(len(vec))) as d from ({_FRAMES}))),
+a as (select key, wave, t, x - avg(x) over (partition by key, wave) as x from u where t < 400 qualify count(*) over (partition by key, wave) = 400),
+y as (select key, wave, t, (x - 0.97 * coalesce(lag(x) over (partition by key, wave order by t), x)) * (0.54 - 0.46 * cos(2 * pi() * t / 399)) as y from a),
+p as (select key, wave, k, pow(sum(y * cos(2 * pi() * k * t / 512)), 2) + pow(sum(y * sin(2 * pi() * k * t / 512)), 2) as p from y, (select unnest(range(257)) as k) group by all),
+c as (select 1127 * ln(1 + 20 / 700.0) as low, (1127 * ln(1 + 8000 / 700.0) - 1127 * ln(1 + 20 / 700.0)) / 81 as step),
+m as (select m, k, greatest(0, least((1127 * ln(1 + k * 31.25 / 700) - low - m * step) / step, (low + (m + 2) * step - 1127 * ln(1 + k * 31.25 / 700)) / step)) as weight from c, (select unnest(range(80)) as m), (select unnest(range(257)) as k)),
+e as (select key, wave, m, ln(greatest(sum(p * weight), 1.1920929e-07)) as e from p join m using (k) where weight > 0 group by all)
+select key, wave, round(sum(e), 4) as total, round(sum(e * (m + 1)), 3) as weighted, round(max(e), 5) as most from e group by key, wave"""
+)
+def log_mel_energies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-mel energies of waveforms of seven vectors each, against a Fourier sum written out."""
+    waves = _frames(spark, sf_dir).groupBy("key", F.floor(F.col("frame") / _IN_WAVE).alias("wave")).agg(F.array_sort(F.collect_list(F.struct("frame", "vec"))).alias("own"))
+    samples = F.flatten(F.transform("own", lambda x: x["vec"]))
+    found = waves.select("key", "wave", F.explode(audio.log_mel_frames(samples)).alias("e"))
+    weighted = A.total(F.transform("e", lambda x, m: x * (m + 1)))
+    return found.select("key", "wave", F.round(A.total(F.col("e")), 4).alias("total"), F.round(weighted, 3).alias("weighted"), F.round(F.array_max("e"), 5).alias("most"))
+
+
 @query("with w as (select doc_id, string_split(text, ' ') as w from documents), i as (select doc_id, w, unnest(range(0, greatest(cast(ceil(len(w) / 20.0) as int), 1))) as i from w) select doc_id, cast(i as int) as part, array_to_string(w[i * 20 + 1:(i + 1) * 20], ' ') as words from i")
 def mini_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(A.chunks(F.split("text", " "), 20)).alias("part", "w"))
@@ -207,10 +237,13 @@ def pcm_downmix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _frames(spark, sf_dir).select("vec_id", F.round(A.total(F.transform(A.scale(mono.cast("array<double>"), 32768.0), F.abs)), 3).alias("level"))
 
 
-@query(f"select vec_id, cast(70 as int) as width, round(list_sum(vec), 6) as total, 0.5 as last from ({_FRAMES})")
+@query(f"select vec_id, cast(len(p) as int) as width, round(list_sum(list_transform(p, lambda x, i: x * i)), 4) as total, p[-1] as last from (select vec_id, list_resize(vec, 60 + vec_id % 20, cast(0.5 as double)) as p from (select vec_id, vec[:50 + cast(vec_id % 10 as int)] as vec from ({_FRAMES})))")
 def padded_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = A.pad(F.col("vec"), F.lit(70), 0.5)
-    return _frames(spark, sf_dir).select("vec_id", F.size(p).alias("width"), F.round(A.total(F.col("vec")), 6).alias("total"), F.element_at(p, -1).alias("last"))
+    """Vectors of 50 to 59 values, padded to 60 to 79."""
+    cut = F.slice("vec", F.lit(1), (50 + F.col("vec_id") % 10).cast("int"))
+    p = A.pad(cut, (60 + F.col("vec_id") % 20).cast("int"), 0.5)
+    made = _frames(spark, sf_dir).select("vec_id", p.alias("p"))
+    return made.select("vec_id", F.size("p").alias("width"), F.round(A.total(F.transform("p", lambda x, i: x * (i + 1))), 4).alias("total"), F.element_at("p", -1).alias("last"))
 
 
 @query()

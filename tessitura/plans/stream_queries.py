@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessitura.functions import arrays as A
 from tessitura.operators import latency, ordered, segmentation as S
 from tessitura.streaming import endpoints, jobs
+from tessitura.streaming.session import Limits
 
 from .text_queries import table
 
@@ -154,6 +155,28 @@ def session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.fold_sessions(_pushes(spark, sf_dir)).where("kind in ('start', 'end', 'forced_end')").select("stream_id", "seq", "kind", "time_ms")
 
 
+_CONTROLS = f"""with recursive e as (select key, seq, kind, time_ms, case when event_type = 'signup' then 'reset' when event_id % 11 = 0 then 'eof' end as control from ({_EVENTS})),
+s as (select key, cast(0 as bigint) as seq, false as speaking, cast(0 as bigint) as pushed, cast(null as varchar) as said, cast(null as double) as said_ms from e group by key
+union all select e.key, e.seq, case when control is not null then false when kind = 'start' then true when kind = 'end' then false else speaking end,
+case when control = 'reset' then 0 when control = 'eof' then pushed else pushed + 1 end,
+case when control = 'eof' and speaking then 'end' when control is null and ((kind = 'start' and not speaking) or (kind = 'end' and speaking)) then kind end,
+case when control = 'eof' then pushed * 480.0 when kind = 'start' then time_ms - 200 else time_ms + 150 end
+from s join e on e.key = s.key and e.seq = s.seq + 1)"""
+
+
+@query(_CONTROLS + " select key as stream_id, seq, said as kind, cast(said_ms as double) as time_ms from s where said is not null")
+def session_controls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams with flushes and resets in their middle; a reset says nothing and starts the stream's clock again."""
+    e = _events(spark, sf_dir)
+    control = F.when(F.col("event_type") == "signup", "reset").when(F.col("event_id") % 11 == 0, "eof")
+    a, b = "cast(time_ms - 200 as double)", "cast(time_ms + 150 as double)"
+    pairs = F.expr(f"case when control is not null then array() when kind = 'start' then array(array({a}, -1.0D)) when kind = 'end' then array(array(-1.0D, {b})) else array() end")
+    pushes = e.withColumn("control", control).select(
+        F.col("key").alias("stream_id"), "seq", F.when(F.col("control").isNull(), 7680).otherwise(0).cast("long").alias("samples"), pairs.cast("array<array<double>>").alias("intervals"), F.lit(False).alias("is_final"), "control"
+    )
+    return jobs.fold_sessions(pushes, limits=Limits(segment_ms=1e12)).where("kind in ('start', 'end')").select("stream_id", "seq", "kind", "time_ms")
+
+
 @query()
 def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Gate, cap, look-back, partial and final results of every stream; tested by scripted traces and in streaming."""
