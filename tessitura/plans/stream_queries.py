@@ -183,9 +183,27 @@ def session_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.fold_sessions(_pushes(spark, sf_dir))
 
 
-@query()
+#: The detector as a recursion over frames of 10 ms: 20 frames' flags as bits, 15 of them begin and end speech, 40 frames of look-back, the wait for silence
+#: (185 frames, 5 after a minute of speech, none after two) looked up at each minute's border, at most 6000 frames a segment.
+_DETECTOR = f"""with recursive e as (select key, seq, cast(case when value % 10 < 0 then (value % 10 + 10) % 10 else value % 10 end / 10 as float) as s from ({_EVENTS})),
+f as (select key, (seq - 1) * 30 + k as t, cast(coalesce(cast(1 as float) - s >= s + cast(0.5 as float), false) as bigint) as flag from e, (select unnest(range(30)) as k)),
+z as (select distinct key, cast(-1 as bigint) as t, cast(0 as bigint) as m, false as talking, cast(null as bigint) as began, cast(0 as bigint) as quiet, cast(0 as bigint) as spoken, false as latched, cast(0 as bigint) as last_end, cast(185 as bigint) as wait, cast(null as bigint) as a, cast(null as bigint) as b from e
+union all select key, t, case when ended then 0 else m1 end, talks and not ended, case when not ended then began1 end, case when ended then 0 else quiet1 end, case when ended then 0 else spoken1 end, latched1 and not ended,
+  case when ended and stop > first then stop else last_end end, wait1, case when ended and stop > first then first end, case when ended and stop > first then stop end
+from (select *, not opens and began is not null and ((quiet1 > 0 and quiet1 >= wait1) or t - began + 1 > 6000) as ended, case when quiet1 > 0 and quiet1 >= wait1 then t - greatest(0, wait1 - 11) else t end as stop, greatest(began, last_end, 0) as first
+from (select *, case when opens or talking or talks then 0 else quiet + 1 end as quiet1, case when opens then greatest(t - 40, last_end, 0) else began end as began1
+from (select *, not talking and talks and began is null as opens
+from (select *, case when talking then bit_count(m1) > 15 else bit_count(m1) >= 15 end as talks, case when not border then wait when spoken1 = 0 then 185 when spoken1 = 60000 then 5 else 0 end as wait1
+from (select *, case when border and (began is not null or latched) then spoken + 60000 else spoken end as spoken1, latched or (border and (began is not null or latched)) as latched1
+from (select f.key, f.t, f.t > 0 and f.t % 6000 = 0 as border, ((m << 1) & 1048575) | flag as m1, talking, began, quiet, spoken, latched, last_end, wait from z join f on f.key = z.key and f.t = z.t + 1))))))),
+l as (select key, max(t) as t from z group by key)
+select key, a * 10 as start_ms, b * 10 as end_ms from z where a is not null
+union all select z.key, greatest(began, last_end, 0) * 10, (z.t + 1) * 10 from z join l on z.key = l.key and z.t = l.t where began is not null and z.t + 1 > greatest(began, last_end, 0)"""
+
+
+@query(_DETECTOR)
 def offline_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Endpoint detection over silence probabilities: each user's values, ten frames an event."""
+    """Endpoint detection over silence probabilities, each user's values, thirty frames an event; against a recursive query."""
     e = _events(spark, sf_dir)
     frames = e.select("key", "seq", (F.pmod(F.col("value"), F.lit(10.0)) / 10).alias("silence"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k"))
     return endpoints.detect_segments(frames.withColumn("o", F.col("seq") * 30 + F.col("k")), "key", "o", "silence")
