@@ -53,6 +53,8 @@ LEAST_FRAGMENTS, LEAST_LATER = 24, 12
 PART = 3 / 8
 #: Sets that hold an n-gram before it is hot, and of how many documents one is looked at for that.
 HOT, HOT_SAMPLE = 100_000, 64
+#: Hot n-grams that are sent to the tasks (4 MB), the most frequent ones; others go through the fragments, with the same result.
+MOST_HOT = 500_000
 #: Members of equal segments on which the others are hung; only the order of work depends on it.
 HUBS = 4
 #: Partners of a class that are tried before all others in step 3; only the order of work depends on it.
@@ -116,7 +118,7 @@ def _set_keys(raw: bytes, seed: int) -> tuple[int, int]:
 
 
 def hot_grams(base: DataFrame, rows: int, width: int, seed: int = 0) -> np.ndarray:
-    """Sorted hashes of the n-grams that, by the sample, over ``HOT`` different sets hold. At most one in ``HOT`` of all n-grams."""
+    """Sorted hashes of the n-grams that, by the sample, over ``HOT`` different sets hold; ``MOST_HOT`` at most."""
     if rows < HOT:
         return np.zeros(0, np.uint64)
 
@@ -127,7 +129,7 @@ def hot_grams(base: DataFrame, rows: int, width: int, seed: int = 0) -> np.ndarr
 
     sample = base.where(F.pmod(F.xxhash64("doc_id"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(grams, "gram long, k long").distinct()
     often = sample.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(2, HOT / HOT_SAMPLE))
-    return np.sort(np.array([r["gram"] for r in often.select("gram").collect()], dtype=np.int64).view(np.uint64))
+    return np.sort(np.array([r["gram"] for r in often.orderBy(F.desc("n"), "gram").limit(MOST_HOT).select("gram").collect()], dtype=np.int64).view(np.uint64))
 
 
 def _segments(flat: np.ndarray, sizes: np.ndarray, fragments: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -119,3 +119,22 @@ def test_random_strings_still_are():
     for signs in (small + small.upper() + "0123456789", small + small.upper() + "0123456789+/", small.upper() + "234567"):
         caught = [bool(sum(secret_scan.find_spans("a " + "".join(rng.choice(list(signs), 20)) + " b"), [])) for _ in range(1000)]
         assert np.mean(caught) >= 0.99
+
+
+@pytest.mark.parametrize("most_hot", [3, 10**6])
+def test_hot_n_grams_change_the_way_and_not_the_rows(spark, monkeypatch, most_hot):
+    from tessitura.llm import jaccard_join
+
+    rng = np.random.default_rng(8)
+    words = [f"w{k}" for k in range(400)]
+    passage = " ".join(rng.choice(words, 12))
+    base = [" ".join(rng.choice(words, 60)) + " " + passage for _ in range(900)]
+    rows = [(k, base[k % 900] if k < 1500 else base[k % 900].replace("w7 ", "w8 ", 1) + " end") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(map(tuple, jaccard_join.jaccard_components(docs).collect()))
+    monkeypatch.setattr(jaccard_join, "HOT", 200)
+    monkeypatch.setattr(jaccard_join, "HOT_SAMPLE", 2)
+    monkeypatch.setattr(jaccard_join, "MOST_HOT", most_hot)
+    assert 0 < len(jaccard_join.hot_grams(docs, 2000, 5)) <= most_hot
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs).collect())) == plain
+    assert len({c for *_, c in plain}) == 900
