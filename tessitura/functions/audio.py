@@ -11,7 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, FloatType, StringType
+from pyspark.sql.types import ArrayType, BinaryType, DoubleType, FloatType, StringType
 
 # The feature front end.
 RATE, WINDOW, SHIFT, FFT, MELS = 16_000, 400, 160, 512, 80
@@ -37,6 +37,12 @@ def decode_pcm(payload: pd.Series, form: pd.Series) -> pd.Series:
     return pd.Series([pcm_samples(r, k) for r, k in zip(payload, form, strict=True)])
 
 
+@F.pandas_udf(BinaryType())
+def encode_floats(samples: pd.Series) -> pd.Series:
+    """Samples as little-endian float32 payloads."""
+    return pd.Series([None if x is None else np.asarray(x, "<f4").tobytes() for x in samples])
+
+
 #: Half of the low-pass filter's length, in periods of the lower rate, and the Kaiser window's shape.
 HALF_LENGTH, KAISER = 10, 5.0
 

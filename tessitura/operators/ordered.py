@@ -35,12 +35,15 @@ def _earlier(key: str) -> Window:
     return Window.partitionBy(key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def number(rows: DataFrame, key: str, order: str, name: str, ties: Sequence[str] = ()) -> DataFrame:
-    """Number each key's rows from 0."""
+def number(rows: DataFrame, key: str, order: str, name: str, ties: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """Number each key's rows from 0; ``total`` names a column for how many rows the key has."""
     cut = _cut(rows, order)
     inside = F.row_number().over(Window.partitionBy(key, "_range").orderBy(order, *ties)) - 1
-    handed = _hand_over(cut, key, F.count(F.lit(1)), F.coalesce(F.sum("_own").over(_earlier(key)), F.lit(0)))
-    return handed.withColumn(name, (inside + F.col("_former")).cast("long")).drop("_range", "_former")
+    before = F.coalesce(F.sum("_own").over(_earlier(key)), F.lit(0))
+    handed = _hand_over(cut, key, F.count(F.lit(1)), F.struct(before.alias("n"), F.sum("_own").over(Window.partitionBy(key)).alias("all")) if total else before)
+    if not total:
+        return handed.withColumn(name, (inside + F.col("_former")).cast("long")).drop("_range", "_former")
+    return handed.withColumn(name, (inside + F.col("_former.n")).cast("long")).withColumn(total, F.col("_former.all").cast("long")).drop("_range", "_former")
 
 
 def running_sum(rows: DataFrame, key: str, order: str, value: str, name: str) -> DataFrame:

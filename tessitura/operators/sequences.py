@@ -57,14 +57,15 @@ def sliding_sum(rows: DataFrame, key: str, frame: str, value: str, many: int, na
     return ordered.over_neighbours(rows, key, frame, many - 1, 0, name, lambda own: F.sum(value).over(own.rowsBetween(-(many - 1), 0)))
 
 
-def stack_rows(rows: DataFrame, key: str, frame: str, vec: str, m: int, n: int) -> DataFrame:
+def stack_rows(rows: DataFrame, key: str, frame: str, vec: str, m: int, n: int, total: str | None = None) -> DataFrame:
     """Stacks of ``m`` frames, one every ``n``, as rows (key, frame, stacked); frames outside a key are its first or last one.
 
     The result of ``arrays.stack_frames`` without a key's frames in one row: each frame goes to the few stacks that
-    hold it. Frames are numbered from 0 without gaps.
+    hold it. Frames are numbered from 0 without gaps; ``total`` names a column with a key's number of frames, which ``numbered``
+    can give with the numbers.
     """
     left = (m - 1) // 2
-    sized = rows.join(rows.groupBy(key).agg((F.max(frame) + 1).alias("_all")), key)
+    sized = rows.withColumn("_all", F.col(total)) if total else rows.join(rows.groupBy(key).agg((F.max(frame) + 1).alias("_all")), key)
     at = F.col(frame)
     lowest = F.greatest(F.lit(0), F.when(at > 0, F.floor((at + left - m + 1) / F.lit(n))).otherwise(0))
     highest = F.when(at == F.col("_all") - 1, F.ceil(F.col("_all") / F.lit(n)) - 1).otherwise(F.least(F.floor((at + left) / F.lit(n)), F.ceil(F.col("_all") / F.lit(n)) - 1))
@@ -84,9 +85,9 @@ def moments(rows: DataFrame, key: str, vec: str, width: int) -> DataFrame:
     return rows.groupBy(key).agg(F.array(*[-F.avg(x) for x in each]).alias("shift"), F.array(*[1 / F.greatest(F.stddev_pop(x), F.lit(LEAST_DEVIATION)) for x in each]).alias("scale"))
 
 
-def numbered(rows: DataFrame, key: str, order: str, name: str = "frame") -> DataFrame:
-    """Number each key's rows from 0."""
-    return ordered.number(rows, key, order, name)
+def numbered(rows: DataFrame, key: str, order: str, name: str = "frame", total: str | None = None) -> DataFrame:
+    """Number each key's rows from 0; ``total`` names a column for how many there are."""
+    return ordered.number(rows, key, order, name, total=total)
 
 
 def batches(rows: DataFrame, key: str, order: str, size: int) -> DataFrame:

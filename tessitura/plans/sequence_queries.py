@@ -27,9 +27,13 @@ def query(sql: str | None = None):
     return add
 
 
-def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
-    return sequences.numbered(e.select(F.col("label").alias("key"), "vec_id", F.col("embedding").cast("array<double>").alias("vec")), "key", "vec_id").select("key", "frame", "vec_id", "vec")
+    return e.select(F.col("label").alias("key"), "vec_id", F.col("embedding").cast("array<double>").alias("vec"))
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequences.numbered(_vectors(spark, sf_dir), "key", "vec_id").select("key", "frame", "vec_id", "vec")
 
 
 _FRAMES = "select label as key, vec_id, row_number() over (partition by label order by vec_id) - 1 as frame, cast(embedding as double[]) as vec from embeddings where embedding is not null and label is not null"
@@ -97,7 +101,8 @@ s as (select key, i, flatten(list_transform(range(0, {M}), lambda j: v[greatest(
 select key, cast(i as int) as frame, cast(len(s) as int) as width, round(list_sum(s), 6) as total, round(s[1], 6) as first, round(s[-1], 6) as last from s"""
 )
 def lfr_stack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = sequences.stack_rows(_frames(spark, sf_dir), "key", "frame", "vec", M, N).withColumnRenamed("stacked", "s")
+    f = _vectors(spark, sf_dir)
+    s = sequences.stack_rows(sequences.numbered(f, "key", "vec_id", total="frames"), "key", "frame", "vec", M, N, "frames").withColumnRenamed("stacked", "s")
     return s.select("key", "frame", F.size("s").alias("width"), F.round(A.total(F.col("s")), 6).alias("total"), F.round(F.get("s", F.lit(0)), 6).alias("first"), F.round(F.element_at("s", -1), 6).alias("last"))
 
 
@@ -109,7 +114,7 @@ select u.key, u.frame, round(sum((x - mean) / sd), 5) as total, round(max((x - m
 def cmvn_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shift and scale from each recording's own mean and deviation by dimension, as two arrays on each frame."""
     f = _frames(spark, sf_dir)
-    own = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null").select(F.col("label").alias("key"), F.col("embedding").cast("array<double>").alias("vec"))
+    own = _vectors(spark, sf_dir)
     made = f.join(sequences.moments(own, "key", "vec", WIDTH), "key").withColumn("v", A.cmvn(F.col("vec"), F.col("shift"), F.col("scale")))
     return made.select("key", "frame", F.round(A.total(F.col("v")), 5).alias("total"), F.round(F.array_max("v"), 5).alias("most"))
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.functions import arrays as A
+from tessitura.functions.audio import encode_floats
 from tessitura.operators import latency, ordered, segmentation as S
-from tessitura.streaming import endpoints, jobs
+from tessitura.sources import frames as logs
+from tessitura.sources.shared import shared_folder
+from tessitura.streaming import audio, endpoints, jobs, sink
 from tessitura.streaming.session import Limits
 
 from .text_queries import table
@@ -207,3 +214,67 @@ def offline_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _events(spark, sf_dir)
     frames = e.select("key", "seq", (F.pmod(F.col("value"), F.lit(10.0)) / 10).alias("silence"), F.explode(F.sequence(F.lit(0), F.lit(29))).alias("k"))
     return endpoints.detect_segments(frames.withColumn("o", F.col("seq") * 30 + F.col("k")), "key", "o", "silence")
+
+
+@query(
+    """with f as (select label as key, row_number() over (partition by label order by vec_id) - 1 as frame, embedding from embeddings where embedding is not null and label is not null),
+x as (select key, frame * 64 + unnest(range(64)) as pos, cast(unnest(embedding) as double) as x from f),
+s as (select key, frame, case frame % 5 when 1 then greatest(frame * 64 - 96, 0) else frame * 64 end as first, case frame % 5 when 4 then frame * 64 + 16 else frame * 64 + 64 end as stop from f where frame % 5 > 0)
+select s.key as stream_id, frame as seq, first as from_sample, stop as to_sample, round(sum(x), 5) as total from s join x on x.key = s.key and pos >= first and pos < stop group by all"""
+)
+def audio_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact slices of the audio that a recogniser is fed: each label's vectors are pushes of 4 ms, and speech begins 6 ms before a push."""
+    e = table(spark, sf_dir, "embeddings").where("embedding is not null and label is not null")
+    pushes = ordered.number(e.select(F.col("label").alias("stream_id"), "vec_id", "embedding"), "stream_id", "vec_id", "seq")
+    at = F.col("seq") * 4
+    pair = F.when(F.col("seq") % 5 == 1, F.array(at - 6.0, F.lit(-1.0))).when(F.col("seq") % 5 == 4, F.array(F.lit(-1.0), at + 1.0))
+    frames = pushes.select("stream_id", "seq", F.lit("binary").alias("kind"), encode_floats("embedding").alias("payload"), F.when(pair.isNotNull(), F.array(pair)).alias("intervals"))
+    fed = audio.fold_audio(frames, model=audio.Model(Limits(look_back_ms=10.0, segment_ms=1e9))).where("kind = 'fed'")
+    return fed.select("stream_id", "seq", "from_sample", "to_sample", F.round(A.total(F.transform("audio", lambda x: x.cast("double"))), 5).alias("total"))
+
+
+@query(
+    """with e as (select user_id, event_id, ts, event_type, case when event_type = 'signup' then case event_id % 3 when 0 then 'int16' when 1 then 'float32' else 'float64' end end as asked,
+  case when user_id % 2 = 0 then 'int16' else 'float32' end as opened from events),
+f as (select *, coalesce(last_value(case when asked <> 'float64' then asked end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), opened) as form from e)
+select 'results' as output, cast(user_id as varchar) as stream_id, '{"type":"ready","format":"' || opened || '"}' as value from (select distinct user_id, opened from e)
+union all select 'results', cast(user_id as varchar), '{"type":"config","format":"' || asked || '"}' from f where asked <> 'float64'
+union all select 'errors', cast(user_id as varchar), case when asked = 'float64' then '{"type":"error","message":"unsupported format ''float64''"}' else '{"type":"error","message":"3 bytes is not a whole number of ' || form || ' samples"}' end from f where asked = 'float64' or event_type = 'error'"""
+)
+def frame_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logs of frames, a stream per user, through the streaming source, the stateful decoder and the repeatable sink.
+
+    Signups change the format (to an unknown one at times), errors are payloads of three bytes; what was said about them is read
+    back from the sink.
+    """
+    e = _events(spark, sf_dir)
+    asked = F.element_at(F.array(F.lit("int16"), F.lit("float32"), F.lit("float64")), (F.col("event_id") % 3 + 1).cast("int"))
+    folder, out, checkpoint = (shared_folder(spark, name) for name in ("frames", "written", "checkpoint"))
+
+    def write(key: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, place = pafs.FileSystem.from_uri(folder)
+        fs.create_dir(place, recursive=True)
+        many = 0
+        with fs.open_output_stream(f"{place}/{key}{logs.SUFFIX}") as log:
+            log.write(logs.encode_frames([("open", f"/?format={'int16' if key % 2 == 0 else 'float32'}".encode())]))
+            for batch in batches:
+                for event_type, form in zip(batch.column("event_type").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                    frame = ("text", f'{{"type": "config", "format": "{form}"}}'.encode()) if event_type == "signup" else ("binary", b"\0" * (3 if event_type == "error" else 4))
+                    log.write(logs.encode_frames([frame]))
+                    many += 1
+        yield pa.RecordBatch.from_pydict({"many": [many]})
+
+    ordered.fold_groups(e.select("key", "seq", "event_type", asked.alias("asked")), "key", ["seq"], write, "many long").write.format("noop").mode("overwrite").save()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, jobs.ROCKSDB)
+    try:
+        running = sink.write_frames(audio.stream_audio(logs.read_frames_stream(spark, folder)), out, checkpoint).start()
+        try:
+            running.processAllAvailable()
+        finally:
+            running.stop()
+    finally:
+        spark.conf.set(provider, before)
+    written = [sink.read_written(spark, out, name).select(F.lit(name).alias("output"), "stream_id", "value") for name in ("results", "errors")]
+    return written[0].unionByName(written[1])
