@@ -209,8 +209,9 @@ class AudioProcessor(StatefulProcessor):
         after = stream.ring.stored()
         for first in before.keys() - after.keys():
             self.chunks.removeKey((first,))
-        for first in after.keys() - before.keys():
-            self.chunks.updateValue((first,), (after[first],))
+        for first, pcm in after.items():
+            if before.get(first) != pcm:  # after a reset numbers begin again
+                self.chunks.updateValue((first,), (pcm,))
         self.kept.update((stream.stored(),))
         if self.idle_ms is not None:
             for due in list(self.handle.listTimers()):

@@ -140,6 +140,8 @@ def frames_of(stream, pushes=12):
         block = rng.integers(1, 30_000, 1600) * (k % 4 != 0)
         if k == pushes // 2:
             out += [("text", b'{"type":"config","format":"float32"}'), ("binary", b"odd")]
+        if k in (3, pushes - 3):
+            out.append(("text", b"reset"))
         out.append(("binary", block.astype("<i2").tobytes() if k < pushes // 2 else (block / 32768).astype("<f4").tobytes()))
     return [*out, ("text", b"eof")]
 
