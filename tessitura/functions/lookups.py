@@ -63,7 +63,7 @@ def audio_seconds(frames: Column, shift_ms: float = 10.0, stacked: int = 6) -> C
 
 def register(spark: SparkSession) -> None:
     """The Arrow functions by name, for SQL."""
-    from .audio import decode_pcm, fbank, json_command, load_wav
+    from .audio import decode_pcm, encode_floats, fbank, json_command, load_wav
 
-    for name, f in {"decode_pcm": decode_pcm, "load_wav": load_wav, "fbank": fbank, "json_command": json_command}.items():
+    for name, f in {"decode_pcm": decode_pcm, "encode_floats": encode_floats, "load_wav": load_wav, "fbank": fbank, "json_command": json_command}.items():
         spark.udf.register(name, f)

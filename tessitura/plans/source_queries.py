@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import arrays as A
 from tessitura.functions import audio, lookups
-from tessitura.operators import ordered, segmenter
+from tessitura.operators import alignment, ordered, segmenter, sequences
 from tessitura.sources import manifests as M
 from tessitura.sources.shared import shared_folder
 from tessitura.streaming.endpoints import stack_online
@@ -223,3 +223,128 @@ def tiled_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A list of keys that is shorter than the rows, repeated over them in order."""
     pages = ordered.number(table(spark, sf_dir, "pages").select("page_id", F.lit(0).alias("_all")), "_all", "page_id", "_n")
     return pages.select("page_id", lookups.tiled_key(F.col("_n"), ["a", "b", "c", "d", "e"]).alias("key"))
+
+
+_VECTORS = "select label as key, vec_id, row_number() over (partition by label order by vec_id) - 1 as frame, cast(embedding as double[]) as vec from embeddings where embedding is not null and label is not null"
+
+
+@query(f"select key, count(*) as n, sum(frame) as frames from ({_VECTORS}) where frame < key % 5 + 30 group by key")
+def length_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames inside each recording's stated length."""
+    f = sequence_queries._frames(spark, sf_dir).withColumn("length", F.col("key") % 5 + 30)
+    return sequences.valid_frames(f, "frame", "length").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("frame").alias("frames"))
+
+
+@query(
+    """select doc_id, list_sum(list_distinct(list_concat(a, b))) as united, len(a) + len(b) as together, '' as side from (select doc_id, [doc_id % 7, doc_id % 5, doc_id % 3] as a, [doc_id % 4, doc_id % 7] as b from documents)
+union all select page_id, page_id, 0, 'page' from pages"""
+)
+def joined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lists united and put on end, tables put under each other by name."""
+    a, b = F.array(*[F.col("doc_id") % n for n in (7, 5, 3)]), F.array(*[F.col("doc_id") % n for n in (4, 7)])
+    united = F.aggregate(F.array_union(a, b), F.lit(0).cast("long"), lambda s, x: s + x)
+    lists = table(spark, sf_dir, "documents").select("doc_id", united.alias("united"), F.size(F.concat(a, b)).cast("long").alias("together"), F.lit("").alias("side"))
+    pages = table(spark, sf_dir, "pages").select(F.lit("page").alias("side"), F.lit(0).cast("long").alias("together"), F.col("page_id").alias("united"), F.col("page_id").alias("doc_id"))
+    return lists.unionByName(pages)
+
+
+@query("select 'k' || page_id as key, url as text from pages where url is not null")
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``key text`` lines, written and read back."""
+    path = shared_folder(spark, "lines")
+    M.write_texts(table(spark, sf_dir, "pages").where("url is not null").select(F.concat(F.lit("k"), "page_id").alias("key"), F.col("url").alias("text")), path)
+    return M.read_side_file(spark, path, "text")
+
+
+@query("select event_id, cast(floor(abs(value)) as bigint) || ' ' || cast(floor(abs(value)) as bigint) + 480 as line from events where value is not null")
+def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON report of segments, written and read back as ``start end`` lines."""
+    e = table(spark, sf_dir, "events").where("value is not null")
+    path = shared_folder(spark, "report")
+    M.write_report(e.select("event_id", F.abs("value").alias("start_ms"), (F.floor(F.abs("value")) + 480.5).alias("end_ms")), path)
+    rows = spark.read.schema("event_id long, start_ms double, end_ms double").json(path)
+    return rows.select("event_id", M.segment_line("start_ms", "end_ms").alias("line"))
+
+
+@query("select vec_id, cast(embedding as double[])[1] as first, cast(len(embedding) as int) as width from embeddings where embedding is not null")
+def stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pre-computed features as Parquet."""
+    path = shared_folder(spark, "frames")
+    table(spark, sf_dir, "embeddings").where("embedding is not null").select(F.lit("all").alias("key"), F.col("vec_id").cast("int").alias("frame_idx"), F.col("embedding").alias("vec")).write.parquet(path)
+    return M.read_frames(spark, path).select(F.col("frame_idx").cast("long").alias("vec_id"), F.get("vec", F.lit(0)).cast("double").alias("first"), F.size("vec").alias("width"))
+
+
+@query(
+    """with u as (select label as key, cast(unnest(embedding) as double) as x, unnest(range(1, len(embedding) + 1)) as d from embeddings where embedding is not null and label is not null),
+m as (select key, d, round(-avg(x), 4) as shift, round(1 / stddev_pop(x), 4) as scale from u group by key, d)
+select key, round(sum(shift * d), 3) as shift, round(sum(scale * d), 3) as scale, count(*) as width from m group by key"""
+)
+def statistics_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalisation statistics as text files, a file per recording, read back by their tags and by their brackets."""
+    own = sequence_queries._vectors(spark, sf_dir)
+    found = sequences.moments(own, "key", "vec", sequence_queries.WIDTH)
+    numbers = lambda c: F.array_join(F.transform(c, lambda x: F.round(x, 4).cast("string")), " ")
+    width = F.lit(str(sequence_queries.WIDTH))
+    lines = F.concat(
+        F.lit("<Nnet>\n<Splice> "), width, F.lit(" "), F.col("key").cast("string"), F.lit("\n[ 0 ]\n<AddShift> "), width, F.lit(" "), width, F.lit("\n<LearnRateCoef> 0 [ "), numbers("shift"),
+        F.lit(" ]\n<Rescale> "), width, F.lit(" "), width, F.lit("\n<LearnRateCoef> 0 [ "), numbers("scale"), F.lit(" ]\n</Nnet>"),
+    )
+    path = shared_folder(spark, "statistics")
+    found.select(lines.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+    text = spark.read.text(path, wholetext=True)
+    key = F.regexp_extract("value", r"<Splice> \S+ (\S+)", 1).cast("int").alias("key")
+    both = text.select(key, F.struct(*M.tagged()).alias("t"), F.struct(*M.bracketed(1)).alias("b"))
+    weighted = lambda c: F.round(A.total(F.transform(c, lambda x, d: x * (d + 1))), 3)
+    return both.select("key", weighted("t.shift").alias("shift"), weighted("b.scale").alias("scale"), F.size("t.scale").cast("long").alias("width"))
+
+
+@query("select event_id, lower(event_type) as command, cast(round_even(value, 0) as int) as loud from events where value is not null")
+def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Arrow functions by name, in SQL."""
+    lookups.register(spark)
+    path = f"{sf_dir}/events.parquet"
+    message = "concat('{\"type\": \"', upper(event_type), '\"}')"
+    return spark.sql(f"select event_id, json_command({message}) as command, cast(round(get(decode_pcm(encode_floats(array(cast(bround(value) as float))), 'float32'), 0)) as int) as loud from parquet.`{path}` where value is not null")
+
+
+@query(f"select vec_id, round(list_sum(list_transform(vec, lambda x, i: x * ((i - 1) % 7 - 3))), 3) as score from ({_VECTORS})")
+def model_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A linear model that each worker loads once from a shared file."""
+    path = shared_folder(spark, "model")
+    weights = np.array([k % 7 - 3 for k in range(sequence_queries.WIDTH)], np.float32)
+    fs, place = pafs.FileSystem.from_uri(path)
+    fs.create_dir(place.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(place) as out:
+        out.write(weights.tobytes())
+
+    def load(where: str):
+        own, file = pafs.FileSystem.from_uri(where)
+        with own.open_input_stream(file) as f:
+            matrix = np.frombuffer(f.read(), np.float32)
+        return lambda x: (x.astype(np.float64) @ matrix.astype(np.float64))[:, None]
+
+    scored = alignment.file_scores(sequence_queries._vectors(spark, sf_dir).drop("key"), path, load, "vec")
+    return scored.select("vec_id", F.round(F.get("scores", F.lit(0)).cast("double"), 3).alias("score"))
+
+
+_VOCABULARY = ["<unk>", "a", "b", "c", "d"]
+
+
+@query("select doc_id, array_to_string(list_transform(list_filter([doc_id % 9, doc_id % 5, -1, doc_id % 4], lambda i: i between 0 and 4), lambda i: ['<unk>', 'a', 'b', 'c', 'd'][i + 1]), ' ') as tokens from documents")
+def tokens_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of ids; ids outside the vocabulary are left out."""
+    ids = F.array(F.col("doc_id") % 9, F.col("doc_id") % 5, F.lit(-1).cast("long"), F.col("doc_id") % 4)
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(lookups.tokens_of(F.transform(ids, lambda i: i.cast("int")), _VOCABULARY), " ").alias("tokens"))
+
+
+@query("select user_id || '' as stream_id, event_id as seq, cast(case when event_type = 'signup' then 0 else 7680 end as bigint) as samples, case when event_type = 'signup' then 'reset' end as control from events")
+def paced_pushes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON pushes as a stream, a few files a micro-batch."""
+    folder, out, checkpoint = (shared_folder(spark, name) for name in ("pushes", "pushed", "checkpoint"))
+    e = table(spark, sf_dir, "events")
+    signup = F.col("event_type") == "signup"
+    rows = e.select(F.col("user_id").cast("string").alias("stream_id"), F.col("event_id").alias("seq"), F.when(signup, 0).otherwise(7680).alias("samples"), F.when(signup, "reset").alias("control"))
+    rows.repartition(6).write.json(folder)
+    running = M.read_pushes(spark, folder, 2).select("stream_id", "seq", "samples", "control").writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema("stream_id string, seq long, samples long, control string").parquet(out)

@@ -103,17 +103,29 @@ def audio_of_arrays(rows: DataFrame, samples: str, rate: str, name: str = "sampl
     return rows.withColumn(name, to_rate(F.col(samples), F.col(rate)))
 
 
-def bracket_blocks(text: DataFrame, longer_than: int = 0) -> DataFrame:
-    """Number lists in brackets of a statistics file's whole text, the first two longer than ``longer_than``: shift, scale."""
-    lists = F.transform(F.regexp_extract_all("value", F.lit(r"\[([^\]]*)\]"), 1), lambda s: F.transform(F.filter(F.split(F.trim(s), r"\s+"), lambda x: x != ""), lambda x: x.cast("double")))
+def _numbers(text: Column) -> Column:
+    return F.transform(F.filter(F.split(F.trim(text), r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
+
+
+def bracketed(longer_than: int = 0) -> list[Column]:
+    """shift and scale of a statistics file's whole text (``value``): its first two number lists in brackets longer than ``longer_than``."""
+    lists = F.transform(F.regexp_extract_all("value", F.lit(r"\[([^\]]*)\]"), 1), _numbers)
     kept = F.filter(lists, lambda a: F.size(a) > longer_than)
-    return text.select(F.get(kept, 0).alias("shift"), F.get(kept, 1).alias("scale"))
+    return [F.get(kept, 0).alias("shift"), F.get(kept, 1).alias("scale")]
+
+
+def tagged() -> list[Column]:
+    """shift and scale of a statistics file's whole text (``value``): behind the ``<AddShift>`` and ``<Rescale>`` tags' coefficient lines."""
+    block = lambda tag: _numbers(F.regexp_extract("value", rf"<{tag}>[^\n]*\n\s*<LearnRateCoef>\s+\S+\s+\[?([^\]]*)\]?", 1))
+    return [block("AddShift").alias("shift"), block("Rescale").alias("scale")]
+
+
+def bracket_blocks(text: DataFrame, longer_than: int = 0) -> DataFrame:
+    return text.select(*bracketed(longer_than))
 
 
 def tagged_blocks(text: DataFrame) -> DataFrame:
-    """The lists behind the ``<AddShift>`` and ``<Rescale>`` tags' coefficient lines: shift, scale."""
-    block = lambda tag: F.transform(F.filter(F.split(F.trim(F.regexp_extract("value", rf"<{tag}>[^\n]*\n\s*<LearnRateCoef>\s+\S+\s+\[?([^\]]*)\]?", 1)), r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
-    return text.select(block("AddShift").alias("shift"), block("Rescale").alias("scale"))
+    return text.select(*tagged())
 
 
 def read_pushes(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
@@ -146,4 +158,8 @@ def write_report(rows: DataFrame, path: str) -> None:
 
 def segment_lines(rows: DataFrame) -> DataFrame:
     """``start end`` lines."""
-    return rows.select(F.concat_ws(" ", F.col("start_ms").cast("long"), F.col("end_ms").cast("long")).alias("value"))
+    return rows.select(segment_line("start_ms", "end_ms").alias("value"))
+
+
+def segment_line(start_ms: str, end_ms: str) -> Column:
+    return F.concat_ws(" ", F.col(start_ms).cast("long"), F.col(end_ms).cast("long"))
