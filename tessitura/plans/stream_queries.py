@@ -239,7 +239,7 @@ def audio_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 f as (select *, coalesce(last_value(case when asked <> 'float64' then asked end ignore nulls) over (partition by user_id order by ts, event_id rows between unbounded preceding and current row), opened) as form from e)
 select 'results' as output, cast(user_id as varchar) as stream_id, '{"type":"ready","format":"' || opened || '"}' as value from (select distinct user_id, opened from e)
 union all select 'results', cast(user_id as varchar), '{"type":"config","format":"' || asked || '"}' from f where asked <> 'float64'
-union all select 'errors', cast(user_id as varchar), case when asked = 'float64' then '{"type":"error","message":"unsupported format ''float64''"}' else '{"type":"error","message":"3 bytes is not a whole number of ' || form || ' samples"}' end from f where asked = 'float64' or event_type = 'error'"""
+union all select 'errors', cast(user_id as varchar), case when asked = 'float64' then '{"type":"error","message":"no such format: float64"}' else '{"type":"error","message":"3 bytes hold no whole ' || form || ' samples"}' end from f where asked = 'float64' or event_type = 'error'"""
 )
 def frame_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logs of frames, a stream per user, through the streaming source, the stateful decoder and the repeatable sink.

@@ -117,7 +117,7 @@ class AudioStream:
         samples = pcm_samples(payload, self.form) if kind == "binary" else None
         if samples is None:
             size = len(payload) if payload is not None else 0
-            return [self._said("error", f"{size} bytes is not a whole number of {self.form} samples" if kind == "binary" and payload is not None else "no audio")]
+            return [self._said("error", f"{size} bytes hold no whole {self.form} samples" if kind == "binary" and payload is not None else "no audio")]
         return self._push(samples, intervals, False)
 
     def _command(self, message: str) -> list[tuple]:
@@ -131,10 +131,10 @@ class AudioStream:
         if command == "config":
             asked = str(fields.get("format", self.form))
             if asked not in WIDTHS:
-                return [self._said("error", f"unsupported format {asked!r}")]
+                return [self._said("error", f"no such format: {asked}")]
             self.form = asked
             return [self._said("config", asked)]
-        return [self._said("error", f"unknown command {command!r}")]
+        return [self._said("error", f"not a command: {command}")]
 
     def _said(self, kind: str, text: str | None) -> tuple:
         return (self.seq, kind, None, None, None, None, None, text, None, None, None, None)
