@@ -121,7 +121,7 @@ def test_random_strings_still_are():
         assert np.mean(caught) >= 0.99
 
 
-@pytest.mark.parametrize("most_hot", [3, 10**6])
+@pytest.mark.parametrize("most_hot", [3])
 def test_hot_n_grams_change_the_way_and_not_the_rows(spark, monkeypatch, most_hot):
     from tessitura.llm import jaccard_join
 
