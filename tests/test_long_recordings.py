@@ -19,7 +19,7 @@ from tessitura.streaming import endpoints, frontend
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers can't import this file
 
 
-@pytest.mark.parametrize("block", [1, 3, 7, 1000])
+@pytest.mark.parametrize("block", [1, 7])
 def test_blocks_align_as_one_piece(spark, block):
     rng = np.random.default_rng(block)
     rows, targets, want = [], [], []
@@ -80,7 +80,7 @@ def test_endpoints_of_any_split(cuts, seed):
     assert out + detector.finish() == endpoints.segments(silence, 5000)
 
 
-@pytest.mark.parametrize("files", [1, 3, 10])
+@pytest.mark.parametrize("files", [1, 5])
 def test_online_features_in_a_streaming_query(spark, tmp_path, files):
     rng = np.random.default_rng(3)
     waves = {k: rng.normal(0, 0.1, n).astype(np.float32) for k, n in {"a": 9000, "b": 500, "c": 399, "d": 2345}.items()}
