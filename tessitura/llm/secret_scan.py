@@ -62,6 +62,9 @@ image video audio document section chapter paragraph sentence character letter d
 der die das und ist mit ein nicht von auf werden haben kann durch über nach bei aus wenn noch wie einen zwischen
 que los las una por con para como más pero sus este entre cuando muy sin sobre también hasta hay donde quien desde
 les des une est dans pour qui sur pas plus par avec tout faire son mais nous comme être leur sans deux même aussi
+"""
+#: Parts of long place names, which are ordinary too.
+PLACES = """
 llan fair pwll gwyn gyll goger wyrn drobwll tysilio gogo goch aber ystwyth caer narfon machyn lleth bryn coed mawr
 krung thep maha nakhon taumata whaka tangi hanga koauau reykjavik hafnar fjordur szeged lodz wroclaw przemysl
 """
@@ -118,12 +121,22 @@ def threshold(length: int = MIN_SCORED) -> float:
     return max(FLOOR, float(np.quantile([ratio(x) for x in ordinary if len(x) >= length], 1 - FALSE_SHARE, method="higher")))
 
 
-@lru_cache(1)
-def ratio_table() -> np.ndarray:
+def training_samples(places: int = 60) -> tuple[list[str], list[str]]:
+    """What the chains are trained on: the labelled samples, steps of addresses, and long place names."""
     random, ordinary = labelled_samples()
     rng = np.random.default_rng(19)
     words = [w for w in WORDS.split() if w.isascii()]
     ordinary += [x for _ in range(600) for x in address_steps(rng, words)]
+    parts = PLACES.split()
+    for k in range(places):
+        name = "".join(parts[i] for i in rng.integers(0, len(parts), size=int(rng.integers(3, 9))))
+        ordinary.append(name.capitalize() if k % 2 else name)
+    return random, ordinary
+
+
+@lru_cache(1)
+def ratio_table() -> np.ndarray:
+    random, ordinary = training_samples()
     return train_chain(random) - train_chain(ordinary)
 
 

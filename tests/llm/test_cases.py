@@ -498,10 +498,7 @@ def test_base_spans_character_by_character(text):
 
 
 def test_ratio_letter_by_letter():
-    random_ones, ordinary = secret_scan.labelled_samples()
-    rng = np.random.default_rng(19)
-    words = [w for w in secret_scan.WORDS.split() if w.isascii()]
-    ordinary += [x for _ in range(600) for x in secret_scan.address_steps(rng, words)]
+    random_ones, ordinary = secret_scan.training_samples()
     total = []
     for strings in (random_ones, ordinary):
         seen: dict = {}
