@@ -130,11 +130,11 @@ def feature_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STEPS = {0: 16, 1: 24, 2: 32}
-_SQL_STEP = "list_sum(list_transform(e, lambda x: greatest(least(round_even(x * {n}, 0), {n} - 1), -{n}) / {n}))"
+_SQL_STEP = "list_sum(list_transform(e, lambda x: cast(cast(greatest(least(round_even(x * {n}, 0), {n} - 1), -{n}) / {n} as float) as double)))"
 
 
 @query(
-    f"""select vec_id, cast(len(e) as int) as samples, round(case vec_id % 4 {' '.join(f"when {k} then {_SQL_STEP.format(n=f'{2 ** (b - 1)}.0')}" for k, b in _STEPS.items())} else list_sum(e) end, 3) as total
+    f"""select vec_id, cast(len(e) as int) as samples, round(case vec_id % 4 {' '.join(f"when {k} then {_SQL_STEP.format(n=f'{2 ** (b - 1)}.0')}" for k, b in _STEPS.items())} else list_sum(list_transform(e, lambda x: cast(cast(x as float) as double))) end, 3) + 0.0 as total
 from (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null)"""
 )
 def wave_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -146,7 +146,7 @@ def wave_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
     made = e.select("vec_id", audio.load_wav(encoded(F.col("embedding").cast("array<double>"), (F.col("vec_id") % 4).cast("int"))).alias("s"))
-    return made.select("vec_id", F.size("s").alias("samples"), F.round(A.total(F.transform("s", lambda x: x.cast("double"))), 3).alias("total"))
+    return made.select("vec_id", F.size("s").alias("samples"), (F.round(A.total(F.transform("s", lambda x: x.cast("double"))), 3) + 0.0).alias("total"))
 
 
 @query("select vec_id, cast(len(embedding) as int) as samples, round(list_sum(list_transform(embedding, lambda x: cast(cast(floor(cast(x as double) * 1000) as bigint) as double) / 32768)), 6) as total from embeddings where embedding is not null")
@@ -276,8 +276,8 @@ def stored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """with u as (select label as key, cast(unnest(embedding) as double) as x, unnest(range(1, len(embedding) + 1)) as d from embeddings where embedding is not null and label is not null),
-m as (select key, d, round(-avg(x), 4) as shift, round(1 / stddev_pop(x), 4) as scale from u group by key, d)
-select key, round(sum(shift * d), 3) as shift, round(sum(scale * d), 3) as scale, count(*) as width from m group by key"""
+m as (select key, d, round(-avg(x), 4) as shift, round(1 / greatest(stddev_pop(x), 1e-8), 4) as scale from u group by key, d)
+select key, round(sum(shift * d), 4) as shift, round(sum(scale * d), 4) as scale, count(*) as width from m group by key"""
 )
 def statistics_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Normalisation statistics as text files, a file per recording, read back by their tags and by their brackets."""
@@ -294,7 +294,7 @@ def statistics_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = spark.read.text(path, wholetext=True)
     key = F.regexp_extract("value", r"<Splice> \S+ (\S+)", 1).cast("int").alias("key")
     both = text.select(key, F.struct(*M.tagged()).alias("t"), F.struct(*M.bracketed(1)).alias("b"))
-    weighted = lambda c: F.round(A.total(F.transform(c, lambda x, d: x * (d + 1))), 3)
+    weighted = lambda c: F.round(A.total(F.transform(c, lambda x, d: x * (d + 1))), 4)
     return both.select("key", weighted("t.shift").alias("shift"), weighted("b.scale").alias("scale"), F.size("t.scale").cast("long").alias("width"))
 
 
