@@ -78,6 +78,22 @@ def is_english(token: Column) -> Column:
     return token.rlike("^[a-zA-Z']+$")
 
 
+def language_runs(tokens: Column) -> Column:
+    """Runs of English and of other tokens of an array, as structs (run, english, tokens) numbered from 1; null for a null array."""
+
+    def runs(own: Column) -> Column:
+        words, english = own["words"], own["english"]
+        turns = F.transform(english, lambda x, i: F.when((i == 0) | ~x.eqNullSafe(F.get(english, i - 1)), i))
+        return let(F.filter(turns, lambda i: i.isNotNull()), lambda starts: F.transform(starts, lambda at, k: _run(words, english, starts, at, k)))
+
+    return let(tokens, lambda words: let(F.struct(words.alias("words"), F.transform(words, is_english).alias("english")), runs))
+
+
+def _run(words: Column, english: Column, starts: Column, at: Column, k: Column) -> Column:
+    stop = F.coalesce(F.get(starts, k + 1), F.size(words))
+    return F.struct((k + 1).cast("long").alias("run"), F.get(english, at).alias("english"), F.slice(words, at + 1, stop - at).alias("tokens"))
+
+
 def join_mixed(tokens: Column) -> Column:
     """Tokens as a line: a blank before English ones only."""
     return F.trim(F.array_join(F.transform(tokens, lambda t: F.when(is_english(t), F.concat(F.lit(" "), t)).otherwise(t)), ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessitura.functions import text as texts
 from tessitura.functions.arrays import frame_end_s, frame_start_s
 from tessitura.functions.text import is_english
 
@@ -12,6 +13,9 @@ from . import ordered
 
 LEAST_DEVIATION = 1e-8
 
+#: Repeated keys that are sent to all tasks at most; beyond that Spark joins by shuffle.
+MOST_SENT = 500_000
+
 
 def _with_runs(rows: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """``rows`` with the number of the run of equal values that each is in, from 1."""
@@ -116,3 +120,20 @@ def language_runs(rows: DataFrame, key: str, order: str, token: str) -> DataFram
     numbered_rows = _with_runs(rows.withColumn("english", is_english(F.col(token))), key, order, "english")
     gathered = numbered_rows.groupBy(key, "run", "english").agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(token).alias("t")))).alias("own"))
     return gathered.select(key, "run", "english", F.transform("own", lambda x: x["t"]).alias("tokens"))
+
+
+def language_runs_of_arrays(rows: DataFrame, key: str, tokens: str) -> DataFrame:
+    """``language_runs`` of rows that hold their tokens as an array, ordered by their places in it.
+
+    A row whose key is its own is cut where it is: nothing of it is shuffled but the key. Rows that share a key, a null key included, mix
+    their tokens by place, which ``language_runs`` does over a row per token.
+    """
+    repeated = rows.groupBy(F.col(key).alias("_repeated")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_repeated")
+    many = repeated.limit(MOST_SENT + 1).count()
+    cut = lambda own: own.select(key, F.inline(texts.language_runs(F.col(tokens))))
+    if not many:
+        return cut(rows)
+    known = F.broadcast(repeated) if many <= MOST_SENT else repeated
+    same = rows[key].eqNullSafe(known["_repeated"])
+    mixed = rows.join(known, same, "left_semi").select(key, F.posexplode(tokens).alias("_place", "_token"))
+    return cut(rows.join(known, same, "left_anti")).unionByName(language_runs(mixed, key, "_place", "_token"))

@@ -288,5 +288,5 @@ n as (select *, case when english is distinct from lag(english) over (partition
 select doc_id, cast(run as bigint) as run, english, string_agg(w, ' ' order by i) as words from r group by doc_id, run, english"""
 )
 def language_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("i", "w"))
-    return sequences.language_runs(words, "doc_id", "i", "w").select("doc_id", "run", "english", F.array_join("tokens", " ").alias("words"))
+    words = table(spark, sf_dir, "documents").select("doc_id", F.split("text", " ").alias("words"))
+    return sequences.language_runs_of_arrays(words, "doc_id", "words").select("doc_id", "run", "english", F.array_join("tokens", " ").alias("words"))

@@ -232,3 +232,18 @@ def test_segments_with_equal_starts_are_ordered_by_ties(spark):
     df = spark.createDataFrame([(1, 5, 9, 2), (1, 5, 9, 1), (1, 5, 7, 3), (1, 0, 6, 4), (1, 8, 50_000_000, 5), (1, 9, 12, 2_000_000)], "k int, start long, end long, id long")
     kept = segmentation.keep_apart(df.withColumn("total", F.lit(60_000_000)), "k", ["end", "id"], "total").select("id", "start", "end").collect()
     assert sorted(map(tuple, kept)) == [(1, 7, 9), (3, 6, 7), (4, 0, 6), (5, 9, 50_000_000)]
+
+
+def test_language_runs_of_arrays_are_those_of_rows_and_shuffle_no_text(spark):
+    texts = [(1, "a b 你 好 c"), (2, ""), (3, None), (4, "x"), (5, "1  2 '"), (6, "a 1"), (6, "a 1"), (6, "b"), (None, "q 9"), (None, "w w w"), (7, "9 " * 500 + "end")]
+    rows = spark.createDataFrame(texts, "k int, t string").select("k", F.split("t", " ").alias("words"))
+    want = sequences.language_runs(rows.select("k", F.posexplode("words").alias("i", "w")), "k", "i", "w")
+    show = lambda df: sorted(((r.k, r.run, r.english, sorted(r.tokens)) for r in df.collect()), key=str)
+    alone = lambda df: df.where("k <> 6 and k is not null")
+    got = sequences.language_runs_of_arrays(rows, "k", "words")
+    assert show(alone(got)) == show(alone(want)) and len(show(got)) > 12
+    twice = rows.where("k = 6 and size(words) = 2")
+    by_row = sequences.language_runs(twice.select("k", F.posexplode("words").alias("i", "w")), "k", "i", "w")
+    assert show(sequences.language_runs_of_arrays(twice, "k", "words")) == show(by_row) == [(6, 1, True, ["a", "a"]), (6, 2, False, ["1", "1"])]
+    plan = sequences.language_runs_of_arrays(rows.where("k < 6"), "k", "words")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan
