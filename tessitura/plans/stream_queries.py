@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -251,20 +253,21 @@ def frame_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = F.element_at(F.array(F.lit("int16"), F.lit("float32"), F.lit("float64")), (F.col("event_id") % 3 + 1).cast("int"))
     folder, out, checkpoint = (shared_folder(spark, name) for name in ("frames", "written", "checkpoint"))
 
-    def write(key: object, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come by key, then in order; a log is open until the next key."""
         fs, place = pafs.FileSystem.from_uri(folder)
         fs.create_dir(place, recursive=True)
-        many = 0
-        with fs.open_output_stream(f"{place}/{key}{logs.SUFFIX}") as log:
-            log.write(logs.encode_frames([("open", f"/?format={'int16' if key % 2 == 0 else 'float32'}".encode())]))
-            for batch in batches:
-                for event_type, form in zip(batch.column("event_type").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+        rows = (row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for key, own in groupby(rows, key=itemgetter(0)):
+            with fs.open_output_stream(f"{place}/{key}{logs.SUFFIX}", buffer_size=1 << 16) as log:
+                log.write(logs.encode_frames([("open", f"/?format={'int16' if key % 2 == 0 else 'float32'}".encode())]))
+                for _, event_type, form in own:
                     frame = ("text", f'{{"type": "config", "format": "{form}"}}'.encode()) if event_type == "signup" else ("binary", b"\0" * (3 if event_type == "error" else 4))
                     log.write(logs.encode_frames([frame]))
-                    many += 1
-        yield pa.RecordBatch.from_pydict({"many": [many]})
+            yield pa.RecordBatch.from_pydict({"key": [key]})
 
-    ordered.fold_groups(e.select("key", "seq", "event_type", asked.alias("asked")), "key", ["seq"], write, "many long").write.format("noop").mode("overwrite").save()
+    rows = e.select("key", "event_type", asked.alias("asked"), "seq").repartition("key").sortWithinPartitions("key", "seq")
+    rows.drop("seq").mapInArrow(write, "key long").write.format("noop").mode("overwrite").save()
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, jobs.ROCKSDB)

@@ -6,9 +6,9 @@ ranges; a restarted query reads the same ranges again. A frame's ``seq`` is its
 changes. Payloads are handed on as they came: which format holds is known only in the stream's order
 (``streaming.audio``).
 
-The driver walks the headers of new frames (9 bytes each, payloads are skipped) to find the last whole one; payloads
-are read by tasks, in ranges of at most ``rangeBytes``. ``maxBytesPerBatch`` paces a micro-batch by log. The folder must be
-one that ``pyarrow.fs`` opens on driver and executors.
+The driver walks the headers of new frames (in blocks of 8 KB, longer payloads are skipped) to find the last whole one; payloads
+are read by tasks, in ranges of at most ``rangeBytes``, short ranges of many logs by one. ``maxBytesPerBatch`` paces a micro-batch by log. The
+folder must be one that ``pyarrow.fs`` opens on driver and executors.
 """
 
 from __future__ import annotations
@@ -27,6 +27,10 @@ FRAMES = "stream_id string, seq long, kind string, payload binary"
 HEADER = struct.Struct("<BQ")
 KINDS = ("binary", "text", "open")
 SUFFIX = ".frames"
+#: Bytes that are read at once where headers are looked for.
+BLOCK = 8192
+#: Logs that a task reads at most.
+LOGS_A_TASK = 128
 
 
 def _folder(path: str) -> tuple[pafs.FileSystem, str]:
@@ -48,10 +52,12 @@ def append_frames(path: str, stream_id: str, frames: Iterable[tuple[str, bytes]]
 
 def last_whole_frame(log: pa.NativeFile, size: int, begin: int, most: int) -> int:
     """The end of the last whole frame behind ``begin``, one at least and about ``most`` bytes at most."""
-    at = begin
+    at, block, first = begin, b"", begin
     while at + HEADER.size <= size and (at == begin or at - begin < most):
-        log.seek(at)
-        _, length = HEADER.unpack(log.read(HEADER.size))
+        if at + HEADER.size > first + len(block):
+            log.seek(at)
+            block, first = log.read(min(BLOCK, size - at)), at
+        _, length = HEADER.unpack_from(block, at - first)
         if at + HEADER.size + length > size:
             break
         at += HEADER.size + length
@@ -59,11 +65,11 @@ def last_whole_frame(log: pa.NativeFile, size: int, begin: int, most: int) -> in
 
 
 @dataclass
-class FrameRange(InputPartition):
+class FrameRanges(InputPartition):
+    """Ranges of logs' bytes, as (file name, begin, end)."""
+
     path: str
-    stream_id: str
-    begin: int
-    end: int
+    ranges: list[tuple[str, int, int]]
 
 
 class FrameReader(DataSourceStreamReader):
@@ -85,31 +91,41 @@ class FrameReader(DataSourceStreamReader):
                     self.ends[info.base_name] = last_whole_frame(log, info.size, begin, self.most)
         return {name: end for name, end in self.ends.items() if end}
 
-    def partitions(self, start: dict, end: dict) -> list[FrameRange]:
+    def partitions(self, start: dict, end: dict) -> list[FrameRanges]:
+        out, room = [], 0
+        for name, begin, stop in self._ranges(start, end):
+            if not out or stop - begin > room or len(out[-1].ranges) == LOGS_A_TASK:
+                out.append(FrameRanges(self.path, []))
+                room = self.range_bytes
+            out[-1].ranges.append((name, begin, stop))
+            room -= stop - begin
+        return out
+
+    def _ranges(self, start: dict, end: dict) -> Iterator[tuple[str, int, int]]:
         fs, folder = _folder(self.path)
-        out = []
         for name, stop in sorted(end.items()):
             begin = start.get(name, 0)
             self.ends[name] = max(self.ends.get(name, 0), stop)  # after a restart the offsets come from the checkpoint
             if stop - begin <= self.range_bytes:
-                out += [FrameRange(self.path, name, begin, stop)] if stop > begin else []
+                if stop > begin:
+                    yield name, begin, stop
                 continue
             with fs.open_input_file(f"{folder}/{name}") as log:
                 while begin < stop:
                     cut = last_whole_frame(log, stop, begin, self.range_bytes)
-                    out.append(FrameRange(self.path, name, begin, cut))
+                    yield name, begin, cut
                     begin = cut
-        return out
 
-    def read(self, partition: FrameRange) -> Iterator[tuple]:
+    def read(self, partition: FrameRanges) -> Iterator[tuple]:
         fs, folder = _folder(partition.path)
-        with fs.open_input_file(f"{folder}/{partition.stream_id}") as log:
-            log.seek(partition.begin)
-            at = partition.begin
-            while at < partition.end:
-                kind, length = HEADER.unpack(log.read(HEADER.size))
-                yield partition.stream_id.removesuffix(SUFFIX), at, KINDS[kind] if kind < len(KINDS) else None, log.read(length)
-                at += HEADER.size + length
+        for name, begin, end in partition.ranges:
+            with fs.open_input_file(f"{folder}/{name}") as log:
+                log.seek(begin)
+                at = begin
+                while at < end:
+                    kind, length = HEADER.unpack(log.read(HEADER.size))
+                    yield name.removesuffix(SUFFIX), at, KINDS[kind] if kind < len(KINDS) else None, log.read(length)
+                    at += HEADER.size + length
 
     def commit(self, end: dict) -> None:
         pass

@@ -8,7 +8,7 @@ Broken frames give a row of kind ``error`` and are skipped, the stream goes on.
 The samples that may still be needed are a ring of chunks: those of the look-back window, and, where ``hear`` decodes
 audio, those of the open segment (which the policy's cap bounds). Rows of kind ``fed`` carry exactly the samples of
 their range. In a streaming query the ring is a map state by first sample, so that a micro-batch writes only chunks
-that came or went; timers close streams that were left without ``eof``.
+that came or went, short pushes of a micro-batch as one; timers close streams that were left without ``eof``.
 
 What an endpoint detector says comes with the frames (``intervals``), or from ``detect(samples, is_final, memory)``, whose
 ``memory`` is a dict of JSON values that is kept with the stream; such a detector's clock is its own
@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import json
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import asdict, dataclass
 from urllib.parse import parse_qs, urlsplit
 
@@ -40,6 +40,8 @@ from .session import COLUMNS, FLUSH_PAD, OUTPUT, Limits, State, detector_samples
 FRAMES = "stream_id string, seq long, kind string, payload binary, intervals array<array<double>>"
 RESULTS = f"{OUTPUT}, audio array<float>"
 DEFAULT_FORMAT = "float32"
+#: Samples of a chunk of state that short pushes are joined to at most.
+CHUNK = 16_384
 
 
 class Ring:
@@ -68,8 +70,17 @@ class Ring:
     def __len__(self) -> int:
         return sum(len(x) for _, x in self.chunks)
 
-    def stored(self) -> dict[int, bytes]:
-        return {first: np.ascontiguousarray(x, "<f4").tobytes() for first, x in self.chunks}
+    def stored(self, known: Collection[int] = ()) -> dict[int, bytes]:
+        """The chunks as bytes; those that don't begin at a ``known`` place and follow each other are joined, up to ``CHUNK`` samples."""
+        joined: dict[int, list[np.ndarray]] = {}
+        last, size = -1, 0
+        for first, x in self.chunks:
+            if last in joined and last not in known and first not in known and last + size == first and size + len(x) <= CHUNK:
+                joined[last].append(x)
+                size += len(x)
+            else:
+                joined[first], last, size = [x], first, len(x)
+        return {first: np.concatenate(parts).astype("<f4", copy=False).tobytes() for first, parts in joined.items()}
 
 
 class _Hearing:
@@ -162,9 +173,7 @@ class AudioStream:
 
 
 def _table(key: str, value: object, rows: list[tuple]) -> pd.DataFrame:
-    made = pd.DataFrame(rows, columns=[*COLUMNS, "audio"])
-    made.insert(0, key, value)
-    return made
+    return pd.DataFrame([(value, *row) for row in rows], columns=[key, *COLUMNS, "audio"])
 
 
 def _with_intervals(frames: DataFrame) -> DataFrame:
@@ -205,8 +214,8 @@ class AudioProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stream, before = self._load()
         frames = pd.concat(list(rows)).sort_values("seq", kind="stable")
-        out = [r for f in frames.itertuples() for r in stream.frame(f.seq, f.kind, f.payload, f.intervals)]
-        after = stream.ring.stored()
+        out = [r for f in zip(*(frames[c] for c in ("seq", "kind", "payload", "intervals")), strict=True) for r in stream.frame(*f)]
+        after = stream.ring.stored(before)
         for first in before.keys() - after.keys():
             self.chunks.removeKey((first,))
         for first, pcm in after.items():

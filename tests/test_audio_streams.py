@@ -269,3 +269,25 @@ def test_whole_frames_and_ranges(tmp_path):
     logs.append_frames(str(tmp_path), "t", [("text", b"eof")])
     assert logs.FrameReader({"path": str(tmp_path)}).latestOffset()["t.frames"] == 12
     assert logs.FrameReader({"path": str(tmp_path / "none")}).latestOffset() == {}
+
+
+def test_short_ranges_of_many_logs_are_one_partition(tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k}.frames").write_bytes(logs.encode_frames([("open", b"x" * k), ("binary", b"abcd")]))
+    (tmp_path / "long.frames").write_bytes(logs.encode_frames([("binary", b"y" * 9000)] * 5))
+    reader = logs.FrameReader({"path": str(tmp_path), "rangebytes": "20000"})
+    end = reader.latestOffset()
+    parts = reader.partitions({"7.frames": 16}, end)
+    assert len(parts) < 10 and all(len(p.ranges) <= logs.LOGS_A_TASK for p in parts)
+    got = sorted((x[0], x[1], len(x[3])) for p in parts for x in reader.read(p))
+    want = [(str(k), at, size) for k in range(300) for at, size in ((0, k), (9 + k, 4)) if (k, at) != (7, 0)] + [("long", 9009 * k, 9000) for k in range(5)]
+    assert got == sorted(want) and end["long.frames"] == 5 * 9009
+
+
+def test_short_pushes_are_one_chunk_of_state():
+    ring = audio.Ring({0: np.arange(4, dtype="<f4").tobytes()})
+    for first in range(4, 40_000, 2):
+        ring.append(first, np.array([first, first + 1], "<f4"))
+    stored = ring.stored({0})
+    assert list(stored) == [0, 4, 4 + audio.CHUNK, 4 + 2 * audio.CHUNK]
+    assert (audio.Ring(stored).slice(0, 40_000) == np.arange(40_000)).all()
