@@ -137,6 +137,26 @@ def test_a_file_beyond_two_gigabytes_is_read_in_ranges(tmp_path):
     assert edge == math.ceil(6 * (1 << 20) / (4 * width)) - math.ceil(5 * (1 << 20) / (4 * width))
 
 
+def test_small_feature_files_share_partitions(tmp_path, monkeypatch):
+    for k in range(300):
+        (tmp_path / f"{k:03d}.bin").write_bytes(np.array([1, 2], "<i4").tobytes() + np.array([k, -k], "<f4").tobytes())
+    x = np.arange(3000, dtype="<f4").reshape(1000, 3)
+    (tmp_path / "long.bin").write_bytes(np.array([1000, 3], "<i4").tobytes() + x.tobytes())
+    want = sorted([(f"{k:03d}", 0, [k, -k], None) for k in range(300)] + [("long", k, x[k].tolist(), None) for k in range(1000)])
+    monkeypatch.chdir(tmp_path)
+    for most, many in ((10_000, 6), (4, 3), (1, 1)):
+        monkeypatch.setattr(features, "MOST_PARTITIONS", most)
+        for path in (str(tmp_path), f"{tmp_path}/", f"{tmp_path}/*.bin", f"file://{tmp_path}"):
+            reader = features.FeatureReader({"path": path, "rangebytes": "4096"})
+            parts = reader.partitions()
+            assert len(parts) == many and sorted(r for p in parts for r in reader.read(p)) == want
+    for path in ("007.bin", f"{tmp_path}/007.bin"):
+        one = features.FeatureReader({"path": path})
+        assert [r for p in one.partitions() for r in one.read(p)] == [("007", 0, [7, -7], None)]
+    (tmp_path / "none").mkdir()
+    assert features.FeatureReader({"path": str(tmp_path / "none")}).partitions() == []
+
+
 # --- text
 
 
