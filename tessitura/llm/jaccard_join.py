@@ -3,8 +3,10 @@
 A document's set is its distinct word shingles, as 64-bit hashes. The global n-gram order (hash ranges, and inside a
 range by rising frequency) is cut into fragments; a fragment's task sees each set's segment of that range and counts
 partial overlaps there, and the partial counts are summed per pair. Fragments are hash ranges, and their number grows with
-the input, so each holds a bounded number of n-grams on average; a class sends a fragment one row a task, however many
-copies it has, and documents' own rows are never grouped. N-grams that over ``HOT`` different sets hold (found in a sample
+the input, so each holds a bounded number of n-grams on average. Many fragments cut a set into many short segments, so
+in step 1 the segments that a slice of documents sends to a fragment share one row, and later steps cut horizontally as
+well, by set size (below). A class sends a fragment one segment a task, however many copies it has, and documents' own
+rows are never grouped. N-grams that over ``HOT`` different sets hold (found in a sample
 that grows with the input, ``HOT_SAMPLE``; only the way of the work depends on it) are known to be shared, so step 1 counts
 them where they are read and sends them to no fragment; later steps see them for the remaining classes alone.
 
@@ -14,6 +16,8 @@ them where they are read and sends them to no fragment; later steps see them for
    n-grams are never sent. Classes with equal segments are also hung on the least few of their kind (star pairs).
 2. The remaining classes' segments (64 bits) give the star pairs' exact partial overlaps; sums over fragments decide
    the links, and their components are found.
+   Steps 2 to 4 deal classes by size bands besides: linked sets' sizes differ by a quarter at most, so with bands wider
+   than that a pair meets in its larger set's band, and a class is in its own band and at most the next.
 3. Fragments then look for every other pair that could link two components: a pair with J >= t has a fragment where
    its segments' own J is >= t, so both share an n-gram among their segments' rarest (prefix filter by local
    frequency). A pair is passed on if its sizes agree and the bound from 256 finer fragments (in each, the overlap is
@@ -30,13 +34,14 @@ columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import arrow_batches, discard, materialise, text_slices
@@ -45,8 +50,8 @@ from .components import connected_components
 SHINGLE = 5
 #: J >= 80/100, as 9 * intersection >= 4 * (size + size).
 PERCENT = 80
-#: N-grams of one fragment: in the first step (4 bytes each), and later (8 bytes each).
-FRAGMENT, LATER_FRAGMENT = 4_000_000, 2_000_000
+#: N-grams of one fragment: in the first step (4 bytes each), and later, in its fullest size band (8 bytes each).
+FRAGMENT, LATER_FRAGMENT = 16_000_000, 3_000_000
 LEAST_FRAGMENTS, LEAST_LATER = 24, 12
 #: Of the n-gram order, what step 1 looks at. A text without near copies has this share of its n-grams for itself, and is
 #: settled by it as long as it is well over a fifth.
@@ -55,8 +60,12 @@ PART = 3 / 8
 HOT, HOT_SAMPLE = 100_000, 64
 #: Hot n-grams that are sent to the tasks (4 MB), the most frequent ones; others go through the fragments, with the same result.
 MOST_HOT = 500_000
-#: Members of equal segments on which the others are hung; only the order of work depends on it.
+#: Members of equal segments on which the others are hung, in the first ``LEAST_FRAGMENTS``; only the order of work depends on it.
 HUBS = 4
+#: Ratio of a size band's ends; at least 100 / PERCENT.
+BAND = 1.5625
+#: N-grams that a fragment of step 1 sorts at once.
+SORTED = 2_000_000
 #: Partners of a class that are tried before all others in step 3; only the order of work depends on it.
 LIKELIEST = 2
 #: Rows of an Arrow batch.
@@ -142,6 +151,17 @@ def _segments(flat: np.ndarray, sizes: np.ndarray, fragments: int) -> tuple[np.n
     return row[last], fragment[last], ends
 
 
+def _packed(fragment: np.ndarray, keys: np.ndarray, n: np.ndarray, begin: np.ndarray, many: np.ndarray, flat: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """A row per fragment: its segments' heads (key; set size and segment length, 32 bits each) and n-grams on end."""
+    order = np.argsort(fragment, kind="stable")
+    fragment, begin, many = fragment[order], begin[order], many[order]
+    total = np.cumsum(many)
+    at = np.repeat(begin - (total - many), many) + np.arange(total[-1] if len(total) else 0)
+    heads = np.stack([keys[order], n[order] << 32 | many], axis=1).ravel()
+    last = np.flatnonzero(np.diff(fragment, append=-1))
+    return pa.array(fragment[last].astype(np.int32)), _binary(heads, 2 * (last + 1)), _binary(flat[at].astype(np.uint32), total[last])
+
+
 def _binary(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     width = values.dtype.itemsize
     offsets = np.concatenate(([0], ends)).astype(np.int64) * width
@@ -183,26 +203,40 @@ FIRST = "kind int, k long, other long"
 SHARED, STAR = 1, 2
 
 
+def _shared_counts(values: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """How many of each row's n-grams another row has too. Values are sorted range by range, so only a part is held twice."""
+    count = np.zeros(rows, dtype=np.int64)
+    edges = np.linspace(0, 1 << 32, 2 + len(values) // SORTED, dtype=np.int64)
+    for low, high in zip(edges[:-1], edges[1:], strict=True):
+        some = np.flatnonzero((values >= low) & (values < high)) if len(edges) > 2 else slice(None)
+        both = values[some].astype(np.uint64) << np.uint64(32) | row[some]
+        both.sort()
+        ranked = both >> np.uint64(32)
+        same = ranked[1:] == ranked[:-1]
+        shared = np.append(same, False) | np.append(False, same) if len(both) else np.zeros(0, dtype=bool)
+        count += np.bincount((both[shared] & np.uint64(0xFFFFFFFF)).astype(np.int64), minlength=rows)
+    return count
+
+
 def _count_shared(rest: pa.Table) -> pa.Table:
     """A fragment of step 1: classes' shared n-grams, star pairs."""
-    k, n = rest.column("k").to_numpy(), rest.column("n").to_numpy()
+    heads = _joined(rest.column("heads"), np.int64)[0].reshape(-1, 2)
+    k, n, sizes = heads[:, 0].copy(), heads[:, 1] >> 32, heads[:, 1] & 0xFFFFFFFF
+    values, _ = _joined(rest.column("grams"), np.uint32)
     keep = _first_of_each(k)
-    rest, k, n = rest.take(keep), k[keep], n[keep]
-    values, sizes = _joined(rest.column("grams"), np.uint32)
-    row = np.repeat(np.arange(len(k), dtype=np.int32), sizes)
-    order = np.argsort(values, kind="stable")
-    ranked = values[order]
-    same = ranked[1:] == ranked[:-1]
-    shared = np.zeros(len(values), dtype=bool)
-    shared[order] = np.append(same, False) | np.append(False, same)
-    del order, ranked
-    count = np.bincount(row[shared], minlength=len(k))
+    if len(keep) < len(k):
+        fine = np.zeros(len(k), dtype=bool)
+        fine[keep] = True
+        values = values[np.repeat(fine, sizes)]
+        k, n, sizes = k[keep], n[keep], sizes[keep]
+    row = np.repeat(np.arange(len(k), dtype=np.uint32), sizes)
+    count = _shared_counts(values, row, len(k))
     some = np.flatnonzero(count)
     groups: dict[bytes, list[int]] = {}
-    grams = rest.column("grams")
-    whole = np.flatnonzero((count == sizes) & (sizes > 0))
-    for i, segment in zip(whole.tolist(), grams.take(pa.array(whole)).to_pylist(), strict=True):
-        groups.setdefault(segment, []).append(i)
+    end = np.cumsum(sizes)
+    if rest.num_rows and rest.column("fragment")[0].as_py() < LEAST_FRAGMENTS:
+        for i in np.flatnonzero((count == sizes) & (sizes > 0)).tolist():
+            groups.setdefault(values[end[i] - sizes[i] : end[i]].tobytes(), []).append(i)
     pairs_a, pairs_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for members in groups.values():
         if len(members) < 2:
@@ -272,7 +306,7 @@ def _find_pairs(table: pa.Table, likeliest: int | None) -> pa.Table:
     keep = _first_of_each(k)
     table, k = table.take(keep), k[keep]
     n, component = table.column("n").to_numpy(), table.column("component").to_numpy()
-    bound = np.frombuffer(b"".join(table.column("bound").to_pylist()), dtype=np.uint8).reshape(len(k), BOUND)
+    bound = _joined(table.column("bound"), np.uint8)[0].reshape(len(k), BOUND)
     segments: dict[bytes, int] = {}
     of = np.array([segments.setdefault(g, len(segments)) for g in table.column("grams").to_pylist()], dtype=np.int64)
     values = np.frombuffer(b"".join(segments), dtype=np.uint64)
@@ -297,10 +331,10 @@ def _find_pairs(table: pa.Table, likeliest: int | None) -> pa.Table:
     starts = np.flatnonzero(np.diff(gram, prepend=-1))
     ends = np.append(starts[1:], len(gram))
     asked: dict[int, list[tuple[int, int]]] = {}
-    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        own = component[member[a:b]]
-        if b - a < 2 or (own == own[0]).all():
-            continue
+    placed = component[member]
+    mixed = np.minimum.reduceat(placed, starts) != np.maximum.reduceat(placed, starts) if len(starts) else np.zeros(0, dtype=bool)
+    for a, b in zip(starts[mixed].tolist(), ends[mixed].tolist(), strict=True):
+        own = placed[a:b]
         names, times = np.unique(own, return_counts=True)
         main = names[np.argmax(times)]
         for x in member[a:b][own != main].tolist():
@@ -332,16 +366,28 @@ def _all_left(table: pa.Table) -> pa.Table:
     return _find_pairs(table, None)
 
 
+def _band(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(BAND) + 1e-9).cast("int")
+
+
+def _bands(n: Column) -> Column:
+    """The bands of a set of n: its own, and that of sets a quarter larger. Two sets that may link are both in the larger one's."""
+    return F.array_distinct(F.array(_band(n), _band(n * (100 / PERCENT))))
+
+
 def _links(segments: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """The pairs (a > b) whose summed partial overlaps reach the threshold; materialised."""
-    asked = pairs.groupBy(F.col("a").alias("k")).agg(F.collect_list("b").alias("partners"))
-    ends = pairs.select(F.col("a").alias("k")).union(pairs.select(F.col("b").alias("k"))).distinct()
-    rows = segments.select("fragment", "k", "grams").join(ends, "k", "left_semi").join(asked, "k", "left")
-    parts = rows.groupBy("fragment").applyInArrow(_overlaps, "a long, b long, part long")
-    total = parts.groupBy("a", "b").agg(F.sum("part").alias("both"))
     na, nb = sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), sizes.select(F.col("k").alias("b"), F.col("n").alias("nb"))
-    linked = total.join(na, "a").join(nb, "b").where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both")))
-    return materialise(linked.select("a", "b"), "linked")
+    sized = materialise(pairs.join(na, "a").join(nb, "b").select("a", "b", "na", "nb", _band(F.greatest("na", "nb")).alias("band")), "sized")
+    asked = sized.groupBy(F.col("a").alias("k"), "band").agg(F.collect_list("b").alias("partners"))
+    ends = sized.select(F.col("a").alias("k"), "band").union(sized.select(F.col("b").alias("k"), "band")).distinct()
+    rows = segments.select("fragment", "k", "grams").join(ends, "k").join(asked, ["k", "band"], "left")
+    parts = rows.groupBy("fragment", "band").applyInArrow(_overlaps, "a long, b long, part long")
+    total = parts.groupBy("a", "b").agg(F.sum("part").alias("both"))
+    linked = total.join(sized, ["a", "b"]).where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both")))
+    out = materialise(linked.select("a", "b"), "linked")
+    discard(sized)
+    return out
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
@@ -376,34 +422,34 @@ def _components(docs: DataFrame, doc_id: str, text: str, width: int, seed: int)
             row, fragment, ends = _segments(flat, own_sizes, whole)
             many = len(sizes)
             ids = part.column("doc_id")
-            # a row per document, in no fragment; and the segments of each set that an id has, once a task
+            # a row per document, in no fragment; and a row per fragment, with the segments of each set that an id has, once a task
             early = fragment < fragments
             named = early & _unseen(keys, ids.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0), seen)[row]
-            part_sizes = np.bincount(row[early], weights=np.diff(ends, prepend=0)[early], minlength=many).astype(np.int64)
-            grams = pa.concat_arrays([_binary(flat.astype(np.uint32), ends).filter(pa.array(named)), pa.array([b""] * many, pa.binary())])
-            own = np.concatenate((row[named], np.arange(many)))
+            lengths = np.diff(ends, prepend=0)
+            part_sizes = np.bincount(row[early], weights=lengths[early], minlength=many).astype(np.int64)
+            own = row[named]
+            place, heads, grams = _packed(fragment[named], keys[own], sizes[own], (ends - lengths)[named], lengths[named], flat)
+            none = len(place)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.concat_arrays([pa.array(fragment[named].astype(np.int32)), pa.nulls(many, pa.int32())]),
-                    pa.concat_arrays([pa.nulls(int(named.sum()), pa.int64()), ids]),
-                    pa.array(keys[own]),
-                    pa.array(sizes[own]),
-                    grams,
-                    pa.array(part_sizes[own]),
-                    pa.array(checks[own]),
+                    pa.concat_arrays([place, pa.nulls(many, pa.int32())]),
+                    pa.concat_arrays([heads, pa.nulls(many, pa.binary())]),
+                    pa.concat_arrays([grams, pa.nulls(many, pa.binary())]),
+                    *(pa.concat_arrays([pa.nulls(none, pa.int64()), c]) for c in (ids, pa.array(keys), pa.array(sizes), pa.array(part_sizes), pa.array(checks))),
                 ],
-                names=["fragment", "doc_id", "k", "n", "grams", "part", "second"],
+                names=["fragment", "heads", "grams", "doc_id", "k", "n", "part", "second"],
             )
 
-    scanned = materialise(base.mapInArrow(cut, "fragment int, doc_id long, k long, n long, grams binary, part long, second long"), "scanned")
-    first = materialise(scanned.where("fragment is not null").select("fragment", "k", "n", "grams").groupBy("fragment").applyInArrow(_count_shared, FIRST), "shared")
+    scanned = materialise(base.mapInArrow(cut, "fragment int, heads binary, grams binary, doc_id long, k long, n long, part long, second long"), "scanned")
+    first = materialise(scanned.where("fragment is not null").select("fragment", "heads", "grams").groupBy("fragment").applyInArrow(_count_shared, FIRST), "shared")
     meta = scanned.where("fragment is null").select("doc_id", "k", "n", "part", "second")
     classes = meta.where("n > 0 and doc_id is not null").groupBy("k").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("part").alias("part"), F.count(F.lit(1)).alias("copies"), (F.min("second") != F.max("second")).alias("odd"))
     shared = first.where(F.col("kind") == SHARED).groupBy("k").agg(F.sum("other").alias("shared"))
     alone = F.col("part") - F.coalesce(F.col("shared"), F.lit(0))
     alive = materialise(classes.join(shared, "k", "left").where(100 * alone <= (100 - PERCENT) * F.col("n")).select("k", "rep", "n"), "alive")
-    n_alive, grams = alive.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    later = int(max(LEAST_LATER, -(-grams // LATER_FRAGMENT)))
+    n_alive = alive.count()
+    fullest = alive.select("n", F.explode(_bands(F.col("n"))).alias("band")).groupBy("band").agg(F.sum("n").alias("grams")).agg(F.coalesce(F.max("grams"), F.lit(0))).first()[0]
+    later = int(max(LEAST_LATER, -(-fullest // LATER_FRAGMENT)))
 
     wanted = alive.select(F.col("rep").alias("doc_id"), "k")
 
@@ -432,7 +478,8 @@ def _components(docs: DataFrame, doc_id: str, text: str, width: int, seed: int)
     for ask in (_likeliest, _all_left):  # the likeliest pairs first, which spare most of the others; then all that are left
         known = materialise(connected_components(links), "known")
         placed = segments.join(known.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
-        pairs = materialise(placed.groupBy("fragment").applyInArrow(ask, "a long, b long").distinct(), "pairs")
+        banded = placed.withColumn("band", F.explode(_bands(F.col("n"))))
+        pairs = materialise(banded.groupBy("fragment", "band").applyInArrow(ask, "a long, b long").distinct(), "pairs")
         links = links.unionByName(_links(segments, pairs, sizes))
         discard(known, pairs)
     final = connected_components(links)

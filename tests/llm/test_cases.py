@@ -105,6 +105,30 @@ def test_jaccard_copies_meet_once_a_task(spark, monkeypatch):
     assert made["scanned"].where("fragment is null").count() == len(rows) and made["shared"].count() < 100
 
 
+def test_jaccard_rows_do_not_grow_with_fragments(spark, monkeypatch):
+    """With many fragments, a task still sends each one row in step 1, and a set is in two size bands at most later."""
+    monkeypatch.setattr(jaccard_join, "FRAGMENT", 10)
+    monkeypatch.setattr(jaccard_join, "LATER_FRAGMENT", 400)
+    monkeypatch.setattr(jaccard_join, "SORTED", 16)
+    made, keep = {}, jaccard_join.materialise
+    monkeypatch.setattr(jaccard_join, "materialise", lambda df, what: made.update({what: keep(df, what)}) or made[what])
+    rows = variants(4)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(docs_of(spark, rows).coalesce(1)).collect())) == brute_components(rows)
+    sent = made["scanned"].where("fragment is not null").collect()
+    assert len({r.fragment for r in sent}) == len(sent) > jaccard_join.LEAST_FRAGMENTS
+    for r in sent:
+        heads = np.frombuffer(r.heads, dtype=np.int64).reshape(-1, 2)
+        assert len(set(heads[:, 0].tolist())) == len(heads) and 4 * (heads[:, 1] & 0xFFFFFFFF).sum() == len(r.grams)
+
+
+def test_jaccard_size_bands_meet(spark):
+    sizes = spark.range(1, 3000).select(F.col("id").alias("n")).union(spark.range(1, 60).select(F.expr("cast(pow(1.5625, id) as long) * 4").alias("n"))).distinct()
+    bands = {r.n: set(r.bands) for r in sizes.select("n", jaccard_join._bands(F.col("n")).alias("bands")).collect()}
+    own = {r.n: r.band for r in sizes.select("n", jaccard_join._band(F.col("n")).alias("band")).collect()}
+    assert max(map(len, bands.values())) == 2 and len(set(own.values())) > 15
+    assert all(own[m] in bands[n] for n in range(1, 2400) for m in range(n, n * 5 // 4 + 1) if m in own)
+
+
 def test_jaccard_with_hot_ngrams(spark, monkeypatch):
     """A line in every document, a third of copies, a third without words; the line's n-grams are in no fragment."""
     rng = random.Random(12)
