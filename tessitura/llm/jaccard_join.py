@@ -74,7 +74,7 @@ BATCH = 1000
 SEEN = 1_000_000
 #: Finer fragments of the overlap bound.
 BOUND = 256
-#: Class ids (8 bytes) that are broadcast at most; beyond that the join is left to Spark.
+#: Class ids (8 bytes) that are broadcast at most, with a component or with pairs; beyond that the join is left to Spark.
 BROADCAST_IDS = 2_000_000
 
 
@@ -379,9 +379,10 @@ def _links(segments: DataFrame, pairs: DataFrame, sizes: DataFrame) -> DataFrame
     """The pairs (a > b) whose summed partial overlaps reach the threshold; materialised."""
     na, nb = sizes.select(F.col("k").alias("a"), F.col("n").alias("na")), sizes.select(F.col("k").alias("b"), F.col("n").alias("nb"))
     sized = materialise(pairs.join(na, "a").join(nb, "b").select("a", "b", "na", "nb", _band(F.greatest("na", "nb")).alias("band")), "sized")
-    asked = sized.groupBy(F.col("a").alias("k"), "band").agg(F.collect_list("b").alias("partners"))
-    ends = sized.select(F.col("a").alias("k"), "band").union(sized.select(F.col("b").alias("k"), "band")).distinct()
-    rows = segments.select("fragment", "k", "grams").join(ends, "k").join(asked, ["k", "band"], "left")
+    ends = sized.select(F.col("a").alias("k"), "band", "b").union(sized.select(F.col("b").alias("k"), "band", F.lit(None).cast("long")))
+    asked = ends.groupBy("k", "band").agg(F.collect_list("b").alias("partners"))
+    few = 2 * sized.count() <= BROADCAST_IDS
+    rows = segments.select("fragment", "k", "grams").join(F.broadcast(asked) if few else asked, "k")
     parts = rows.groupBy("fragment", "band").applyInArrow(_overlaps, "a long, b long, part long")
     total = parts.groupBy("a", "b").agg(F.sum("part").alias("both"))
     linked = total.join(sized, ["a", "b"]).where(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both")))
@@ -477,7 +478,8 @@ def _components(docs: DataFrame, doc_id: str, text: str, width: int, seed: int)
     links = _links(segments, star.select("a", "b"), sizes)
     for ask in (_likeliest, _all_left):  # the likeliest pairs first, which spare most of the others; then all that are left
         known = materialise(connected_components(links), "known")
-        placed = segments.join(known.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
+        named = known.withColumnRenamed("node", "k")
+        placed = segments.join(F.broadcast(named) if n_alive <= BROADCAST_IDS else named, "k", "left").withColumn("component", F.coalesce("component", "k"))
         banded = placed.withColumn("band", F.explode(_bands(F.col("n"))))
         pairs = materialise(banded.groupBy("fragment", "band").applyInArrow(ask, "a long, b long").distinct(), "pairs")
         links = links.unionByName(_links(segments, pairs, sizes))
